@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, quality_rules
+from . import chat_format, exact_dedup, mixing, quality_rules
 
 QUERIES = {
+    "op1_source_mix": mixing.op1_source_mix,
+    "op4_chat_format": chat_format.op4_chat_format,
     "op8_radix_exact_dedup": exact_dedup.op8_radix_exact_dedup,
     "op10_quality_ledger": quality_rules.op10_quality_ledger,
 }
 ORACLE = {
+    "op1_source_mix": mixing.OP1_SQL,
+    "op4_chat_format": chat_format.OP4_SQL,
     "op8_radix_exact_dedup": exact_dedup.OP8_SQL,
     "op10_quality_ledger": quality_rules.OP10_SQL,
 }
