@@ -2,15 +2,21 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, mixing, quality_rules
+from . import chat_format, exact_dedup, line_dedup, mixing, packing, pii, quality_rules, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op3_cost_packing": packing.op3_cost_packing,
+    "op5_site_spread_lines": line_dedup.op5_site_spread_lines,
+    "op6_skip_chain_pii": pii.op6_skip_chain_pii,
+    "op7_warc_index": warc.op7_warc_index,
     "op8_radix_exact_dedup": exact_dedup.op8_radix_exact_dedup,
     "op10_quality_ledger": quality_rules.op10_quality_ledger,
 }
 ORACLE = {
+    "op5_site_spread_lines": line_dedup.OP5_SQL,
+    "op7_warc_index": warc.OP7_SQL,
     "op1_source_mix": mixing.OP1_SQL,
     "op4_chat_format": chat_format.OP4_SQL,
     "op8_radix_exact_dedup": exact_dedup.OP8_SQL,
