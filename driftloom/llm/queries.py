@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, mixing, packing, pii, quality_rules, warc
+from . import chat_format, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
     "op4_chat_format": chat_format.op4_chat_format,
+    "op2_ngram_join": ngram_join.op2_ngram_join,
     "op3_cost_packing": packing.op3_cost_packing,
     "op5_site_spread_lines": line_dedup.op5_site_spread_lines,
     "op6_skip_chain_pii": pii.op6_skip_chain_pii,
