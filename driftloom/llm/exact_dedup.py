@@ -26,8 +26,9 @@ def radix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     base = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text")).select(
         "id", "text", F.octet_length("text").alias("n"), F.substring(F.col("text").cast("binary"), 1, first_digit).alias("head")
     )
-    # Level 1: the length and the first bytes. Groups of one leave without their text.
-    heads = base.groupBy("n", "head").agg(F.count("*").alias("c")).filter("c > 1")
+    # Level 1: the length and the first bytes. Groups of one leave without their text. Counts of groups are cut
+    # into tables, so that each join has a plain exchange on either side, which AQE splits where a group is hot.
+    heads = cut(base.groupBy("n", "head").agg(F.count("*").alias("c")).filter("c > 1"), "radix-heads")
     rows = cut(
         base.join(heads, ["n", "head"], "left").select(
             F.monotonically_increasing_id().alias("row"), "id", F.sha2("text", 256).alias("text_sha256"),
@@ -40,7 +41,7 @@ def radix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     while True:
         width *= growth
         level = open_rows.withColumn("digit", F.expr(f"substring(rest, 1, {width})"))
-        groups = level.groupBy("g", "digit").agg(F.count("*").alias("c"), F.min("row").alias("gid")).filter("c > 1").drop("c")
+        groups = cut(level.groupBy("g", "digit").agg(F.count("*").alias("c"), F.min("row").alias("gid")).filter("c > 1").drop("c"), "radix-groups")
         level = cut(
             level.join(groups, ["g", "digit"]).select(
                 "row", "id", F.col("gid").cast("string").alias("g"), F.expr(f"substring(rest, {width + 1})").alias("rest"),
@@ -53,7 +54,7 @@ def radix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         if open_rows.isEmpty():
             break
     members = reduce(DataFrame.union, ended)
-    best = members.groupBy("g").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("size"))
+    best = cut(members.groupBy("g").agg(F.max(F.struct("id", "row")).alias("best"), F.count("*").alias("size")), "radix-best")
     found = members.join(best, "g").select("row", "best", "size")
     single = F.col("size").isNull()
     return rows.select("row", "id", "text_sha256").join(found, "row", "left").select(
