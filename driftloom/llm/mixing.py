@@ -46,22 +46,27 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, max_re
     return df.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("level"))).select("source", "source_size", "rank", "weight", "target")
 
 
-def schedule(goals: DataFrame, slots: int) -> DataFrame:
-    """(slot, rank, block, block_tokens): which block of which source's stream each slot takes."""
-    spark = goals.sparkSession
+def in_blocks(goals: DataFrame, slots: int) -> DataFrame:
+    """Adds to the targets: goal (the target in whole tokens), upto (running sum), total and block_tokens."""
     by_rank = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     goals = goals.withColumn("goal", F.round("target").cast("long"))
-    goals = goals.withColumns({"upto": F.sum("goal").over(by_rank), "total": F.sum("goal").over(Window.partitionBy(F.lit(1)))}).filter("goal > 0")
+    goals = goals.withColumns({"upto": F.sum("goal").over(by_rank), "total": F.sum("goal").over(Window.partitionBy(F.lit(1)))})
+    return goals.withColumn("block_tokens", F.greatest(F.ceil(F.col("total") / F.lit(slots)).cast("long"), F.lit(1).cast("long")))
+
+
+def schedule(goals: DataFrame, slots: int) -> DataFrame:
+    """(slot, rank, block): which block of which source's stream each slot takes. goals: as from in_blocks."""
+    spark = goals.sparkSession
     point = lambda c: F.floor(c / F.col("total") * F.lit(float(RING))).cast("long")
-    goals = goals.withColumns({"lo": point(F.col("upto") - F.col("goal")), "hi": point(F.col("upto")), "block_tokens": F.ceil(F.col("total") / F.lit(slots)).cast("long")})
+    goals = goals.filter("goal > 0").withColumns({"lo": point(F.col("upto") - F.col("goal")), "hi": point(F.col("upto"))})
     cells = goals.filter("lo < hi").select(
-        "rank", "lo", "hi", "block_tokens", F.ceil(F.col("total") / F.col("block_tokens")).alias("n_slots"),
+        "rank", "lo", "hi", F.ceil(F.col("total") / F.col("block_tokens")).alias("n_slots"),
         F.explode(F.sequence(F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS))).alias("cell"),
     )
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * F.lit(GOLDEN)) % F.lit(RING)).alias("u"))
     points = points.withColumn("cell", F.shiftright("u", CELL_BITS))
-    dealt = points.join(cells, "cell").filter("u >= lo and u < hi and slot < n_slots").select("slot", "rank", "block_tokens", F.shiftright("slot", CHUNK_BITS).alias("chunk"))
-    return running_start(dealt.withColumn("one", F.lit(1).cast("long")), ["rank"], "chunk", ["slot"], "one", "block").select("slot", "rank", "block", "block_tokens")
+    dealt = points.join(cells, "cell").filter("u >= lo and u < hi and slot < n_slots").select("slot", "rank", F.shiftright("slot", CHUNK_BITS).alias("chunk"))
+    return running_start(dealt.withColumn("one", F.lit(1).cast("long")), ["rank"], "chunk", ["slot"], "one", "block").select("slot", "rank", "block")
 
 
 def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeat: float = 2.0, slots: int = 1 << 18, seed: int = 0,
@@ -69,7 +74,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeat: floa
     """Two DataFrames: (documents, slices).
 
     documents: doc_id, source, size (words), start (of the document in its source's shuffled stream), and the
-    source's rank, source_size and target. slices: (slot, rank, doc_id, start, epoch, first, length): slot takes
+    source's rank, source_size, target and b (tokens of a block). slices: (slot, rank, doc_id, start, epoch, first, length): slot takes
     `length` words of the document from its word `first` on. Null text has size 0 and takes no part; a null
     source is a source. Rows that repeat an id count apart. No document is taken more than max_repeat times.
     """
@@ -78,20 +83,19 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeat: floa
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
         F.conv(F.substring(key, 1, 8), 16, 10).cast("long").alias("order"),
     ).withColumn("bucket", F.shiftright("order", BUCKET_BITS)), "mix-sizes")
-    goals = cut(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), tuple(weights), share, max_repeat), "mix-goals")
+    goals = cut(in_blocks(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), tuple(weights), share, max_repeat), slots), "mix-goals")
     placed = running_start(sized, ["source"], "bucket", ["order", "doc_id", "size"], "size", "start")
     documents = cut(placed.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "source", "size", "start", "rank", "source_size", "target"), "mix-places")
+        "doc_id", "source", "size", "start", "rank", "source_size", "target", F.col("block_tokens").alias("b")), "mix-places")
     dealt = cut(schedule(goals, slots), "mix-schedule")
-    size_of_block = dealt.groupBy("rank").agg(F.max("block_tokens").alias("b"))
-    stream = documents.filter("size > 0").join(size_of_block, "rank").select(
+    stream = documents.filter("size > 0").select(
         "rank", "doc_id", "start", "size", "b", "source_size",
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(math.ceil(max_repeat) - 1).cast("long"))).alias("epoch"),
     ).withColumn("at", F.col("epoch") * F.col("source_size") + F.col("start"))
     pieces = stream.withColumn("block", F.explode(F.sequence(F.expr("at div b"), F.expr("(at + size - 1) div b"))))
     end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("b"), F.floor(F.col("source_size") * F.lit(float(max_repeat))).cast("long"))
     pieces = pieces.withColumn("lo", F.greatest(F.col("at"), F.col("block") * F.col("b"))).withColumn("length", end - F.col("lo")).filter("length > 0")
-    slices = pieces.join(dealt.select("slot", "rank", "block"), ["rank", "block"]).select(
+    slices = pieces.join(dealt, ["rank", "block"]).select(
         "slot", "rank", "doc_id", "start", "epoch", (F.col("lo") - F.col("at")).alias("first"), "length")
     return documents, slices
 
