@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, warc
+from . import chat_format, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_skip_chain_pii": pii.op6_skip_chain_pii,
     "op7_warc_index": warc.op7_warc_index,
     "op8_radix_exact_dedup": exact_dedup.op8_radix_exact_dedup,
+    "op9_suffix_levels": suffix_dedup.op9_suffix_levels,
     "op10_quality_ledger": quality_rules.op10_quality_ledger,
 }
 ORACLE = {
