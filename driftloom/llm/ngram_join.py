@@ -59,15 +59,20 @@ def alike(sets: list[np.ndarray], limits: np.ndarray, threshold: float, split: i
         yield i, np.flatnonzero(found & (shared > 0)) + lo
 
 
-def forest(n: int, found: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[int, int]]:
-    """Spanning links of the graph on n vertices with the given neighbours."""
-    label = np.arange(n)
+def forest(names: list[bytes], found: Iterator[tuple[int, np.ndarray]]) -> Iterator[tuple[bytes, bytes]]:
+    """Spanning links of the graph of the given neighbours: each vertex with the least name of its component, so
+    that groups with the same members give the same links."""
+    label = np.arange(len(names))
     for i, js in found:
-        for k in np.unique(label[js], return_index=True)[1] if len(js) else ():
-            j = int(js[k])
-            if label[i] != label[j]:
-                label[label == label[j]] = label[i]
-                yield i, j
+        if len(js):
+            met = np.append(label[js], label[i])
+            label[np.isin(label, met)] = met.min()
+    order = np.argsort(label, kind="stable")
+    for part in np.split(order, np.flatnonzero(np.diff(label[order])) + 1):
+        if len(part) > 1:
+            own = [names[k] for k in part]
+            least = min(own)
+            yield from ((least, x) for x in own if x != least)
 
 
 def embed(docs: DataFrame, width: int, sample: int) -> DataFrame:
@@ -138,9 +143,9 @@ def compare(rows: DataFrame, key: str, sample: int, near: float) -> DataFrame:
             split = sum(r[3] == 0 for r in group) if group[0][1] != group[0][2] else None
             if len(group) > 1 and split not in (0, len(group)):
                 sets = [np.frombuffer(r[6], dtype=U) for r in group]
-                for i, j in forest(len(group), alike(sets, limit(np.array([r[5] for r in group]), sample), near, split)):
-                    a.append(group[i][4])
-                    b.append(group[j][4])
+                for x, y in forest([r[4] for r in group], alike(sets, limit(np.array([r[5] for r in group]), sample), near, split)):
+                    a.append(x)
+                    b.append(y)
             if len(a) > 10_000:
                 yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], names=["a", "b"])
                 a, b = [], []
@@ -230,9 +235,9 @@ def exact_links(texts: DataFrame, width: int, threshold: float, block: int) -> t
                     others[js] += 1
                     yield i, js
 
-            for i, j in forest(len(group), counted()):
-                a.append(group[i][4])
-                b.append(group[j][4])
+            for x, y in forest([r[4] for r in group], counted()):
+                a.append(x)
+                b.append(y)
             k = len(a)
             hit = np.flatnonzero(others)
             yield pa.RecordBatch.from_arrays([
@@ -245,7 +250,7 @@ def exact_links(texts: DataFrame, width: int, threshold: float, block: int) -> t
     return sums, found.filter("b is not null").select("a", "b")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, sample: int = 64, leaf: int = 512,
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, sample: int = 64, leaf: int = 256,
                  branch: float = 2.0, depth: int = 6, block: int = 64, near: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, class_id, n_links, n_text_links.
 
@@ -278,5 +283,12 @@ def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall
         F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
 
 
+def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs, with all their columns, whose id is the least of their near-duplicate class."""
+    classes = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
+    kept = cut(classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col("class_id").alias("_id")).distinct(), "class-heads")
+    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+
+
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
     return jaccard_join(table(spark, sf_dir, "documents"))
