@@ -100,6 +100,16 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeat: floa
     return documents, slices
 
 
+def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
+    """Whole documents of the mix, with all their columns: a document stands once for each time that the block
+    with its first word is scheduled. Rows that share an id are repeated alike; documents without words are out."""
+    documents, slices = mix(docs, id_col=id_col, **options)
+    times = slices.filter("first = 0").groupBy("rank", "start").agg(F.count("*").cast("int").alias("n"))
+    times = documents.filter("size > 0").join(times, ["rank", "start"]).groupBy(F.col("doc_id").alias("_id")).agg(F.max("n").alias("_n"))
+    rows = docs.join(cut(times, "mix-times"), F.col(id_col).eqNullSafe(F.col("_id")))
+    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_id", "_n", "_k")
+
+
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:
     documents, slices = mix(table(spark, sf_dir, "documents"))
     # A document with words is known by its place in its source's stream.

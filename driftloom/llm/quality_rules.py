@@ -82,15 +82,28 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     }).drop("_words", "_lines", "_windows", "_sorted", "_starts")
 
 
-def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, measurements and `fail_bits` (bit i: rule i of RULES failed)."""
-    measured = measure(docs.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col)
+def _with_bits(measured: DataFrame) -> DataFrame:
     bits = F.lit(0).cast("long")
     for i, (_, failed) in enumerate(RULES):
         bits = bits.bitwiseOR(F.when(F.expr(failed), F.lit(1 << i)).otherwise(F.lit(0)).cast("long"))
     return measured.withColumn("fail_bits", bits)
 
 
+def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: id, measurements and `fail_bits` (bit i: rule i of RULES failed)."""
+    return _with_bits(measure(docs.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col))
+
+
+def keep_documents(docs: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
+    """The rows of docs that pass the policy, with all their columns. The measurements never meet the columns of
+    docs, so equal names do no harm."""
+    held = _with_bits(measure(docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))))
+    # The partition number keeps the optimizer from moving the filter below the measurements, where it would
+    # repeat them for every use.
+    held = held.select("doc", "fail_bits", F.spark_partition_id().alias("part"))
+    return held.filter(passes(policy) & (F.col("part") >= 0)).select("doc.*")
+
+
 def passes(policy: str, bits: str = "fail_bits") -> Column:
     return F.col(bits).bitwiseAND(F.lit(mask(POLICIES[policy]))) == 0
 
