@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -66,3 +68,10 @@ def running_start(df: DataFrame, group: list[str], bucket: str, order: list[str]
         .withColumn(out, F.col("_before") + F.coalesce(F.sum(value).over(within), F.lit(0)))
         .drop("_before", "_b", *[f"_g{i}" for i in range(len(group))])
     )
+
+
+def pieces(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of at most `rows` rows, so that a task holds few rows as Python objects at once."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

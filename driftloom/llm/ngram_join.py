@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, pieces, table
 from .components import components
 from .hashing import U, mix, shingle_sets
 
@@ -114,7 +114,7 @@ def choose(nodes: DataFrame, sample: int, branch: float) -> DataFrame:
 def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]]:
     """Runs of rows that agree in their first `keys` columns, of a sorted partition."""
     run: list[tuple] = []
-    for batch in batches:
+    for batch in pieces(batches, 256):
         for row in zip(*[c.to_pylist() for c in batch.columns]):
             if run and row[:keys] != run[0][:keys]:
                 yield run

@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, pieces, table
 from .hashing import BASE, U, mix, powers, prefix_sums
 from .ngram_join import groups
 
@@ -64,7 +64,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, lengths: np.ndarray, length: int
         return none.view(U), none, none, none
     bounds = np.append(np.flatnonzero(change), len(m))
     last = bounds[np.searchsorted(bounds, first, "right")] - 1
-    at = np.concatenate([first[i : i + 4096] + h[first[i : i + 4096, None] + np.arange(w)].argmin(1) for i in range(0, len(first), 4096)])
+    at = np.concatenate([first[i : i + 1024] + h[first[i : i + 1024, None] + np.arange(w)].argmin(1) for i in range(0, len(first), 1024)])
     again = last > at  # the least hash stands more than once in the run: later windows take later places
     parts = [(at[~again], first[~again], last[~again])]
     for p, r in zip(first[again], last[again]):
@@ -79,23 +79,21 @@ def anchors(data: np.ndarray, ends: np.ndarray, lengths: np.ndarray, length: int
 
 def _entries(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
     """(d, t, key, ctx, q, lo, hi) of (d, text): the anchor q in its document, window starts q + lo ... q + hi."""
-    for whole in batches:
-        for cut_at in range(0, whole.num_rows, 256):
-            batch = whole.slice(cut_at, 256)
-            texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-            joined = b"\n".join([*texts, b""])
-            lengths = np.array([len(x) for x in texts])
-            ends = np.cumsum(lengths + 1) - 1
-            key, at, first, last = anchors(np.frombuffer(joined, dtype=np.uint8), ends, lengths, length, seed)
-            doc = np.searchsorted(ends, at)
-            lo, hi = first - at, last - at
-            ctx = [hashlib.blake2b(joined[a : b + length], digest_size=14).digest() + int(-x).to_bytes(2, "little") for a, b, x in zip(first.tolist(), last.tolist(), lo.tolist())]
-            took = pa.array(doc)
-            md5 = pa.array([hashlib.md5(x).digest() for x in texts], pa.binary())
-            yield pa.RecordBatch.from_arrays([
-                batch.column(0).take(took), md5.take(took), pa.array(key.view(np.int64)), pa.array(ctx, pa.binary()),
-                pa.array((at - (ends - lengths)[doc]).astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)),
-            ], names=["d", "t", "key", "ctx", "q", "lo", "hi"])
+    for batch in pieces(batches, 64):
+        texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
+        joined = b"\n".join([*texts, b""])
+        lengths = np.array([len(x) for x in texts])
+        ends = np.cumsum(lengths + 1) - 1
+        key, at, first, last = anchors(np.frombuffer(joined, dtype=np.uint8), ends, lengths, length, seed)
+        doc = np.searchsorted(ends, at)
+        lo, hi = first - at, last - at
+        ctx = [hashlib.blake2b(joined[a : b + length], digest_size=14).digest() + int(-x).to_bytes(2, "little") for a, b, x in zip(first.tolist(), last.tolist(), lo.tolist())]
+        took = pa.array(doc)
+        md5 = pa.array([hashlib.md5(x).digest() for x in texts], pa.binary())
+        yield pa.RecordBatch.from_arrays([
+            batch.column(0).take(took), md5.take(took), pa.array(key.view(np.int64)), pa.array(ctx, pa.binary()),
+            pa.array((at - (ends - lengths)[doc]).astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)),
+        ], names=["d", "t", "key", "ctx", "q", "lo", "hi"])
 
 
 def entries(docs: DataFrame, length: int, seed: int) -> DataFrame:
@@ -176,7 +174,7 @@ def repeated_starts(contexts: DataFrame, length: int, most: int) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, (pa.int64(), pa.binary(), pa.int32(), pa.int32()))], names=["key", "ctx", "lo", "hi"])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in pieces(batches, 512):
             rows = [_windows(x, length).view(np.int64) for x in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tolist() for x in rows], pa.list_(pa.int64()))], names=["key", "ctx", "lo", "hash"])
 
@@ -187,7 +185,7 @@ def repeated_starts(contexts: DataFrame, length: int, most: int) -> DataFrame:
     return few.mapInArrow(run, "key long, ctx binary, lo int, hi int").union(many)
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 32, batches: int = 4, most: int = 8192,
+def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 32, batches: int = 4, most: int = 2048,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept (binary).
 
@@ -208,7 +206,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 32, batches:
 
     def squeeze(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pack = zstandard.ZstdCompressor(level=3)
-        for b in batches:
+        for b in pieces(batches, 128):
             texts = [x.encode() for x in b.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array([hashlib.md5(x).digest() for x in texts], pa.binary()),
                                               pa.array([pack.compress(x) for x in texts], pa.binary())], names=["id", "d", "t", "z"])
@@ -221,7 +219,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 32, batches:
 
     def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in pieces(batches, 128):
             for z, xs in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 text = unpack.decompress(z)
                 yield pa.RecordBatch.from_arrays([
@@ -236,7 +234,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 32, batches:
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
-        for b in batches:
+        for b in pieces(batches, 128):
             rows = []
             for z, found in zip(b.column(1).to_pylist(), b.column(2).to_pylist()):
                 text = unpack.decompress(z)
