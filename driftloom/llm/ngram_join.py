@@ -250,8 +250,8 @@ def exact_links(texts: DataFrame, width: int, threshold: float, block: int) -> t
     return sums, found.filter("b is not null").select("a", "b")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, sample: int = 64, leaf: int = 256,
-                 branch: float = 2.0, depth: int = 6, block: int = 64, near: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, sample: int = 64, leaf: int = 1024,
+                 branch: float = 2.0, depth: int = 6, block: int = 128, near: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, class_id, n_links, n_text_links.
 
     Two rows are linked if the Jaccard similarity of their sets of `width`-word runs is at least threshold.
