@@ -35,15 +35,16 @@ def scratch(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/driftloom-{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
+def cut(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
     """Writes df as a table in the shared folder and reads it again, which ends its lineage:
-    losing an executor later costs no recomputation of what came before."""
+    losing an executor later costs no recomputation of what came before.
+
+    Joins with the table sort and merge at every size, so that a plan that is seen on little data is the plan on
+    much; `small` leaves the choice to Spark, for tables of a row per source or the like."""
     path = scratch(df.sparkSession, name)
-    writer = df.write
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    df.write.parquet(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    return written if small else written.hint("merge")
 
 
 def n_words(text: Column) -> Column:

@@ -83,7 +83,7 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeat: floa
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
         F.conv(F.substring(key, 1, 8), 16, 10).cast("long").alias("order"),
     ).withColumn("bucket", F.shiftright("order", BUCKET_BITS)), "mix-sizes")
-    goals = cut(in_blocks(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), tuple(weights), share, max_repeat), slots), "mix-goals")
+    goals = cut(in_blocks(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), tuple(weights), share, max_repeat), slots), "mix-goals", small=True)
     placed = running_start(sized, ["source"], "bucket", ["order", "doc_id", "size"], "size", "start")
     documents = cut(placed.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
         "doc_id", "source", "size", "start", "rank", "source_size", "target", F.col("block_tokens").alias("b")), "mix-places")
