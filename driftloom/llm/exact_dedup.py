@@ -70,11 +70,11 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """The rows of docs that radix_dedup keeps, with all their columns: one row of each group of equal texts."""
     kept = radix_dedup(docs, id_col, text_col).groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(
         F.max("kept").alias("_kept"), F.count("*").alias("_times")).filter("_kept").drop("_kept")
-    sha = F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256)
-    rows = docs.join(cut(kept, "kept"), F.col(id_col).eqNullSafe(F.col("_id")) & (sha == F.col("_sha")))
+    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))
+    rows = held.join(cut(kept, "kept"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("sha") == F.col("_sha")))
     # Rows that repeat both id and text are rare: only they are compared once more.
-    once = rows.filter("_times = 1").union(rows.filter("_times > 1").dropDuplicates(["_id", "_sha"]))
-    return once.drop("_id", "_sha", "_times")
+    once = rows.filter("_times = 1").union(rows.filter("_times > 1").dropDuplicates(["id", "sha"]))
+    return once.select("doc.*")
 
 
 def op8_radix_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -106,8 +106,9 @@ def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataF
     documents, slices = mix(docs, id_col=id_col, **options)
     times = slices.filter("first = 0").groupBy("rank", "start").agg(F.count("*").cast("int").alias("n"))
     times = documents.filter("size > 0").join(times, ["rank", "start"]).groupBy(F.col("doc_id").alias("_id")).agg(F.max("n").alias("_n"))
-    rows = docs.join(cut(times, "mix-times"), F.col(id_col).eqNullSafe(F.col("_id")))
-    return rows.withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).drop("_id", "_n", "_k")
+    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"))
+    rows = held.join(cut(times, "mix-times"), F.col("id").eqNullSafe(F.col("_id")))
+    return rows.select("doc", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("doc.*")
 
 
 def op1_source_mix(spark, sf_dir: str) -> DataFrame:

@@ -287,7 +287,8 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """The rows of docs, with all their columns, whose id is the least of their near-duplicate class."""
     classes = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
     kept = cut(classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col("class_id").alias("_id")).distinct(), "class-heads")
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"))
+    return held.join(kept, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("doc.*")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
