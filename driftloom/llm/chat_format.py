@@ -1,9 +1,9 @@
 """Chat formatting by schema fingerprints.
 
 A layout is a set of nested field paths with a declarative mapping to canonical turns. Tables are matched by
-the fingerprint (SHA-256 of the sorted paths) of the known paths in their schema, JSON records row by row by
-the fingerprint of the known paths that they hold. Paths that no layout knows are ignored, so extra columns
-and fields do no harm. All work is done by DataFrame expressions.
+the fingerprint (SHA-256 of the sorted paths) of the largest known set of paths in their schema, JSON records row
+by row by that of the largest known set that they hold. Other paths are ignored, so extra columns and fields do
+no harm. All work is done by DataFrame expressions.
 
 The template writes each turn as <|im_start|>role, a new line, the text, <|im_end|> and a new line. Texts and
 roles are escaped (& as &amp;, <| as &lt;|, in roles also the new line), so no control string can stand inside
@@ -28,7 +28,7 @@ TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 #: Layouts: known paths, then the mapping. `rows`: one row per turn. `list`: (array, role field, text field).
 #: `pairs`: (role, field or fields joined by a new line) in order.
 LAYOUTS: dict[str, dict] = {
-    "turn_rows": {"paths": ["conv_id", "role", "text", "turn"], "rows": ("conv_id", "turn", "role", "text")},
+    "turn_rows": {"paths": ["role", "text", "turn"], "rows": ("conv_id", "turn", "role", "text")},
     "messages": {"paths": ["messages[].content", "messages[].role"], "list": ("messages", "role", "content")},
     "from_value": {"paths": ["conversations[].from", "conversations[].value"], "list": ("conversations", "from", "value")},
     "prompt_response": {"paths": ["prompt", "response"], "pairs": [("user", "prompt"), ("assistant", "response")]},
@@ -39,7 +39,6 @@ LAYOUTS: dict[str, dict] = {
 }
 #: Names by which other corpora call the canonical roles.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
-KNOWN = sorted({p for x in LAYOUTS.values() for p in x["paths"]})
 
 
 def fingerprint(paths: list[str]) -> str:
@@ -47,6 +46,8 @@ def fingerprint(paths: list[str]) -> str:
 
 
 BY_FINGERPRINT = {fingerprint(x["paths"]): name for name, x in LAYOUTS.items()}
+#: Layouts in the order in which they are looked for: more paths first, so that a part never hides the whole.
+BY_SIZE = sorted(LAYOUTS.values(), key=lambda x: -len(x["paths"]))
 
 
 def field_paths(schema: T.StructType, prefix: str = "") -> list[str]:
@@ -61,11 +62,12 @@ def field_paths(schema: T.StructType, prefix: str = "") -> list[str]:
 
 
 def layout_of(schema: T.StructType) -> str:
-    """The layout whose fingerprint is that of the known paths in the schema."""
-    found = [p for p in field_paths(schema) if p in KNOWN]
-    name = BY_FINGERPRINT.get(fingerprint(found))
+    """The layout by the fingerprint of the largest known set of paths that the schema holds."""
+    found = set(field_paths(schema))
+    held = next((x["paths"] for x in BY_SIZE if found.issuperset(x["paths"])), [])
+    name = BY_FINGERPRINT.get(fingerprint(held))
     if name is None:
-        raise ValueError(f"no layout has exactly the paths {found}")
+        raise ValueError(f"no layout is held by the paths {sorted(found)}")
     return name
 
 
@@ -109,7 +111,9 @@ def canonical_records(df: DataFrame, id_col: str = "conv_id", record_col: str =
     def has(path: str) -> Column:
         return text("$." + path.replace("[].", "[0].")).isNotNull()
 
-    held = F.array_join(F.array_compact(F.array(*[F.when(has(p), F.lit(p)) for p in KNOWN])), "|")
+    # The largest known set of paths that the record holds.
+    whole = [F.when(reduce(lambda a, b: a & b, [has(p) for p in x["paths"]]), F.lit("|".join(sorted(x["paths"])))) for x in BY_SIZE if "rows" not in x]
+    held = F.coalesce(*whole, F.lit(""))
     df = df.select(F.col(id_col).cast("long").alias("conv_id"), F.col(record_col).alias("_record"), F.sha2(held, 256).alias("_fingerprint"))
     v = F.try_parse_json(F.col("_record"))
 
