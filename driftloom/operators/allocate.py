@@ -10,6 +10,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import number_rows
+
 POOL = ["pool"]
 
 
@@ -77,7 +79,7 @@ def waterfall(ordered: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFram
     and last block of numbers, so the join is on (pool, block)."""
     before = Window.partitionBy("pool").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     spans = ordered.withColumn("lo", F.coalesce(F.sum("free").over(before), F.lit(0))).withColumn("hi", F.col("lo") + F.col("free")).filter("free > 0")
-    numbered = items.withColumn("_n", F.row_number().over(Window.partitionBy("pool").orderBy("item")) - 1)
+    numbered = number_rows(items, POOL, ["item"], "_n")
     room = ordered.groupBy("pool").agg(F.sum("free").alias("room"))
     short = items.groupBy("pool").agg(F.count("*").alias("wanted")).join(room, "pool", "left").filter("room is null or wanted > room").select("pool")
     block = 1024

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import prefix_sums
+
 KEYS = ["world", "slot"]
 
 #: Reductions by name. maxloc and minloc give struct(value, rank), the lowest rank on ties.
@@ -149,8 +151,7 @@ def exchange_counts(rank_hosts: DataFrame, root: int, kind: str) -> DataFrame:
 
 def offsets(counts: DataFrame) -> DataFrame:
     """(world, rank, count) plus offset: the sum of the counts of lower ranks."""
-    before = Window.partitionBy("world").orderBy("rank").rowsBetween(Window.unboundedPreceding, -1)
-    return counts.withColumn("offset", F.coalesce(F.sum("count").over(before), F.lit(0)).cast("long"))
+    return prefix_sums(counts, ["world"], ["rank"], "count", "offset")
 
 
 def gatherv(ranked: DataFrame, counts: DataFrame) -> DataFrame:

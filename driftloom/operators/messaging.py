@@ -6,12 +6,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .ordering import number_rows
+
 CHANNEL = ["group", "src", "dst"]
 
 
 def number_messages(messages: DataFrame, order: str = "sent") -> DataFrame:
     """messages with `seq`: their number in the channel, from 0."""
-    return messages.withColumn("seq", (F.row_number().over(Window.partitionBy(*CHANNEL).orderBy(order)) - 1).cast("long"))
+    return number_rows(messages, CHANNEL, [order], "seq").select(*messages.columns, "seq")
 
 
 def deliver(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
