@@ -265,11 +265,15 @@ def find(texts: list[str], model: Field, sure: float = 0.95) -> list[list[tuple[
 
 
 def fit(docs: DataFrame, sample: int = 1000, longest: int = 20_000, id_col: str = "doc_id", text_col: str = "text") -> Field:
-    """Weights fitted on at most `sample` documents of at most `longest` characters that hold a digit, an @ or
-    a +: those with the least hash of id and text, so that reruns agree."""
+    """Weights fitted on about `sample` (at most twice as many) documents of at most `longest` characters that hold a
+    digit, an @ or a +: those whose hash of id and text is below sample / number of such documents, so that reruns
+    agree and tasks send the driver nothing but the sample."""
     rows = docs.select(F.col(text_col).alias("text"), F.xxhash64(id_col, text_col).alias("h"))
-    rows = rows.filter(F.col("text").rlike("[0-9@+]") & (F.length("text") <= longest)).orderBy("h", "text").limit(sample)
-    return fit_texts([r.text for r in rows.collect()])
+    rows = rows.filter(F.col("text").rlike("[0-9@+]") & (F.length("text") <= longest))
+    share = sample / max(rows.count(), 1)
+    if share < 1:
+        rows = rows.filter(F.pmod("h", F.lit(1 << 40)) < int(share * (1 << 40)))
+    return fit_texts([r.text for r in rows.limit(2 * sample).sort("h", "text").collect()])
 
 
 def personal_data(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
