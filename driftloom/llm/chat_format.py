@@ -37,7 +37,7 @@ LAYOUTS: dict[str, dict] = {
     "instruction_input": {"paths": ["input", "instruction", "output"], "pairs": [("user", "instruction\ninput"), ("assistant", "output")]},
     "system_prompt_response": {"paths": ["prompt", "response", "system"], "pairs": [("system", "system"), ("user", "prompt"), ("assistant", "response")]},
 }
-#: Names by which other corpora call the canonical roles.
+#: Names by which record layouts call the canonical roles; rows by turn keep the roles that they have.
 ROLE_NAMES = {"human": "user", "gpt": "assistant", "bot": "assistant", "model": "assistant"}
 
 
@@ -90,7 +90,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     if "rows" in layout:
         conv, turn, role, text = layout["rows"]
         return df.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
-                         _canonical_role(F.col(role)).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+                         F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
     def field(name, role=None, text=None):
         if role is None:
