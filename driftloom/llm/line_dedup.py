@@ -19,15 +19,21 @@ def _lines(docs: DataFrame, *keep: str) -> DataFrame:
     return exploded.filter(F.col("line").rlike(WORD)).select(*keep, "pos", F.xxhash64(F.trim(F.col("line"), F.lit(" \t\r\x0b\f"))).alias("h"))
 
 
+def _dealt(lines: DataFrame) -> DataFrame:
+    """The lines dealt by (h, salt), so that a line with any share of all rows is first summed in many tasks."""
+    return lines.withColumn("salt", F.monotonically_increasing_id() % 64).repartition("h", "salt")
+
+
 def boilerplate_lines(docs: DataFrame, min_sites: int, lg_k: int = 12, band: float = 0.1) -> DataFrame:
     """Hashes `h` of the lines on at least min_sites distinct sites. docs: text, site."""
     # A line on min_sites sites occurs that often: this count leaves out the many lines that occur once.
     often = cut(_lines(docs).groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") >= min_sites).select("h"), "line-often")
-    spread = cut(_lines(docs, "site").join(often, "h", "left_semi").groupBy("h").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
-                 .select("h", F.hll_sketch_estimate("sketch").alias("sites")), "line-spread")
+    sketches = _dealt(_lines(docs, "site").join(often, "h", "left_semi")).groupBy("h", "salt").agg(F.hll_sketch_agg("site", F.lit(lg_k)).alias("sketch"))
+    merged = sketches.groupBy("h").agg(F.hll_union_agg("sketch").alias("sketch"))
+    spread = cut(merged.select("h", F.hll_sketch_estimate("sketch").alias("sites")), "line-spread")
     low, high = min_sites * (1 - band) - 1, min_sites * (1 + band) + 1
     near = cut(spread.filter(F.col("sites").between(low, high)).select("h"), "line-near")
-    exact = _lines(docs, "site").join(near, "h", "left_semi").groupBy("h", "site").agg(F.lit(1).alias("one")).filter("site is not null")
+    exact = _dealt(_lines(docs, "site").join(near, "h", "left_semi")).groupBy("h", "site").agg(F.lit(1).alias("one")).filter("site is not null")
     exact = exact.groupBy("h").agg(F.count("*").alias("sites")).filter(F.col("sites") >= min_sites).select("h")
     return spread.filter(F.col("sites") > high).select("h").union(exact)
 
