@@ -112,12 +112,14 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_revisit_bytes
     return cut(rows.mapInArrow(write, INDEX), "warc-index")
 
 
-def read_records(index: DataFrame, max_gap: int = 1 << 16, max_read: int = 8 << 20, payload: bool = True) -> DataFrame:
+def read_records(index: DataFrame, max_gap: int = 1 << 16, max_read: int = 8 << 20, task_bytes: int = 16 << 20, payload: bool = True) -> DataFrame:
     """The records of the given index rows: page_id, url, record_type, payload_digest, payload_bytes, refers_to
     and, if asked for, payload (null for a revisit).
 
-    Ranges of one file that lie at most max_gap bytes apart are read together, up to max_read bytes at once."""
-    picked = index.select("file", "offset", "length").repartitionByRange("file", "offset").sortWithinPartitions("file", "offset")
+    Ranges of one file that lie at most max_gap bytes apart are read together, up to max_read bytes at once. Tasks
+    get ranges of the index that stand for about task_bytes each; the index itself is too small to split by."""
+    tasks = 1 + (index.agg(F.sum("length")).first()[0] or 0) // task_bytes
+    picked = index.select("file", "offset", "length").repartitionByRange(tasks, "file", "offset").sortWithinPartitions("file", "offset")
     kinds = [pa.int64(), pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64()] + [pa.binary()] * payload
     names = ["page_id", "url", "record_type", "payload_digest", "payload_bytes", "refers_to"] + ["payload"] * payload
 
