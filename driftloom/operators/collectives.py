@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordering import prefix_sums
+from .ordering import number_rows, prefix_sums
 
 KEYS = ["world", "slot"]
 
@@ -85,9 +85,8 @@ def match_messages(sends: DataFrame, recvs: DataFrame) -> DataFrame:
 
     Result: channel, n, send_count, recv_count, copied = least of both, status matched, unreceived or unsent."""
     channel = ["world", "src", "dst"]
-    number = F.row_number().over(Window.partitionBy(*channel).orderBy("ord")) - 1
-    s = sends.select(*channel, number.alias("n"), F.col("count").alias("send_count"))
-    r = recvs.select(*channel, number.alias("n"), F.col("count").alias("recv_count"))
+    s = number_rows(sends, channel, ["ord"], "n").select(*channel, "n", F.col("count").alias("send_count"))
+    r = number_rows(recvs, channel, ["ord"], "n").select(*channel, "n", F.col("count").alias("recv_count"))
     status = F.when(F.col("recv_count").isNull(), "unreceived").when(F.col("send_count").isNull(), "unsent").otherwise("matched")
     return s.join(r, [*channel, "n"], "full").select(
         *channel, "n", "send_count", "recv_count", F.when(status == "matched", F.least("send_count", "recv_count")).alias("copied"), status.alias("status"))

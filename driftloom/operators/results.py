@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
+
+from .ordering import prefix_sums
 
 #: Return values that stand for a migrated and a frozen task.
 MIGRATED, FROZEN = -99, -98
@@ -60,6 +61,5 @@ def frozen_apps(events: DataFrame) -> DataFrame:
 def slot_accounts(events: DataFrame, hosts: DataFrame) -> DataFrame:
     """(host, seq, used, violation) after each claim (+) or release (-) of (host, seq, slots): a violation is a use
     above the host's slots or below zero."""
-    upto = Window.partitionBy("host").orderBy("seq").rowsBetween(Window.unboundedPreceding, 0)
-    rows = events.withColumn("used", F.sum("slots").over(upto).cast("long")).join(hosts.select("host", F.col("slots").alias("room")), "host")
+    rows = prefix_sums(events, ["host"], ["seq"], "slots", "earlier").withColumn("used", F.col("earlier") + F.col("slots")).join(hosts.select("host", F.col("slots").alias("room")), "host")
     return rows.select("host", "seq", "used", ((F.col("used") > F.col("room")) | (F.col("used") < 0)).alias("violation"))

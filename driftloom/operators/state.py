@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .diffmerge import islands
+from .ordering import number_rows
 
 CHUNK = 64 * 1024
 
@@ -141,9 +142,8 @@ def list_items(ops: DataFrame) -> DataFrame:
     """(key, position, value) of pushes to either end (op lpush or rpush), positions from 0."""
     at = F.when(F.col("op") == "lpush", -F.col("seq")).otherwise(F.col("seq"))
     side = F.when(F.col("op") == "lpush", 0).otherwise(1)
-    order = Window.partitionBy("key").orderBy("_side", "_at")
-    rows = ops.filter(F.col("op").isin("lpush", "rpush")).withColumns({"_at": at, "_side": side})
-    return rows.select("key", (F.row_number().over(order) - 1).cast("long").alias("position"), "value")
+    rows = ops.filter(F.col("op").isin("lpush", "rpush")).select("key", at.alias("_at"), side.alias("_side"), "value")
+    return number_rows(rows, ["key"], ["_side", "_at"], "position").select("key", "position", "value")
 
 
 def replay_queues(ops: DataFrame) -> DataFrame:

@@ -58,7 +58,7 @@ def _channel_events(spark: SparkSession, sf: str, kind: str) -> DataFrame:
 
 register("c12_match_messages", lambda s, d: c.match_messages(_channel_events(s, d, "view"), _channel_events(s, d, "click")), """
 WITH e AS (SELECT event_type, 'w' AS world, user_id % 7 AS src, user_id % 5 AS dst, floor(value)::BIGINT AS c,
-                  row_number() OVER (PARTITION BY event_type, user_id % 7, user_id % 5 ORDER BY event_id)::INT - 1 AS n FROM events),
+                  row_number() OVER (PARTITION BY event_type, user_id % 7, user_id % 5 ORDER BY event_id) - 1 AS n FROM events),
 s AS (SELECT * FROM e WHERE event_type = 'view'), r AS (SELECT * FROM e WHERE event_type = 'click')
 SELECT world, src, dst, n, s.c AS send_count, r.c AS recv_count, CASE WHEN s.c IS NOT NULL AND r.c IS NOT NULL THEN least(s.c, r.c) END AS copied,
        CASE WHEN r.c IS NULL THEN 'unreceived' WHEN s.c IS NULL THEN 'unsent' ELSE 'matched' END AS status
