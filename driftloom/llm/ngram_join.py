@@ -80,8 +80,8 @@ def embed(docs: DataFrame, width: int, sample: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, 128):
+                batch = whole.slice(lo, 128)
                 sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], width)
                 ends = limit(np.array([len(x) for x in sets]), sample)
                 samples = [x[: np.searchsorted(x, e, "right")] for x, e in zip(sets, ends)]
@@ -206,8 +206,8 @@ def exact_links(texts: DataFrame, width: int, threshold: float, block: int) -> t
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for lo in range(0, whole.num_rows, 128):
+                batch = whole.slice(lo, 128)
                 made = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], width)
                 same = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == s for x, s in zip(made, batch.column(0).to_pylist())]
                 columns = [batch.column(0), *batch.columns[2:], pa.array([x.tobytes() for x in made], pa.binary())]

@@ -77,22 +77,39 @@ def anchors(data: np.ndarray, ends: np.ndarray, lengths: np.ndarray, length: int
     return h[at], at, first, last
 
 
-def _entries(batches: Iterator[pa.RecordBatch], length: int, seed: int) -> Iterator[pa.RecordBatch]:
-    """(d, t, key, ctx, q, lo, hi) of (d, text): the anchor q in its document, window starts q + lo ... q + hi."""
+def _segments(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iterator[list[tuple]]:
+    """Lists of (d, t, offset, bytes) that hold about `size` bytes. Documents are cut so that each window of `length`
+    bytes lies whole in just one piece; where a long one is cut makes no difference to what repeats."""
+    held, n = [], 0
     for batch in pieces(batches, 64):
-        texts = [(x or "").encode() for x in batch.column(1).to_pylist()]
-        joined = b"\n".join([*texts, b""])
-        lengths = np.array([len(x) for x in texts])
+        for d, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            data = (text or "").encode()
+            t = hashlib.md5(data).digest()
+            for at in range(0, len(data) - length + 1, size):
+                part = data[at : at + size + length - 1]
+                held.append((d, t, at, part))
+                n += len(part)
+                if n >= size:
+                    yield held
+                    held, n = [], 0
+    yield held
+
+
+def _entries(batches: Iterator[pa.RecordBatch], length: int, seed: int, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
+    """(d, t, key, ctx, q, lo, hi) of (d, text): the anchor q in its document, window starts q + lo ... q + hi."""
+    for held in _segments(batches, length, size):
+        joined = b"\n".join([*(x[3] for x in held), b""])
+        lengths = np.array([len(x[3]) for x in held], dtype=np.int64)
         ends = np.cumsum(lengths + 1) - 1
         key, at, first, last = anchors(np.frombuffer(joined, dtype=np.uint8), ends, lengths, length, seed)
-        doc = np.searchsorted(ends, at)
+        part = np.searchsorted(ends, at)
         lo, hi = first - at, last - at
         ctx = [hashlib.blake2b(joined[a : b + length], digest_size=14).digest() + int(-x).to_bytes(2, "little") for a, b, x in zip(first.tolist(), last.tolist(), lo.tolist())]
-        took = pa.array(doc)
-        md5 = pa.array([hashlib.md5(x).digest() for x in texts], pa.binary())
+        took = pa.array(part)
+        offset = np.array([x[2] for x in held], dtype=np.int64)
         yield pa.RecordBatch.from_arrays([
-            batch.column(0).take(took), md5.take(took), pa.array(key.view(np.int64)), pa.array(ctx, pa.binary()),
-            pa.array((at - (ends - lengths)[doc]).astype(np.int64)), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)),
+            pa.array([x[0] for x in held], pa.string()).take(took), pa.array([x[1] for x in held], pa.binary()).take(took), pa.array(key.view(np.int64)), pa.array(ctx, pa.binary()),
+            pa.array(at - (ends - lengths)[part] + offset[part]), pa.array(lo.astype(np.int32)), pa.array(hi.astype(np.int32)),
         ], names=["d", "t", "key", "ctx", "q", "lo", "hi"])
 
 

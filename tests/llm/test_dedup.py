@@ -172,6 +172,18 @@ def test_long_repeats_of_documents(documents, rows, empty):
     assert suffix_dedup.remove_repeats(empty, batches=1).count() == 0
 
 
+def test_cut_documents_repeat_alike():
+    """The windows that entries answer for are all windows, once each, wherever a long document is cut."""
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    text = "".join(rng.choice("abcd ") for _ in range(5000))
+    for size in (1 << 18, 700):
+        out = pa.Table.from_batches(suffix_dedup._entries(iter([pa.RecordBatch.from_arrays([pa.array(["x", "y"]), pa.array([text, None])], names=["d", "text"])]), 400, 32, size)).to_pylist()
+        starts = sorted(s for r in out for s in range(r["q"] + r["lo"], r["q"] + r["hi"] + 1))
+        assert starts == list(range(len(text) - 399))
+
+
 def test_index_levels_merge_geometrically(spark):
     family = suffix_dedup.IndexFamily(40, 8)
     for k in range(7):
