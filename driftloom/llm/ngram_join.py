@@ -6,7 +6,8 @@ tokens whose hash with the path is below branch / |sample|, and so do all sets t
 their other tokens. Buckets of up to `leaf` sets are compared by brute force; larger ones split again on
 further shared tokens. A large bucket that does not thin out because its sets really are alike, or that is as
 deep as `depth`, is compared in blocks of pairs of sub-buckets, so no task gets an unbounded bucket and no
-pair is left out. Runs repeat until a pair at the threshold is missed with less than 1 - recall.
+pair is left out. Runs repeat until a pair at the threshold is missed with less than 1 - recall even if all its
+shared tokens are in large buckets, that is if it must survive every split down to `depth`.
 
 Comparisons in buckets use the samples and only gather sets into coarse groups; the whole n-gram sets then
 decide inside each group, in blocks, which pairs are linked, how many links each set has, and what the
@@ -171,19 +172,44 @@ def dense(probes: DataFrame, sample: int, near: float, share: float = 0.1) -> Da
     return rows.mapInArrow(run, "path long")
 
 
+def repetitions(recall: float, threshold: float, per_run: float, sample: int, branch: float, depth: int) -> tuple[int, int]:
+    """(runs, splits): with that many runs a pair at the threshold is missed with at most 1 - recall even if all its
+    buckets are split down to `depth`, each root bucket as many times as `splits` says.
+
+    Each node of a run's tree passes the pair on to a Poisson number of children. The pair's shared tokens in the
+    samples are the same in all runs; their number is Poisson, too."""
+    mean = sample * threshold
+    shared = np.arange(int(mean + 12 * math.sqrt(mean) + 12))
+    weight = np.exp(shared * math.log(mean) - mean - np.array([math.lgamma(x + 1) for x in shared]))
+    lost = np.zeros(len(shared))
+    for _ in range(depth - 2):
+        lost = np.exp(-branch * shared / sample * (1 - lost))
+
+    def missed(runs: int, root_lost: np.ndarray) -> float:
+        return float((weight * np.exp(-runs * per_run * shared / sample * (1 - root_lost))).sum())
+
+    runs = splits = 1
+    while missed(runs, np.zeros(len(shared))) > (1 - recall) / 2:
+        runs += 1
+    while depth > 1 and missed(runs, np.exp(-splits * branch * shared / sample * (1 - lost))) > 1 - recall:
+        splits += 1
+    return runs, splits
+
+
 def coarse_links(sets: DataFrame, threshold: float, recall: float, sample: int, leaf: int, branch: float, depth: int, near: float) -> DataFrame:
     """Spanning links among sets that are near by their samples, found by chosen paths."""
     spark = sets.sparkSession
     per_run = 4.0
-    runs = math.ceil(-math.log(1 - recall) / (per_run * threshold))
+    runs, splits = repetitions(recall, threshold, per_run, sample, branch, depth)
     roots = F.explode(F.array(*[F.lit(int(mix(np.array([r + 1], dtype=U)).view(np.int64)[0])) for r in range(runs)]))
     nodes = cut(choose(sets.withColumn("path", roots), sample, per_run), "paths")
     found = spark.createDataFrame([], "a binary, b binary")
     for level in range(1, depth + 1):
         stats = nodes.groupBy("path").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("s")).alias("x")).filter("c > 1")
-        # Of buckets with the same members one is enough.
-        stats = cut(stats.groupBy("c", "x").agg(F.min("path").alias("path")).select("path", "c"), "buckets")
-        held = cut(nodes.join(stats, "path"), "held").join(sets, "s")
+        # Of buckets with the same members one is enough to compare, but each is split: their trees are repetitions.
+        every = cut(stats, "all-buckets")
+        stats = cut(every.groupBy("c", "x").agg(F.min("path").alias("path")).select("path", "c", "x"), "buckets")
+        held = cut(nodes.join(stats.drop("x"), "path"), "held").join(sets, "s")
         large = held.filter(F.col("c") > leaf)
         ready = held.filter(F.col("c") <= leaf)
         if stats.filter(F.col("c") > leaf).isEmpty():
@@ -192,7 +218,9 @@ def coarse_links(sets: DataFrame, threshold: float, recall: float, sample: int,
             probes = large.filter(F.pmod(F.xxhash64("s", "path"), F.lit(1 << 30)) * F.col("c") < F.lit(24 << 30))
             stay = cut(dense(probes, sample, near), "dense")
             ready = ready.union(large.join(stay, "path", "left_semi").select(ready.columns))
-            nodes = cut(choose(large.join(stay, "path", "left_anti"), sample, branch), "paths")
+            parted = cut(stats.filter(F.col("c") > leaf).join(stay, "path", "left_anti").select("c", "x"), "parted")
+            split = cut(nodes.join(every.join(parted, ["c", "x"], "left_semi").select("path"), "path"), "split").join(sets, "s")
+            nodes = cut(choose(split, sample, branch * splits if level == 1 else branch), "paths")
         else:
             ready = held
         found = found.union(cut(compare(in_blocks(ready, "path", "c", leaf), "path", sample, near), "near"))

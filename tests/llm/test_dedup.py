@@ -100,6 +100,29 @@ def test_recall_at_the_threshold(spark):
     assert ngram_join.jaccard_join(df).filter("n_links = 1 and class_id % 2 = 0").count() == 600
 
 
+def test_recall_of_pairs_in_hot_buckets(spark):
+    """300 pairs of Jaccard 0.82 among texts that all share one passage (Jaccard 0.48), so that most buckets of a pair
+    are larger than a leaf and must be split: none may be missed."""
+    passage, rows = " ".join(f"b{i}" for i in range(195)), []
+    for k in range(300):
+        both = " ".join(f"p{k}_{i}" for i in range(75))
+        rows += [(2 * k + j, f"{passage} {both} " + " ".join(f"o{k}_{j}_{i}" for i in range(30))) for j in (0, 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert ngram_join.jaccard_join(df, leaf=32).filter("n_links = 1 and class_id % 2 = 0").count() == 600
+
+
+def test_repetitions_cover_every_split():
+    """The numbers of runs and splits against simulated trees: pairs at the threshold must survive every split."""
+    rng = np.random.default_rng(2)
+    runs, splits = ngram_join.repetitions(0.99, 0.8, 4.0, 64, 2.0, 6)
+    shared = rng.poisson(51.2, 200_000)
+    alive = rng.poisson(runs * 4.0 * shared / 64)
+    for level in range(5):
+        alive = rng.poisson(alive * 2.0 * (1 if level else splits) * shared / 64)
+    assert (alive == 0).mean() <= 0.0105
+    assert ngram_join.repetitions(0.9999, 0.8, 4.0, 64, 2.0, 1)[1] == 1
+
+
 def test_components_of_a_chain_and_a_star(spark):
     chain = [(i, i + 1) for i in range(0, 40)] + [(100, k) for k in range(101, 140)]
     got = {r.v: r.component for r in components(spark.createDataFrame(chain, "a long, b long")).collect()}
