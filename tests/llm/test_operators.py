@@ -127,6 +127,20 @@ def test_ranks_encode_as_the_tokenizer(text):
         assert packing.encoder().encode_ordinary(x) == t.encode(x, add_special_tokens=False).ids
 
 
+def test_special_strings_are_special_tokens(spark):
+    import public_tokenizers as public
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public.path("byte_bpe_50k.json"))
+    texts = ["a <|endoftext|> b", "<|endoftext|>", "<|endoftext|><|endoftext|>x", " <|endoftext|>\n\n  y", "<|endoftext", "<|im_end|> é<|endoftext|>é"]
+    pieces = packing.pack(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).orderBy("doc_id", "start").collect()
+    got = defaultdict(list)
+    for p in pieces:
+        got[p.doc_id] += memoryview(bytes(p.ids)).cast("I").tolist()
+        assert p.doc_tokens == len(t.encode(texts[p.doc_id], add_special_tokens=False).ids) + 1
+    assert all(got[i] == t.encode(x, add_special_tokens=False).ids + [0] for i, x in enumerate(texts)) and 50256 in got[0]
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(1, 64), max_size=60))
 def test_balance_fills_every_sequence(lengths):
