@@ -4,8 +4,9 @@ The mix is a schedule of equal-token blocks. Slot i of the schedule has the gold
 frac(i * phi), here the exact integer (i * 2654435769) mod 2**32; the source whose interval of cumulative
 targets holds the point gets the slot, and the k-th slot of a source takes the k-th block of its stream: its
 documents in shuffled (hashed) order, as often repeated as `max_repeat` allows. Any run of slots holds each
-source near its share, and the whole mix holds its target but for a few blocks. The number of slots is a
-parameter, so the schedule stays the same small table while blocks grow with the corpus.
+source near its share, and the whole mix holds its target but for a few blocks. Blocks grow with the corpus up to a
+largest size, from which on the number of slots grows. A source of few blocks is not left to the points: it has as
+many blocks as its target needs, the last one cut to it, beside the others' in evenly spaced slots.
 """
 
 from __future__ import annotations
@@ -22,6 +23,8 @@ from .common import cut, n_words, running_start, table
 GOLDEN = 2654435769
 RING = 1 << 32
 CELL_BITS, CHUNK_BITS, BUCKET_BITS = 20, 12, 20
+#: Sources of fewer blocks are scheduled exactly; for others the points are off by a few blocks.
+FEW = 256
 
 
 def targets(sources: DataFrame, weights: tuple[float, ...], share: float, max_repeat: float) -> DataFrame:
@@ -46,35 +49,43 @@ def targets(sources: DataFrame, weights: tuple[float, ...], share: float, max_re
     return df.withColumn("target", F.when(F.col("capped"), F.col("cap")).otherwise(F.col("weight") * F.col("level"))).select("source", "source_size", "rank", "weight", "target")
 
 
-def in_blocks(goals: DataFrame, slots: int) -> DataFrame:
-    """Adds to the targets: goal (the target in whole tokens), upto (running sum), total and block_tokens."""
+def in_blocks(goals: DataFrame, slots: int, largest: int) -> DataFrame:
+    """Adds to the targets: goal (the target in whole tokens), upto (running sum), total, block_tokens (at most
+    `largest`) and few (whether the source has less than FEW blocks)."""
     by_rank = Window.orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     goals = goals.withColumn("goal", F.round("target").cast("long"))
     goals = goals.withColumns({"upto": F.sum("goal").over(by_rank), "total": F.sum("goal").over(Window.partitionBy(F.lit(1)))})
-    return goals.withColumn("block_tokens", F.greatest(F.ceil(F.col("total") / F.lit(slots)).cast("long"), F.lit(1).cast("long")))
+    goals = goals.withColumn("block_tokens", F.least(F.greatest(F.ceil(F.col("total") / F.lit(slots)).cast("long"), F.lit(1).cast("long")), F.lit(largest).cast("long")))
+    return goals.withColumn("few", F.col("goal") < FEW * F.col("block_tokens"))
 
 
-def schedule(goals: DataFrame, slots: int) -> DataFrame:
+def schedule(goals: DataFrame) -> DataFrame:
     """(slot, rank, block): which block of which source's stream each slot takes. goals: as from in_blocks."""
     spark = goals.sparkSession
+    slots = goals.agg(F.ceil(F.max(F.col("total") / F.col("block_tokens"))).cast("long")).first()[0] or 0
     point = lambda c: F.floor(c / F.col("total") * F.lit(float(RING))).cast("long")
     goals = goals.filter("goal > 0").withColumns({"lo": point(F.col("upto") - F.col("goal")), "hi": point(F.col("upto"))})
-    cells = goals.filter("lo < hi").select(
+    cells = goals.filter("lo < hi and not few").select(
         "rank", "lo", "hi", F.ceil(F.col("total") / F.col("block_tokens")).alias("n_slots"),
         F.explode(F.sequence(F.shiftright("lo", CELL_BITS), F.shiftright(F.col("hi") - 1, CELL_BITS))).alias("cell"),
     )
     points = spark.range(slots).select(F.col("id").alias("slot"), ((F.col("id") * F.lit(GOLDEN)) % F.lit(RING)).alias("u"))
     points = points.withColumn("cell", F.shiftright("u", CELL_BITS))
     dealt = points.join(cells, "cell").filter("u >= lo and u < hi and slot < n_slots").select("slot", "rank", F.shiftright("slot", CHUNK_BITS).alias("chunk"))
-    return running_start(dealt.withColumn("one", F.lit(1).cast("long")), ["rank"], "chunk", ["slot"], "one", "block").select("slot", "rank", "block")
+    dealt = running_start(dealt.withColumn("one", F.lit(1).cast("long")), ["rank"], "chunk", ["slot"], "one", "block").select("slot", "rank", "block")
+    own = goals.filter("few").withColumn("n", F.ceil(F.col("goal") / F.col("block_tokens")).cast("long"))
+    own = own.withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n") - 1)))
+    phase = (F.col("rank") * F.lit(GOLDEN)) % F.lit(RING) / F.lit(float(RING))
+    slot = F.least(F.floor((F.col("block") + phase) / F.col("n") * F.lit(float(slots))).cast("long"), F.lit(slots - 1).cast("long"))
+    return dealt.union(own.select(slot.alias("slot"), "rank", "block"))
 
 
-def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeat: float = 2.0, slots: int = 1 << 18, seed: int = 0,
+def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeat: float = 2.0, slots: int = 1 << 18, seed: int = 0, largest: int = 1024,
         id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> tuple[DataFrame, DataFrame]:
     """Two DataFrames: (documents, slices).
 
     documents: doc_id, source, size (words), start (of the document in its source's shuffled stream), and the
-    source's rank, source_size, target and b (tokens of a block). slices: (slot, rank, doc_id, start, epoch, first, length): slot takes
+    source's rank, source_size, target, b (tokens of a block) and most (the goal of a source of few blocks). slices: (slot, rank, doc_id, start, epoch, first, length): slot takes
     `length` words of the document from its word `first` on. Null text has size 0 and takes no part; a null
     source is a source. Rows that repeat an id count apart. No document is taken more than max_repeat times.
     """
@@ -83,17 +94,18 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeat: floa
         F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), n_words(F.col(text_col)).alias("size"),
         F.conv(F.substring(key, 1, 8), 16, 10).cast("long").alias("order"),
     ).withColumn("bucket", F.shiftright("order", BUCKET_BITS)), "mix-sizes")
-    goals = cut(in_blocks(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), tuple(weights), share, max_repeat), slots), "mix-goals", small=True)
+    goals = cut(in_blocks(targets(sized.groupBy("source").agg(F.sum("size").alias("source_size")), tuple(weights), share, max_repeat), slots, largest), "mix-goals", small=True)
     placed = running_start(sized, ["source"], "bucket", ["order", "doc_id", "size"], "size", "start")
     documents = cut(placed.join(goals.withColumnRenamed("source", "_source"), F.col("source").eqNullSafe(F.col("_source"))).select(
-        "doc_id", "source", "size", "start", "rank", "source_size", "target", F.col("block_tokens").alias("b")), "mix-places")
-    dealt = cut(schedule(goals, slots), "mix-schedule")
+        "doc_id", "source", "size", "start", "rank", "source_size", "target", F.col("block_tokens").alias("b"),
+        F.when(F.col("few"), F.col("goal")).alias("most")), "mix-places")
+    dealt = cut(schedule(goals), "mix-schedule")
     stream = documents.filter("size > 0").select(
-        "rank", "doc_id", "start", "size", "b", "source_size",
+        "rank", "doc_id", "start", "size", "b", "most", "source_size",
         F.explode(F.sequence(F.lit(0).cast("long"), F.lit(math.ceil(max_repeat) - 1).cast("long"))).alias("epoch"),
     ).withColumn("at", F.col("epoch") * F.col("source_size") + F.col("start"))
     pieces = stream.withColumn("block", F.explode(F.sequence(F.expr("at div b"), F.expr("(at + size - 1) div b"))))
-    end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("b"), F.floor(F.col("source_size") * F.lit(float(max_repeat))).cast("long"))
+    end = F.least(F.col("at") + F.col("size"), (F.col("block") + 1) * F.col("b"), F.floor(F.col("source_size") * F.lit(float(max_repeat))).cast("long"), F.col("most"))
     pieces = pieces.withColumn("lo", F.greatest(F.col("at"), F.col("block") * F.col("b"))).withColumn("length", end - F.col("lo")).filter("length > 0")
     slices = pieces.join(dealt, ["rank", "block"]).select(
         "slot", "rank", "doc_id", "start", "epoch", (F.col("lo") - F.col("at")).alias("first"), "length")

@@ -56,6 +56,21 @@ def test_mix_meets_its_targets(documents, rows):
     assert slices.filter("first < 0 or length <= 0").isEmpty()
 
 
+def test_mix_keeps_small_sources(spark):
+    """Sources below and of a few blocks meet their targets, and so do all when blocks reach their largest size."""
+    sizes = {"big": 40_000, "large": 20_000, "tiny": 1, "short": 37, "few": 400, "some": 3000}
+    rows = [(len(s) * 1000 + i, "w " * min(50, n - i * 50), s) for s, n in sizes.items() for i in range(-(-n // 50))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    targets = water_fill(sizes, (5, 2, 1), 1.5, 2.0)
+    for options in ({"slots": 64}, {"slots": 64, "largest": 20}):
+        docs, slices = mixing.mix(df, **options)
+        name = {r["rank"]: r.source for r in docs.select("rank", "source").distinct().collect()}
+        taken = {name[r["rank"]]: r.n for r in slices.groupBy("rank").agg(F.sum("length").alias("n")).collect()}
+        assert all(abs(taken.get(s, 0) - targets[s]) <= 1 + 0.02 * targets[s] for s in sizes), (taken, targets)
+    assert docs.first().b == 20
+    assert {r.source for r in mixing.mixed_documents(df, slots=64).select("source").distinct().collect()} == set(sizes)
+
+
 def test_mix_prefixes_are_balanced(documents):
     docs, slices = mixing.mix(documents)
     goal = {r["rank"]: r.target for r in docs.select("rank", "target").distinct().collect()}
