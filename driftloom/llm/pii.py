@@ -3,8 +3,9 @@
 The base patterns give spans that always stay. The field then labels the tokens of a document that hold a
 digit, an @ or a +: neighbouring ones share chain potentials, and tokens that are equal or similar (the same
 letters and digits, the same digits, the same part before the @) share skip potentials however far apart they
-are. Each token links to the last earlier one of its kind of likeness, so links grow with the tokens, not
-with their pairs. Loopy sum-product passes carry labels along both, so what is personal data in one place
+are. The tokens of a kind of likeness link to hubs, the first one that the base patterns know of each label or
+else the first one, so any two are at most two links apart and links grow with the tokens, not with their pairs.
+Loopy sum-product passes carry labels along both until they settle, so what is personal data in one place
 becomes so in the others. Token, chain and skip weights are fitted on a bounded sample of the corpus.
 """
 
@@ -133,18 +134,23 @@ def features(text: str, spans: list[tuple[int, int]]) -> np.ndarray:
     return rows
 
 
-def skip_links(text: str, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
-    """(earlier token, token) for tokens of at least 6 letters and digits that are equal or similar."""
-    last: dict[str, int] = {}
-    links = set()
+def skip_links(text: str, spans: list[tuple[int, int]], known: np.ndarray) -> list[tuple[int, int]]:
+    """(earlier token, token) between the tokens of at least 6 letters and digits that are equal or similar and the
+    hubs of their kind: the first token of each label under the base spans (`known`), the first token if none has one."""
+    alike: dict[str, list[int]] = {}
     for i, (a, b) in enumerate(spans):
         w = text[a:b].lower()
         bare = "".join(filter(str.isalnum, w))
         digits = "".join(filter(str.isdigit, w))
         for key in {f"w{bare}" if len(bare) >= 6 else "", f"d{digits}" if len(digits) >= 6 else "", f"u{w.partition('@')[0]}" if "@" in w or len(bare) >= 6 else ""} - {""}:
-            if key in last:
-                links.add((last[key], i))
-            last[key] = i
+            alike.setdefault(key, []).append(i)
+    links = set()
+    for own in alike.values():
+        first: dict[int, int] = {}
+        for i in own:
+            first.setdefault(int(known[i]), i)
+        for hub in [i for label, i in first.items() if label] or own[:1]:
+            links.update((min(i, hub), max(i, hub)) for i in own if i != hub)
     return sorted(links)
 
 
@@ -186,7 +192,7 @@ def fit_texts(texts: list[str], steps: int = 300) -> Field:
             labels = observed(spans, base_spans(text))
             xs.append(features(text, spans))
             ys.append(labels)
-            for name, links in (("chain", chain_links(spans)), ("skip", skip_links(text, spans))):
+            for name, links in (("chain", chain_links(spans)), ("skip", skip_links(text, spans, labels))):
                 for i, j in links:
                     pairs[name][labels[i], labels[j]] += 1
     model = Field()
@@ -205,8 +211,9 @@ def fit_texts(texts: list[str], steps: int = 300) -> Field:
     return model
 
 
-def beliefs(unary: np.ndarray, links: np.ndarray, potentials: np.ndarray, rounds: int = 6) -> np.ndarray:
-    """Label log probabilities of each token after `rounds` of damped loopy sum-product passing.
+def beliefs(unary: np.ndarray, links: np.ndarray, potentials: np.ndarray, rounds: int = 6, still: float = 1e-3, most: int = 200) -> np.ndarray:
+    """Label log probabilities of each token after damped loopy sum-product passing: `rounds` at least, then until no
+    message moves by more than `still`. Loops that never settle end after `most`.
 
     links: (m, 2) token numbers; potentials: (m, N, N) by label of the first and second token."""
     if not len(links):
@@ -215,13 +222,16 @@ def beliefs(unary: np.ndarray, links: np.ndarray, potentials: np.ndarray, rounds
     pot = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
     back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
     messages = np.zeros((len(src), N))
-    for _ in range(rounds):
+    for done in range(1, most + 1):
         total = unary.copy()
         np.add.at(total, dst, messages)
         out = (total[src] - messages[back])[:, :, None] + pot
         top = out.max(1)
         out = _log_softmax(top + np.log(np.exp(out - top[:, None, :]).sum(1)))
+        moved = np.abs(out - messages).max()
         messages = 0.5 * messages + 0.5 * out
+        if done >= rounds and moved <= still:
+            break
     total = unary.copy()
     np.add.at(total, dst, messages)
     return _log_softmax(total)
@@ -242,7 +252,7 @@ def find(texts: list[str], model: Field, sure: float = 0.95) -> list[list[tuple[
             u[known > 0] = -20.0
             u[known > 0, known[known > 0]] = 20.0
             unary.append(_log_softmax(u))
-            for pot, pairs in ((model.chain, chain_links(own)), (model.skip, skip_links(text, own))):
+            for pot, pairs in ((model.chain, chain_links(own)), (model.skip, skip_links(text, own, known))):
                 links += [(i + first[-1], j + first[-1]) for i, j in pairs]
                 pots += [pot] * len(pairs)
         first.append(first[-1] + len(own))

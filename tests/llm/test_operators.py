@@ -6,6 +6,7 @@ import re
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -257,6 +258,37 @@ def test_known_tokens_carry_over(field):
     assert added == ["jane.doe77@mail"] and found[1] == [] and found[2] == []
 
 
+def test_known_tokens_carry_over_to_all_repeats(field):
+    """Dozens of mentions in another form, with the base form first, in the middle or last."""
+    full, bare = "jane.doe77@mail.example.com", "jane.doe77@mail"
+    for place in (0, 20, 40):
+        text = (" and some words between. ").join([bare] * place + [full] + [bare] * (40 - place))
+        found = pii.find([text], field)[0]
+        assert [text[a:b] for _, a, b, base in found if not base] == [bare] * 40
+    known = np.zeros(41, dtype=np.int64)
+    known[20] = 1
+    text = " x ".join([bare] * 41)
+    for labels, hub in ((known, 20), (np.zeros(41, dtype=np.int64), 0)):
+        links = pii.skip_links(text, pii.tokens(text), labels)
+        assert len(links) == 40 and all(hub in link for link in links)
+
+
+def test_messages_pass_on_until_they_settle():
+    """On a chain of 60 tokens beliefs are those of exact forward and backward sums."""
+    rng = np.random.default_rng(3)
+    unary, pot = rng.normal(size=(60, pii.N)), 4.0 * np.eye(pii.N)
+    unary[0] = [-20, 20, -20, -20, -20]
+    links = np.array([(i, i + 1) for i in range(59)])
+    ahead, back = [unary[0]], [np.zeros(pii.N)]
+    for i in range(1, 60):
+        ahead.append(unary[i] + np.logaddexp.reduce(ahead[-1][:, None] + pot, axis=0))
+        back.append(np.logaddexp.reduce((back[-1] + unary[60 - i])[None, :] + pot, axis=1))
+    exact = np.array(ahead) + np.array(back[::-1])
+    exact -= np.logaddexp.reduce(exact, axis=1)[:, None]
+    got = pii.beliefs(unary, links, np.array([pot] * 59))
+    assert np.abs(np.exp(got) - np.exp(exact)).max() < 0.01
+
+
 def test_personal_data_table(documents, empty, spark, field):
     df = spark.createDataFrame([(1, "é 😀 mail a.b@c.de"), (None, None), (3, ""), (3, "")], "doc_id long, text string")
     got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in pii.personal_data(df, field).collect()}
