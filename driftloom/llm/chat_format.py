@@ -85,7 +85,8 @@ def _turns(layout: dict, field) -> Column:
 
 
 def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
-    """(conv_id, turn, role, text) of a table whose schema has a known layout."""
+    """(conv_id, turn, role, text) of a table whose schema has a known layout, and (conv_id, null, null, null) for a row
+    whose list of turns is null or empty."""
     layout = LAYOUTS[layout_of(df.schema)]
     if "rows" in layout:
         conv, turn, role, text = layout["rows"]
@@ -97,7 +98,7 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
             return F.coalesce(F.col(name), F.lit(""))
         return F.transform(F.col(name), lambda x: F.struct(x[role].alias("role"), x[text].alias("text")))
 
-    return df.select(F.col(id_col).cast("long").alias("conv_id"), F.inline(_turns(layout, field).cast(TURNS)))
+    return df.select(F.col(id_col).cast("long").alias("conv_id"), F.inline_outer(_turns(layout, field).cast(TURNS)))
 
 
 def canonical_records(df: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
@@ -108,11 +109,18 @@ def canonical_records(df: DataFrame, id_col: str = "conv_id", record_col: str =
     def text(path: str) -> Column:
         return F.try_variant_get(v, path, "string")
 
-    def has(path: str) -> Column:
+    def filled(path: str) -> Column:
         return text("$." + path.replace("[].", "[0].")).isNotNull()
 
-    # The largest known set of paths that the record holds.
-    whole = [F.when(reduce(lambda a, b: a & b, [has(p) for p in x["paths"]]), F.lit("|".join(sorted(x["paths"])))) for x in BY_SIZE if "rows" not in x]
+    def has(path: str) -> Column:
+        name, _, key = path.partition("[].")
+        if key:
+            return F.exists(F.try_variant_get(v, f"$.{name}", "array<map<string,variant>>"), lambda x: F.map_contains_key(x, key))
+        return F.map_contains_key(F.try_variant_get(v, "$", "map<string,variant>"), name)
+
+    # The largest known set of paths that the record holds, be they null; of sets of one size one without nulls.
+    order = sorted(((x, test) for x in BY_SIZE if "rows" not in x for test in (filled, has)), key=lambda y: (-len(y[0]["paths"]), y[1] is has))
+    whole = [F.when(reduce(lambda a, b: a & b, [test(p) for p in x["paths"]]), F.lit("|".join(sorted(x["paths"])))) for x, test in order]
     held = F.coalesce(*whole, F.lit(""))
     df = df.select(F.col(id_col).cast("long").alias("conv_id"), F.col(record_col).alias("_record"), F.sha2(held, 256).alias("_fingerprint"))
     v = F.try_parse_json(F.col("_record"))

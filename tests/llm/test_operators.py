@@ -220,6 +220,21 @@ def test_layouts(spark):
         chat_format.layout_of(spark.createDataFrame([(1,)], "x int").schema)
 
 
+def test_layouts_with_nulls(spark):
+    records = [
+        {"messages": [{"role": "system", "content": None}, {"role": "user", "content": "q"}]}, {"prompt": "x", "response": None},
+        {"prompt": "q", "response": None, "completion": "a"}, {"conversations": [{"from": "human"}, {"from": "gpt", "value": "a"}]}, {"messages": []}, 7,
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = defaultdict(list)
+    for r in chat_format.canonical_records(df).orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.role, r.text))
+    assert got == {0: [("system", ""), ("user", "q")], 1: [("user", "x"), ("assistant", "")], 2: [("user", "q"), ("assistant", "a")],
+                   3: [("user", ""), ("assistant", "a")], 4: [(None, None)], 5: [(None, None)]}
+    lists = spark.createDataFrame([(1, None), (2, []), (3, [("user", "q")])], "conv_id long, messages array<struct<role:string,content:string>>")
+    assert Counter(map(tuple, chat_format.canonical_turns(lists).collect())) == Counter([(1, None, None, None), (2, None, None, None), (3, 0, "user", "q")])
+
+
 # -- personal data -------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
