@@ -3,10 +3,11 @@
 Every set is embedded once as a coordinated sample: its n-grams whose hash is below sample / |set|, so two sets
 keep the same of their shared n-grams. A run is a tree of chosen paths: a set goes into the buckets of its
 tokens whose hash with the path is below branch / |sample|, and so do all sets that share those tokens, whatever
-their other tokens. Buckets of up to `leaf` sets are compared by brute force; larger ones split again on
-further shared tokens. A large bucket that does not thin out because its sets really are alike, or that is as
-deep as `depth`, is compared in blocks of pairs of sub-buckets, so no task gets an unbounded bucket and no
-pair is left out. Runs repeat until a pair at the threshold is missed with less than 1 - recall even if all its
+their other tokens. Buckets of up to `leaf` sets are compared by brute force. Sets whose paths end in enough of
+them to meet every similar set there are done; the others, of which there are few, go on with their large buckets:
+these split again on further shared tokens. A large bucket that does not thin out because its sets really are alike,
+or that is as deep as `depth`, is compared in blocks of pairs of sub-buckets, so no task gets an unbounded bucket and
+no pair is left out. Runs repeat until a pair at the threshold is missed with less than 1 - recall even if all its
 shared tokens are in large buckets, that is if it must survive every split down to `depth`.
 
 Comparisons in buckets use the samples and only gather sets into coarse groups; the whole n-gram sets then
@@ -22,7 +23,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, pieces, table
@@ -77,21 +78,21 @@ def forest(names: list[bytes], found: Iterator[tuple[int, np.ndarray]]) -> Itera
 
 
 def embed(docs: DataFrame, width: int, sample: int) -> DataFrame:
-    """(id, s, size, sample): s is a 128-bit signature of the n-gram set, null for a text without words."""
+    """(id, t, s, size, sample) of (id, t, text): s is a 128-bit signature of the n-gram set, null for a text without words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 128):
                 batch = whole.slice(lo, 128)
-                sets = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], width)
+                sets = shingle_sets([(t or "").encode() for t in batch.column(2).to_pylist()], width)
                 ends = limit(np.array([len(x) for x in sets]), sample)
                 samples = [x[: np.searchsorted(x, e, "right")] for x, e in zip(sets, ends)]
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
+                    batch.column(0), batch.column(1), pa.array([hashlib.blake2b(x.tobytes(), digest_size=16).digest() if len(x) else None for x in sets], pa.binary()),
                     pa.array([len(x) for x in sets], pa.int32()), pa.array([x.tobytes() for x in samples], pa.binary()),
-                ], names=["id", "s", "size", "sample"])
+                ], names=["id", "t", "s", "size", "sample"])
 
-    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, s binary, size int, sample binary")
+    return docs.mapInArrow(run, f"id {docs.schema['id'].dataType.simpleString()}, t long, s binary, size int, sample binary")
 
 
 def choose(nodes: DataFrame, sample: int, branch: float) -> DataFrame:
@@ -125,11 +126,11 @@ def groups(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[list[tuple]
         yield run
 
 
-def in_blocks(df: DataFrame, key: str, count: str, block: int) -> DataFrame:
-    """Deals the rows of each key into ceil(count / block) sub-buckets and gives each row once for every pair of
-    sub-buckets that it takes part in: (key, i, j, side). Keys of up to `block` rows have the one pair (0, 0)."""
-    n = F.ceil(F.col(count) / F.lit(block)).cast("int")
-    own = df.withColumns({"_n": n, "_own": F.pmod(F.xxhash64("s", key), n).cast("int")})
+def in_blocks(df: DataFrame, key: str, n: Column) -> DataFrame:
+    """Deals the rows of each key into n sub-buckets and gives each row once for every pair of sub-buckets that it
+    takes part in: (key, i, j, side). Keys of one sub-bucket have the one pair (0, 0)."""
+    own = df.withColumn("_n", F.greatest(n, F.lit(1)).cast("int"))
+    own = own.withColumn("_own", F.pmod(F.xxhash64("s", key), F.col("_n")).cast("int"))
     rows = own.withColumn("_other", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)))
     return rows.withColumns({"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other"), "side": (F.col("_own") > F.col("_other")).cast("int")}).drop("_n", "_own", "_other")
 
@@ -196,41 +197,75 @@ def repetitions(recall: float, threshold: float, per_run: float, sample: int, br
     return runs, splits
 
 
-def coarse_links(sets: DataFrame, threshold: float, recall: float, sample: int, leaf: int, branch: float, depth: int, near: float) -> DataFrame:
-    """Spanning links among sets that are near by their samples, found by chosen paths."""
-    spark = sets.sparkSession
+def buckets(nodes: DataFrame) -> DataFrame:
+    """(path, c, x): the buckets of at least two sets, their size and a hash of their members."""
+    return nodes.groupBy("path").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("s")).alias("x")).filter("c > 1")
+
+
+def once(found: DataFrame) -> DataFrame:
+    """(path, c) of the buckets, one of those with the same members."""
+    return found.groupBy("c", "x").agg(F.min("path").alias("path")).select("path", "c")
+
+
+def unsettled(nodes: DataFrame, hot: DataFrame, threshold: float, recall: float) -> DataFrame:
+    """(s) of the sets whose paths outside of large buckets are too few to meet every similar set there.
+
+    A set at the threshold lacks at most a share 1 - threshold of this one's k paths. Should all that it lacks be
+    among the q paths outside of large buckets, each of these is lacked with probability (1 - threshold) * k / q, all of
+    them with that to the power q. hot: the nodes in large buckets."""
+    k = nodes.groupBy("s").agg(F.count("*").alias("k"))
+    h = hot.groupBy("s").agg(F.count("*").alias("h"))
+    both = h.join(k, "s").select("s", (F.col("k") - F.col("h")).alias("q"), (F.col("k") * max(1 - threshold, 1e-9)).alias("u"))
+    settled = (F.col("q") > F.col("u")) & (F.col("q") * F.log(F.col("u") / F.col("q")) <= math.log(1 - recall))
+    return both.filter(~settled).select("s")
+
+
+def coarse_links(sets: DataFrame, threshold: float, recall: float, sample: int, leaf: int, branch: float, depth: int, near: float, blocks: int = 8) -> DataFrame:
+    """Spanning links among sets that are near by their samples, found by chosen paths.
+
+    Root buckets of up to `leaf` sets are compared. Only the sets that these leave unsettled go on with their large
+    buckets; where such a bucket now has up to `blocks` times `leaf` sets it is compared in blocks, which costs less than
+    to split it, larger ones are split."""
     per_run = 4.0
     runs, splits = repetitions(recall, threshold, per_run, sample, branch, depth)
     roots = F.explode(F.array(*[F.lit(int(mix(np.array([r + 1], dtype=U)).view(np.int64)[0])) for r in range(runs)]))
     nodes = cut(choose(sets.withColumn("path", roots), sample, per_run), "paths")
-    found = spark.createDataFrame([], "a binary, b binary")
+    sub = F.ceil(F.col("c") / F.lit(leaf))
+    every = cut(buckets(nodes), "buckets")
+    ready = nodes.join(once(every.filter(F.col("c") <= leaf)), "path").join(sets, "s")
+    found = cut(compare(in_blocks(ready, "path", sub), "path", sample, near), "near")
+    large = every.filter(F.col("c") > leaf)
+    if large.isEmpty():
+        return found
+    hot = cut(nodes.join(large.select("path"), "path", "left_semi"), "hot")
+    open_sets = cut(unsettled(nodes, hot, threshold, recall), "unsettled")
+    live = cut(sets.join(open_sets, "s", "left_semi"), "live")
+    nodes = cut(hot.join(open_sets, "s", "left_semi"), "paths")
     for level in range(1, depth + 1):
-        stats = nodes.groupBy("path").agg(F.count("*").alias("c"), F.bit_xor(F.xxhash64("s")).alias("x")).filter("c > 1")
+        every = cut(buckets(nodes), "buckets")
         # Of buckets with the same members one is enough to compare, but each is split: their trees are repetitions.
-        every = cut(stats, "all-buckets")
-        stats = cut(every.groupBy("c", "x").agg(F.min("path").alias("path")).select("path", "c", "x"), "buckets")
-        held = cut(nodes.join(stats.drop("x"), "path"), "held").join(sets, "s")
-        large = held.filter(F.col("c") > leaf)
-        ready = held.filter(F.col("c") <= leaf)
-        if stats.filter(F.col("c") > leaf).isEmpty():
-            return found.union(cut(compare(in_blocks(ready, "path", "c", leaf), "path", sample, near), "near"))
-        if level < depth:
-            probes = large.filter(F.pmod(F.xxhash64("s", "path"), F.lit(1 << 30)) * F.col("c") < F.lit(24 << 30))
+        stats = cut(once(every), "distinct-buckets")
+        whole, split = stats, None
+        if level < depth and not stats.filter(F.col("c") > blocks * leaf).isEmpty():
+            big = stats.filter(F.col("c") > blocks * leaf)
+            probes = nodes.join(big, "path").filter(F.pmod(F.xxhash64("s", "path"), F.lit(1 << 30)) * F.col("c") < F.lit(24 << 30)).join(live, "s")
             stay = cut(dense(probes, sample, near), "dense")
-            ready = ready.union(large.join(stay, "path", "left_semi").select(ready.columns))
-            parted = cut(stats.filter(F.col("c") > leaf).join(stay, "path", "left_anti").select("c", "x"), "parted")
-            split = cut(nodes.join(every.join(parted, ["c", "x"], "left_semi").select("path"), "path"), "split").join(sets, "s")
-            nodes = cut(choose(split, sample, branch * splits if level == 1 else branch), "paths")
-        else:
-            ready = held
-        found = found.union(cut(compare(in_blocks(ready, "path", "c", leaf), "path", sample, near), "near"))
+            parted = cut(every.join(big.join(stay, "path", "left_anti"), "path", "left_semi").select("c", "x"), "parted")
+            split = every.join(parted, ["c", "x"], "left_semi").select("path")
+            whole = stats.join(cut(split, "split-paths"), "path", "left_anti")
+        ready = nodes.join(whole, "path").join(live, "s")
+        found = found.union(cut(compare(in_blocks(ready, "path", sub), "path", sample, near), "near"))
+        if split is None:
+            return found
+        nodes = cut(choose(nodes.join(split, "path").join(live, "s"), sample, branch * splits if level == 1 else branch), "paths")
     return found
 
 
-def exact_links(texts: DataFrame, width: int, threshold: float, block: int) -> tuple[DataFrame, DataFrame]:
+def exact_links(texts: DataFrame, width: int, threshold: float, block: int, block_grams: int = 1 << 20) -> tuple[DataFrame, DataFrame]:
     """(links per set: s, n_links, n_text_links) and (spanning links: a, b) among the sets of each group.
 
-    texts: (s, text, copies, component, members), one row per set."""
+    texts: (s, text, copies, component, members, grams), one row per set; members and grams are the sets and n-grams of
+    its group. Sub-buckets hold about `block` sets or `block_grams` n-grams, whatever comes first."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -239,16 +274,16 @@ def exact_links(texts: DataFrame, width: int, threshold: float, block: int) -> t
                 made = shingle_sets([(t or "").encode() for t in batch.column(1).to_pylist()], width)
                 same = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() == s for x, s in zip(made, batch.column(0).to_pylist())]
                 columns = [batch.column(0), *batch.columns[2:], pa.array([x.tobytes() for x in made], pa.binary())]
-                out = pa.RecordBatch.from_arrays(columns, names=["s", "copies", "component", "members", "grams"])
+                out = pa.RecordBatch.from_arrays(columns, names=["s", "copies", "component", "n", "grams"])
                 yield out.filter(pa.array(same))
 
-    rows = texts.select("s", "text", "copies", "component", "members").mapInArrow(sets, "s binary, copies long, component binary, members long, grams binary")
-    rows = in_blocks(rows, "component", "members", block).select("component", "i", "j", "side", "s", "copies", "grams")
+    n = F.greatest(F.ceil(F.col("members") / F.lit(block)), F.ceil(F.col("grams") / F.lit(block_grams)))
+    rows = texts.select("s", "text", "copies", "component", n.cast("long").alias("n")).mapInArrow(sets, "s binary, copies long, component binary, n long, grams binary")
+    rows = in_blocks(rows, "component", F.col("n")).select("component", "i", "j", "side", "s", "copies", "grams")
     rows = rows.repartition("component", "i", "j").sortWithinPartitions("component", "i", "j", "side", "s")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in groups(batches, 3):
-            group = [r for k, r in enumerate(group) if not k or r[4] != group[k - 1][4]]  # an id may stand on several rows
             split = sum(r[3] == 0 for r in group) if group[0][1] != group[0][2] else None
             if len(group) < 2 or split in (0, len(group)):
                 continue
@@ -278,45 +313,68 @@ def exact_links(texts: DataFrame, width: int, threshold: float, block: int) -> t
     return sums, found.filter("b is not null").select("a", "b")
 
 
-def jaccard_join(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, sample: int = 64, leaf: int = 1024,
-                 branch: float = 2.0, depth: int = 6, block: int = 128, near: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col, class_id, n_links, n_text_links.
-
-    Two rows are linked if the Jaccard similarity of their sets of `width`-word runs is at least threshold.
-    class_id is the least id of the connected class, n_links the number of other rows linked to this one (copies
-    count each) and n_text_links that of other n-gram sets. A text with fewer words is one run; a text without
-    words (null, empty, blank) has no links and is a class of its own. Repeated rows are copies of each other;
-    null ids rank above all others as class ids. An empty table gives an empty result. near: similarity of
-    samples that brings sets into one coarse group (default: threshold - 0.2, four standard errors).
-    """
+def classes_of(docs: DataFrame, threshold: float = 0.8, width: int = 5, recall: float = 0.9999, sample: int = 64, leaf: int = 512,
+               branch: float = 2.0, depth: int = 6, block: int = 512, near: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per row of docs: id, t (64-bit hash of the text), s (signature of its n-gram set, null without words),
+    class (least signature of the class), class_id, n_links, n_text_links. Parameters as for jaccard_join."""
     near = threshold - 0.2 if near is None else near
-    docs = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    docs = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"), F.col(text_col).alias("text"))
     placed = cut(embed(docs, width, sample), "sets")
+    first = F.struct(F.col("id").isNull().alias("no_id"), "id", "t")
     sets = cut(placed.filter("s is not null").groupBy("s").agg(
-        F.min("id").alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("sample").alias("sample")), "distinct-sets")
+        F.min(first).alias("rep"), F.count("*").alias("copies"), F.min("size").alias("size"), F.min("sample").alias("sample")), "distinct-sets")
     groups_of = components(coarse_links(sets.select("s", "size", "sample"), threshold, recall, sample, leaf, branch, depth, near))
-    sizes = cut(groups_of.groupBy("component").agg(F.count("*").alias("members")), "group-sizes")
-    members = cut(groups_of.join(sizes, "component").join(sets.select("s", "rep", "copies"), F.col("v") == F.col("s")).select("s", "rep", "copies", "component", "members"), "members")
-    texts = docs.join(members, F.col("id").eqNullSafe(F.col("rep"))).select("s", "text", "copies", "component", "members")
+    members = cut(groups_of.join(sets.select("s", "rep", "copies", "size"), F.col("v") == F.col("s")).select("s", "rep", "copies", "size", "component"), "grouped")
+    sizes = cut(members.groupBy("component").agg(F.count("*").alias("members"), F.sum("size").alias("grams")), "group-sizes")
+    members = cut(members.join(sizes, "component").select("s", F.col("rep.id").alias("_id"), F.col("rep.t").alias("_t"), "copies", "component", "members", "grams"), "members")
+    # Repeated rows of an id and text give their text once.
+    texts = docs.join(members, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
+    texts = texts.groupBy("s", "copies", "component", "members", "grams").agg(F.min("text").alias("text"))
     sums, spanning = exact_links(texts, width, threshold, block)
-    classes = components(spanning)
-    reps = classes.join(sets.select("s", "rep"), F.col("v") == F.col("s"))
+    reps = components(spanning).join(sets.select("s", "rep"), F.col("v") == F.col("s"))
     least = cut(reps.groupBy("component").agg(F.min("rep").alias("least")), "class-ids")
-    linked = reps.join(least, "component").select("s", "least").join(sums, "s", "left")
+    linked = reps.join(least, "component").select("s", F.col("component").alias("class"), "least").join(sums, "s", "left")
     info = cut(sets.select("s", "rep", "copies").join(linked, "s", "left").select(
-        "s", F.coalesce("least", "rep").alias("class_id"),
+        "s", F.coalesce("class", "s").alias("class"), F.coalesce("least", "rep")["id"].alias("class_id"),
         (F.col("copies") - 1 + F.coalesce("n_links", F.lit(0))).alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links")), "classes")
-    return placed.select("id", "s").join(info, "s", "left").select(
-        F.col("id").alias(id_col), F.when(F.col("s").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
+    rows = placed.select("id", "t", "s").join(info, "s", "left")
+    return rows.select("id", "t", "s", "class", F.when(F.col("s").isNull(), F.col("id")).otherwise(F.col("class_id")).alias("class_id"),
+                       F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"), F.coalesce("n_text_links", F.lit(0)).cast("long").alias("n_text_links"))
+
+
+def jaccard_join(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """One row per row of docs: id_col, class_id, n_links, n_text_links.
+
+    Two rows are linked if the Jaccard similarity of their sets of `width`-word runs is at least threshold.
+    class_id is the least id of the connected class, n_links the number of other rows linked to this one (copies
+    count each) and n_text_links that of other n-gram sets. A text with fewer words is one run; a text without
+    words (null, empty, blank) has no links and is a class of its own. Repeated rows are copies of each other;
+    null ids rank above all others as class ids. An empty table gives an empty result.
+
+    Options (defaults): threshold (0.8), width (5), recall (0.9999), sample (64 n-grams a set), leaf (512 sets that are
+    compared at once), branch (2.0) and depth (6) of the splits, block (512 sets that are compared exactly at once),
+    near (threshold - 0.2, about four standard errors: similarity of samples that brings sets into one coarse group)."""
+    rows = classes_of(docs, id_col=id_col, text_col=text_col, **options)
+    return rows.select(F.col("id").alias(id_col), "class_id", "n_links", "n_text_links")
 
 
 def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs, with all their columns, whose id is the least of their near-duplicate class."""
-    classes = jaccard_join(docs, id_col=id_col, text_col=text_col, **options)
-    kept = cut(classes.filter(F.col(id_col).eqNullSafe(F.col("class_id"))).select(F.col("class_id").alias("_id")).distinct(), "class-heads")
-    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"))
-    return held.join(kept, F.col("id").eqNullSafe(F.col("_id")), "left_semi").select("doc.*")
+    """One row of each near-duplicate class, with all its columns: the one of the least id, null ids last; of rows that
+    share that id in one class the one with the least hash of its text, of rows that repeat both any one.
+
+    Rows without words (null, empty or blank text) are classes of their own and all stay. Other rows that share an id
+    belong to the classes of their texts. An empty table gives an empty result."""
+    classes = classes_of(docs, id_col=id_col, text_col=text_col, **options)
+    order = F.struct(F.col("id").isNull().alias("no_id"), "id", "t")
+    heads = classes.filter("s is not null").groupBy("class").agg(F.min(order).alias("head"))
+    heads = heads.select(F.col("head.id").alias("id"), F.col("head.t").alias("t"))
+    times = classes.filter("s is not null").groupBy("id", "t").agg(F.count("*").alias("_times"))
+    kept = heads.join(times, heads["id"].eqNullSafe(times["id"]) & (heads["t"] == times["t"])).select(heads["id"].alias("_id"), heads["t"].alias("_t"), "_times")
+    blank = classes.filter("s is null").select(F.col("id").alias("_id"), F.col("t").alias("_t"), F.lit(0).cast("long").alias("_times")).distinct()
+    held = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.xxhash64(text_col).alias("t"))
+    rows = held.join(cut(kept.union(blank), "class-heads"), F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")))
+    # Rows that repeat both id and text are rare: only they are compared once more.
+    return rows.filter("_times < 2").union(rows.filter("_times > 1").dropDuplicates(["id", "t"])).select("doc.*")
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
