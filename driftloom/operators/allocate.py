@@ -92,7 +92,7 @@ def keep_in_place(new: DataFrame, old: DataFrame) -> DataFrame:
     """A plan with the histogram of `new` in which items stay in their old bins while the bins' quotas last (in item
     order); the others fill what is left of the quotas by bin name."""
     quota = histogram(new)
-    stay = old.withColumn("_k", F.row_number().over(Window.partitionBy("pool", "bin").orderBy("item"))).join(quota, ["pool", "bin"]).filter(F.col("_k") <= F.col("n")).select("pool", "item", "bin")
+    stay = number_rows(old, ["pool", "bin"], ["item"], "_k").join(quota, ["pool", "bin"]).filter(F.col("_k") < F.col("n")).select("pool", "item", "bin")
     left = quota.join(histogram(stay).withColumnRenamed("n", "_used"), ["pool", "bin"], "left").select("pool", "bin", (F.col("n") - F.coalesce("_used", F.lit(0))).alias("free"))
     moved, _ = waterfall(_order(left, F.asc("bin")), old.join(stay.select("pool", "item"), ["pool", "item"], "left_anti").select("pool", "item"))
     return stay.unionByName(moved)

@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import running
+
 
 def batch_validity(batches: DataFrame, tasks: DataFrame) -> DataFrame:
     """(app, valid) of batches (app, user, function) with tasks (app, id, user, function, task_app): user and function
@@ -29,9 +28,10 @@ def stamp(tasks: DataFrame, mapping: DataFrame, column: str) -> DataFrame:
 def fill_fields(tasks: DataFrame, now_ms: int, natural_key: list[str]) -> DataFrame:
     """Fills missing id and app (null or 0), start_ts, result_key and status_key; values that are there stay. New
     ids come from a hash of the natural key, so reruns agree."""
-    positive = lambda *salt: (F.pmod(F.xxhash64(*salt, *natural_key), F.lit((1 << 31) - 1)) + 1).cast("long")
+    text = lambda salt: F.concat_ws(":", F.lit(salt), *[F.col(k).cast("string") for k in natural_key])
+    positive = lambda salt: (F.conv(F.substring(F.md5(text(salt)), 1, 8), 16, 10).cast("long") % ((1 << 31) - 1) + 1).cast("long")
     out = tasks.withColumns({
-        "id": F.when(F.col("id") > 0, F.col("id")).otherwise(positive(F.lit("id"))), "app": F.coalesce(F.when(F.col("app") != 0, F.col("app")), positive(F.lit("app"))),
+        "id": F.when(F.col("id") > 0, F.col("id")).otherwise(positive("id")), "app": F.coalesce(F.when(F.col("app") != 0, F.col("app")), positive("app")),
         "start_ts": F.when(F.col("start_ts") > 0, F.col("start_ts")).otherwise(F.lit(now_ms)),
     })
     return out.withColumns({"result_key": F.concat(F.lit("result_"), "id"), "status_key": F.concat(F.lit("status_"), "id")})
@@ -43,29 +43,20 @@ def live_hosts(register_log: DataFrame, now_ms: int, timeout_s: int) -> DataFram
     return last.filter(F.lit(now_ms) - F.col("register_ts") <= timeout_s * 1000)
 
 
-def fold_host(rows: Iterator[tuple], timeout_ms: int, state: tuple | None = None) -> tuple | None:
-    """(slots, used, register_ts) after (op, ts, slots, used, overwrite) of one host in order, None if removed."""
-    for op, ts, slots, used, overwrite in rows:
-        if op == "remove":
-            state = None
-        elif slots >= 0:
-            fresh = state is None or ts - state[2] > timeout_ms or overwrite
-            state = (slots, used, ts) if fresh else (state[0], state[1], ts)
-    return state
-
-
 def host_registry(log: DataFrame, timeout_s: int) -> DataFrame:
     """(host, slots, used, register_ts) after a log (seq, host, op, ts in ms, slots, used, overwrite): negative slots
     are refused, a new or expired host takes the new record, a live one only with overwrite; every accepted
-    register refreshes the time; remove deletes. An ordered fold per host."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        end = fold_host(zip(pdf["op"], pdf["ts"], pdf["slots"], pdf["used"], pdf["overwrite"]), timeout_s * 1000)
-        return pd.DataFrame([[pdf["host"].iloc[0], *end]] if end else [], columns=["host", "slots", "used", "register_ts"])
-
-    kind = log.schema["host"].dataType.simpleString()
-    return log.groupBy("host").applyInPandas(run, f"host {kind}, slots long, used long, register_ts long")
+    register refreshes the time; remove deletes.
+
+    What came before a host's last remove is gone. After it a record is taken where the host is new, where overwrite is
+    set, or where the accepted register before is older than the time-out; the last one taken stays, with the time of
+    the last register."""
+    gone = log.filter("op = 'remove'").groupBy("host").agg(F.max("seq").alias("_gone")).withColumnRenamed("host", "_h")
+    rows = log.filter("op <> 'remove' and slots >= 0").join(gone, F.col("host").eqNullSafe(F.col("_h")), "left").filter("_gone is null or seq > _gone").select("host", "seq", "ts", "slots", "used", "overwrite")
+    rows = running(rows, ["host"], ["seq"], {"_last": ("max", F.struct("seq", "ts"))}, inclusive=False)
+    taken = F.col("_last").isNull() | F.col("overwrite") | (F.col("ts") - F.col("_last.ts") > timeout_s * 1000)
+    out = rows.groupBy("host").agg(F.max(F.when(taken, F.struct("seq", "slots", "used"))).alias("r"), F.max_by("ts", "seq").alias("register_ts"))
+    return out.select("host", "r.slots", "r.used", "register_ts")
 
 
 def exclude_tenants(hosts: DataFrame, placements: DataFrame, tenant) -> DataFrame:

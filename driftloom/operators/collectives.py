@@ -13,13 +13,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .ordering import number_rows, prefix_sums
+from ..functions.folds import product
+from .diffmerge import PAGE
+from .ordering import fold_sorted, number_rows, prefix_sums
 
 KEYS = ["world", "slot"]
+#: Rows that meet all rows of a small table of their world are dealt into so many parts a world.
+PARTS = 64
 
 #: Reductions by name. maxloc and minloc give struct(value, rank), the lowest rank on ties.
 OPS: dict[str, Callable[[Column], Column]] = {
-    "sum": F.sum, "max": F.max, "min": F.min, "prod": F.product, "land": F.bool_and, "lor": F.bool_or, "band": F.bit_and, "bor": F.bit_or,
+    "sum": F.sum, "max": F.max, "min": F.min, "land": F.bool_and, "lor": F.bool_or, "band": F.bit_and, "bor": F.bit_or,
 }
 
 
@@ -27,11 +31,16 @@ def ranks_of(ranked: DataFrame) -> DataFrame:
     return ranked.select("world", "rank").distinct()
 
 
+def in_world(rows: DataFrame, few: DataFrame) -> DataFrame:
+    """rows (world, slot, ...) joined to all rows of their world in `few`, a table of few rows a world. Slots are dealt
+    into parts, each of which meets a copy of the few, so a world is not one task."""
+    dealt = few.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(PARTS - 1))))
+    return rows.withColumn("_part", F.pmod(F.xxhash64("slot"), F.lit(PARTS)).cast("int")).join(dealt, ["world", "_part"]).drop("_part")
+
+
 def broadcast(ranked: DataFrame, root: int = 0) -> DataFrame:
-    """The root's slots at every rank of its world. The join key is the world; a world's rank list is small against
-    its slots, and Spark broadcasts it where its measured size allows."""
-    held = ranked.filter(F.col("rank") == root).drop("rank")
-    return held.join(ranks_of(ranked), "world").select("world", "rank", "slot", "value")
+    """The root's slots at every rank of its world."""
+    return in_world(ranked.filter(F.col("rank") == root).drop("rank"), ranks_of(ranked)).select("world", "rank", "slot", "value")
 
 
 def scatter(buffer: DataFrame, block: int) -> DataFrame:
@@ -45,7 +54,16 @@ def gather(ranked: DataFrame, block: int) -> DataFrame:
 
 
 def allgather(ranked: DataFrame, block: int) -> DataFrame:
-    return gather(ranked, block).join(ranks_of(ranked), "world").select("world", "rank", "slot", "value")
+    return in_world(gather(ranked, block), ranks_of(ranked)).select("world", "rank", "slot", "value")
+
+
+def reduction(op: str, ranked: DataFrame, over=None) -> Column:
+    """The reduction as an aggregate, or as a window function; products of whole numbers are exact."""
+    if op == "prod":
+        return product(F.col("value"), ranked.schema["value"].dataType, over)
+    if op not in OPS:
+        raise ValueError(f"unknown reduction {op}")
+    return OPS[op](F.col("value")) if over is None else OPS[op](F.col("value")).over(over)
 
 
 def reduce(ranked: DataFrame, op: str = "sum") -> DataFrame:
@@ -55,11 +73,7 @@ def reduce(ranked: DataFrame, op: str = "sum") -> DataFrame:
         best = (F.max if op == "maxloc" else F.min)(by)
         out = ranked.groupBy(KEYS).agg(best.alias("best"))
         return out.select(*KEYS, F.col("best.value").alias("value"), F.abs("best.r").alias("loc"))
-    if op not in OPS:
-        raise ValueError(f"unknown reduction {op}")
-    out = OPS[op](F.col("value"))
-    kind = ranked.schema["value"].dataType
-    return ranked.groupBy(KEYS).agg(out.cast(kind).alias("value"))
+    return ranked.groupBy(KEYS).agg(reduction(op, ranked).cast(ranked.schema["value"].dataType).alias("value"))
 
 
 def allreduce(ranked: DataFrame, op: str = "sum") -> DataFrame:
@@ -70,7 +84,7 @@ def allreduce(ranked: DataFrame, op: str = "sum") -> DataFrame:
 def scan(ranked: DataFrame, op: str = "sum") -> DataFrame:
     """Inclusive prefix reduction over ranks, each slot apart."""
     upto = Window.partitionBy(*KEYS).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("value", OPS[op](F.col("value")).over(upto).cast(ranked.schema["value"].dataType))
+    return ranked.withColumn("value", reduction(op, ranked, upto).cast(ranked.schema["value"].dataType))
 
 
 def all_to_all(ranked: DataFrame, block: int) -> DataFrame:
@@ -95,7 +109,7 @@ def match_messages(sends: DataFrame, recvs: DataFrame) -> DataFrame:
 def ring_shift(ranked: DataFrame, sizes: DataFrame, by: int = 1) -> DataFrame:
     """Every rank sends its buffer to rank + by and receives that of rank - by, around the world (world, size)."""
     rank = F.pmod(F.col("rank") + by, F.col("size")).cast(ranked.schema["rank"].dataType)
-    return ranked.join(sizes, "world").select("world", rank.alias("rank"), "slot", "value")
+    return in_world(ranked, sizes).select("world", rank.alias("rank"), "slot", "value")
 
 
 def grid_coords(ranks: DataFrame) -> DataFrame:
@@ -124,7 +138,8 @@ def grid_shift(ranks: DataFrame, axis: int, by: int = 1) -> DataFrame:
 
 
 def exchange_counts(rank_hosts: DataFrame, root: int, kind: str) -> DataFrame:
-    """Messages that each rank sends in a two-level exchange: (world, rank, local, remote).
+    """Messages that each rank sends in a two-level exchange: (world, rank, local, remote), for gather also `blocks`, the
+    ranks' blocks in the rank's message.
 
     The leader of a host is its lowest rank. broadcast: the root sends to the other ranks of its host and to the
     other leaders, and these to the ranks of their hosts. reduce and gather: ranks send to their leader (to the
@@ -145,7 +160,8 @@ def exchange_counts(rank_hosts: DataFrame, root: int, kind: str) -> DataFrame:
         local, remote = F.col("n") - 1, F.col("size") - F.col("n")
     else:
         raise ValueError(f"unknown exchange {kind}")
-    return df.select("world", "rank", local.cast("long").alias("local"), remote.cast("long").alias("remote"))
+    counts = df.select("world", "rank", local.cast("long").alias("local"), remote.cast("long").alias("remote"), F.when(is_root, zero).when(leads & ~at_home, F.col("n")).otherwise(1).cast("long").alias("blocks"))
+    return counts if kind == "gather" else counts.drop("blocks")
 
 
 def offsets(counts: DataFrame) -> DataFrame:
@@ -159,14 +175,21 @@ def gatherv(ranked: DataFrame, counts: DataFrame) -> DataFrame:
 
 
 def allgatherv(ranked: DataFrame, counts: DataFrame) -> DataFrame:
-    return gatherv(ranked, counts).join(counts.select("world", "rank"), "world").select("world", "rank", "slot", "value")
+    return in_world(gatherv(ranked, counts), counts.select("world", "rank")).select("world", "rank", "slot", "value")
+
+
+def in_slot_ranges(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """rows (keys, slot, ...) joined to the ranges (keys, lo, hi; hi exclusive, ...) of their keys that hold their slot,
+    page by page of slots."""
+    paged = ranges.filter("lo < hi").withColumn("_page", F.explode(F.sequence(F.expr(f"lo div {PAGE}"), F.expr(f"(hi - 1) div {PAGE}"))))
+    held = rows.withColumn("_page", F.expr(f"slot div {PAGE}")).join(paged, [*keys, "_page"])
+    return held.filter("slot >= lo and slot < hi").drop("_page")
 
 
 def reduce_scatter(ranked: DataFrame, counts: DataFrame, op: str = "sum") -> DataFrame:
     """Reduces, then gives rank r the slots [offset(r), offset(r) + count(r))."""
-    ranges = offsets(counts)
-    out = reduce(ranked, op).join(ranges, "world").filter((F.col("slot") >= F.col("offset")) & (F.col("slot") < F.col("offset") + F.col("count")))
-    return out.select("world", "rank", (F.col("slot") - F.col("offset")).alias("slot"), "value")
+    ranges = offsets(counts).select("world", "rank", F.col("offset").alias("lo"), (F.col("offset") + F.col("count")).alias("hi"))
+    return in_slot_ranges(reduce(ranked, op), ranges, ["world"]).select("world", "rank", (F.col("slot") - F.col("lo")).alias("slot"), "value")
 
 
 def all_to_allv(ranked: DataFrame, counts: DataFrame) -> DataFrame:
@@ -175,22 +198,25 @@ def all_to_allv(ranked: DataFrame, counts: DataFrame) -> DataFrame:
     send = Window.partitionBy("world", "src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
     recv = Window.partitionBy("world", "dst").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
     at = counts.withColumns({"s": F.coalesce(F.sum("count").over(send), F.lit(0)), "r": F.coalesce(F.sum("count").over(recv), F.lit(0))})
-    held = ranked.join(at.withColumnRenamed("src", "rank"), ["world", "rank"]).filter("slot >= s and slot < s + count")
-    return held.select("world", F.col("dst").alias("rank"), (F.col("r") + F.col("slot") - F.col("s")).cast("long").alias("slot"), "value")
+    ranges = at.select("world", F.col("src").alias("rank"), "dst", "r", F.col("s").alias("lo"), (F.col("s") + F.col("count")).alias("hi"))
+    held = in_slot_ranges(ranked, ranges, ["world", "rank"])
+    return held.select("world", F.col("dst").alias("rank"), (F.col("r") + F.col("slot") - F.col("lo")).cast("long").alias("slot"), "value")
 
 
 def split_world(ranks: DataFrame) -> DataFrame:
     """(world, rank, color, key) plus new_rank, from 0 per (world, color), by key and then rank."""
-    return ranks.withColumn("new_rank", F.row_number().over(Window.partitionBy("world", "color").orderBy("key", "rank")) - 1)
+    return number_rows(ranks, ["world", "color"], ["key", "rank"], "new_rank").withColumn("new_rank", F.col("new_rank").cast("int"))
 
 
-def reduce_with(ranked: DataFrame, fold: Callable, value_type: str = "double") -> DataFrame:
-    """User-defined reduction: fold(list of values in rank order) per (world, slot), in grouped Arrow batches."""
-    import pandas as pd
+def reduce_with(ranked: DataFrame, step: Callable, start, value_type: str = "double") -> DataFrame:
+    """User-defined reduction: step(so far, value) in rank order per (world, slot), from `start`. The ranks of a slot
+    come as a stream, so they are never held together."""
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        first = pdf.iloc[0]
-        return pd.DataFrame({"world": [first["world"]], "slot": [first["slot"]], "value": [fold(pdf.sort_values("rank")["value"].tolist())]})
+    def fold(key: tuple, rows):
+        out = start
+        for _, value in rows:
+            out = step(out, value)
+        yield *key, out
 
     world = ranked.schema["world"].dataType.simpleString()
-    return ranked.groupBy(*KEYS).applyInPandas(run, f"world {world}, slot long, value {value_type}")
+    return fold_sorted(ranked.select("world", F.col("slot").cast("long").alias("slot"), "rank", "value"), KEYS, ["rank"], fold, f"world {world}, slot long, value {value_type}")

@@ -15,6 +15,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
+from ..functions.folds import product
+from .lineage import cut
+from .ordering import merge_ranges
+
 CELL = ["dataset", "slot"]
 PAGE = 4096
 OPS = ("sum", "subtract", "product", "max", "min", "xor", "overwrite", "ignore")
@@ -65,7 +69,7 @@ def _quotient(new: Column, old: Column, kind: T.DataType) -> Column:
 def typed_diff(pairs: DataFrame) -> DataFrame:
     """(dataset, slot, op, delta) from (dataset, slot, old, new, op), nothing where old and new agree.
 
-    A product with a zero base has no quotient: its delta is null, a row for the caller's rejects."""
+    A product with a zero base has no quotient: its delta is null, and `no_quotient` tells such rows."""
     kind, old, new = pairs.schema["new"].dataType, F.col("old"), F.col("new")
     delta = (
         F.when(F.col("op") == "sum", new - old).when(F.col("op") == "subtract", old - new).when(F.col("op") == "product", _quotient(new, old, kind))
@@ -76,15 +80,25 @@ def typed_diff(pairs: DataFrame) -> DataFrame:
     return pairs.filter(~old.eqNullSafe(new) & (F.col("op") != "ignore")).select(*CELL, "op", delta.cast(kind).alias("delta"))
 
 
-def apply_diffs(base: DataFrame, diffs: DataFrame) -> DataFrame:
-    """base with at most one diff (dataset, slot, op, delta) per slot applied; slots beyond the base are added."""
-    kind, old, d = base.schema["value"].dataType, F.col("value"), F.col("delta")
+def no_quotient(diffs: DataFrame) -> Column:
+    """Whether a diff is a product without a factor."""
+    return (F.col("op") == "product") & F.col("delta").isNull()
+
+
+def _applied(old: Column, op: Column, d: Column, kind: T.DataType) -> Column:
+    """The value after one diff. A product without a factor leaves it as it is."""
     new = (
-        F.when(F.col("op") == "sum", old + d).when(F.col("op") == "subtract", old - d).when(F.col("op") == "product", old * d)
-        .when(F.col("op") == "max", F.greatest(old, d)).when(F.col("op") == "min", F.least(old, d)).when(F.col("op") == "overwrite", d)
+        F.when(op == "sum", old + d).when(op == "subtract", old - d).when(op == "product", F.coalesce(old * d, old))
+        .when(op == "max", F.greatest(old, d)).when(op == "min", F.least(old, d)).when(op == "overwrite", d)
     )
-    if isinstance(kind, (T.IntegerType, T.LongType)):
-        new = new.when(F.col("op") == "xor", old.bitwiseXOR(d))
+    return new.when(op == "xor", old.bitwiseXOR(d)) if isinstance(kind, (T.IntegerType, T.LongType)) else new
+
+
+def apply_diffs(base: DataFrame, diffs: DataFrame) -> DataFrame:
+    """base with at most one diff (dataset, slot, op, delta) per slot applied; slots beyond the base are added. A product
+    without a factor (zero base) leaves the base as it is."""
+    kind, old = base.schema["value"].dataType, F.col("value")
+    new = _applied(old, F.col("op"), F.col("delta"), kind)
     return base.join(diffs, CELL, "full").select(*CELL, F.when(F.col("op").isNull(), old).otherwise(new).cast(kind).alias("value"))
 
 
@@ -94,20 +108,32 @@ def merge_overwrite(base: DataFrame, diffs: DataFrame) -> DataFrame:
     return base.join(last, CELL, "full").select(*CELL, F.coalesce("new", "value").alias("value"))
 
 
-def fold_diffs(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Queued diffs (dataset, slot, op, delta, worker, seq) folded to one per slot: (dataset, slot, op, delta,
-    n_diffs), and the slots (dataset, slot, ops) with more than one op, whose result would depend on order."""
-    kind, d = diffs.schema["delta"].dataType, F.col("delta")
-    last = F.max_by("delta", F.struct("worker", "seq"))
+def fold_by_op(diffs: DataFrame) -> DataFrame:
+    """Diffs (dataset, slot, op, delta, worker, seq) folded to one per slot and op: (dataset, slot, op, delta, n_diffs).
+    One aggregation for batches and streams; products of whole numbers are exact."""
+    kind, d, op = diffs.schema["delta"].dataType, F.col("delta"), F.col("op")
     folded = (
-        F.when(F.col("op").isin("sum", "subtract"), F.sum(d)).when(F.col("op") == "product", F.product(d)).when(F.col("op") == "max", F.max(d))
-        .when(F.col("op") == "min", F.min(d)).when(F.col("op") == "overwrite", last)
+        F.when(op.isin("sum", "subtract"), F.sum(d)).when(op == "product", product(F.when(op == "product", d), kind)).when(op == "max", F.max(d))
+        .when(op == "min", F.min(d)).when(op == "overwrite", F.max_by("delta", F.struct("worker", "seq")))
     )
     if isinstance(kind, (T.IntegerType, T.LongType)):
-        folded = folded.when(F.col("op") == "xor", F.bit_xor(d))
-    out = diffs.groupBy(*CELL, "op").agg(folded.cast(kind).alias("delta"), F.count("*").alias("n_diffs"))
-    mixed = diffs.groupBy(CELL).agg(F.count_distinct("op").alias("ops")).filter("ops > 1")
-    return out, mixed
+        folded = folded.when(op == "xor", F.bit_xor(d))
+    return diffs.groupBy(*CELL, "op").agg(folded.cast(kind).alias("delta"), F.count("*").alias("n_diffs"))
+
+
+def fold_diffs(diffs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The diffs folded to one per slot and op, and the slots (dataset, slot, ops) with more than one op, whose result
+    depends on order: `merge_in_order` is for these."""
+    return fold_by_op(diffs), diffs.groupBy(CELL).agg(F.count_distinct("op").alias("ops")).filter("ops > 1")
+
+
+def merge_in_order(base: DataFrame, diffs: DataFrame) -> DataFrame:
+    """(dataset, slot, value) of the slots of the diffs (dataset, slot, op, delta, worker, seq): the base with all diffs
+    of the slot applied one after the other by (worker, seq)."""
+    kind = base.schema["value"].dataType
+    steps = diffs.groupBy(CELL).agg(F.sort_array(F.collect_list(F.struct("worker", "seq", "op", "delta"))).alias("steps"))
+    value = F.aggregate("steps", F.col("value"), lambda a, x: _applied(a, x["op"], x["delta"], kind).cast(kind))
+    return steps.join(base, CELL, "left").select(*CELL, value.alias("value"))
 
 
 def xor_merge(base: DataFrame, versions: DataFrame) -> DataFrame:
@@ -134,12 +160,12 @@ def fill_gaps(regions: DataFrame, sizes: DataFrame, op: str = "overwrite") -> Da
 
 
 def in_regions(cells: DataFrame, regions: DataFrame, sizes: DataFrame, page: int = PAGE, how: str = "inner") -> DataFrame:
-    """Joins cells to the region (op) that holds them. Regions are clipped to the dataset's size, those past it
-    skipped. how: inner, left_semi or left_anti."""
+    """Joins cells to the region (op, and its start as `region`) that holds them, to each one where regions overlap.
+    Regions are clipped to the dataset's size, those past it skipped. how: inner, left_semi or left_anti."""
     paged = regions.join(sizes, "dataset").withColumn("hi", F.least(F.when(F.col("len") == 0, F.col("size")).otherwise(F.col("lo") + F.col("len")), F.col("size")))
     paged = paged.filter("lo < hi").select(F.col("dataset").alias("_d"), "lo", "hi", "op", F.explode(F.sequence(F.expr(f"lo div {page}"), F.expr(f"(hi - 1) div {page}"))).alias("_page"))
     on = (F.col("dataset") == F.col("_d")) & (F.expr(f"slot div {page}") == F.col("_page")) & (F.col("slot") >= F.col("lo")) & (F.col("slot") < F.col("hi"))
-    return cells.join(paged, on, how).drop("_d", "_page", "lo", "hi")
+    return cells.join(paged, on, how).withColumnRenamed("lo", "region").drop("_d", "_page", "hi")
 
 
 def drop_ignored(diffs: DataFrame, regions: DataFrame, sizes: DataFrame) -> DataFrame:
@@ -148,37 +174,43 @@ def drop_ignored(diffs: DataFrame, regions: DataFrame, sizes: DataFrame) -> Data
 
 
 def diff_regions(base: DataFrame, updated: DataFrame, regions: DataFrame, dirty: DataFrame | None = None, extra: list[str] | None = None) -> DataFrame:
-    """Diffs (dataset, slot, op, delta[, extra]) of an updated version (dataset, slot, value[, extra]) under the
-    regions. Slots beyond the base's size are overwrites; with `dirty` (dataset, page), clean pages are skipped."""
-    extra, sizes = extra or [], sizes_of(base)
+    """Diffs (dataset, slot, op, delta[, extra], region) of an updated version (dataset, slot, value[, extra]) under the
+    regions, one for each region that holds the slot, with the region's start. Slots beyond the base's size are
+    overwrites of no region (null); with `dirty` (dataset, page), clean pages are skipped."""
+    extra, sizes = [*(extra or []), "region"], sizes_of(base)
     new = updated.withColumnRenamed("value", "new")
     if dirty is not None:
         pages = dirty.select(F.col("dataset").alias("_d"), F.col("page").alias("_p"))
         new = new.join(pages, (F.col("dataset") == F.col("_d")) & (F.expr(f"slot div {PAGE}") == F.col("_p")), "left_semi")
     both = new.join(base.withColumnRenamed("value", "old"), CELL, "left").join(sizes, "dataset", "left")
     grown = F.col("slot") >= F.coalesce("size", F.lit(0))
-    growth = both.filter(grown).select(*CELL, *extra, F.lit("overwrite").alias("op"), F.col("new").alias("delta"))
+    growth = both.filter(grown).withColumn("region", F.lit(None).cast("long")).select(*CELL, *extra, F.lit("overwrite").alias("op"), F.col("new").alias("delta"))
     # Pairs that agree leave before the join with the regions.
     moved = in_regions(both.filter(~grown & ~F.col("old").eqNullSafe(F.col("new"))).drop("size"), regions, sizes)
-    if not extra:
-        return typed_diff(moved).unionByName(growth)
     keyed = moved.withColumn("dataset", F.struct("dataset", *extra))
     diffs = typed_diff(keyed).select(F.col("dataset.dataset").alias("dataset"), "slot", *[F.col(f"dataset.{c}").alias(c) for c in extra], "op", "delta")
     return diffs.unionByName(growth)
 
 
-def fork_join(base: DataFrame, versions: DataFrame, regions: DataFrame, op: str = "overwrite") -> DataFrame:
-    """The base after merging the workers' versions (dataset, worker, slot, value) by the regions, with `op` in
-    the gaps: one plan of diffs, one fold and one join."""
-    diffs = diff_regions(base, versions, fill_gaps(regions, sizes_of(base), op), extra=["worker"]).withColumn("seq", F.lit(0))
-    return apply_diffs(base, fold_diffs(diffs)[0].drop("n_diffs"))
+def fork_join(base: DataFrame, versions: DataFrame, regions: DataFrame, op: str = "overwrite") -> tuple[DataFrame, DataFrame]:
+    """(cells, rejects): the base after merging the workers' versions (dataset, worker, slot, value) by the regions, with
+    `op` in the gaps. Slots of one op are folded by aggregation, whatever the number of workers; slots of overlapping
+    regions of several ops take their diffs one after the other, by worker and then by the region's start. Products with
+    a zero base change nothing and are rejects (dataset, slot, worker)."""
+    diffs = cut(diff_regions(base, versions, fill_gaps(regions, sizes_of(base), op), extra=["worker"]).withColumnRenamed("region", "seq"))
+    bad, good = diffs.filter(no_quotient(diffs)).select(*CELL, "worker"), diffs.filter(~no_quotient(diffs))
+    folded, mixed = fold_diffs(good)
+    mixed = cut(mixed.select(CELL))
+    cells = apply_diffs(base, folded.join(mixed, CELL, "left_anti").drop("n_diffs"))
+    ordered = merge_in_order(base, good.join(mixed, CELL, "left_semi"))
+    return cells.join(mixed, CELL, "left_anti").unionByName(ordered), bad
 
 
 def change_log(changes: DataFrame, clears: DataFrame) -> DataFrame:
     """Changes (dataset, version, lo, len) after the dataset's last clear (dataset, version), as merged ranges."""
     last = clears.groupBy("dataset").agg(F.max("version").alias("_v"))
     kept = changes.join(last, "dataset", "left").filter(F.col("_v").isNull() | (F.col("version") > F.col("_v")))
-    merged = _merge_runs(kept.select("dataset", "lo", (F.col("lo") + F.col("len") - 1).alias("hi")), ["dataset"])
+    merged = merge_ranges(kept.select("dataset", "lo", (F.col("lo") + F.col("len") - 1).alias("hi")), ["dataset"])
     return merged.select("dataset", F.col("lo").alias("offset"), (F.col("hi") - F.col("lo") + 1).alias("length"))
 
 
@@ -216,19 +248,22 @@ def _xor_pages(pages: DataFrame) -> DataFrame:
     return pages.select("dataset", "page", "a", "b").mapInArrow(run, f"dataset {kind}, page long, bytes binary")
 
 
-def paged_delta(old: DataFrame, new: DataFrame, xor: bool = True) -> DataFrame:
+def paged_delta(old: DataFrame, new: DataFrame, xor: bool = True, page: int = PAGE) -> DataFrame:
     """Delta (dataset, page, kind, bytes, size) of paged versions (dataset, page, bytes): XOR or OVERWRITE rows for
-    changed pages, OVERWRITE for pages beyond the old end that are not all zero, one SIZE row per dataset."""
+    changed pages that are whole in both, OVERWRITE for pages that are short in one of them and for pages beyond the old
+    end that are not all zero, one SIZE row per dataset."""
     both = old.withColumnRenamed("bytes", "a").join(new.withColumnRenamed("bytes", "b"), ["dataset", "page"], "right")
     zero = F.length(F.replace(F.hex("b"), F.lit("0"), F.lit(""))) == 0
     fresh = both.filter(F.col("a").isNull() & ~zero).select("dataset", "page", F.lit("OVERWRITE").alias("kind"), F.col("b").alias("bytes"))
-    moved = both.filter(F.col("a").isNotNull() & (F.col("a") != F.col("b")))
+    whole = (F.length("a") == page) & (F.length("b") == page)
+    short = both.filter(F.col("a").isNotNull() & ~whole).select("dataset", "page", F.lit("OVERWRITE").alias("kind"), F.col("b").alias("bytes"))
+    moved = both.filter(F.col("a").isNotNull() & whole & (F.col("a") != F.col("b")))
     if xor:
         moved = _xor_pages(moved).select("dataset", "page", F.lit("XOR").alias("kind"), "bytes")
     else:
         moved = moved.select("dataset", "page", F.lit("OVERWRITE").alias("kind"), F.col("b").alias("bytes"))
     size = new.groupBy("dataset").agg(F.sum(F.length("bytes").cast("long")).alias("size")).select("dataset", F.lit(None).cast("long").alias("page"), F.lit("SIZE").alias("kind"), F.lit(None).cast("binary").alias("bytes"), "size")
-    return moved.unionByName(fresh).withColumn("size", F.lit(None).cast("long")).unionByName(size)
+    return moved.unionByName(fresh).unionByName(short).withColumn("size", F.lit(None).cast("long")).unionByName(size)
 
 
 def apply_paged_delta(old: DataFrame, delta: DataFrame, page: int = PAGE) -> DataFrame:

@@ -18,12 +18,14 @@ from .results import MIGRATED
 NODE = ["app", "root"]
 
 
-def call_trees(roots: DataFrame, calls: DataFrame, results: DataFrame, max_depth: int = 100) -> DataFrame:
+def call_trees(roots: DataFrame, calls: DataFrame, results: DataFrame) -> DataFrame:
     """Nodes (app, root, id, parent_id, level, path) of the trees from roots (app, root).
 
     Children are unique per parent, so a task under two parents stands twice. A tree with any node that has no
-    result is empty. Trees deeper than max_depth, which cycles are, raise an error."""
-    edges = calls.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("app", "parent_id").orderBy("child_id")))
+    result is empty. A tree may be as deep as there are calls; a deeper one has a cycle, which is an error."""
+    # The numbered edges are cut once and dealt by parent, as each level joins them.
+    edges = cut(calls.distinct().withColumn("_n", F.row_number().over(Window.partitionBy("app", "parent_id").orderBy("child_id"))))
+    most = None
     levels = [roots.select("app", "root", F.col("root").alias("id"), F.lit(None).cast("long").alias("parent_id"), F.lit(0).alias("level"), F.array().cast("array<int>").alias("path"))]
     while True:
         up = levels[-1].select("app", "root", F.col("id").alias("parent_id"), "level", "path")
@@ -31,8 +33,10 @@ def call_trees(roots: DataFrame, calls: DataFrame, results: DataFrame, max_depth
                                                             (F.col("level") + 1).alias("level"), F.concat("path", F.array("_n")).alias("path")))
         if down.isEmpty():
             break
-        if len(levels) > max_depth:
-            raise ValueError(f"a call graph is deeper than {max_depth} levels: it has a cycle")
+        if len(levels) % 64 == 0:
+            most = most or edges.count()
+            if len(levels) > most:
+                raise ValueError("a call graph is deeper than it has calls: it has a cycle")
         levels.append(down)
     nodes = reduce(DataFrame.union, levels)
     missing = nodes.join(results.select("app", "id"), ["app", "id"], "left_anti").select(*NODE).distinct()

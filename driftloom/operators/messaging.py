@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from .ordering import number_rows
+from .ordering import number_rows, running
 
 CHANNEL = ["group", "src", "dst"]
 
@@ -19,10 +18,9 @@ def number_messages(messages: DataFrame, order: str = "sent") -> DataFrame:
 def deliver(messages: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(delivered, held): of the messages that have arrived (seq, arrival), those up to the first gap of their channel,
     in order, with `ready`, the arrival that completes their prefix; the rest waits."""
-    order = Window.partitionBy(*CHANNEL).orderBy("seq")
-    rows = messages.dropDuplicates([*CHANNEL, "seq"]).withColumn("_n", F.row_number().over(order) - 1)
-    whole = rows.filter(F.col("seq") == F.col("_n")).withColumn("ready", F.max("arrival").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    return whole.drop("_n"), rows.filter(F.col("seq") != F.col("_n")).drop("_n")
+    rows = running(messages.dropDuplicates([*CHANNEL, "seq"]), CHANNEL, ["seq"], {"_n": ("sum", F.lit(1).cast("long")), "ready": ("max", "arrival")})
+    # Before the first gap all earlier messages are there, so the running maximum is that of the prefix.
+    return rows.filter(F.col("seq") == F.col("_n") - 1).drop("_n"), rows.filter(F.col("seq") != F.col("_n") - 1).drop("_n", "ready")
 
 
 def route(messages: DataFrame, mappings: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -1,29 +1,88 @@
-"""Prefix sums and numbers in groups of any size.
+"""Running sums, extremes, numbers and ordered folds in groups of any size.
 
 A window per group puts a group into one task. Here rows are dealt by ranges of (keys, order), so a large group
-spreads over many tasks; sums per range are ordered (a few rows a group), then each range adds what came before.
+spreads over many tasks; results per range are ordered (a few rows a group), then each range adds what came before.
+Keys may be null: rows with a null key are a group like any other.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable, Iterator
+from functools import reduce
+from itertools import groupby
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
 from .lineage import cut
 
+#: Aggregates that can be carried from range to range, and how two of them meet.
+CARRIED: dict[str, tuple[Callable[[Column], Column], Callable[[Column, Column], Column]]] = {
+    "sum": (F.sum, lambda a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0))),
+    "max": (F.max, lambda a, b: F.greatest(a, b)), "min": (F.min, lambda a, b: F.least(a, b)),
+}
 
-def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
-    """df with `out`: the sum of `value` over the rows of the group (keys, never null) that come before by `order`."""
+
+def running(df: DataFrame, keys: list[str], order: list[str], outs: dict[str, tuple], inclusive: bool = True) -> DataFrame:
+    """df with running aggregates over the rows of the group (keys) up to this one by `order`, or before it if not
+    inclusive. outs: name -> (sum, max or min, column). A sum over no rows is 0, an extreme null. Rows that `order` does
+    not tell apart stand in any order."""
     # The ranges are cut into a table, so that both uses below see the same ones.
-    dealt = cut(df.repartitionByRange(*keys, *order).withColumn("_range", F.spark_partition_id()))
-    earlier = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    sums = dealt.groupBy(*keys, "_range").agg(F.sum(value).alias("_sum")).withColumn("_before", F.coalesce(F.sum("_sum").over(earlier), F.lit(0))).drop("_sum")
-    within = Window.partitionBy(*keys, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    rows = dealt.withColumn(out, F.coalesce(F.sum(value).over(within), F.lit(0)))
-    return rows.join(sums, [*keys, "_range"]).withColumn(out, (F.col(out) + F.col("_before")).cast("long")).drop("_before", "_range")
+    named = {f"__v{i}": F.col(c) if isinstance(c, str) else c for i, (_, c) in enumerate(outs.values())}
+    dealt = cut(df.withColumns(named).repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy(*keys, "__range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    ranges = dealt.groupBy(*keys, "__range").agg(*[CARRIED[kind][0](f"__v{i}").alias(f"__r{i}") for i, (kind, _) in enumerate(outs.values())])
+    ranges = ranges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__at"),
+                           *[CARRIED[kind][0](f"__r{i}").over(earlier).alias(f"__b{i}") for i, (kind, _) in enumerate(outs.values())])
+    rows = dealt.select("*", *[CARRIED[kind][0](f"__v{i}").over(within).alias(f"__w{i}") for i, (kind, _) in enumerate(outs.values())])
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col("__range") == F.col("__at"))
+    found = rows.join(ranges, on)
+    return found.select(*[c for c in df.columns if c not in outs], *[CARRIED[kind][1](F.col(f"__b{i}"), F.col(f"__w{i}")).alias(out) for i, (out, (kind, _)) in enumerate(outs.items())])
+
+
+def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, out: str) -> DataFrame:
+    """df with `out`: the sum of `value` over the rows of the group that come before by `order`."""
+    return running(df, keys, order, {out: ("sum", value)}, inclusive=False).withColumn(out, F.col(out).cast("long"))
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
     """df with `out`: the row's number in its group, from 0."""
-    return prefix_sums(df.withColumn("_one", F.lit(1).cast("long")), keys, order, "_one", out).drop("_one")
+    return running(df, keys, order, {out: ("sum", F.lit(1).cast("long"))}, inclusive=False)
+
+
+def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:
+    """Ranges (keys, lo, hi; hi inclusive) that overlap or touch as one, in groups of any size."""
+    rows = running(ranges.select(*keys, "lo", "hi").distinct(), keys, ["lo", "hi"], {"_upto": ("max", "hi")}, inclusive=False)
+    fresh = F.coalesce(F.col("lo") > F.col("_upto") + 1, F.lit(True)).cast("long")
+    rows = running(rows, keys, ["lo", "hi"], {"_run": ("sum", fresh)})
+    return rows.groupBy(*keys, "_run").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi")).drop("_run")
+
+
+def fold_sorted(df: DataFrame, keys: list[str], order: list[str], fold: Callable[[tuple, Iterator[tuple]], Iterator[tuple]], schema: str) -> DataFrame:
+    """Rows of `schema` from fold(key, rows) of each key, whose rows (the other columns as tuples) come one by one in
+    order. Partitions are sorted and read as a stream, so a key's rows are never held together."""
+    rest = [c for c in df.columns if c not in keys]
+    rows = df.select(*keys, *rest).repartition(*keys).sortWithinPartitions(*keys, *order)
+    n, arrow = len(keys), to_arrow_schema(T.StructType.fromDDL(schema))
+
+    def made(out: list[tuple]) -> pa.RecordBatch:
+        columns = zip(*out) if out else [[] for _ in arrow]
+        return pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip(columns, arrow)], schema=arrow)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        stream = (row for batch in batches for row in zip(*[c.to_pylist() for c in batch.columns]))
+        out: list[tuple] = []
+        for key, group in groupby(stream, key=lambda row: row[:n]):
+            for row in fold(key, (r[n:] for r in group)):
+                out.append(row)
+                if len(out) >= 10_000:
+                    yield made(out)
+                    out = []
+        yield made(out)
+
+    return rows.mapInArrow(run, schema)

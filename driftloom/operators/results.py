@@ -42,6 +42,18 @@ def in_flight(tasks: DataFrame, results: DataFrame) -> DataFrame:
     return open_tasks.groupBy("app").agg(F.min("subtype").alias("subtype"), size.cast("long").alias("size"), F.sort_array(F.collect_set("host")).alias("hosts"))
 
 
+def flight_report(tasks: DataFrame, results: DataFrame, events: DataFrame) -> DataFrame:
+    """(app, state, subtype, size, hosts, migrations): the apps in flight as from in_flight, and those that are frozen
+    with their size alone; `migrations` counts the app's results (events) that say migrated so far."""
+    moved = events.filter(F.col("return_value") == MIGRATED).groupBy("app").agg(F.count("*").alias("migrations"))
+    frozen = frozen_apps(events)
+    size = F.when(F.max("world_size") > 0, F.max("world_size"))
+    asleep = tasks.join(frozen, "app", "left_semi").groupBy("app").agg(size.cast("long").alias("size"))
+    awake = in_flight(tasks.join(frozen, "app", "left_anti"), results).withColumn("state", F.lit("in flight"))
+    both = awake.unionByName(asleep.withColumn("state", F.lit("frozen")), allowMissingColumns=True)
+    return both.join(moved, "app", "left").select("app", "state", "subtype", "size", "hosts", F.coalesce("migrations", F.lit(0)).alias("migrations"))
+
+
 def notify_waiters(requests: DataFrame, results: DataFrame) -> DataFrame:
     """(app, id, waiter, return_value): who waits for what; return_value is null while there is no result."""
     return requests.join(results.select("app", "id", "return_value"), ["app", "id"], "left")

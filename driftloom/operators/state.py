@@ -8,13 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from .diffmerge import islands
-from .ordering import number_rows
+from .ordering import fold_sorted, number_rows, running
 
 CHUNK = 64 * 1024
 
@@ -31,6 +29,11 @@ def set_values(ops: DataFrame) -> DataFrame:
     return last.filter("x.op = 'set'").select("key", "x.value", "x.seq")
 
 
+def count_keys(values: DataFrame) -> DataFrame:
+    """(user, keys): the number of live keys of each user."""
+    return values.groupBy("user").agg(F.count("*").alias("keys"))
+
+
 def value_sizes(values: DataFrame) -> DataFrame:
     return values.select("key", F.length("value").cast("long").alias("size"))
 
@@ -74,7 +77,7 @@ def live_appends(ops: DataFrame) -> DataFrame:
 
 def first_appended(appends: DataFrame, n: int) -> DataFrame:
     """(key, value): the first n appended values joined in order."""
-    first = appends.withColumn("_n", F.row_number().over(Window.partitionBy("key").orderBy("seq"))).filter(F.col("_n") <= n)
+    first = number_rows(appends, ["key"], ["seq"], "_n").filter(F.col("_n") < n)
     return first.groupBy("key").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("seq", "value"))), lambda x: x["value"]), "").alias("value"))
 
 
@@ -135,7 +138,8 @@ def set_intersection(members: DataFrame, pairs: DataFrame) -> DataFrame:
 
 def random_member(members: DataFrame, seed: int = 0) -> DataFrame:
     """(key, member): a member by least seeded hash, so that reruns agree."""
-    return members.groupBy("key").agg(F.min_by("member", F.struct(F.xxhash64(F.lit(seed), "key", "member"), "member")).alias("member"))
+    drawn = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("key").cast("string"), F.col("member").cast("string")))
+    return members.groupBy("key").agg(F.min_by("member", F.struct(drawn, "member")).alias("member"))
 
 
 def list_items(ops: DataFrame) -> DataFrame:
@@ -146,21 +150,30 @@ def list_items(ops: DataFrame) -> DataFrame:
     return number_rows(rows, ["key"], ["_side", "_at"], "position").select("key", "position", "value")
 
 
+def list_lengths(items: DataFrame) -> DataFrame:
+    """(key, length) of the lists (key, position, value)."""
+    return items.groupBy("key").agg(F.count("*").alias("length"))
+
+
+def first_items(items: DataFrame, n: int) -> DataFrame:
+    """The first n items of each list."""
+    return items.filter(F.col("position") < n)
+
+
 def replay_queues(ops: DataFrame) -> DataFrame:
     """(queue, seq, item_seq): which enqueued item each dequeue gets, item_seq null on an empty queue.
 
     The n-th dequeue that finds something gets the n-th item. A dequeue finds nothing where the running balance,
     which never goes below zero, is zero: balance = sum - min(0, least running sum so far), so no fold is needed."""
-    order = Window.partitionBy("queue").orderBy("seq")
-    upto = order.rowsBetween(Window.unboundedPreceding, 0)
-    steps = ops.withColumn("_d", F.when(F.col("op") == "enqueue", 1).otherwise(-1)).withColumn("_sum", F.sum("_d").over(upto))
-    steps = steps.withColumn("_low", F.least(F.min("_sum").over(upto), F.lit(0)))
+    steps = ops.select("queue", "seq", F.when(F.col("op") == "enqueue", 1).otherwise(-1).cast("long").alias("_d"))
+    steps = running(steps, ["queue"], ["seq"], {"_sum": ("sum", "_d")})
+    steps = running(steps, ["queue"], ["seq"], {"_low": ("min", "_sum")}, inclusive=False)
     # The floor falls exactly at dequeues of an empty queue.
-    steps = steps.withColumn("_empty", (F.col("_d") < 0) & (F.col("_low") < F.coalesce(F.lag("_low").over(order), F.lit(0))))
-    kind = F.when(F.col("_d") > 0, "in").when(F.col("_empty"), "none").otherwise("out")
-    numbered = steps.withColumn("_kind", kind).withColumn("_n", F.row_number().over(Window.partitionBy("queue", "_kind").orderBy("seq")))
+    empty = F.col("_sum") < F.least(F.coalesce("_low", F.lit(0)), F.lit(0))
+    kind = F.when(F.col("_d") > 0, "in").when(empty, "none").otherwise("out")
+    numbered = number_rows(steps.withColumn("_kind", kind), ["queue", "_kind"], ["seq"], "_n")
     items = numbered.filter("_kind = 'in'").select("queue", "_n", F.col("seq").alias("item_seq"))
-    got = numbered.filter("_kind = 'out'").join(items, ["queue", "_n"]).select("queue", "seq", "item_seq")
+    got = numbered.filter("_kind = 'out'").join(items.withColumnRenamed("queue", "_q"), F.col("queue").eqNullSafe(F.col("_q")) & (numbered["_n"] == items["_n"])).select("queue", "seq", "item_seq")
     return got.unionByName(numbered.filter("_kind = 'none'").select("queue", "seq", F.lit(None).cast("long").alias("item_seq")))
 
 
@@ -174,34 +187,50 @@ def live_values(ops: DataFrame, now) -> DataFrame:
     return rows.withColumn("ttl_s", F.floor(left)).filter("ttl_s is null or ttl_s > 0").select("key", "s.value", "ttl_s")
 
 
-def fold_key(rows: Iterator[tuple], value: str | None = None, ends: float | None = None) -> Iterator[tuple[int, bool, str | None, float | None]]:
-    """(seq, done, value, ends) after each (seq, at, op, arg, ttl) of one key in order. setnx sets an absent or
-    expired key; delifeq deletes if the value is arg; set and del always act."""
-    for seq, at, op, arg, ttl in rows:
+def fold_key(rows: Iterator[tuple], value: str | None = None, ends: float | None = None) -> Iterator[tuple[tuple, bool, str | None, float | None]]:
+    """(row, done, value, ends) after each row (seq, at, op, arg, ttl, offset, ...) of one key in order.
+
+    setnx sets an absent or expired key; delifeq deletes if the value is arg; set and del always act. chunk writes arg
+    at an offset of a value that is long enough; expire gives a value a new lifetime. append and clear act on the
+    key's list, which no other operation touches."""
+    for row in rows:
+        _, at, op, arg, ttl, offset = row[:6]
+        lasts = ttl is not None and ttl == ttl
         if ends is not None and at >= ends:
             value = ends = None
         done = True
         if op == "set" or (op == "setnx" and value is None):
-            value, ends = arg, at + ttl if ttl == ttl and ttl is not None else None
+            value, ends = arg, at + ttl if lasts else None
         elif op == "del" or (op == "delifeq" and value is not None and value == arg):
             done = value is not None
             value = ends = None
+        elif op == "chunk" and value is not None and arg is not None and offset is not None and 0 <= offset <= len(value) - len(arg):
+            value = value[: int(offset)] + arg + value[int(offset) + len(arg) :]
+        elif op == "expire" and value is not None and lasts:
+            ends = at + ttl
         else:
-            done = False
-        yield seq, done, value, ends
+            done = op in ("append", "clear")
+        yield row, done, value, ends
 
 
 def conditional_writes(ops: DataFrame) -> DataFrame:
-    """(key, seq, done): whether each set, setnx, del and delifeq (seq, at, arg, ttl in seconds) took effect. Each
-    one depends on the one before: an ordered fold per key, in grouped batches."""
+    """(key, seq, done, value, appended) after each operation (seq, at, op, arg, ttl in seconds, offset): whether it took
+    effect, the key's value and the length of its list, appends since the last clear.
+
+    Each operation depends on the one before, but not beyond a set: the stretches of a key from one set to the next are
+    folded apart, so a key with most of the rows is spread over tasks, and folds stream through sorted partitions. An
+    operation other than those of fold_key does nothing; a null key is a key."""
+    count = lambda op: F.when(F.col("op") == op, 1).otherwise(0).cast("long")
+    rows = running(ops.select("key", "seq", "at", "op", "arg", "ttl", "offset"), ["key"], ["seq"], {"_part": ("sum", count("set")), "_pushed": ("sum", count("append"))})
+    rows = running(rows, ["key"], ["seq"], {"_base": ("max", F.when(F.col("op") == "clear", F.col("_pushed")))})
+    rows = rows.select("key", "_part", "seq", "at", "op", "arg", "ttl", "offset", (F.col("_pushed") - F.coalesce("_base", F.lit(0))).alias("appended"))
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("seq")
-        out = list(fold_key(zip(pdf["seq"], pdf["at"], pdf["op"], pdf["arg"], pdf["ttl"])))
-        return pd.DataFrame({"key": pdf["key"].to_numpy(), "seq": [x[0] for x in out], "done": [x[1] for x in out]})
+    def fold(key: tuple, group: Iterator[tuple]) -> Iterator[tuple]:
+        for row, done, value, _ in fold_key(group):
+            yield key[0], row[0], done, value, row[6]
 
     kind = ops.schema["key"].dataType.simpleString()
-    return ops.select("key", "seq", "at", "op", "arg", "ttl").groupBy("key").applyInPandas(run, f"key {kind}, seq long, done boolean")
+    return fold_sorted(rows, ["key", "_part"], ["seq"], fold, f"key {kind}, seq long, done boolean, value string, appended long")
 
 
 def publish_results(ops: DataFrame, result_ttl_s: int, status_ttl_s: int) -> tuple[DataFrame, DataFrame]:

@@ -13,6 +13,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .collectives import in_slot_ranges
 from .diffmerge import fork_join
 from .lineage import cut
 
@@ -48,26 +49,28 @@ def run_tasks(tasks: DataFrame, function: Callable) -> DataFrame:
     return dispatch(tasks.withColumn("_function", F.lit("it")), {"it": function}, "_function")
 
 
-def fork_join_tasks(tasks: DataFrame, base: DataFrame, regions: DataFrame, function: Callable, op: str = "overwrite") -> DataFrame:
-    """The base cells (dataset, slot, value) after each task (dataset, worker, lo, hi) changed its slots [lo, hi) and
-    the changes were merged by the regions. function(task, slots, values) returns the new values; a worker sees the
-    base, not what others did."""
+def fork_join_tasks(tasks: DataFrame, base: DataFrame, regions: DataFrame, function: Callable, op: str = "overwrite") -> tuple[DataFrame, DataFrame]:
+    """(cells, rejects) as from fork_join: the base cells (dataset, slot, value) after each task (dataset, worker, lo, hi)
+    changed its slots [lo, hi) and the changes were merged by the regions. function(task, slots, values) returns the
+    new values; a worker sees the base, not what others did. A task's slots meet in one call, so large datasets are
+    given as many tasks of bounded ranges."""
     kind = base.schema["value"].dataType.simpleString()
     name = base.schema["dataset"].dataType.simpleString()
-    held = tasks.join(base, "dataset").filter("slot >= lo and slot < hi")
+    held = in_slot_ranges(base, tasks.select("dataset", "worker", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")), ["dataset"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("slot")
         task = pdf.iloc[0][["dataset", "worker", "lo", "hi"]].to_dict()
         return pd.DataFrame({"dataset": pdf["dataset"], "worker": pdf["worker"], "slot": pdf["slot"], "value": function(task, pdf["slot"].to_numpy(), pdf["value"].to_numpy())})
 
-    versions = held.groupBy("dataset", "worker").applyInPandas(run, f"dataset {name}, worker long, slot long, value {kind}")
+    versions = held.groupBy("dataset", "worker", "lo", "hi").applyInPandas(run, f"dataset {name}, worker long, slot long, value {kind}")
     return fork_join(base, versions, regions, op)
 
 
-def run_chained(tasks: DataFrame, function: Callable, max_rounds: int = 20) -> tuple[DataFrame, DataFrame]:
+def run_chained(tasks: DataFrame, function: Callable, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, calls) of tasks (app, id, depth) whose function returns (return value, output, child ids): children
-    run in the next round, edges go to calls (app, parent_id, child_id). More than max_rounds rounds are an error."""
+    run in the next round, edges go to calls (app, parent_id, child_id). Rounds go on until no task calls another one;
+    a caller that does not trust the function may set max_rounds, beyond which there is an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -87,7 +90,7 @@ def run_chained(tasks: DataFrame, function: Callable, max_rounds: int = 20) -> t
         now = done.select("app", F.explode("children").alias("id"), (F.col("depth") + 1).alias("depth"))
         if now.isEmpty():
             break
-        if len(rounds) >= max_rounds:
+        if max_rounds is not None and len(rounds) >= max_rounds:
             raise ValueError(f"tasks are chained over more than {max_rounds} rounds")
     rows = reduce(DataFrame.union, rounds)
     return rows.drop("children"), rows.select("app", F.col("id").alias("parent_id"), F.explode("children").alias("child_id"))

@@ -23,8 +23,8 @@ def bins(s: SparkSession, d: str) -> DataFrame:
 
 
 def plan(s: SparkSession, d: str) -> DataFrame:
-    """Where a pool's items stand now: 200 orders, some to each of ten bins."""
-    items = read(s, d, "orders").filter("o_orderkey < 1000").select(F.col("o_orderpriority").alias("pool"), F.col("o_orderkey").alias("item"))
+    """Where a pool's items stand now: all orders, dealt to six bins by their key."""
+    items = read(s, d, "orders").select(F.col("o_orderpriority").alias("pool"), F.col("o_orderkey").alias("item"))
     named = bins(s, d).withColumn("k", F.substring("bin", -3, 3).cast("int"))
     return items.withColumn("k", ((F.col("item") % 6) * 4 + F.substring("pool", 1, 1).cast("int") % 4).cast("int")).join(named.select("pool", "bin", "k"), ["pool", "k"]).select("pool", "item", "bin")
 
@@ -37,7 +37,7 @@ def full(s: SparkSession, d: str) -> DataFrame:
 
 BINS = """pools AS (SELECT DISTINCT o_orderpriority AS pool FROM orders),
 b AS (SELECT pool, s_name AS bin, s_suppkey AS k, s_suppkey % 40 + 10 AS slots, s_suppkey % 7 AS base FROM pools JOIN supplier ON substr(pool, 1, 1)::INT % 4 = s_suppkey % 4),
-p AS (SELECT o_orderpriority AS pool, o_orderkey AS item, bin FROM orders JOIN b ON o_orderpriority = pool AND substr(bin, length(bin) - 2, 3)::INT = (o_orderkey % 6) * 4 + substr(pool, 1, 1)::INT % 4 WHERE o_orderkey < 1000),
+p AS (SELECT o_orderpriority AS pool, o_orderkey AS item, bin FROM orders JOIN b ON o_orderpriority = pool AND substr(bin, length(bin) - 2, 3)::INT = (o_orderkey % 6) * 4 + substr(pool, 1, 1)::INT % 4),
 h AS (SELECT pool, bin, count(*) AS n FROM p GROUP BY ALL),
 f AS (SELECT pool, bin, slots + 2 * coalesce(n, 0) AS slots, base + coalesce(n, 0) AS used, coalesce(n, 0) AS own FROM b LEFT JOIN h USING (pool, bin))"""
 register("a01_histogram", lambda s, d: a.histogram(plan(s, d)), f"WITH {BINS} SELECT * FROM h")
@@ -55,18 +55,24 @@ register("a06_order_compact", lambda s, d: a.order_compact(full(s, d), plan(s, d
 
 
 def _items(s: SparkSession, d: str) -> DataFrame:
-    """400 items a pool, and more than there is room for in the pool of urgent orders."""
-    return read(s, d, "orders").filter("o_orderkey < 1500 or o_orderpriority = '1-URGENT'").select(F.col("o_orderpriority").alias("pool"), F.col("o_orderkey").alias("item"))
+    """All orders, those of the urgent pool three times over, which is more than there is room for."""
+    copies = F.explode(F.sequence(F.lit(0), F.when(F.col("o_orderpriority") == "1-URGENT", 2).otherwise(0)))
+    return read(s, d, "orders").select(F.col("o_orderpriority").alias("pool"), "o_orderkey", copies.alias("k")).select("pool", (F.col("o_orderkey") * 3 + F.col("k")).alias("item"))
+
+
+def _months(s: SparkSession, d: str) -> DataFrame:
+    """An item for each month in which a pool has orders."""
+    return read(s, d, "orders").select(F.col("o_orderpriority").alias("pool"), (F.year("o_orderdate") * 12 + F.month("o_orderdate")).alias("item")).distinct()
 
 
 FILL = """o AS (SELECT pool, bin, slots - used AS free, row_number() OVER (PARTITION BY pool ORDER BY slots - used DESC, slots DESC, bin DESC) AS place FROM f),
 s AS (SELECT *, sum(free) OVER (PARTITION BY pool ORDER BY place) AS hi FROM o),
-i AS (SELECT o_orderpriority AS pool, o_orderkey AS item, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey) AS n, count(*) OVER (PARTITION BY o_orderpriority) AS wanted FROM orders WHERE o_orderkey < 1500 OR o_orderpriority = '1-URGENT'),
+i AS (SELECT o_orderpriority AS pool, o_orderkey * 3 + k AS item, row_number() OVER (PARTITION BY o_orderpriority ORDER BY o_orderkey, k) AS n, count(*) OVER (PARTITION BY o_orderpriority) AS wanted FROM orders JOIN range(3) c(k) ON k = 0 OR o_orderpriority = '1-URGENT'),
 r AS (SELECT pool, sum(free) AS room FROM o GROUP BY pool)"""
 register("a07_waterfall", lambda s, d: a.waterfall(a.order_new(full(s, d)), _items(s, d))[0], f"WITH {BINS}, {FILL} SELECT i.pool, item, bin FROM i JOIN r ON r.pool = i.pool AND wanted <= room JOIN s ON s.pool = i.pool AND n > hi - free AND n <= hi")
 register("a07_no_room", lambda s, d: a.waterfall(a.order_new(full(s, d)), _items(s, d))[1], f"WITH {BINS}, {FILL} SELECT DISTINCT i.pool FROM i JOIN r ON r.pool = i.pool AND wanted > room")
-register("a08_single_bin", lambda s, d: a.waterfall(a.first_bin(a.order_new(full(s, d))), _items(s, d).filter("item < 160"))[0], f"""
-WITH {BINS}, {FILL}, j AS (SELECT o_orderpriority AS pool, o_orderkey AS item, count(*) OVER (PARTITION BY o_orderpriority) AS w FROM orders WHERE o_orderkey < 160 OR (o_orderpriority = '1-URGENT' AND o_orderkey < 160))
+register("a08_single_bin", lambda s, d: a.waterfall(a.first_bin(a.order_new(full(s, d))), _months(s, d))[0], f"""
+WITH {BINS}, {FILL}, j AS (SELECT pool, item, count(*) OVER (PARTITION BY pool) AS w FROM (SELECT DISTINCT o_orderpriority AS pool, year(o_orderdate) * 12 + month(o_orderdate) AS item FROM orders))
 SELECT j.pool, item, bin FROM j JOIN o ON o.pool = j.pool AND place = 1 AND w <= free""")
 
 
@@ -123,7 +129,7 @@ WITH {ROOM}, l AS (SELECT o_custkey AS app, max((o_orderkey % 50, o_orderstatus)
 SELECT app, unnest(range(x[1] + 1, x[1] + room + 1))::INT AS app_idx, x[2] AS function FROM l JOIN w USING (app) WHERE room > 0""")
 register("a15_vacated", lambda s, d: a.vacated(plan(s, d), _new_plan(s, d)), f"WITH {BINS}, {REPACK} SELECT h.pool, h.bin FROM h LEFT JOIN q USING (pool, bin) WHERE n > coalesce(quota, 0)")
 register("a16_work_lists", lambda s, d: a.work_lists(plan(s, d))[0].withColumn("items", F.array_join("items", ",")), f"WITH {BINS} SELECT pool, bin, string_agg(item::VARCHAR, ',' ORDER BY item) AS items FROM p GROUP BY pool, bin")
-register("a16_single_bin_plans", lambda s, d: a.work_lists(plan(s, d).filter("pool <> '2-HIGH' or item % 6 = 1"))[1], f"WITH {BINS} SELECT pool, count(DISTINCT bin) <= 1 AS single FROM p WHERE pool <> '2-HIGH' OR item % 6 = 1 GROUP BY pool")
+register("a16_single_bin_plans", lambda s, d: a.work_lists(plan(s, d).withColumn("bin", F.when(F.col("pool") == "2-HIGH", "one").otherwise(F.col("bin"))))[1], f"WITH {BINS} SELECT pool, count(DISTINCT CASE pool WHEN '2-HIGH' THEN 'one' ELSE bin END) <= 1 AS single FROM p GROUP BY pool")
 register("a17_repackable", lambda s, d: a.repackable(*t.parse_occupancy(_occupancy(s, d))), f"""
 WITH {SLOTS}, ho AS (SELECT file, host, count(i) AS slots, count(*) FILTER (WHERE i IS NOT NULL AND app <> -1) AS used FROM o GROUP BY ALL),
 pl AS (SELECT file, app, host, count(*) AS own FROM o WHERE i IS NOT NULL AND app <> -1 GROUP BY ALL),

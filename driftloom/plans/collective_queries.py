@@ -39,7 +39,14 @@ register("c01_broadcast", lambda s, d: c.broadcast(ranked(s, d), 0), f"WITH {RAN
 register("c02_scatter", lambda s, d: c.scatter(c.gather(vectors(s, d), 64), 16).withColumn("value", F.col("value").cast("double")),
          f"WITH {VECTORS} SELECT world, (rank * 64 + slot) // 16 AS rank, (rank * 64 + slot) % 16 AS slot, value::DOUBLE AS value FROM v")
 register("c03_gather", lambda s, d: c.gather(vectors(s, d), 64).withColumn("value", F.col("value").cast("double")), f"WITH {VECTORS} SELECT world, rank * 64 + slot AS slot, value::DOUBLE AS value FROM v")
-register("c04_allgather", lambda s, d: c.allgather(ranked(s, d).filter("slot < 20"), 20), f"WITH {RANKED}, q AS (SELECT * FROM r WHERE slot < 20), w AS (SELECT DISTINCT world, rank FROM q) SELECT q.world, w.rank, q.rank * 20 + slot AS slot, value FROM q JOIN w ON q.world = w.world")
+
+
+def _slots(spark: SparkSession, sf: str) -> int:
+    """The buffers' length: one slot more than there are suppliers."""
+    return read(spark, sf, "supplier").count() + 1
+
+
+register("c04_allgather", lambda s, d: c.allgather(ranked(s, d), _slots(s, d)), f"WITH {RANKED}, {WORLD}, k AS (SELECT count(*) + 1 AS n FROM supplier) SELECT r.world, w.rank, r.rank * n + slot AS slot, value FROM r JOIN w ON r.world = w.world, k")
 register("c05_reduce", lambda s, d: c.reduce(ranked(s, d), "sum"), f"WITH {RANKED} SELECT world, slot, CAST(sum(value) AS BIGINT) AS value FROM r GROUP BY ALL")
 register("c06_reduce_max", lambda s, d: c.reduce(ranked(s, d), "max"), f"WITH {RANKED} SELECT world, slot, max(value) AS value FROM r GROUP BY ALL")
 register("c07_reduce_min", lambda s, d: c.reduce(ranked(s, d), "min"), f"WITH {RANKED} SELECT world, slot, min(value) AS value FROM r GROUP BY ALL")
@@ -48,7 +55,7 @@ register("c08_reduce_sum_decimal", lambda s, d: c.reduce(ranked(s, d).withColumn
 register("c09_allreduce", lambda s, d: c.allreduce(ranked(s, d), "sum"), f"WITH {RANKED} SELECT world, rank, slot, CAST(sum(value) OVER (PARTITION BY world, slot) AS BIGINT) AS value FROM r")
 register("c10_scan", lambda s, d: c.scan(ranked(s, d), "sum"), f"WITH {RANKED} SELECT world, rank, slot, CAST(sum(value) OVER (PARTITION BY world, slot ORDER BY rank) AS BIGINT) AS value FROM r")
 register("c10_scan_max", lambda s, d: c.scan(ranked(s, d), "max"), f"WITH {RANKED} SELECT world, rank, slot, max(value) OVER (PARTITION BY world, slot ORDER BY rank) AS value FROM r")
-register("c11_all_to_all", lambda s, d: c.all_to_all(ranked(s, d).filter("slot < 70"), 10), f"WITH {RANKED} SELECT world, (slot // 10)::INT AS rank, rank * 10 + slot % 10 AS slot, value FROM r WHERE slot < 70")
+register("c11_all_to_all", lambda s, d: c.all_to_all(ranked(s, d), _slots(s, d) // 7 + 1), f"WITH {RANKED}, k AS (SELECT (count(*) + 1) // 7 + 1 AS n FROM supplier) SELECT world, (slot // n)::INT AS rank, rank * n + slot % n AS slot, value FROM r, k")
 
 
 def _channel_events(spark: SparkSession, sf: str, kind: str) -> DataFrame:
@@ -82,20 +89,29 @@ register("c17_broadcast_counts", lambda s, d: c.exchange_counts(_rank_hosts(s, d
   CASE WHEN rank = 1 OR (rank = leader AND host <> home) THEN n - 1 ELSE 0 END AS local, CASE WHEN rank = 1 THEN nh - 1 ELSE 0 END AS remote FROM h""")
 register("c17_reduce_counts", lambda s, d: c.exchange_counts(_rank_hosts(s, d), 1, "reduce"), f"""WITH {HOSTS} SELECT 'w' AS world, rank,
   CASE WHEN rank = 1 THEN 0 WHEN host = home OR rank <> leader THEN 1 ELSE 0 END::BIGINT AS local, CASE WHEN host <> home AND rank = leader THEN 1 ELSE 0 END::BIGINT AS remote FROM h""")
+register("c17_gather_counts", lambda s, d: c.exchange_counts(_rank_hosts(s, d), 1, "gather"), f"""WITH {HOSTS} SELECT 'w' AS world, rank,
+  CASE WHEN rank = 1 THEN 0 WHEN host = home OR rank <> leader THEN 1 ELSE 0 END::BIGINT AS local, CASE WHEN host <> home AND rank = leader THEN 1 ELSE 0 END::BIGINT AS remote,
+  CASE WHEN rank = 1 THEN 0 WHEN host <> home AND rank = leader THEN n ELSE 1 END::BIGINT AS blocks FROM h""")
 register("c17_alltoall_counts", lambda s, d: c.exchange_counts(_rank_hosts(s, d), 1, "alltoall"), f"WITH {HOSTS} SELECT 'w' AS world, rank, n - 1 AS local, size - n AS remote FROM h")
 
 
 def _variable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
-    """A buffer per order of as many slots as it has lines: world = return flag, rank = order."""
-    li = read(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("world"), F.col("l_suppkey").alias("rank"), F.col("l_linenumber").alias("slot")).agg(F.sum("l_quantity").cast("long").alias("value"))
-    li = li.withColumn("slot", (F.col("slot") - 1).cast("long")).filter("slot < 1 + rank % 7")
-    return li, li.select("world", "rank").distinct().withColumn("count", F.lit(1) + F.col("rank") % 7)
+    """Buffers of different lengths: world = line status, rank = supplier, as many slots as it has line numbers."""
+    li = read(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("world"), F.col("l_suppkey").alias("rank"), (F.col("l_linenumber") - 1).cast("long").alias("slot")).agg(F.sum("l_quantity").cast("long").alias("value"))
+    return li, li.groupBy("world", "rank").agg((F.max("slot") + 1).alias("count"))
+
+
+def _long_variable(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    """World = line status, rank = line number, a slot up to the rank's last part."""
+    li = read(spark, sf, "lineitem").groupBy(F.col("l_linestatus").alias("world"), (F.col("l_linenumber") - 1).alias("rank"), F.col("l_partkey").alias("slot")).agg(F.sum("l_quantity").cast("long").alias("value"))
+    return li, li.groupBy("world", "rank").agg((F.max("slot") + 1).alias("count"))
 
 
-VARIABLE = """q AS (SELECT l_linestatus AS world, l_suppkey AS rank, l_linenumber - 1 AS slot, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY ALL),
-b AS (SELECT * FROM q WHERE slot < 1 + rank % 7),
-o AS (SELECT world, rank, 1 + rank % 7 AS count, coalesce(sum(1 + rank % 7) OVER (PARTITION BY world ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM (SELECT DISTINCT world, rank FROM b))"""
-register("c18_gatherv", lambda s, d: c.gatherv(*_variable(s, d)), f"WITH {VARIABLE} SELECT b.world, off + slot AS slot, value FROM b JOIN o USING (world, rank)")
+VARIABLE = """b AS (SELECT l_linestatus AS world, {rank} AS rank, {slot}::BIGINT AS slot, CAST(sum(l_quantity) AS BIGINT) AS value FROM lineitem GROUP BY ALL),
+n AS (SELECT world, rank, max(slot) + 1 AS count FROM b GROUP BY ALL),
+o AS (SELECT *, coalesce(sum(count) OVER (PARTITION BY world ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM n)"""
+register("c18_gatherv", lambda s, d: c.gatherv(*_variable(s, d)), f"WITH {VARIABLE.format(rank='l_suppkey', slot='l_linenumber - 1')} SELECT b.world, off + slot AS slot, value FROM b JOIN o USING (world, rank)")
+register("c18_allgatherv", lambda s, d: c.allgatherv(*_long_variable(s, d)), f"WITH {VARIABLE.format(rank='l_linenumber - 1', slot='l_partkey')} SELECT b.world, n.rank, off + slot AS slot, value FROM b JOIN o USING (world, rank) JOIN n ON n.world = b.world")
 register("c19_reduce_scatter", lambda s, d: c.reduce_scatter(ranked(s, d), c.ranks_of(ranked(s, d)).withColumn("count", (F.col("rank") + 2).cast("long"))), f"""
 WITH {RANKED}, {WORLD}, o AS (SELECT world, rank, rank + 2 AS n, coalesce(sum(rank + 2) OVER (PARTITION BY world ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM w),
 t AS (SELECT world, slot, CAST(sum(value) AS BIGINT) AS value FROM r GROUP BY ALL)
@@ -119,19 +135,18 @@ register("c21_reduce_logic", lambda s, d: c.reduce(ranked(s, d).withColumn("valu
 register("c21_reduce_bits", lambda s, d: c.reduce(ranked(s, d), "band").withColumnRenamed("value", "band").join(c.reduce(ranked(s, d), "bor").withColumnRenamed("value", "bor"), ["world", "slot"]),
          f"WITH {RANKED} SELECT world, slot, bit_and(value) AS band, bit_or(value) AS bor FROM r GROUP BY ALL")
 register("c21_reduce_prod", lambda s, d: c.reduce(ranked(s, d).withColumn("value", F.col("value") % 3 + 1), "prod"), f"WITH {RANKED} SELECT world, slot, CAST(product(value % 3 + 1) AS BIGINT) AS value FROM r GROUP BY ALL")
+register("c21_reduce_long_prod", lambda s, d: c.reduce(ranked(s, d).withColumn("value", (F.col("value") % 300 + 2) * F.when(F.col("rank") == 3, -1).otherwise(1)), "prod"), f"""
+WITH {RANKED} SELECT world, slot, list_reduce(list(((value % 300 + 2) * CASE WHEN rank = 3 THEN -1 ELSE 1 END)::HUGEINT), lambda a, x: a * x)::BIGINT AS value FROM r GROUP BY ALL""")
 register("c22_maxloc", lambda s, d: c.reduce(ranked(s, d), "maxloc"), f"WITH {RANKED} SELECT world, slot, max(value) AS value, arg_min(rank, (-value, rank)) AS loc FROM r GROUP BY ALL")
 register("c22_minloc", lambda s, d: c.reduce(ranked(s, d), "minloc"), f"WITH {RANKED} SELECT world, slot, min(value) AS value, arg_min(rank, (value, rank)) AS loc FROM r GROUP BY ALL")
 register("c23_split", lambda s, d: c.split_world(read(s, d, "customer").select(F.col("c_mktsegment").alias("world"), F.col("c_custkey").alias("rank"), F.col("c_nationkey").alias("color"), F.col("c_acctbal").alias("key"))).select("world", "rank", "color", "new_rank"),
          "SELECT c_mktsegment AS world, c_custkey AS rank, c_nationkey AS color, row_number() OVER (PARTITION BY c_mktsegment, c_nationkey ORDER BY c_acctbal, c_custkey)::INT - 1 AS new_rank FROM customer")
 
 
-def _horner(values: list) -> float:
+def _horner(so_far: float, value: int) -> float:
     """Not commutative: 3 * (3 * a + b) + c ..."""
-    out = 0.0
-    for v in values:
-        out = 3 * out + v
-    return out
+    return 3 * so_far + value
 
 
-register("c24_user_reduction", lambda s, d: c.reduce_with(ranked(s, d), _horner),
+register("c24_user_reduction", lambda s, d: c.reduce_with(ranked(s, d), _horner, 0.0),
          f"WITH {RANKED} SELECT world, slot, CAST(sum(value * pow(3, k - i)) AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY world, slot ORDER BY rank) AS i, count(*) OVER (PARTITION BY world, slot) AS k FROM r) GROUP BY ALL")

@@ -1,4 +1,5 @@
-"""Queries of diff and merge. Base: part by brand, slot = part key, value = size; versions by rules on the key."""
+"""Queries of diff and merge. Base: part by brand, slot = part key, value = size modulo 50, so that some are zero; versions
+by rules on the key."""
 
 from __future__ import annotations
 
@@ -8,13 +9,13 @@ from pyspark.sql import functions as F
 from ..operators import diffmerge as m
 from .registry import read, register
 
-BASE = "b AS (SELECT p_brand AS dataset, p_partkey AS slot, p_size::BIGINT AS value FROM part)"
-NEW = "n AS (SELECT p_brand AS dataset, p_partkey AS slot, p_size + CASE WHEN p_partkey % 97 < 60 THEN p_partkey % 4 ELSE 0 END AS value FROM part)"
-WORKERS = """w AS (SELECT p_brand AS dataset, k AS worker, p_partkey AS slot, p_size + CASE WHEN p_partkey % 5 = k THEN p_partkey % 7 + k ELSE 0 END AS value FROM part, range(3) t(k))"""
+BASE = "b AS (SELECT p_brand AS dataset, p_partkey AS slot, p_size::BIGINT % 50 AS value FROM part)"
+NEW = "n AS (SELECT p_brand AS dataset, p_partkey AS slot, p_size % 50 + CASE WHEN p_partkey % 97 < 60 THEN p_partkey % 4 ELSE 0 END AS value FROM part)"
+WORKERS = """w AS (SELECT p_brand AS dataset, k AS worker, p_partkey AS slot, p_size % 50 + CASE WHEN p_partkey % 5 = k THEN p_partkey % 7 + k ELSE 0 END AS value FROM part, range(3) t(k))"""
 
 
 def base(s: SparkSession, d: str) -> DataFrame:
-    return read(s, d, "part").select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("slot"), F.col("p_size").cast("long").alias("value"))
+    return read(s, d, "part").select(F.col("p_brand").alias("dataset"), F.col("p_partkey").alias("slot"), (F.col("p_size").cast("long") % 50).alias("value"))
 
 
 def new(s: SparkSession, d: str) -> DataFrame:
@@ -47,7 +48,7 @@ PAIRS = f"""{BASE}, {NEW}, p AS (SELECT b.dataset, slot, b.value AS old, n.value
 DELTA = """CASE op WHEN 'sum' THEN new - old WHEN 'subtract' THEN old - new WHEN 'product' THEN CASE WHEN old <> 0 THEN new // old END WHEN 'xor' THEN xor(old, new) ELSE new END"""
 register("d02_typed_diff", lambda s, d: m.typed_diff(_pairs(s, d)), f"WITH {PAIRS} SELECT dataset, slot, op, {DELTA} AS delta FROM p WHERE old <> new")
 register("d03_apply_diff", lambda s, d: m.apply_diffs(base(s, d), m.typed_diff(_pairs(s, d))), f"""
-WITH {PAIRS} SELECT dataset, slot, CASE WHEN old = new THEN old WHEN op = 'product' THEN old * (new // old) WHEN op = 'max' THEN greatest(old, new) WHEN op = 'min' THEN least(old, new) ELSE new END AS value FROM p""")
+WITH {PAIRS} SELECT dataset, slot, CASE WHEN old = new OR (op = 'product' AND old = 0) THEN old WHEN op = 'product' THEN old * (new // old) WHEN op = 'max' THEN greatest(old, new) WHEN op = 'min' THEN least(old, new) ELSE new END AS value FROM p""")
 
 
 def _queued(s: SparkSession, d: str, op: str) -> DataFrame:
@@ -58,9 +59,9 @@ def _queued(s: SparkSession, d: str, op: str) -> DataFrame:
 
 
 QUEUE = "q AS (SELECT l_returnflag AS dataset, l_partkey AS slot, l_quantity::BIGINT AS delta, l_linenumber AS worker, (l_orderkey, l_suppkey, l_extendedprice, l_tax, l_discount, l_shipdate) AS seq FROM lineitem)"
-register("d04_overwrite_merge", lambda s, d: m.merge_overwrite(base(s, d).withColumn("dataset", F.lit("A")), _queued(s, d, "overwrite").filter("dataset = 'A'").withColumnRenamed("delta", "value")), f"""
-WITH {BASE}, {QUEUE}, l AS (SELECT slot, arg_max(delta, (worker, seq)) AS v FROM q WHERE dataset = 'A' GROUP BY slot)
-SELECT 'A' AS dataset, coalesce(b.slot, l.slot) AS slot, coalesce(l.v, b.value) AS value FROM b FULL JOIN l ON b.slot = l.slot""")
+register("d04_overwrite_merge", lambda s, d: m.merge_overwrite(base(s, d).withColumn("dataset", F.explode(F.array(F.lit("A"), F.lit("N"), F.lit("R")))), _queued(s, d, "overwrite").withColumnRenamed("delta", "value")), f"""
+WITH {BASE}, {QUEUE}, l AS (SELECT dataset, slot, arg_max(delta, (worker, seq)) AS v FROM q GROUP BY dataset, slot), c AS (SELECT t.dataset, slot, value FROM b, (VALUES ('A'), ('N'), ('R')) t(dataset))
+SELECT dataset, slot, coalesce(l.v, c.value) AS value FROM c FULL JOIN l USING (dataset, slot)""")
 register("d05_xor_merge", lambda s, d: m.xor_merge(base(s, d), workers(s, d)), f"""
 WITH {BASE}, {WORKERS} SELECT b.dataset, slot, xor(b.value, bit_xor(xor(b.value, w.value))) AS value FROM b JOIN w USING (dataset, slot) GROUP BY b.dataset, slot, b.value""")
 
@@ -78,24 +79,40 @@ register("d07_fill_gaps", lambda s, d: m.fill_gaps(_regions(s, d), m.sizes_of(ba
 WITH {BASE}, z AS (SELECT dataset, max(slot) + 1 AS size FROM b GROUP BY dataset)
 SELECT dataset, lo::BIGINT AS lo, len::BIGINT AS len, op FROM z, (VALUES (0, 50, 'sum'), (100, 100, 'ignore'), (300, 100, 'max'), (50, 50, 'overwrite'), (200, 100, 'overwrite'), (400, 0, 'overwrite')) v(lo, len, op)
 WHERE lo < 400 OR size > 400""")
-register("d08_region_diff", lambda s, d: m.diff_regions(base(s, d), new(s, d), m.fill_gaps(_regions(s, d), m.sizes_of(base(s, d))), m.mark_pages(base(s, d).filter("slot < 20000").withColumn("worker", F.lit(0))).select("dataset", "page").distinct()), f"""
+register("d08_region_diff", lambda s, d: m.diff_regions(base(s, d), new(s, d), m.fill_gaps(_regions(s, d), m.sizes_of(base(s, d))), m.mark_pages(base(s, d).filter("slot < 20000").withColumn("worker", F.lit(0))).select("dataset", "page").distinct()).drop("region"), f"""
 WITH {PAIRS}, r AS (SELECT dataset, slot, old, new, {OP_OF} AS op FROM p)
 SELECT dataset, slot, op, {DELTA} AS delta FROM r WHERE old <> new AND op <> 'ignore'""")
 register("d09_fold_diffs", lambda s, d: m.fold_diffs(_queued(s, d, "sum").unionByName(_queued(s, d, "max").withColumn("dataset", F.concat("dataset", F.lit("m")))).unionByName(_queued(s, d, "overwrite").withColumn("dataset", F.concat("dataset", F.lit("o")))))[0], f"""
 WITH {QUEUE} SELECT dataset, slot, 'sum' AS op, sum(delta)::BIGINT AS delta, count(*) AS n_diffs FROM q GROUP BY dataset, slot
 UNION ALL SELECT dataset || 'm', slot, 'max', max(delta), count(*) FROM q GROUP BY dataset, slot
 UNION ALL SELECT dataset || 'o', slot, 'overwrite', arg_max(delta, (worker, seq)), count(*) FROM q GROUP BY dataset, slot""")
-register("d10_fork_join", lambda s, d: m.fork_join(base(s, d), workers(s, d), _regions(s, d)), f"""
+register("d09_fold_products", lambda s, d: m.fold_diffs(_queued(s, d, "product").withColumn("delta", F.col("delta") % 7 * F.when(F.col("worker") % 2 == 0, -1).otherwise(1)))[0], f"""
+WITH {QUEUE}, v AS (SELECT dataset, slot, delta % 7 * CASE WHEN worker % 2 = 0 THEN -1 ELSE 1 END AS x FROM q)
+SELECT dataset, slot, 'product' AS op, list_reduce(list(x::HUGEINT), lambda a, y: a * y)::BIGINT AS delta, count(*) AS n_diffs FROM v GROUP BY dataset, slot""")
+register("d10_fork_join", lambda s, d: m.fork_join(base(s, d), workers(s, d), _regions(s, d))[0], f"""
 WITH {BASE}, {WORKERS}, x AS (SELECT b.dataset, slot, b.value AS old, w.value AS new, worker, {OP_OF} AS op FROM b JOIN w USING (dataset, slot))
 SELECT dataset, slot, CASE op WHEN 'sum' THEN old + sum(new - old) WHEN 'ignore' THEN old WHEN 'max' THEN greatest(old, max(new) FILTER (WHERE new <> old))
   ELSE coalesce(arg_max(new, worker) FILTER (WHERE new <> old), old) END::BIGINT AS value FROM x GROUP BY dataset, slot, old, op""")
 register("d11_change_log", lambda s, d: m.change_log(
-    read(s, d, "events").select(F.col("user_id").alias("dataset"), F.col("event_id").alias("version"), F.floor("value").alias("lo"), F.lit(3).cast("long").alias("len")).filter("version % 3 > 0"),
+    read(s, d, "events").select(F.col("user_id").alias("dataset"), F.col("event_id").alias("version"), F.floor("value").alias("lo"), F.lit(3).cast("long").alias("len")),
     read(s, d, "events").filter("event_type = 'error'").select(F.col("user_id").alias("dataset"), F.col("event_id").alias("version"))), """
 WITH v AS (SELECT user_id, max(event_id) AS v FROM events WHERE event_type = 'error' GROUP BY 1),
-c AS (SELECT DISTINCT e.user_id AS dataset, unnest(range(floor(value)::BIGINT, floor(value)::BIGINT + 3)) AS slot FROM events e LEFT JOIN v USING (user_id) WHERE event_id % 3 > 0 AND (v IS NULL OR event_id > v)),
+c AS (SELECT DISTINCT e.user_id AS dataset, unnest(range(floor(value)::BIGINT, floor(value)::BIGINT + 3)) AS slot FROM events e LEFT JOIN v USING (user_id) WHERE v IS NULL OR event_id > v),
 i AS (SELECT *, slot - row_number() OVER (PARTITION BY dataset ORDER BY slot) AS g FROM c)
 SELECT dataset, min(slot) AS "offset", count(*) AS length FROM i GROUP BY dataset, g""")
+
+
+def _overlaps(s: SparkSession, d: str) -> DataFrame:
+    """Per brand: every slot from 0 summed, from 20 on also max, from 40 on also product."""
+    r = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("lo"), F.lit(0).cast("long").alias("len"), F.lit(o).alias("op")) for a, o in ((0, "sum"), (20, "max"), (40, "product"))]))
+    return base(s, d).select("dataset").distinct().select("dataset", r.alias("r")).select("dataset", "r.*")
+
+
+# One worker's three diffs of a slot, then those of the next: each step takes the value so far.
+OVERLAPS = f"""{BASE}, {WORKERS}, x AS (SELECT b.dataset, slot, b.value AS old, list(w.value ORDER BY worker) FILTER (WHERE w.value <> b.value) AS news FROM b JOIN w USING (dataset, slot) GROUP BY b.dataset, slot, b.value)"""
+STEP = """(lambda a, n: CASE WHEN slot < 20 THEN a + n - old WHEN slot < 40 OR old = 0 THEN greatest(a + n - old, n) ELSE greatest(a + n - old, n) * (n // CASE old WHEN 0 THEN 1 ELSE old END) END)"""
+register("d10_overlaps", lambda s, d: m.fork_join(base(s, d), workers(s, d), _overlaps(s, d))[0], f"WITH {OVERLAPS} SELECT dataset, slot, CASE WHEN news IS NULL THEN old ELSE list_reduce(list_prepend(old, news), {STEP[1:-1]}) END::BIGINT AS value FROM x")
+register("d10_rejects", lambda s, d: m.fork_join(base(s, d), workers(s, d), _overlaps(s, d))[1], f"WITH {BASE}, {WORKERS} SELECT dataset, slot, worker::INT AS worker FROM b JOIN w USING (dataset, slot) WHERE b.value = 0 AND w.value <> 0 AND slot >= 40")
 register("d12_dirty_pages", lambda s, d: m.merge_page_flags(read(s, d, "events").select(F.col("event_type").alias("dataset"), F.col("user_id").alias("worker"), F.expr("event_id div 64").alias("page"), (F.col("value") > 100).alias("dirty"))),
          "SELECT event_type AS dataset, event_id // 64 AS page, bool_or(value > 100) AS dirty FROM events GROUP BY ALL")
 register("d13_page_align", lambda s, d: m.page_align(read(s, d, "documents").select("doc_id", (F.col("doc_id") * 1000).alias("offset"), F.col("n_chars").alias("length"))), """
@@ -121,8 +138,13 @@ def _told(pages: DataFrame) -> DataFrame:
 DOC_PAGES = """t AS (SELECT doc_id AS dataset, hex(encode(coalesce(text, ''))) AS a, hex(encode(coalesce(CASE WHEN doc_id % 3 = 0 THEN replace(text, 'a', 'b') || 'more' ELSE text END, ''))) AS b FROM documents),
 o AS (SELECT dataset, page, substr(a, page * 8192 + 1, 8192) AS x FROM (SELECT dataset, a, unnest(range((length(a) + 8191) // 8192)) AS page FROM t)),
 n AS (SELECT dataset, page, substr(b, page * 8192 + 1, 8192) AS x FROM (SELECT dataset, b, unnest(range((length(b) + 8191) // 8192)) AS page FROM t))"""
+DELTA_ROWS = "o.x IS NULL OR length(o.x) < 8192 OR length(n.x) < 8192 OR o.x <> n.x"
 register("d14_paged_delta", lambda s, d: _told(m.paged_delta(*_old_new(s, d), xor=False)), f"""
-WITH {DOC_PAGES} SELECT dataset, page, 'OVERWRITE' AS kind, md5(n.x) AS bytes, NULL::BIGINT AS size FROM n LEFT JOIN o USING (dataset, page) WHERE o.x IS DISTINCT FROM n.x
+WITH {DOC_PAGES} SELECT dataset, page, 'OVERWRITE' AS kind, md5(n.x) AS bytes, NULL::BIGINT AS size FROM n LEFT JOIN o USING (dataset, page) WHERE {DELTA_ROWS}
+UNION ALL SELECT dataset, NULL, 'SIZE', NULL, length(b) // 2 FROM t WHERE length(b) > 0""")
+register("d14_paged_delta_xor", lambda s, d: _told(m.paged_delta(*_old_new(s, d))), f"""
+WITH {DOC_PAGES} SELECT dataset, page, CASE WHEN length(o.x) = 8192 AND length(n.x) = 8192 THEN 'XOR' ELSE 'OVERWRITE' END AS kind,
+  md5(CASE WHEN length(o.x) = 8192 AND length(n.x) = 8192 THEN hex(xor(unhex(o.x)::BIT, unhex(n.x)::BIT)::BLOB) ELSE n.x END) AS bytes, NULL::BIGINT AS size FROM n LEFT JOIN o USING (dataset, page) WHERE {DELTA_ROWS}
 UNION ALL SELECT dataset, NULL, 'SIZE', NULL, length(b) // 2 FROM t WHERE length(b) > 0""")
 register("d15_apply_paged_delta", lambda s, d: _told(m.apply_paged_delta(_old_new(s, d)[0], m.paged_delta(*_old_new(s, d)))), f"WITH {DOC_PAGES} SELECT dataset, page, md5(x) AS bytes FROM n")
 

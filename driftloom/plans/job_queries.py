@@ -2,19 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import diffmerge as dm
 from ..operators import tasks as u
+from ..operators.results import FROZEN, MIGRATED
 from ..streaming import jobs as j
 from .allocation_queries import ARRIVED, _arrived
 from .diff_queries import BASE, _regions, base
-from .registry import read, register
-from .state_queries import op_of
+from .registry import read, register, scratch
+from .state_queries import LOG, logged
 
 # -- user functions: documents as tasks ----------------------------------------------------------------------------
 
@@ -46,8 +44,10 @@ def _double_odd(task: dict, slots, values):
 
 def u02_fork_join_tasks(s: SparkSession, d: str) -> DataFrame:
     b = base(s, d)
-    work = b.select("dataset").distinct().select("dataset", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("worker"), F.lit(0).alias("lo"), F.lit(1 << 40).alias("hi"))
-    return u.fork_join_tasks(work, b, _regions(s, d).withColumn("op", F.when(F.col("op") == "max", "sum").otherwise(F.col("op"))), _double_odd)
+    # Each worker has a task for every thousand slots.
+    ranges = b.groupBy("dataset").agg(F.max("slot").alias("last")).select("dataset", F.explode(F.expr("sequence(0L, last div 1000)")).alias("k"))
+    work = ranges.select("dataset", F.explode(F.array(*[F.lit(k).cast("long") for k in range(3)])).alias("worker"), (F.col("k") * 1000).alias("lo"), (F.col("k") * 1000 + 1000).alias("hi"))
+    return u.fork_join_tasks(work, b, _regions(s, d).withColumn("op", F.when(F.col("op") == "max", "sum").otherwise(F.col("op"))), _double_odd)[0]
 
 
 register("u02_fork_join_tasks", u02_fork_join_tasks, f"""
@@ -76,66 +76,58 @@ SELECT app, id AS parent_id, unnest([id // 2, id // 2 + 1]) AS child_id FROM t W
 # -- streams: events in small files ----------------------------------------------------------------------------------
 
 
-def folder(s: SparkSession) -> str:
-    """A new folder for a stream's files, in the shared one where the cluster names it."""
-    top = s.conf.get("spark.checkpoint.dir", None)
-    return f"{top.rstrip('/')}/stream-{uuid.uuid4().hex}" if top else "file://" + tempfile.mkdtemp(prefix="driftloom-stream-")
-
-
 def t01_reorder(s: SparkSession, d: str) -> DataFrame:
-    at = folder(s)
+    at = scratch(s, "stream")
     return j.drain(j.reorder(j.stream_of(_arrived(s, d), f"{at}/in", "arrival")), at)
 
 
 register("t01_reorder", t01_reorder, f'WITH {ARRIVED} SELECT grp AS "group", src, dst, seq, arrival FROM v WHERE seq = n')
 
 
-def _ops(s: SparkSession, d: str) -> DataFrame:
-    e = read(s, d, "events").withColumn("type", F.col("event_type"))
-    return e.select(F.col("user_id").alias("key"), F.col("event_id").alias("seq"), F.col("event_id").cast("double").alias("at"), op_of(view="set", click="set", error="del", purchase="del", signup="setnx").alias("op"),
-                    F.lit("x").alias("arg"), F.lit(None).cast("double").alias("ttl"))
-
-
 def t02_live_state(s: SparkSession, d: str) -> DataFrame:
-    at = folder(s)
-    return j.drain(j.live_state(j.stream_of(_ops(s, d), f"{at}/in", "seq")), at)
+    at = scratch(s, "stream")
+    return j.drain(j.live_state(j.stream_of(logged(s, d), f"{at}/in", "seq")), at)
 
 
-register("t02_live_state", t02_live_state, """
-WITH e AS (SELECT user_id AS key, event_id AS seq, event_type AS t FROM events),
-p AS (SELECT *, arg_max(CASE WHEN t IN ('error', 'purchase') THEN 0 ELSE 1 END, seq) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS live FROM e)
-SELECT key, seq, CASE WHEN t IN ('view', 'click') THEN true WHEN t = 'signup' THEN coalesce(live, 0) = 0 ELSE coalesce(live, 0) = 1 END AS done FROM p""")
+register("t02_live_state", t02_live_state, f"WITH {LOG} SELECT key, seq, done, value, appended FROM x WHERE n > 0")
 
 
 def t03_batch_progress(s: SparkSession, d: str) -> DataFrame:
-    at = folder(s)
-    e = read(s, d, "events").select(F.col("event_id").alias("seq"), F.expr("event_id div 50").alias("app"), (F.col("event_id") % 50).alias("id"), (F.col("event_type") == "error").cast("int").alias("return_value"), F.lit(50).alias("expected"))
-    rows = e.filter("not (app % 7 = 0 and id = 11)")
+    """Apps of 100 events on 25 tasks; some say migrated or frozen, some tasks report again, some never."""
+    at = scratch(s, "stream")
+    code = F.when(F.col("event_type") == "error", 1).when(F.col("event_type") == "signup", MIGRATED).when(F.col("event_type") == "purchase", FROZEN).otherwise(0)
+    rows = read(s, d, "events").select(F.col("event_id").alias("seq"), F.expr("event_id div 100").alias("app"), (F.col("event_id") * 7 % 25).alias("id"), code.cast("int").alias("return_value"), F.lit(25).alias("expected"))
     return j.drain(j.batch_progress(j.stream_of(rows, f"{at}/in", "seq")), at)
 
 
-register("t03_batch_progress", t03_batch_progress, "SELECT event_id // 50 AS app, count(*) AS done, count(*) FILTER (WHERE event_type = 'error') AS failed FROM events GROUP BY 1 HAVING app % 7 <> 0 AND count(*) = 50")
+register("t03_batch_progress", t03_batch_progress, """
+WITH e AS (SELECT event_id AS seq, event_id // 100 AS app, event_id * 7 % 25 AS id, CASE event_type WHEN 'error' THEN 1 WHEN 'signup' THEN -99 WHEN 'purchase' THEN -98 ELSE 0 END AS r FROM events),
+f AS (SELECT app, id, min(seq) AS first FROM e WHERE r NOT IN (-99, -98) GROUP BY ALL), d AS (SELECT app, max(first) AS last FROM f GROUP BY app HAVING count(*) = 25),
+l AS (SELECT app, id, arg_max(r, seq) AS r FROM e JOIN d USING (app) WHERE r NOT IN (-99, -98) AND seq <= last GROUP BY ALL), z AS (SELECT app, count(DISTINCT id) AS frozen FROM e JOIN d USING (app) WHERE r = -98 AND seq <= last GROUP BY app)
+SELECT app, count(*) AS done, count(*) FILTER (WHERE r <> 0) AS failed, coalesce(any_value(frozen), 0) AS frozen FROM l LEFT JOIN z USING (app) GROUP BY app""")
 
 
 def t04_wait_for_results(s: SparkSession, d: str) -> DataFrame:
-    """Views wait for the next events of their user's group; the last day's requests may still be waiting."""
-    at = folder(s)
+    """Views wait for the next errors of their user's group; rows far in the future on both sides end the waiting of
+    all others."""
+    at = scratch(s, "stream")
     e = read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
-    asked = e.filter("event_type = 'view'").select((F.col("user_id") % 20).alias("app"), (F.col("event_id") % 10).alias("id"), F.col("ts").alias("asked"))
-    found = e.filter("event_type = 'error'").select((F.col("user_id") % 20).alias("app"), (F.col("event_id") % 10).alias("id"), "ts", F.lit(1).alias("return_value"))
+    end = s.range(1).select(F.lit(-1).cast("long").alias("app"), F.lit(0).cast("long").alias("id"), F.lit("2030-01-01 00:00:00").cast("timestamp").alias("ts"))
+    asked = e.filter("event_type = 'view'").select((F.col("user_id") % 20).alias("app"), (F.col("event_id") % 10).alias("id"), "ts").unionByName(end).withColumnRenamed("ts", "asked")
+    found = e.filter("event_type = 'error'").select((F.col("user_id") % 20).alias("app"), (F.col("event_id") % 10).alias("id"), "ts").unionByName(end).withColumn("return_value", F.lit(1))
     out = j.drain(j.wait_for_results(j.stream_of(asked, f"{at}/asked", "asked"), j.stream_of(found, f"{at}/found", "ts"), "12 hours"), at)
-    return out.filter("asked < '2024-01-29 00:00:00'").select("app", "id", F.unix_micros("asked").alias("asked"), F.unix_micros("ts").alias("ts"), "return_value")
+    return out.filter("app >= 0").select("app", "id", F.unix_micros("asked").alias("asked"), F.unix_micros("ts").alias("ts"), "return_value")
 
 
 register("t04_wait_for_results", t04_wait_for_results, """
-WITH q AS (SELECT user_id % 20 AS app, event_id % 10 AS id, ts AS asked FROM events WHERE event_type = 'view' AND ts < TIMESTAMP '2024-01-29 00:00:00'),
+WITH q AS (SELECT user_id % 20 AS app, event_id % 10 AS id, ts AS asked FROM events WHERE event_type = 'view'),
 r AS (SELECT user_id % 20 AS app, event_id % 10 AS id, ts FROM events WHERE event_type = 'error')
 SELECT q.app, q.id, epoch_us(asked) AS asked, epoch_us(r.ts) AS ts, CASE WHEN r.ts IS NOT NULL THEN 1 END::INT AS return_value FROM q LEFT JOIN r ON q.app = r.app AND q.id = r.id AND r.ts >= asked AND r.ts <= asked + INTERVAL 12 HOUR""")
 
 
 def t05_host_sessions(s: SparkSession, d: str) -> DataFrame:
     """Sessions that are over when the stream ends: a last beat far in the future closes the others."""
-    at = folder(s)
+    at = scratch(s, "stream")
     e = read(s, d, "events").select(F.col("user_id").alias("host"), F.col("ts").cast("timestamp").alias("ts"))
     end = s.range(1).select(F.lit(-1).cast("long").alias("host"), F.lit("2030-01-01 00:00:00").cast("timestamp").alias("ts"))
     out = j.drain(j.host_sessions(j.stream_of(e.unionByName(end), f"{at}/in", "ts"), "6 hours"), at)
@@ -149,12 +141,18 @@ SELECT host, epoch_us(min(ts)) AS start, epoch_us(max(ts)) + 21600000000 AS "end
 
 
 def t06_merge_diffs(s: SparkSession, d: str) -> DataFrame:
-    at = folder(s)
-    rows = read(s, d, "lineitem").select(F.col("l_returnflag").alias("dataset"), F.col("l_partkey").alias("slot"), F.col("l_quantity").cast("long").alias("delta"), "l_orderkey")
+    """Line items as diffs of all operations, the operation by the part."""
+    at = scratch(s, "stream")
+    op = F.element_at(F.array(*[F.lit(x) for x in ("sum", "product", "max", "min", "xor", "overwrite")]), (F.col("l_partkey") % 6 + 1).cast("int"))
+    rows = read(s, d, "lineitem").select(
+        F.col("l_returnflag").alias("dataset"), F.col("l_partkey").alias("slot"), op.alias("op"), F.when(op == "product", F.col("l_quantity") % 4 - 1).otherwise(F.col("l_quantity")).cast("long").alias("delta"),
+        F.col("l_linenumber").alias("worker"), F.struct("l_orderkey", "l_suppkey", "l_extendedprice", "l_tax", "l_discount", "l_shipdate").alias("seq"), "l_orderkey")
     stream = j.merge_diffs(j.stream_of(rows, f"{at}/in", "l_orderkey"))
-    done = stream.writeStream.outputMode("update").foreachBatch(j.upsert_into(f"{at}/table", dm.CELL)).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    done = stream.writeStream.outputMode("update").foreachBatch(j.upsert_into(f"{at}/table", [*dm.CELL, "op"])).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
     done.awaitTermination()
-    return s.read.parquet(f"{at}/table/v{done.lastProgress['batchId']}")
+    return j.read_upserts(s, f"{at}/table")
 
 
-register("t06_merge_diffs", t06_merge_diffs, "SELECT l_returnflag AS dataset, l_partkey AS slot, sum(l_quantity)::BIGINT AS delta, count(*) AS n_diffs FROM lineitem GROUP BY ALL")
+register("t06_merge_diffs", t06_merge_diffs, """
+WITH q AS (SELECT l_returnflag AS dataset, l_partkey AS slot, ['sum', 'product', 'max', 'min', 'xor', 'overwrite'][l_partkey % 6 + 1] AS op, l_quantity::BIGINT AS x, l_linenumber AS worker, (l_orderkey, l_suppkey, l_extendedprice, l_tax, l_discount, l_shipdate) AS seq FROM lineitem)
+SELECT dataset, slot, op, CASE op WHEN 'sum' THEN sum(x) WHEN 'product' THEN list_reduce(list((x % 4 - 1)::HUGEINT), lambda a, y: a * y) WHEN 'max' THEN max(x) WHEN 'min' THEN min(x) WHEN 'xor' THEN bit_xor(x) ELSE arg_max(x, (worker, seq)) END::BIGINT AS delta, count(*) AS n_diffs FROM q GROUP BY dataset, slot, op""")

@@ -55,6 +55,18 @@ c AS (SELECT user_id AS key, max(event_id) AS c FROM events WHERE event_type = '
 register("k03_append", lambda s, d: _appends(s, d).filter("op = 'append'").select("key", "seq", "value"), f"WITH {APPENDS[:APPENDS.index('c AS')].rstrip(', ').rstrip().rstrip(',')} SELECT key, seq, value FROM a")
 register("k04_first_appended", lambda s, d: k.first_appended(_appends(s, d).filter("op = 'append'"), 4), f"WITH {APPENDS} r AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq) AS n FROM a) SELECT key, string_agg(value, '' ORDER BY seq) AS value FROM r WHERE n <= 4 GROUP BY key")
 register("k05_clear_appended", lambda s, d: k.live_appends(_appends(s, d)), f"WITH {APPENDS} x AS (SELECT 1) SELECT a.key, seq, value FROM a LEFT JOIN c ON a.key = c.key WHERE c.c IS NULL OR seq > c.c")
+register("k06_count", lambda s, d: k.count_keys(_values(s, d).withColumn("user", F.col("key") % 20)), f"WITH {VALUES} SELECT key % 20 AS user, count(*) AS keys FROM v GROUP BY 1")
+
+
+def _named(s: SparkSession, d: str) -> DataFrame:
+    """Operations of which some lack a user or a key."""
+    e = events(s, d)
+    return e.select("seq", F.when(F.col("seq") % 11 == 0, "").when(F.col("seq") % 13 > 0, F.col("type")).alias("user"), F.when(F.col("seq") % 17 == 0, "").when(F.col("seq") % 19 > 0, F.col("key").cast("string")).alias("key"))
+
+
+NAMED = "m AS (SELECT event_id AS seq, CASE WHEN event_id % 11 = 0 THEN '' WHEN event_id % 13 > 0 THEN event_type END AS user, CASE WHEN event_id % 17 = 0 THEN '' WHEN event_id % 19 > 0 THEN user_id::VARCHAR END AS key FROM events)"
+register("k06_valid_keys", lambda s, d: k.check_keys(_named(s, d))[0], f"WITH {NAMED} SELECT * FROM m WHERE user <> '' AND key <> ''")
+register("k06_key_rejects", lambda s, d: k.check_keys(_named(s, d))[1], f"WITH {NAMED} SELECT * FROM m WHERE coalesce(user, '') = '' OR coalesce(key, '') = ''")
 register("k06_sizes", lambda s, d: k.value_sizes(_values(s, d)), f"WITH {VALUES} SELECT key, length(value) AS size FROM v")
 
 
@@ -102,9 +114,17 @@ def _pairs(s: SparkSession, d: str) -> DataFrame:
 
 register("k13_set_difference", lambda s, d: k.set_difference(_members(s, d), _pairs(s, d)), f"WITH {MEMBERS} SELECT key AS a, (key + 7) % 50 AS b, member FROM m WHERE NOT EXISTS (SELECT 1 FROM m o WHERE o.key = (m.key + 7) % 50 AND o.member = m.member)")
 register("k13_set_intersection", lambda s, d: k.set_intersection(_members(s, d), _pairs(s, d)), f"WITH {MEMBERS} SELECT key AS a, (key + 7) % 50 AS b, member FROM m WHERE EXISTS (SELECT 1 FROM m o WHERE o.key = (m.key + 7) % 50 AND o.member = m.member)")
-register("k14_random_member", lambda s, d: k.random_member(_members(s, d)))
-register("k15_lists", lambda s, d: k.list_items(events(s, d).withColumn("op", op_of(view="lpush", click="rpush")).withColumn("value", F.col("seq"))),
-         "SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'view' THEN -event_id - 1 ELSE event_id END) - 1 AS position, event_id AS value FROM events WHERE event_type IN ('view', 'click')")
+register("k14_random_member", lambda s, d: k.random_member(_members(s, d)), f"WITH {MEMBERS} SELECT key, arg_min(member, md5('0:' || key || ':' || member)) AS member FROM m GROUP BY key")
+
+
+def _items(s: SparkSession, d: str) -> DataFrame:
+    return k.list_items(events(s, d).withColumn("op", op_of(view="lpush", click="rpush")).withColumn("value", F.col("seq")))
+
+
+LISTS = "i AS (SELECT user_id AS key, row_number() OVER (PARTITION BY user_id ORDER BY CASE event_type WHEN 'view' THEN -event_id - 1 ELSE event_id END) - 1 AS position, event_id AS value FROM events WHERE event_type IN ('view', 'click'))"
+register("k15_lists", _items, f"WITH {LISTS} SELECT * FROM i")
+register("k15_lengths", lambda s, d: k.list_lengths(_items(s, d)), f"WITH {LISTS} SELECT key, count(*) AS length FROM i GROUP BY key")
+register("k15_first", lambda s, d: k.first_items(_items(s, d), 3), f"WITH {LISTS} SELECT * FROM i WHERE position < 3")
 register("k16_queue_replay", lambda s, d: k.replay_queues(events(s, d).withColumn("op", op_of(view="enqueue", click="dequeue")).filter("op is not null").withColumnRenamed("key", "queue")), """
 WITH e AS (SELECT user_id AS queue, event_id AS seq, CASE event_type WHEN 'view' THEN 1 ELSE -1 END AS d FROM events WHERE event_type IN ('view', 'click')),
 s AS (SELECT *, sum(d) OVER w AS t FROM e WINDOW w AS (PARTITION BY queue ORDER BY seq)),
@@ -116,9 +136,29 @@ register("k17_expiry", lambda s, d: k.live_values(events(s, d).withColumn("op",
 WITH s AS (SELECT user_id AS key, max(event_id) AS value FROM events WHERE event_type = 'signup' GROUP BY 1),
 e AS (SELECT user_id AS key, arg_max(epoch_us(ts) + floor(value)::BIGINT * 36000000000, event_id) AS ends FROM events WHERE event_type IN ('signup', 'view') GROUP BY 1),
 t AS (SELECT key, value, floor((ends - epoch_us(TIMESTAMP '2024-01-31 00:00:00')) / 1000000)::BIGINT AS ttl_s FROM s JOIN e USING (key)) SELECT key, value, ttl_s FROM t WHERE ttl_s > 0""")
-register("k18_conditional_writes", lambda s, d: k.conditional_writes(events(s, d).select(
-    "key", "seq", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), op_of(view="setnx", click="delifeq", error="del", purchase="set", signup="setnx").alias("op"),
-    (F.floor("num") % 3).cast("string").alias("arg"), (F.floor("num") * 1e9).alias("ttl"))))
+
+
+def logged(s: SparkSession, d: str) -> DataFrame:
+    """A log of all operations on a key's value and list."""
+    e = events(s, d).withColumn("n", F.floor("num"))
+    op = F.when(F.col("seq") % 9 == 4, "chunk").when(F.col("seq") % 9 == 7, "append").when(F.col("seq") % 31 == 0, "clear").when(F.col("seq") % 23 == 0, "expire").otherwise(op_of(view="setnx", click="delifeq", error="del", purchase="set", signup="setnx"))
+    return e.select("key", "seq", F.unix_micros(F.col("ts").cast("timestamp")).cast("double").alias("at"), op.alias("op"), F.concat(F.lit("v"), (F.col("n") % 3).cast("string")).alias("arg"),
+                    F.when(F.col("n") % 4 > 0, F.col("n") * 1e9).alias("ttl"), (F.col("seq") % 4 - 1).alias("offset"))
+
+
+# The state of a key after its n-th operation, one operation a round.
+LOG = """RECURSIVE o AS MATERIALIZED (SELECT user_id AS key, event_id AS seq, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS n, epoch_us(ts)::DOUBLE AS moment, 'v' || floor(value)::BIGINT % 3 AS arg,
+  CASE WHEN floor(value)::BIGINT % 4 > 0 THEN floor(value) * 1e9 END AS ttl, event_id % 4 - 1 AS off,
+  CASE WHEN event_id % 9 = 4 THEN 'chunk' WHEN event_id % 9 = 7 THEN 'append' WHEN event_id % 31 = 0 THEN 'clear' WHEN event_id % 23 = 0 THEN 'expire' ELSE CASE event_type WHEN 'view' THEN 'setnx' WHEN 'click' THEN 'delifeq' WHEN 'error' THEN 'del' WHEN 'purchase' THEN 'set' ELSE 'setnx' END END AS op FROM events),
+x AS (SELECT user_id AS key, 0::BIGINT AS n, NULL::BIGINT AS seq, NULL::BOOLEAN AS done, NULL::VARCHAR AS value, NULL::DOUBLE AS ends, 0::BIGINT AS appended FROM events GROUP BY user_id
+  UNION ALL SELECT key, n, seq,
+    CASE op WHEN 'set' THEN true WHEN 'setnx' THEN v IS NULL WHEN 'del' THEN v IS NOT NULL WHEN 'delifeq' THEN coalesce(v = arg, false) WHEN 'chunk' THEN coalesce(fits, false) WHEN 'expire' THEN v IS NOT NULL AND ttl IS NOT NULL ELSE true END,
+    CASE WHEN op = 'set' OR (op = 'setnx' AND v IS NULL) THEN arg WHEN op = 'del' OR (op = 'delifeq' AND v = arg) THEN NULL WHEN op = 'chunk' AND fits THEN v[1:off] || arg || v[off + length(arg) + 1:] ELSE v END,
+    CASE WHEN op = 'set' OR (op = 'setnx' AND v IS NULL) OR (op = 'expire' AND v IS NOT NULL AND ttl IS NOT NULL) THEN moment + ttl WHEN op = 'del' OR (op = 'delifeq' AND v = arg) THEN NULL ELSE e END,
+    CASE op WHEN 'append' THEN appended + 1 WHEN 'clear' THEN 0 ELSE appended END
+  FROM (SELECT o.*, appended, v, e, off >= 0 AND off <= length(v) - length(arg) AS fits FROM (SELECT x.*, x.n + 1 AS at_n FROM x) x JOIN o ON o.key = x.key AND o.n = x.at_n,
+    LATERAL (SELECT CASE WHEN ends IS NULL OR moment < ends THEN value END AS v, CASE WHEN ends IS NULL OR moment < ends THEN ends END AS e) l))"""
+register("k18_conditional_writes", lambda s, d: k.conditional_writes(logged(s, d)), f"WITH {LOG} SELECT key, seq, done, value, appended FROM x WHERE n > 0")
 register("k19_publish_list", lambda s, d: k.publish_results(events(s, d).filter("type = 'purchase'").withColumnRenamed("num", "value"), 30, 300)[0], "SELECT user_id AS key, event_id AS seq, value, ts + INTERVAL 30 SECOND AS expires FROM events WHERE event_type = 'purchase'")
 register("k19_publish_status", lambda s, d: k.publish_results(events(s, d).filter("type = 'purchase'").withColumnRenamed("num", "value"), 30, 300)[1],
          "SELECT user_id AS key, arg_max(value, event_id) AS value, arg_max(ts, event_id) + INTERVAL 300 SECOND AS expires FROM events WHERE event_type = 'purchase' GROUP BY 1")

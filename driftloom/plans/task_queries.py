@@ -9,7 +9,7 @@ from ..operators import checks as p
 from ..operators import graph as g
 from ..operators import results as b
 from ..sources import tasks as t
-from .registry import read, register
+from .registry import read, register, scratch
 
 # -- results -----------------------------------------------------------------------------------------------------
 
@@ -26,18 +26,25 @@ register("b01_frozen_results", lambda s, d: b.result_table(result_events(s, d))[
 
 
 def tasks(s: SparkSession, d: str) -> DataFrame:
-    return result_events(s, d).filter("id % 3 > 0").groupBy("app", "id").agg(F.min("seq").alias("pos"), F.min("host").alias("host"))
+    """Tasks of the events; each third number stands for one that has no result yet."""
+    late = F.when(F.col("id") % 3 == 0, F.col("id") + 1_000_000).otherwise(F.col("id"))
+    return result_events(s, d).withColumn("id", late).groupBy("app", "id").agg(F.min("seq").alias("pos"), F.min("host").alias("host"))
 
 
 def _results(s: SparkSession, d: str) -> DataFrame:
     return b.result_table(result_events(s, d))[0]
 
 
-TASKS = f"{RESULTS}, t AS (SELECT app, id, min(seq) AS pos, min(host) AS host FROM e WHERE id % 3 > 0 GROUP BY app, id)"
-register("b02_batch_status", lambda s, d: b.batch_status(s.range(200).withColumnRenamed("id", "app"), tasks(s, d), _results(s, d)).withColumn("results", F.to_json("results")), f"""
+def _asked(s: SparkSession, d: str) -> DataFrame:
+    """All apps, and some that are unknown."""
+    return read(s, d, "events").select((F.col("user_id") + F.when(F.col("event_type") == "signup", 1_000_000).otherwise(0)).alias("app")).distinct()
+
+
+TASKS = f"{RESULTS}, t AS (SELECT app, CASE WHEN e.id % 3 = 0 THEN e.id + 1000000 ELSE e.id END AS id, min(seq) AS pos, min(host) AS host FROM e GROUP BY ALL)"
+register("b02_batch_status", lambda s, d: b.batch_status(_asked(s, d), tasks(s, d), _results(s, d)).withColumn("results", F.to_json("results")), f"""
 WITH {TASKS}, x AS (SELECT app, count(*) AS expected, count(return_value) AS done, '[' || coalesce(string_agg('{{"id":' || id || ',"return_value":' || return_value || '}}', ',' ORDER BY id) FILTER (WHERE return_value IS NOT NULL), '') || ']' AS results
   FROM t LEFT JOIN r USING (app, id) GROUP BY app)
-SELECT a.app, done = expected AS finished, expected, done, results FROM range(200) a(app) LEFT JOIN x USING (app)""")
+SELECT a.app, done = expected AS finished, expected, done, results FROM (SELECT DISTINCT user_id + CASE WHEN event_type = 'signup' THEN 1000000 ELSE 0 END AS app FROM events) a LEFT JOIN x USING (app)""")
 register("b03_finished_counts", lambda s, d: b.finished_counts(result_events(s, d)), f"WITH {EVENTS} SELECT app, count(*) FILTER (WHERE return_value <> -99) AS finished FROM e GROUP BY app")
 
 
@@ -48,6 +55,28 @@ def _open(s: SparkSession, d: str) -> DataFrame:
 register("b04_in_flight", lambda s, d: b.in_flight(_open(s, d), _results(s, d)).withColumn("hosts", F.array_join("hosts", ",")), f"""
 WITH {TASKS}, o AS (SELECT t.* FROM t LEFT JOIN r USING (app, id) WHERE r.app IS NULL)
 SELECT app, (app % 4)::INT AS subtype, CASE app % 3 WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE count(*) END::BIGINT AS size, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts FROM o GROUP BY app""")
+
+
+def _frozen_too(s: SparkSession, d: str) -> DataFrame:
+    """Result events of smaller apps (one a user and number), so that some are frozen as a whole."""
+    return result_events(s, d).withColumn("app", F.col("app") * 1000 + F.col("id"))
+
+
+def b04_flight_report(s: SparkSession, d: str) -> DataFrame:
+    events = _frozen_too(s, d)
+    work = events.select("app", (F.col("id") + F.col("seq") % 2).alias("id"), "host").distinct()
+    work = work.withColumns({"subtype": (F.col("app") % 4).cast("int"), "world_size": F.when(F.col("app") % 3 == 0, 8).otherwise(0), "threads": F.when(F.col("app") % 3 == 1, 4).otherwise(0)})
+    return b.flight_report(work, b.result_table(events)[0], events).withColumn("hosts", F.array_join("hosts", ","))
+
+
+register("b04_flight_report", b04_flight_report, f"""
+WITH {EVENTS}, v AS (SELECT seq, app * 1000 + id AS app, id, return_value, host FROM e), w AS (SELECT DISTINCT app, id + seq % 2 AS id, host FROM v),
+z AS (SELECT app FROM v GROUP BY app HAVING bool_and(return_value = -98) OR arg_max(return_value, seq) = -98), mv AS (SELECT app, count(*) AS migrations FROM v WHERE return_value = -99 GROUP BY app),
+done AS (SELECT DISTINCT app, id FROM v WHERE return_value NOT IN (-99, -98)),
+fl AS (SELECT app, 'in flight' AS state, (app % 4)::INT AS subtype, CASE app % 3 WHEN 0 THEN 8 WHEN 1 THEN 4 ELSE count(*) END::BIGINT AS size, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts
+       FROM w WHERE app NOT IN (SELECT app FROM z) AND NOT EXISTS (SELECT 1 FROM done WHERE done.app = w.app AND done.id = w.id) GROUP BY app),
+fz AS (SELECT app, 'frozen' AS state, NULL::INT AS subtype, CASE WHEN app % 3 = 0 THEN 8 END::BIGINT AS size, NULL::VARCHAR AS hosts FROM w WHERE app IN (SELECT app FROM z) GROUP BY app)
+SELECT x.*, coalesce(migrations, 0) AS migrations FROM (SELECT * FROM fl UNION ALL SELECT * FROM fz) x LEFT JOIN mv USING (app)""")
 register("b05_notify_waiters", lambda s, d: b.notify_waiters(tasks(s, d).select("app", "id", F.concat(F.lit("w"), F.col("pos") % 5).alias("waiter")), _results(s, d)), f"WITH {TASKS} SELECT app, id, 'w' || pos % 5 AS waiter, return_value FROM t LEFT JOIN r USING (app, id)")
 register("b06_thread_results", lambda s, d: b.thread_results(tasks(s, d), _results(s, d)), f"WITH {TASKS} SELECT app, pos, id, return_value FROM t LEFT JOIN r USING (app, id)")
 register("b07_frozen_apps", lambda s, d: b.frozen_apps(result_events(s, d).withColumn("app", F.col("app") * 1000 + F.col("id"))), f"WITH {EVENTS} SELECT app * 1000 + id AS app FROM e GROUP BY app * 1000 + id, app, id HAVING arg_max(return_value, seq) = -98")
@@ -125,7 +154,7 @@ SELECT 'w' AS world, user_id % 6 AS src, event_id % 6 AS dst, count(*) FILTER (W
 
 def _chains(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Conversations as chains: turn n called turn n + 1."""
-    c = read(s, d, "conversations").select(F.col("conv_id").alias("app"), (F.col("conv_id") * 100 + F.col("turn")).alias("id"), F.col("turn"), F.col("role").alias("host"), F.lit(0).alias("return_value"))
+    c = read(s, d, "conversations").select(F.col("conv_id").alias("app"), (F.col("conv_id") * 1_000_000 + F.col("turn")).alias("id"), F.col("turn"), F.col("role").alias("host"), F.lit(0).alias("return_value"))
     edges = c.filter("turn > 0").select("app", (F.col("id") - 1).alias("parent_id"), F.col("id").alias("child_id"))
     return c.filter("turn = 0").select("app", F.col("id").alias("root")), edges, c.drop("turn")
 
@@ -136,8 +165,8 @@ def s07_tree_json(s: SparkSession, d: str) -> DataFrame:
 
 
 register("s07_tree_json", s07_tree_json, """
-WITH c AS (SELECT conv_id AS app, turn, '{"msg":{"id":' || (conv_id * 100 + turn) || ',"host":"' || role || '","return_value":0}' AS m FROM conversations)
-SELECT app, app * 100 AS root, string_agg(m, ',"chained":[' ORDER BY turn) || '}' || repeat(']}', (count(*) - 1)::INT) AS json FROM c GROUP BY app""")
+WITH c AS (SELECT conv_id AS app, turn, '{"msg":{"id":' || (conv_id * 1000000 + turn) || ',"host":"' || role || '","return_value":0}' AS m FROM conversations)
+SELECT app, app * 1000000 AS root, string_agg(m, ',"chained":[' ORDER BY turn) || '}' || repeat(']}', (count(*) - 1)::INT) AS json FROM c GROUP BY app""")
 
 # -- task sources ------------------------------------------------------------------------------------------------
 
@@ -152,7 +181,27 @@ def _lines(s: SparkSession, d: str) -> DataFrame:
 register("s01_read_json_batches", lambda s, d: t.parse_batches(_lines(s, d))[0].select("app", "batch_user", "pos", "id", "function", "start_ts"),
          "SELECT user_id::INT AS app, 'demo' AS batch_user, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS pos, event_id::INT AS id, event_type AS function, (epoch_us(ts) // 1000) AS start_ts FROM events WHERE user_id % 10 > 0")
 register("s01_json_rejects", lambda s, d: t.parse_batches(_lines(s, d))[1].select(F.length("value").cast("long").alias("n")), "SELECT 100::BIGINT AS n FROM (SELECT DISTINCT user_id FROM events WHERE user_id % 10 = 0)")
-register("s02_write_json", lambda s, d: read(s, d, "events").select("event_id", t.message_json(F.col("event_id").alias("id"), F.lit(0).alias("type"), F.col("event_type").alias("input_data"), F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ts")).alias("json")),
+
+
+def s01_read_files(s: SparkSession, d: str) -> DataFrame:
+    """The batches as files: one request a line."""
+    at = scratch(s, "batches")
+    _lines(s, d).write.text(at)
+    return t.read_batches(s, at)[0].select("app", "batch_user", "pos", "id", "function", "start_ts")
+
+
+register("s01_read_files", s01_read_files,
+         "SELECT user_id::INT AS app, 'demo' AS batch_user, (row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1)::INT AS pos, event_id::INT AS id, event_type AS function, (epoch_us(ts) // 1000) AS start_ts FROM events WHERE user_id % 10 > 0")
+
+
+def s02_write_json(s: SparkSession, d: str) -> DataFrame:
+    """The messages through the sink, as the lines that stand in its files."""
+    at = scratch(s, "json")
+    t.write_json(read(s, d, "events").select(F.col("event_id").alias("id"), F.lit(0).alias("type"), F.col("event_type").alias("input_data"), F.unix_millis(F.col("ts").cast("timestamp")).alias("start_ts")), at)
+    return s.read.text(at).select(F.get_json_object("value", "$.id").cast("long").alias("event_id"), F.col("value").alias("json"))
+
+
+register("s02_write_json", s02_write_json,
          """SELECT event_id, '{"id":' || event_id || ',"type":0,"input_data":"' || event_type || '","start_ts":' || (epoch_us(ts) // 1000) || '}' AS json FROM events""")
 
 
@@ -166,6 +215,17 @@ def _occupancy(s: SparkSession, d: str) -> DataFrame:
 SLOTS = """o AS (SELECT s_nationkey AS file, s_suppkey AS k, s_name AS host, i, CASE WHEN s_suppkey % (i + 2) = 0 THEN -1 ELSE (s_suppkey + i) % 9 END AS app FROM supplier LEFT JOIN range(4) t(i) ON i < s_suppkey % 5)"""
 register("s03_occupancy_hosts", lambda s, d: t.parse_occupancy(_occupancy(s, d))[0], f"WITH {SLOTS} SELECT file, host, count(i) AS slots, count(*) FILTER (WHERE i IS NOT NULL AND app <> -1) AS used FROM o GROUP BY ALL")
 register("s03_occupancy_placements", lambda s, d: t.parse_occupancy(_occupancy(s, d))[1], f"WITH {SLOTS} SELECT file, app::INT AS app, (row_number() OVER (PARTITION BY file, app ORDER BY k, i) - 1)::INT AS pos, host FROM o WHERE i IS NOT NULL AND app <> -1")
+
+
+def s03_read_occupancy(s: SparkSession, d: str) -> DataFrame:
+    """The occupancy files as files."""
+    at = scratch(s, "occupancy")
+    _occupancy(s, d).write.partitionBy("file").text(at)
+    hosts = t.read_occupancy(s, f"{at}/file=*")[0]
+    return hosts.withColumn("file", F.regexp_extract("file", "file=([0-9]+)", 1).cast("int"))
+
+
+register("s03_read_occupancy", s03_read_occupancy, f"WITH {SLOTS} SELECT file::INT AS file, host, count(i) AS slots, count(*) FILTER (WHERE i IS NOT NULL AND app <> -1) AS used FROM o GROUP BY ALL")
 register("s04_generate_tasks", lambda s, d: t.generate_tasks(read(s, d, "nation").select(F.col("n_nationkey").alias("app"), F.lit("demo").alias("user"), F.col("n_name").alias("function"), (F.col("n_nationkey") % 6).alias("count"))),
          "SELECT n_nationkey AS app, i::INT AS app_idx, 'demo' AS user, n_name AS function FROM nation, range(5) t(i) WHERE i < n_nationkey % 6")
 
@@ -192,8 +252,10 @@ def _tasks(s: SparkSession, d: str) -> DataFrame:
 
 register("p02_stamp", lambda s, d: p.stamp(_tasks(s, d), s.range(0, 100, 3).select(F.col("id").alias("app"), (F.col("id") + 5000).alias("new")), "app").select("natural", "app"),
          "SELECT event_id AS natural, CASE WHEN a % 3 = 0 AND a < 100 THEN a + 5000 ELSE a END AS app FROM (SELECT event_id, CASE WHEN event_id % 5 > 0 THEN user_id ELSE 0 END AS a FROM events)")
-register("p03_fill_fields", lambda s, d: p.fill_fields(_tasks(s, d).filter("id <> 0 and app <> 0"), 777, ["natural"]),
-         "SELECT event_id AS id, user_id AS app, CASE WHEN event_id % 3 > 0 THEN event_id * 10 ELSE 777 END AS start_ts, event_id AS natural, 'result_' || event_id AS result_key, 'status_' || event_id AS status_key FROM events WHERE event_id % 4 > 0 AND event_id % 5 > 0 AND user_id <> 0")
+register("p03_fill_fields", lambda s, d: p.fill_fields(_tasks(s, d), 777, ["natural"]), """
+WITH h AS (SELECT *, ('0x' || substr(md5('id:' || event_id), 1, 8))::BIGINT % 2147483647 + 1 AS a, ('0x' || substr(md5('app:' || event_id), 1, 8))::BIGINT % 2147483647 + 1 AS b FROM events),
+f AS (SELECT CASE WHEN event_id % 4 > 0 AND event_id > 0 THEN event_id ELSE a END AS id, CASE WHEN event_id % 5 > 0 AND user_id <> 0 THEN user_id ELSE b END AS app, CASE WHEN event_id % 3 > 0 THEN event_id * 10 ELSE 777 END AS start_ts, event_id AS natural FROM h)
+SELECT *, 'result_' || id AS result_key, 'status_' || id AS status_key FROM f""")
 
 
 def _register_log(s: SparkSession, d: str) -> DataFrame:
@@ -206,8 +268,11 @@ WITH l AS (SELECT user_id AS host, max(((epoch_us(ts) // 1000), floor(value)::BI
 SELECT host, x[1] AS register_ts, x[2] AS slots, x[3] AS used FROM l WHERE {NOW} - x[1] <= 3600000""")
 register("p05_host_registry", lambda s, d: p.host_registry(read(s, d, "events").select(
     F.col("event_id").alias("seq"), F.col("user_id").alias("host"), F.when(F.col("event_type") == "error", "remove").otherwise("register").alias("op"), F.unix_millis(F.col("ts").cast("timestamp")).alias("ts"),
-    (F.floor("value") % 8 - 1).alias("slots"), F.lit(0).cast("long").alias("used"), (F.col("event_type") == "purchase").alias("overwrite")), 36000))
-register("p06_exclude_tenants", lambda s, d: p.exclude_tenants(read(s, d, "supplier").select(F.col("s_suppkey").alias("host")), read(s, d, "orders").select((F.col("o_custkey") % 150).alias("host"), (F.col("o_orderkey") % 40).alias("tenant")).filter("tenant < 2"), 1),
+    (F.floor("value") % 8 - 1).alias("slots"), F.lit(0).cast("long").alias("used"), (F.col("event_type") == "purchase").alias("overwrite")), 36000), """
+WITH l AS (SELECT event_id AS seq, user_id AS host, event_type, epoch_us(ts) // 1000 AS ts, floor(value)::BIGINT % 8 - 1 AS slots FROM events),
+k AS (SELECT l.*, lag(l.ts) OVER (PARTITION BY host ORDER BY seq) AS before FROM l LEFT JOIN (SELECT host, max(seq) AS gone FROM l WHERE event_type = 'error' GROUP BY host) USING (host) WHERE event_type <> 'error' AND slots >= 0 AND (gone IS NULL OR seq > gone))
+SELECT host, arg_max(slots, seq) FILTER (WHERE before IS NULL OR event_type = 'purchase' OR ts - before > 36000000) AS slots, 0::BIGINT AS used, arg_max(ts, seq) AS register_ts FROM k GROUP BY host""")
+register("p06_exclude_tenants", lambda s, d: p.exclude_tenants(read(s, d, "supplier").select(F.col("s_suppkey").alias("host")), read(s, d, "orders").select((F.col("o_custkey") % 150).alias("host"), F.when(F.col("o_orderkey") % 40 == 0, 0).otherwise(1).alias("tenant")), 1),
          "SELECT s_suppkey AS host FROM supplier WHERE s_suppkey NOT IN (SELECT o_custkey % 150 FROM orders WHERE o_orderkey % 40 = 0)")
 
 

@@ -27,6 +27,11 @@ def message_json(*columns: str | Column) -> Column:
     return F.to_json(F.struct(*columns))
 
 
+def write_json(messages: DataFrame, path: str) -> None:
+    """The JSON sink: one message a line, columns by their names on the wire, nulls left out."""
+    messages.select(F.to_json(F.struct(*messages.columns)).alias("value")).write.text(path)
+
+
 def parse_occupancy(files: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(hosts, placements) of occupancy files (file, value): after a header, each line has a host and one app per slot,
     -1 for an empty one. hosts: (file, host, slots, used); placements: (file, app, pos, host), numbered per app in

@@ -10,10 +10,13 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
 
+from ..operators.diffmerge import fold_by_op
+from ..operators.results import FROZEN, MIGRATED
 from ..operators.state import fold_key
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -51,105 +54,159 @@ def reorder(messages: DataFrame) -> DataFrame:
 
 
 class LiveState(StatefulProcessor):
-    """Per key: its value and the time at which that ends."""
+    """Per key: its value with the time at which that ends, and its list of appended values."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "value string, ends double")
+        self.appended = handle.getListState("appended", "value string")
+        self.length = handle.getValueState("length", "n long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("seq")
         value, ends = self.state.get() if self.state.exists() else (None, None)
-        out = []
-        for seq, done, value, ends in fold_key(zip(pdf["seq"], pdf["at"], pdf["op"], pdf["arg"], pdf["ttl"]), value, ends):
-            out.append((key[0], int(seq), done))
+        n = self.length.get()[0] if self.length.exists() else 0
+        out, waiting = [], []
+        steps = zip(*[pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("seq", "at", "op", "arg", "ttl", "offset")])
+        for row, done, value, ends in fold_key(steps, value, ends):
+            if row[2] == "append":
+                waiting.append((row[3],))
+                n += 1
+            elif row[2] == "clear":
+                self.appended.clear()
+                waiting, n = [], 0
+            out.append((key[0], int(row[0]), done, value, n))
+        if waiting:
+            self.appended.appendList(waiting)
+        self.length.update((n,))
         if value is None:
             self.state.clear()
         else:
             self.state.update((value, ends))
-        yield pd.DataFrame(out, columns=["key", "seq", "done"])
+        yield pd.DataFrame(out, columns=["key", "seq", "done", "value", "appended"])
 
     def close(self) -> None:
         pass
 
 
 def live_state(ops: DataFrame) -> DataFrame:
-    """Whether each operation (key, seq, at, op, arg, ttl) took effect; operations of a key must come in order."""
-    return ops.groupBy("key").transformWithStateInPandas(LiveState(), outputStructType="key long, seq long, done boolean", outputMode="Append", timeMode="None")
+    """(key, seq, done, value, appended) after each operation (key, seq, at, op, arg, ttl, offset), as from
+    conditional_writes; operations of a key must come in order of their batches."""
+    return ops.groupBy("key").transformWithStateInPandas(
+        LiveState(), outputStructType="key long, seq long, done boolean, value string, appended long", outputMode="Append", timeMode="None")
 
 
 class BatchProgress(StatefulProcessor):
-    """Per app: the tasks that have a result. Says so once when the last one has come."""
+    """Per app: the latest result of each task that has one. Says so once when the last task has come."""
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.seen = handle.getMapState("seen", "id long", "return_value int")
-        self.count = handle.getValueState("count", "n long, failed long")
+        self.frozen = handle.getMapState("frozen", "id long", "seq long")
+        self.count = handle.getValueState("count", "n long, failed long, frozen long, over boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, failed = self.count.get() if self.count.exists() else (0, 0)
-        out = []
-        for pdf in rows:
-            for task, value, expected in zip(pdf["id"], pdf["return_value"], pdf["expected"]):
-                if not self.seen.containsKey((int(task),)):
-                    self.seen.updateValue((int(task),), (int(value),))
-                    n, failed = n + 1, failed + (value != 0)
-                    if n == expected:
-                        out.append((key[0], n, failed))
-        self.count.update((n, failed))
-        yield pd.DataFrame(out, columns=["app", "done", "failed"])
+        n, failed, frozen, over = self.count.get() if self.count.exists() else (0, 0, 0, False)
+        out, pdf = [], pd.concat(list(rows)).sort_values("seq")
+        for seq, task, value, expected in zip(pdf["seq"], pdf["id"], pdf["return_value"], pdf["expected"]):
+            at = (int(task),)
+            if value == MIGRATED:
+                continue
+            if value == FROZEN:
+                frozen += not self.frozen.containsKey(at)
+                self.frozen.updateValue(at, (int(seq),))
+                continue
+            before = self.seen.getValue(at)[0] if self.seen.containsKey(at) else None
+            self.seen.updateValue(at, (int(value),))
+            n, failed = n + (before is None), failed + (value != 0) - (before is not None and before != 0)
+            if n == expected and not over:
+                over = True
+                out.append((key[0], n, failed, frozen))
+        self.count.update((n, failed, frozen, over))
+        yield pd.DataFrame(out, columns=["app", "done", "failed", "frozen"])
 
     def close(self) -> None:
         pass
 
 
 def batch_progress(results: DataFrame) -> DataFrame:
-    """(app, done, failed) of each app whose `expected` tasks have all reported. results: (app, id, return_value,
-    expected); of repeated results the first counts."""
-    return results.groupBy("app").transformWithStateInPandas(BatchProgress(), outputStructType="app long, done long, failed long", outputMode="Append", timeMode="None")
+    """(app, done, failed, frozen) of each app when the last of its `expected` tasks reports. results: (app, id, seq,
+    return_value, expected). As in result_table, of repeated results the latest counts, migrated ones are ignored, and
+    frozen ones are kept apart: `frozen` tasks have reported so until then."""
+    return results.groupBy("app").transformWithStateInPandas(
+        BatchProgress(), outputStructType="app long, done long, failed long, frozen long", outputMode="Append", timeMode="None")
 
 
-def wait_for_results(requests: DataFrame, results: DataFrame, timeout: str) -> DataFrame:
+def wait_for_results(requests: DataFrame, results: DataFrame, timeout: str, late: str = "1 hour") -> DataFrame:
     """Requests (app, id, asked) joined to results (app, id, ts, return_value) that come within the time-out; after
-    it, a request without one gets a null result."""
-    q = requests.withWatermark("asked", "0 seconds").alias("q")
-    r = results.withWatermark("ts", "0 seconds").alias("r")
+    it, a request without one gets a null result. Rows that are more than `late` behind the newest row of their stream
+    are dropped."""
+    q = requests.withWatermark("asked", late).alias("q")
+    r = results.withWatermark("ts", late).alias("r")
     on = F.expr(f"q.app = r.app and q.id = r.id and r.ts >= q.asked and r.ts <= q.asked + interval {timeout}")
     return q.join(r, on, "left").select("q.app", "q.id", "q.asked", "r.ts", "r.return_value")
 
 
-def host_sessions(beats: DataFrame, timeout: str) -> DataFrame:
+def host_sessions(beats: DataFrame, timeout: str, late: str = "1 hour") -> DataFrame:
     """(host, start, end, beats): spans in which a host (host, ts) was never silent for `timeout`; it drops out at
-    the end of one."""
-    s = beats.withWatermark("ts", "0 seconds").groupBy("host", F.session_window("ts", timeout).alias("w")).agg(F.count("*").alias("beats"))
+    the end of one. Beats that are more than `late` behind the newest one are dropped."""
+    s = beats.withWatermark("ts", late).groupBy("host", F.session_window("ts", timeout).alias("w")).agg(F.count("*").alias("beats"))
     return s.select("host", F.col("w.start").alias("start"), F.col("w.end").alias("end"), "beats")
 
 
 def merge_diffs(diffs: DataFrame) -> DataFrame:
-    """Running sums per (dataset, slot) of diffs (dataset, slot, delta), for an update or complete sink."""
-    return diffs.groupBy("dataset", "slot").agg(F.sum("delta").alias("delta"), F.count("*").alias("n_diffs"))
+    """Running folds (dataset, slot, op, delta, n_diffs) of diffs (dataset, slot, op, delta, worker, seq) of all
+    operations, for an update or complete sink: the aggregation of fold_by_op."""
+    return fold_by_op(diffs)
 
 
-def upsert_into(path: str, keys: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: each batch's rows replace those of their keys in a table of numbered versions, of which
-    the last one that is whole is the current state. A repeated batch writes its version again."""
+def upsert_into(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: each batch's rows replace those of their keys in a table that is dealt into buckets by
+    key. A batch rewrites only the buckets that it touches, as a new version; `read_upserts` reads each bucket's last
+    one. A repeated batch writes its version again; old versions
+    are left to the folder's own clean-up."""
 
     def write(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        old = spark.read.parquet(f"{path}/v{number - 1}") if number else None
-        rows = batch if old is None else old.join(batch, keys, "left_anti").unionByName(batch)
-        rows.write.mode("overwrite").parquet(f"{path}/v{number}")
+        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
+        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most `buckets` numbers
+        last = {b: v for b, v in _versions(spark, path).items() if v < number and b in touched}
+        old = [f"{path}/_version={v}/_bucket={b}" for b, v in last.items()]
+        if old:
+            kept = spark.read.schema(batch.schema).option("basePath", path).parquet(*old).select(*batch.columns)
+            kept = kept.join(batch, keys, "left_anti").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
+            made = kept.unionByName(rows)
+        else:
+            made = rows
+        made.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_version={number}")
+        rows.unpersist()
 
     return write
 
 
-def stream_of(df: DataFrame, folder: str, order: str, files: int = 3) -> DataFrame:
-    """df as a stream: written as `files` Parquet files in ranges of `order`, read one file a batch. Files are added
-    one after the other, since the source reads them by age."""
+def _versions(spark: SparkSession, path: str) -> dict[int, int]:
+    """Bucket -> last version; at most one entry a bucket."""
+    try:
+        parts = spark.read.option("basePath", path).parquet(path).select("_bucket", "_version")
+    except AnalysisException:  # nothing is written yet
+        return {}
+    return {r[0]: r[1] for r in parts.groupBy("_bucket").agg(F.max("_version").alias("v")).collect()}
+
+
+def read_upserts(spark: SparkSession, path: str) -> DataFrame:
+    """The table that upsert_into keeps."""
+    parts = [f"{path}/_version={v}/_bucket={b}" for b, v in _versions(spark, path).items()]
+    return spark.read.option("basePath", path).parquet(*parts).drop("_bucket", "_version")
+
+
+def stream_of(df: DataFrame, folder: str, order: str, steps: int = 3, files: int = 4) -> DataFrame:
+    """df as a stream: written as `steps` ranges of `order`, one read a batch. A range is written by `files` tasks, of
+    which each has rows if the range has as many; ranges are added one after the other, since the source reads files by
+    age."""
     spark = df.sparkSession
-    df.repartitionByRange(files, order).sortWithinPartitions(order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(f"{folder}-parts")
+    df.repartitionByRange(steps, order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(f"{folder}-parts")
     parts = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, _part int").parquet(f"{folder}-parts")
-    for part in range(files):
-        parts.filter(F.col("_part") == part).drop("_part").coalesce(1).write.mode("append").parquet(folder)
-    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(folder)
+    for part in range(steps):
+        parts.filter(F.col("_part") == part).drop("_part").repartition(files).write.mode("append").parquet(folder)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", files).parquet(folder)
 
 
 def drain(stream: DataFrame, folder: str) -> DataFrame:

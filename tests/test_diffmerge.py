@@ -71,14 +71,45 @@ def test_fork_join(spark):
     rows = [("d", w, s, v) for w, changed in enumerate(([15, 20, 33, 40, 51, 60], [12, 25, 30, 44, 50, 60])) for s, v in enumerate(changed)] + [("d", 1, 6, 99)]
     versions = spark.createDataFrame(rows, "dataset string, worker int, slot long, value long")
     regions = spark.createDataFrame([("d", 0, 2, "sum"), ("d", 2, 2, "max"), ("d", 4, 1, "ignore")], "dataset string, lo long, len long, op string")
-    out = m.fork_join(base, versions, regions).orderBy("slot").collect()
-    assert [r.value for r in out] == [17, 25, 33, 44, 50, 60, 99]
+    out, rejects = m.fork_join(base, versions, regions)
+    assert [r.value for r in out.orderBy("slot").collect()] == [17, 25, 33, 44, 50, 60, 99] and rejects.isEmpty()
+
+
+def test_products_of_a_zero_base_are_rejects(spark):
+    base = cells(spark, [0, 3, 0])
+    versions = spark.createDataFrame([("d", w, s, v) for w, values in ((5, (0, 6, 0)), (6, (6, 9, 0))) for s, v in enumerate(values)], "dataset string, worker int, slot long, value long")
+    regions = spark.createDataFrame([("d", 0, 3, "product")], "dataset string, lo long, len long, op string")
+    out, rejects = m.fork_join(base, versions, regions)
+    assert [r.value for r in out.orderBy("slot").collect()] == [0, 18, 0]
+    assert [(r.slot, r.worker) for r in rejects.collect()] == [(0, 6)]
+
+
+def test_overlapping_regions_apply_in_order(spark):
+    base = cells(spark, [10, 20, 30, 40])
+    versions = spark.createDataFrame([("d", w, s, v) for w, values in enumerate(((10, 20, 35, 41), (10, 20, 31, 48))) for s, v in enumerate(values)], "dataset string, worker int, slot long, value long")
+    regions = spark.createDataFrame([("d", 0, 3, "sum"), ("d", 2, 2, "max")], "dataset string, lo long, len long, op string")
+    out, _ = m.fork_join(base, versions, regions)
+    # Slot 2: 30 + 5, then max with 35; then + 1, then max with 31. Slot 3 is max alone.
+    assert [(r.slot, r.value) for r in out.orderBy("slot").collect()] == [(0, 10), (1, 20), (2, 36), (3, 48)]
+
+
+def test_products_are_exact(spark):
+    rows = [("d", 0, "product", v, i, 0) for i, v in enumerate((3037000501, 3000000019))] + [("d", 1, "product", v, i, 0) for i, v in enumerate((-1, 1, 7, -1, -1))] + [("d", 2, "product", v, i, 0) for i, v in enumerate((0, 9, 9))]
+    diffs = spark.createDataFrame(rows, "dataset string, slot long, op string, delta long, worker int, seq int")
+    assert {r.slot: r.delta for r in m.fold_by_op(diffs).collect()} == {0: 3037000501 * 3000000019, 1: -7, 2: 0}
+
+
+def test_change_log_merges_ranges(spark):
+    changes = spark.createDataFrame([(k, v, lo, n) for k in ("d", None) for v, lo, n in ((1, 0, 2), (3, 5, 3), (4, 5, 3), (5, 7, 4), (6, 20, 1), (7, 21, 1))], "dataset string, version int, lo long, len long")
+    clears = spark.createDataFrame([("d", 2)], "dataset string, version int")
+    out = sorted((str(r.dataset), r.offset, r.length) for r in m.change_log(changes, clears).collect())
+    assert out == [("None", 0, 2), ("None", 5, 6), ("None", 20, 2), ("d", 5, 6), ("d", 20, 2)]
 
 
 def test_diff_then_apply_is_the_new_version(spark):
     a, b = cells(spark, [1, 2, 3, 4, 5]), cells(spark, [1, 7, 3, 0, 9, 8])
     regions = spark.createDataFrame([("d", 0, 2, "sum"), ("d", 2, 2, "xor")], "dataset string, lo long, len long, op string")
-    out = m.apply_diffs(a, m.diff_regions(a, b, m.fill_gaps(regions, m.sizes_of(a))))
+    out = m.apply_diffs(a, m.diff_regions(a, b, m.fill_gaps(regions, m.sizes_of(a))).drop("region"))
     assert out.exceptAll(b).isEmpty() and b.exceptAll(out).isEmpty()
 
 

@@ -11,7 +11,7 @@ from driftloom.plans import catalog
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 SAMPLE = ["c09_allreduce", "c20_all_to_allv", "d10_fork_join", "k16_queue_replay", "b02_batch_status", "g05_migrated_rank_hosts", "a10_repack_plan", "m02_deliver", "p01_batch_validity", "s03_occupancy_placements", "f05_names",
-          "u04_chained_tasks", "t01_reorder", "t02_live_state", "t05_host_sessions", "t06_merge_diffs"]
+          "u04_chained_tasks", "t01_reorder", "t02_live_state", "t05_host_sessions", "t06_merge_diffs", "d10_overlaps", "d14_paged_delta_xor", "k18_conditional_writes", "p05_host_registry", "p03_fill_fields", "b04_flight_report", "c18_allgatherv", "t03_batch_progress"]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="the tables are not here")
 

@@ -85,9 +85,18 @@ def test_chunks_and_ranges(spark):
 
 
 def test_conditional_writes(spark):
-    rows = [("a", 1, 0.0, "setnx", "x", 10.0), ("a", 2, 5.0, "setnx", "y", None), ("a", 3, 11.0, "setnx", "y", None), ("a", 4, 12.0, "delifeq", "x", None), ("a", 5, 12.0, "delifeq", "y", None), ("a", 6, 13.0, "del", None, None)]
-    ops = spark.createDataFrame(rows, "key string, seq long, at double, op string, arg string, ttl double")
-    assert [r.done for r in k.conditional_writes(ops).orderBy("seq").collect()] == [True, False, True, False, True, False]
+    rows = [("setnx", "x", 10.0, 0.0), ("setnx", "y", None, 5.0), ("setnx", "y", None, 11.0), ("delifeq", "x", None, 12.0), ("delifeq", "y", None, 12.0), ("del", None, None, 13.0)]
+    ops = spark.createDataFrame([(k, i, at, op, arg, ttl, None) for k in ("a", None) for i, (op, arg, ttl, at) in enumerate(rows)], "key string, seq long, at double, op string, arg string, ttl double, offset long")
+    for key in ("key = 'a'", "key is null"):
+        assert [r.done for r in k.conditional_writes(ops).filter(key).orderBy("seq").collect()] == [True, False, True, False, True, False]
+
+
+def test_live_value_and_list(spark):
+    rows = [("append", "p", None, None), ("set", "abcdef", None, None), ("chunk", "XY", None, 4), ("chunk", "XY", None, 5), ("append", "q", None, None), ("expire", None, 2.0, None), ("clear", None, None, None),
+            ("append", "r", None, None), ("chunk", "Z", None, 0), ("bogus", None, None, None)]
+    ops = spark.createDataFrame([("a", i, float(i), op, arg, ttl, at) for i, (op, arg, ttl, at) in enumerate(rows)], "key string, seq long, at double, op string, arg string, ttl double, offset long")
+    out = [(r.done, r.value, r.appended) for r in k.conditional_writes(ops).orderBy("seq").collect()]
+    assert out == [(True, None, 1), (True, "abcdef", 1), (True, "abcdXY", 1), (False, "abcdXY", 1), (True, "abcdXY", 2), (True, "abcdXY", 2), (True, "abcdXY", 0), (True, None, 1), (False, None, 1), (False, None, 1)]
 
 
 def test_counters_start_at_zero(spark):
