@@ -1,9 +1,9 @@
 """Chat formatting by schema fingerprints.
 
-A layout is a set of nested field paths with a declarative mapping to canonical turns. Tables are matched by
-the fingerprint (SHA-256 of the sorted paths) of the largest known set of paths in their schema, JSON records row
-by row by that of the largest known set that they hold. Other paths are ignored, so extra columns and fields do
-no harm. All work is done by DataFrame expressions.
+A layout is a set of nested field paths with a declarative mapping to canonical turns. The sorted paths of a table's
+schema, or of each JSON record, are hashed (SHA-256), and the fingerprint selects the layout. A fingerprint that is not
+listed takes the layout of the largest known set of paths that it holds, which is found once for each fingerprint:
+extra columns and fields do no harm. All work is done by DataFrame expressions.
 
 The template writes each turn as <|im_start|>role, a new line, the text, <|im_end|> and a new line. Texts and
 roles are escaped (& as &amp;, <| as &lt;|, in roles also the new line), so no control string can stand inside
@@ -62,10 +62,10 @@ def field_paths(schema: T.StructType, prefix: str = "") -> list[str]:
 
 
 def layout_of(schema: T.StructType) -> str:
-    """The layout by the fingerprint of the largest known set of paths that the schema holds."""
+    """The layout by the fingerprint of the schema's paths; for unknown ones that of the largest known set of paths that
+    they hold."""
     found = set(field_paths(schema))
-    held = next((x["paths"] for x in BY_SIZE if found.issuperset(x["paths"])), [])
-    name = BY_FINGERPRINT.get(fingerprint(held))
+    name = BY_FINGERPRINT.get(fingerprint(list(found))) or next((BY_FINGERPRINT[fingerprint(x["paths"])] for x in BY_SIZE if found.issuperset(x["paths"])), None)
     if name is None:
         raise ValueError(f"no layout is held by the paths {sorted(found)}")
     return name
@@ -101,29 +101,62 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("conv_id"), F.inline_outer(_turns(layout, field).cast(TURNS)))
 
 
-def canonical_records(df: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
-    """(conv_id, turn, role, text) of JSON records of mixed layouts, and (conv_id, null, null, null) for a record
-    that is no JSON or has no known layout."""
-    v = F.try_parse_json(F.col(record_col))
+def record_paths(record: Column) -> Column:
+    """Sorted field paths of a JSON object, two levels deep, null for anything else. Elements of a list add []; a path
+    whose values are all null ends with ?."""
+    empty = lambda value: value.isNull() | F.is_variant_null(value)
+
+    def marked(entries: Column, prefix: Column) -> Column:
+        keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+        full = F.transform(F.filter(entries, lambda e: ~empty(e["value"])), lambda e: e["key"])
+        return F.transform(keys, lambda k: F.concat(prefix, k, F.when(F.array_contains(full, k), "").otherwise("?")))
+
+    def below(entry: Column) -> Column:
+        key, value = entry["key"], entry["value"]
+        objects = F.try_variant_get(value, "$", "array<map<string,variant>>")
+        inside = F.flatten(F.transform(objects, lambda x: F.map_entries(F.coalesce(x, F.create_map().cast("map<string,variant>")))))
+        lists = F.when(F.size(inside) > 0, marked(inside, F.concat(key, F.lit("[].")))).otherwise(F.array(F.concat(key, F.lit("[]"))))
+        one = F.try_variant_get(value, "$", "map<string,variant>")
+        plain = F.array(F.concat(key, F.when(empty(value), "?").otherwise("")))
+        return F.when(objects.isNotNull(), lists).when(one.isNotNull(), marked(F.map_entries(one), F.concat(key, F.lit(".")))).otherwise(plain)
+
+    top = F.try_variant_get(F.try_parse_json(record), "$", "map<string,variant>")
+    return F.sort_array(F.flatten(F.transform(F.map_entries(top), below)))
+
 
-    def text(path: str) -> Column:
-        return F.try_variant_get(v, path, "string")
+def _resolved(paths: Column, found: Column) -> Column:
+    """Layout name: that of the known fingerprint, else of the largest known set of paths that is held; of sets of one
+    size one without nulls."""
+    bare = F.transform(paths, lambda x: F.rtrim(x, F.lit("?")))
+    out = F.when(F.lit(False), "")
+    for name, layout in LAYOUTS.items():
+        out = out.when(found == fingerprint(layout["paths"]), name)
+    order = sorted(((name, x, held) for name, x in LAYOUTS.items() if "rows" not in x for held in (paths, bare)), key=lambda y: (-len(y[1]["paths"]), y[2] is bare))
+    for name, layout, held in order:
+        out = out.when(F.size(F.array_except(F.array(*[F.lit(p) for p in layout["paths"]]), held)) == 0, name)
+    return out.when(F.array_contains(paths, "messages[]"), "messages").when(F.array_contains(paths, "conversations[]"), "from_value")
 
-    def filled(path: str) -> Column:
-        return text("$." + path.replace("[].", "[0].")).isNotNull()
 
-    def has(path: str) -> Column:
-        name, _, key = path.partition("[].")
-        if key:
-            return F.exists(F.try_variant_get(v, f"$.{name}", "array<map<string,variant>>"), lambda x: F.map_contains_key(x, key))
-        return F.map_contains_key(F.try_variant_get(v, "$", "map<string,variant>"), name)
+def record_layouts(df: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
+    """(conv_id, record, fingerprint, paths, layout) of JSON records. The nested paths of each record are hashed, and the
+    hash is joined to a mapping table, which has one row for each fingerprint that occurs; so a layout is chosen once per
+    fingerprint, not per record. The layout of an unknown fingerprint is null."""
+    rows = df.select(F.col(id_col).cast("long").alias("conv_id"), F.col(record_col).alias("record"), record_paths(F.col(record_col)).alias("paths"))
+    rows = rows.withColumn("fingerprint", F.sha2(F.array_join("paths", "|"), 256))
+    shapes = rows.filter("fingerprint is not null").groupBy("fingerprint").agg(F.min("paths").alias("paths"))
+    mapping = shapes.select("fingerprint", _resolved(F.col("paths"), F.col("fingerprint")).alias("layout"))
+    return rows.join(mapping, "fingerprint", "left").select("conv_id", "record", "fingerprint", "paths", "layout")
 
-    # The largest known set of paths that the record holds, be they null; of sets of one size one without nulls.
-    order = sorted(((x, test) for x in BY_SIZE if "rows" not in x for test in (filled, has)), key=lambda y: (-len(y[0]["paths"]), y[1] is has))
-    whole = [F.when(reduce(lambda a, b: a & b, [test(p) for p in x["paths"]]), F.lit("|".join(sorted(x["paths"])))) for x, test in order]
-    held = F.coalesce(*whole, F.lit(""))
-    df = df.select(F.col(id_col).cast("long").alias("conv_id"), F.col(record_col).alias("_record"), F.sha2(held, 256).alias("_fingerprint"))
-    v = F.try_parse_json(F.col("_record"))
+
+def unknown_records(df: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
+    """The rejects: records of no known layout, with their fingerprint and paths (null for what is no JSON object)."""
+    return record_layouts(df, id_col, record_col).filter("layout is null").drop("layout")
+
+
+def canonical_records(df: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
+    """(conv_id, turn, role, text) of JSON records of mixed layouts, and (conv_id, null, null, null) for a record
+    that is no JSON object, has no known layout or an empty list of turns. Null texts are empty."""
+    v = F.try_parse_json(F.col("record"))
 
     def field(name, role=None, text_field=None):
         if role is None:
@@ -131,11 +164,11 @@ def canonical_records(df: DataFrame, id_col: str = "conv_id", record_col: str =
         rows = F.try_variant_get(v, f"$.{name}", f"array<struct<`{role}`:string,`{text_field}`:string>>")
         return F.transform(rows, lambda x: F.struct(x[role].alias("role"), x[text_field].alias("text")))
 
-    turns = reduce(
-        lambda c, kv: c.when(F.col("_fingerprint") == kv[0], _turns(LAYOUTS[kv[1]], field).cast(TURNS)),
-        [kv for kv in BY_FINGERPRINT.items() if "rows" not in LAYOUTS[kv[1]]], F.when(F.lit(False), F.lit(None).cast(TURNS)),
-    )
-    return df.select("conv_id", F.inline_outer(turns))
+    turns = F.when(F.lit(False), F.lit(None).cast(TURNS))
+    for name, layout in LAYOUTS.items():
+        if "rows" not in layout:
+            turns = turns.when(F.col("layout") == name, _turns(layout, field).cast(TURNS))
+    return record_layouts(df, id_col, record_col).select("conv_id", F.inline_outer(turns))
 
 
 def escape(text: Column) -> Column:
