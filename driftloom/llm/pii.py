@@ -6,7 +6,9 @@ letters and digits, the same digits, the same part before the @) share skip pote
 are. The tokens of a kind of likeness link to hubs, the first one that the base patterns know of each label or
 else the first one, so any two are at most two links apart and links grow with the tokens, not with their pairs.
 Loopy sum-product passes carry labels along both until they settle, so what is personal data in one place
-becomes so in the others. Token, chain and skip weights are fitted on a bounded sample of the corpus.
+becomes so in the others. Token, chain and skip weights are fitted together on a bounded sample of the corpus.
+
+Secrets, values that are assigned to a name like token or password, are found by a pattern and kept apart.
 """
 
 from __future__ import annotations
@@ -29,6 +31,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+SECRET_NAME = re.compile(r"(?i:token|secret|passw(?:or)?d|api[_-]?key|private[_-]?key|access[_-]?key)")
+SECRET_VALUE = re.compile(r"[\x20]{0,4}[=:][\x20]{0,4}[\"']?([A-Za-z0-9/+_-]{20,})")
 SIGN = re.compile(r"[0-9@+][^\x20\x09-\x0D]*+")
 SPACE = frozenset(" \t\n\x0b\f\r")
 EDGES = ".,;:!?()[]{}\"'|<>#*$%&"
@@ -84,6 +88,14 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
             yield m.span()
 
 
+def secrets(text: str) -> Iterator[tuple[int, int]]:
+    """Values of at least 20 letters, digits, /, +, _ or - with a digit among them that are assigned to a secret's name."""
+    for name in SECRET_NAME.finditer(text):
+        m = SECRET_VALUE.match(text, name.end())
+        if m and any(c.isdigit() for c in m[1]):
+            yield m.span(1)
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(label, start, end) by kind, then start."""
     out = []
@@ -182,54 +194,71 @@ def chain_links(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return [(i - 1, i) for i in range(1, len(spans)) if spans[i][0] - spans[i - 1][1] <= 3]
 
 
-def fit_texts(texts: list[str], steps: int = 300) -> Field:
-    """Weights from texts labelled by their base spans: softmax regression for tokens, smoothed log odds of
-    label pairs for chain and skip links."""
-    xs, ys, pairs = [], [], {"chain": np.full((N, N), 0.5), "skip": np.full((N, N), 0.5)}
+def fit_texts(texts: list[str], steps: int = 400, hidden: float = 0.5, prior: float = 4.0, strength: float = 20.0, seed: int = 0) -> Field:
+    """Weights from texts labelled by their base spans: token, chain and skip weights together, by the pseudo-likelihood
+    of each label given its features and its neighbours' labels.
+
+    The base patterns tell a token's label by its looks alone, which would leave the links nothing to explain. So a
+    share `hidden` of the tokens is seen without its features: these must be told by their neighbours. The prior of the
+    skip weights says that like tokens agree (mean `prior` on the diagonal), with the weight of `strength` tokens."""
+    xs, ys, chains, skips, n = [], [], [], [], 0
     for text in texts:
         spans = tokens(text)
         if spans:
             labels = observed(spans, base_spans(text))
             xs.append(features(text, spans))
             ys.append(labels)
-            for name, links in (("chain", chain_links(spans)), ("skip", skip_links(text, spans, labels))):
-                for i, j in links:
-                    pairs[name][labels[i], labels[j]] += 1
-    model = Field()
+            chains += [(i + n, j + n) for i, j in chain_links(spans)]
+            skips += [(i + n, j + n) for i, j in skip_links(text, spans, labels)]
+            n += len(spans)
+    model = Field(skip=prior * np.eye(N))
     if not xs:
         return model
-    x, y = np.concatenate(xs), np.concatenate(ys)
-    goal, w = np.eye(N)[y], np.zeros((x.shape[1], N))
+    x, y = np.concatenate(xs).astype(np.float64), np.concatenate(ys)
+    unseen = np.random.default_rng(seed).random(len(x)) < hidden
+    x[unseen, :-1] = 0.0
+    goal = np.eye(N)[y]
+    ahead = np.zeros((len(x), N))  # labels of the neighbours: before, after and alike
+    after, alike = ahead.copy(), ahead.copy()
+    for (i, j), (one, other) in [(link, (ahead, after)) for link in chains] + [(link, (alike, alike)) for link in skips]:
+        one[j] += goal[i]
+        other[i] += goal[j]
+    w, chain, skip = np.zeros((x.shape[1], N)), np.zeros((N, N)), prior * np.eye(N)
+    # Steps are divided by how often a weight is used, as hubs have many neighbours.
+    scale = [np.maximum(np.abs(m).sum(0).max() / len(x), 1.0) for m in (ahead, after, alike)]
     for _ in range(steps):
-        w -= 2.0 * (x.T @ (np.exp(_log_softmax(x @ w)) - goal) / len(x) + 1e-4 * w)
-    share = np.log(np.bincount(y, minlength=N) + 0.5) - np.log(len(y) + 0.5 * N)
-    model.unary = w
-    for name, counts in pairs.items():
-        setattr(model, name, np.clip(np.log(counts / counts.sum()) - share[:, None] - share[None, :], -4, 4))
-    # What skip links are for: like tokens agree. The fit may strengthen that, not reverse it.
-    np.fill_diagonal(model.skip, np.maximum(np.diag(model.skip), 2.0))
+        rest = goal - np.exp(_log_softmax(x @ w + ahead @ chain + after @ chain.T + alike @ skip))
+        w += 2.0 * (x.T @ rest / len(x) - 1e-4 * w)
+        chain += (ahead.T @ rest + (after.T @ rest).T) / len(x) / max(scale[:2]) - 1e-3 * chain
+        step = alike.T @ rest
+        skip += ((step + step.T) / 2 - strength * (skip - prior * np.eye(N))) / (len(x) + strength) / scale[2]
+    model.unary, model.chain, model.skip = w, chain, skip
     return model
 
 
-def beliefs(unary: np.ndarray, links: np.ndarray, potentials: np.ndarray, rounds: int = 6, still: float = 1e-3, most: int = 200) -> np.ndarray:
+def beliefs(unary: np.ndarray, links: np.ndarray, kinds: np.ndarray, potentials: np.ndarray, rounds: int = 6, still: float = 1e-3, most: int = 200) -> np.ndarray:
     """Label log probabilities of each token after damped loopy sum-product passing: `rounds` at least, then until no
     message moves by more than `still`. Loops that never settle end after `most`.
 
-    links: (m, 2) token numbers; potentials: (m, N, N) by label of the first and second token."""
+    links: (m, 2) token numbers; kinds: (m,) which of the potentials (k, N, N), by label of the first and second token,
+    a link has. Memory grows by a few hundred bytes a link."""
     if not len(links):
         return _log_softmax(unary)
     src, dst = np.concatenate([links[:, 0], links[:, 1]]), np.concatenate([links[:, 1], links[:, 0]])
-    pot = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
+    pots = np.concatenate([potentials, potentials.transpose(0, 2, 1)])
+    kind = np.concatenate([kinds, kinds + len(potentials)])
     back = np.concatenate([np.arange(len(links)) + len(links), np.arange(len(links))])
-    messages = np.zeros((len(src), N))
+    messages, new = np.zeros((len(src), N)), np.zeros((len(src), N))
     for done in range(1, most + 1):
         total = unary.copy()
         np.add.at(total, dst, messages)
-        out = (total[src] - messages[back])[:, :, None] + pot
-        top = out.max(1)
-        out = _log_softmax(top + np.log(np.exp(out - top[:, None, :]).sum(1)))
-        moved = np.abs(out - messages).max()
-        messages = 0.5 * messages + 0.5 * out
+        for lo in range(0, len(src), 1 << 16):
+            part = slice(lo, lo + (1 << 16))
+            out = (total[src[part]] - messages[back[part]])[:, :, None] + pots[kind[part]]
+            top = out.max(1)
+            new[part] = _log_softmax(top + np.log(np.exp(out - top[:, None, :]).sum(1)))
+        moved = np.abs(new - messages).max()
+        messages = 0.5 * messages + 0.5 * new
         if done >= rounds and moved <= still:
             break
     total = unary.copy()
@@ -240,7 +269,7 @@ def beliefs(unary: np.ndarray, links: np.ndarray, potentials: np.ndarray, rounds
 def find(texts: list[str], model: Field, sure: float = 0.95) -> list[list[tuple[int, int, int, bool]]]:
     """(label, start, end, base) of every span of every text, by kind and start. The texts of a batch share one
     message passing; links never cross texts."""
-    base, spans, unary, links, pots, first = [], [], [], [], [], [0]
+    base, spans, unary, links, kinds, first = [], [], [], [], [], [0]
     for text in texts:
         found = base_spans(text)
         own = tokens(text)
@@ -252,13 +281,13 @@ def find(texts: list[str], model: Field, sure: float = 0.95) -> list[list[tuple[
             u[known > 0] = -20.0
             u[known > 0, known[known > 0]] = 20.0
             unary.append(_log_softmax(u))
-            for pot, pairs in ((model.chain, chain_links(own)), (model.skip, skip_links(text, own, known))):
+            for kind, pairs in enumerate((chain_links(own), skip_links(text, own, known))):
                 links += [(i + first[-1], j + first[-1]) for i, j in pairs]
-                pots += [pot] * len(pairs)
+                kinds += [kind] * len(pairs)
         first.append(first[-1] + len(own))
     if not unary:
         return [[(k, a, b, True) for k, a, b in found] for found in base]
-    belief = beliefs(np.concatenate(unary), np.array(links, dtype=np.int64).reshape(-1, 2), np.array(pots).reshape(-1, N, N))
+    belief = beliefs(np.concatenate(unary), np.array(links, dtype=np.int64).reshape(-1, 2), np.array(kinds, dtype=np.int64), np.array([model.chain, model.skip]))
     best, score = belief.argmax(1), np.exp(belief.max(1))
     out = []
     for text, found, own, at in zip(texts, base, spans, first):
@@ -286,23 +315,38 @@ def fit(docs: DataFrame, sample: int = 1000, longest: int = 20_000, id_col: str
     return fit_texts([r.text for r in rows.limit(2 * sample).sort("h", "text").collect()])
 
 
+def slices(batch: pa.RecordBatch, rows: int, chars: int) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most `rows` rows and, but for single longer texts, `chars` characters (column 1)."""
+    sizes, lo, held = [len(t) if t else 0 for t in batch.column(1).to_pylist()], 0, 0
+    for i, n in enumerate(sizes):
+        if i > lo and (i - lo >= rows or held + n > chars):
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if lo < batch.num_rows:
+        yield batch.slice(lo)
+
+
 def personal_data(docs: DataFrame, model: Field, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per row of docs: id_col and `spans`, all spans by kind and start (code points, end exclusive).
+    """One row per row of docs: id_col, `spans`, all spans by kind and start (code points, end exclusive), and `secrets`,
+    the (start, end) of values that are assigned to a name like token, key or password.
 
     Null text counts as empty and has no spans; repeated rows are each searched; an empty table gives an empty
-    result; other columns are not looked at."""
+    result; other columns are not looked at. A task holds the tokens and links of a quarter of a million characters, or
+    of one longer text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32()), ("base", pa.bool_())]))
+        pair = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
-                found = find([t or "" for t in part.column(1).to_pylist()], model)
-                rows = [[{"kind": KINDS[k - 1], "start": a, "end": b, "base": known} for k, a, b, known in r] for r in found]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind)], names=[id_col, "spans"])
+            for part in slices(batch, 500, 1 << 18):
+                texts = [t or "" for t in part.column(1).to_pylist()]
+                rows = [[{"kind": KINDS[k - 1], "start": a, "end": b, "base": known} for k, a, b, known in r] for r in find(texts, model)]
+                hidden = [[{"start": a, "end": b} for a, b in secrets(t)] for t in texts]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(rows, kind), pa.array(hidden, pair)], names=[id_col, "spans", "secrets"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, spans {SPAN}")
+    return docs.select(id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, spans {SPAN}, secrets array<struct<start:int,end:int>>")
 
 
 def op6_skip_chain_pii(spark, sf_dir: str) -> DataFrame:
@@ -312,4 +356,5 @@ def op6_skip_chain_pii(spark, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda s: s["base"])
     count = lambda kind: F.size(F.filter("spans", lambda s: s["base"] & (s["kind"] == kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *[count(k) for k in KINDS], F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"),
-                        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"))
+                        F.size(F.filter("spans", lambda s: ~s["base"])).cast("long").alias("n_added"), F.size("secrets").cast("long").alias("n_secret"),
+                        (F.size("spans") + F.size("secrets")).cast("long").alias("n_found"))
