@@ -168,7 +168,7 @@ def upsert_into(path: str, keys: list[str], buckets: int = 64) -> Callable[[Data
         spark = batch.sparkSession
         rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
         touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most `buckets` numbers
-        last = {b: v for b, v in _versions(spark, path).items() if v < number and b in touched}
+        last = {b: v for b, v in _versions(spark, path, number).items() if b in touched}
         old = [f"{path}/_version={v}/_bucket={b}" for b, v in last.items()]
         if old:
             kept = spark.read.schema(batch.schema).option("basePath", path).parquet(*old).select(*batch.columns)
@@ -182,12 +182,13 @@ def upsert_into(path: str, keys: list[str], buckets: int = 64) -> Callable[[Data
     return write
 
 
-def _versions(spark: SparkSession, path: str) -> dict[int, int]:
-    """Bucket -> last version; at most one entry a bucket."""
+def _versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
+    """Bucket -> last version (of those below a number); at most one entry a bucket."""
     try:
         parts = spark.read.option("basePath", path).parquet(path).select("_bucket", "_version")
     except AnalysisException:  # nothing is written yet
         return {}
+    parts = parts if below is None else parts.filter(F.col("_version") < below)
     return {r[0]: r[1] for r in parts.groupBy("_bucket").agg(F.max("_version").alias("v")).collect()}
 
 
