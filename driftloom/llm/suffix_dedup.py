@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, table
+from .common import cut, pieces, scratch, table
 from .hashing import BASE, U, mix, powers, prefix_sums
 from .ngram_join import groups
 
@@ -95,6 +95,16 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iter
     yield held
 
 
+def kept_entries(docs: DataFrame, length: int, seed: int, batches: int) -> DataFrame:
+    """The entries of docs (d, text) as a table in the shared folder, dealt by batch: each text is read and hashed once."""
+    path = scratch(docs.sparkSession, "suffix-entries")
+    rows = entries(docs, length, seed)
+    # A text and its copies are in one batch.
+    rows = rows.withColumn("batch", F.pmod(F.xxhash64("t"), F.lit(batches)).cast("int"))
+    rows.write.partitionBy("batch").parquet(path)
+    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def _entries(batches: Iterator[pa.RecordBatch], length: int, seed: int, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
     """(d, t, key, ctx, q, lo, hi) of (d, text): the anchor q in its document, window starts q + lo ... q + hi."""
     for held in _segments(batches, length, size):
@@ -132,11 +142,16 @@ class IndexFamily:
         return cut(merged.sortWithinPartitions("key", "ctx"), "suffixes")
 
     def add(self, docs: DataFrame) -> None:
-        """docs: (d, text). Merges levels of equal size first, then scans the new array against all levels."""
+        """docs: (d, text)."""
+        self.add_entries(entries(docs, self.length, self.seed))
+
+    def add_entries(self, rows: DataFrame) -> None:
+        """rows: the entries of a new batch. Merges levels of equal size first, then scans the new array against all
+        levels."""
         while len(self.levels) > 1 and self.levels[-1][0] == self.levels[-2][0]:
             (size, last), (_, before) = self.levels.pop(), self.levels.pop()
             self.levels.append((2 * size, self._merge(before.union(last))))
-        array = self._merge(entries(docs, self.length, self.seed).select("key", "ctx", F.lit(1).cast("long").alias("n"), F.struct("t", "d", "q", "lo", "hi").alias("at")))
+        array = self._merge(rows.select("key", "ctx", F.lit(1).cast("long").alias("n"), F.struct("t", "d", "q", "lo", "hi").alias("at")))
         self.hits.append(cut(array.groupBy("key").agg(F.sum("n").alias("n")).filter("n > 1").select("key"), "hits"))
         for _, level in self.levels:
             self.hits.append(cut(array.select("key").join(level.select("key"), "key", "left_semi"), "hits"))
@@ -155,6 +170,29 @@ def _windows(context: bytes, length: int) -> np.ndarray:
     return (c[length:] - c[:-length]) * powers(BASE, len(data))[: len(data) - length + 1]
 
 
+def _equal_bytes(group: list[tuple], owner: np.ndarray, offsets: np.ndarray, left: np.ndarray, right: np.ndarray, length: int) -> np.ndarray:
+    """Whether the windows `left` and `right`, equal by their hashes, are equal byte for byte. Windows of the same two
+    contexts at successive offsets are compared as one stretch."""
+    a, b, o = owner[left], owner[right], offsets[left]
+    by = np.lexsort((o, b, a))
+    fresh = np.ones(len(by), dtype=bool)
+    fresh[1:] = (a[by[1:]] != a[by[:-1]]) | (b[by[1:]] != b[by[:-1]]) | (np.diff(o[by]) > 1)
+    out = np.zeros(len(by), dtype=bool)
+
+    def at(k: int, lo: int, n: int) -> bytes:
+        first = lo - group[k][2]
+        return group[k][3][first : first + n]
+
+    starts = np.flatnonzero(fresh)
+    for first, end in zip(starts, np.append(starts[1:], len(by))):
+        x, y, lo, n = a[by[first]], b[by[first]], int(o[by[first]]), int(end - first)
+        if at(x, lo, n + length - 1) == at(y, lo, n + length - 1):
+            out[by[first:end]] = True
+        else:
+            out[by[first:end]] = [at(x, lo + k, length) == at(y, lo + k, length) for k in range(n)]
+    return out
+
+
 def repeated_starts(contexts: DataFrame, length: int, most: int) -> DataFrame:
     """(key, ctx, lo, hi): window starts, from the anchor, whose windows stand in another context of their key.
     contexts: (key, ctx, lo, m, context), m distinct contexts in the key. Keys of more than `most` contexts are
@@ -172,6 +210,7 @@ def repeated_starts(contexts: DataFrame, length: int, most: int) -> DataFrame:
             order = np.lexsort((both, offsets))
             o, v = offsets[order], both[order]
             same = (o[1:] == o[:-1]) & (v[1:] == v[:-1])
+            same[same] = _equal_bytes(group, owner, offsets, order[:-1][same], order[1:][same], length)
             twice = np.zeros(len(order), dtype=bool)
             twice[order[1:][same]] = twice[order[:-1][same]] = True
             hit = np.flatnonzero(twice)
@@ -202,6 +241,32 @@ def repeated_starts(contexts: DataFrame, length: int, most: int) -> DataFrame:
     return few.mapInArrow(run, "key long, ctx binary, lo int, hi int").union(many)
 
 
+def merged_spans(spans: DataFrame) -> DataFrame:
+    """(t, spans): the spans (t, a, b) of each text joined where they touch. Spans come sorted, as a stream, so a task
+    holds only the joined ones of a text, at most one for every window length of its bytes."""
+    rows = spans.repartition("t").sortWithinPartitions("t", "a")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kind = pa.list_(pa.struct([("a", pa.int64()), ("b", pa.int64())]))
+        names: list[bytes] = []
+        runs: list[list[dict]] = []
+        for batch in batches:
+            for t, a, b in zip(*[c.to_pylist() for c in batch.columns]):
+                if not names or names[-1] != t:
+                    if len(names) >= 500:
+                        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(runs, kind)], names=["t", "spans"])
+                        names, runs = [], []
+                    names.append(t)
+                    runs.append([{"a": a, "b": b}])
+                elif a <= runs[-1][-1]["b"]:
+                    runs[-1][-1]["b"] = max(runs[-1][-1]["b"], b)
+                else:
+                    runs[-1].append({"a": a, "b": b})
+        yield pa.RecordBatch.from_arrays([pa.array(names, pa.binary()), pa.array(runs, kind)], names=["t", "spans"])
+
+    return rows.mapInArrow(run, "t binary, spans array<struct<a:long,b:long>>")
+
+
 def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 32, batches: int = 4, most: int = 2048,
                    id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: id_col, n_bytes, n_removed, n_spans, kept (binary).
@@ -209,12 +274,14 @@ def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 32, batches:
     Removes every byte covered by a string of `length` bytes that also starts anywhere else, in any document,
     the same one included. Strings are judged on the input and never cross documents. Null text counts as empty;
     texts shorter than `length` stay whole; repeated rows of at least that length are removed whole; an empty
-    table gives an empty result. Windows are compared by 64-bit hashes, whole contexts by 112-bit digests.
+    table gives an empty result. Whole contexts are known by 112-bit digests; windows of different contexts are
+    found by 64-bit hashes and then compared byte for byte, but for keys of more than `most` contexts, whose windows are
+    spread over tasks and known by their hashes.
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(id_col).cast("string"), F.lit("")).alias("d"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    family = IndexFamily(length, seed)
+    family, found = IndexFamily(length, seed), kept_entries(docs, length, seed, batches)
     for i in range(batches):
-        family.add(docs.filter(F.pmod(F.xxhash64("text"), F.lit(batches)) == i))
+        family.add_entries(found.filter(F.col("batch") == i))
     shared = family.shared()
     sizes = cut(shared.groupBy("key").agg(F.count("*").alias("m")).filter("m > 1"), "key-sizes")
     whole = shared.filter("n > 1").select("key", "ctx", F.col("at.lo").alias("lo"), F.col("at.hi").alias("hi"))
@@ -246,8 +313,8 @@ def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 32, batches:
 
     contexts = squeezed.join(wanted, ["t", "d"]).select("z", "xs").mapInArrow(slices, "key long, ctx binary, lo int, m long, context binary")
     marked = cut(whole.union(repeated_starts(contexts, length, most)), "marked")
-    spans = entries(docs, length, seed).select("t", "key", "ctx", "q").join(marked, ["key", "ctx"])
-    spans = cut(spans.groupBy("t").agg(F.collect_set(F.struct((F.col("q") + F.col("lo")).alias("a"), (F.col("q") + F.col("hi") + length).alias("b"))).alias("spans")), "spans")
+    spans = found.select("t", "key", "ctx", "q").join(marked.hint("merge"), ["key", "ctx"])
+    spans = cut(merged_spans(spans.select("t", (F.col("q") + F.col("lo")).alias("a"), (F.col("q") + F.col("hi") + length).alias("b")).distinct()), "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         unpack = zstandard.ZstdDecompressor()
