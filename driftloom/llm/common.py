@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -11,6 +10,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..operators.lineage import shared_folder
+
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 #: The ASCII white space characters themselves.
@@ -21,18 +22,9 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new one where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="driftloom-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_dir(spark)}/driftloom-{name}-{uuid.uuid4().hex}"
+    return f"{shared_folder(spark)}/driftloom-{name}-{uuid.uuid4().hex}"
 
 
 def cut(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
@@ -47,6 +39,16 @@ def cut(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
     return written if small else written.hint("merge")
 
 
+def discard(*tables: DataFrame) -> None:
+    """Deletes tables that `cut` has written and that no later plan reads."""
+    for table_ in tables:
+        spark = table_.sparkSession
+        for folder in {name.rpartition("/")[0] for name in table_.inputFiles()[:1]}:
+            if "/driftloom-" in folder:
+                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def n_words(text: Column) -> Column:
     """Number of words; null counts as no text."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

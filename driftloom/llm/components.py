@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, discard
 
 
 def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
@@ -22,6 +22,8 @@ def components(links: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
         step = cut(labels.join(near, "u").select("u", "l", F.least("l", "m").alias("n")), "step")
         jump = step.select(F.col("u").alias("n"), F.col("n").alias("j"))
         moved = cut(step.join(jump, "n").select("u", F.col("j").alias("n"), (F.col("l") != F.col("j")).alias("moved")), "labels")
+        discard(step, labels)
         labels = moved.select("u", F.col("n").alias("l"))
         if moved.filter("moved").isEmpty():
+            discard(both)
             return labels.select(F.col("u").alias("v"), F.col("l").alias("component"))

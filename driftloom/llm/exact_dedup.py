@@ -67,7 +67,9 @@ def radix_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs that radix_dedup keeps, with all their columns: one row of each group of equal texts."""
+    """The rows of docs that radix_dedup keeps, with all their columns: one row of each group of equal texts. Null and
+    empty texts are one group; of rows that repeat id and text one stays; a null id stays only where its group has no
+    other. An empty table gives an empty result."""
     kept = radix_dedup(docs, id_col, text_col).groupBy(F.col(id_col).alias("_id"), F.col("text_sha256").alias("_sha")).agg(
         F.max("kept").alias("_kept"), F.count("*").alias("_times")).filter("_kept").drop("_kept")
     held = docs.select(F.struct("*").alias("doc"), F.col(id_col).alias("id"), F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256).alias("sha"))

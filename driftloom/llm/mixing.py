@@ -114,7 +114,8 @@ def mix(docs: DataFrame, weights=(5, 2, 1), share: float = 1.5, max_repeat: floa
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", **options) -> DataFrame:
     """Whole documents of the mix, with all their columns: a document stands once for each time that the block
-    with its first word is scheduled. Rows that share an id are repeated alike; documents without words are out."""
+    with its first word is scheduled. Rows that share an id, null ones too, are repeated alike; documents without words
+    (null, empty or blank text) are out; a null source is a source. An empty table gives an empty result."""
     documents, slices = mix(docs, id_col=id_col, **options)
     times = slices.filter("first = 0").groupBy("rank", "start").agg(F.count("*").cast("int").alias("n"))
     times = documents.filter("size > 0").join(times, ["rank", "start"]).groupBy(F.col("doc_id").alias("_id")).agg(F.max("n").alias("_n"))

@@ -96,7 +96,8 @@ def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
 def keep_documents(docs: DataFrame, policy: str, text_col: str = "text") -> DataFrame:
     """The rows of docs that pass the policy, with all their columns. The measurements never meet the columns of
-    docs, so equal names do no harm."""
+    docs, so equal names do no harm. A null, empty or blank text has no words and fails any policy with few_words;
+    repeated rows pass or fail alike; an empty table gives an empty result."""
     held = _with_bits(measure(docs.select(F.struct("*").alias("doc"), F.col(text_col).alias("text"))))
     # The partition number keeps the optimizer from moving the filter below the measurements, where it would
     # repeat them for every use.

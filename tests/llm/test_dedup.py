@@ -87,6 +87,26 @@ def test_jaccard_join_empty_and_survivors(documents, rows, empty):
     assert {r.doc_id for r in kept.collect()} == {c for _, c, _ in classes}
 
 
+def test_one_row_a_class(spark):
+    """Repeated rows, ids that stand on several texts, null ids and texts without words."""
+    near = [" ".join(f"w{i}" for i in range(100)) + tail for tail in ("", " end", " other end")]
+    far = " ".join(f"v{i}" for i in range(100))
+    rows = [(5, near[0], 1), (5, near[0], 1), (7, near[1], 2), (None, near[2], 3), (5, far, 4), (None, far, 5), (None, "alone in its class", 6), (None, "alone in its class", 6), (8, None, 7), (8, None, 7), (9, " ", 8)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, size int")
+    kept = ngram_join.one_per_class(df)
+    assert kept.columns == df.columns
+    assert Counter(map(tuple, kept.collect())) == Counter([(5, near[0], 1), (5, far, 4), (None, "alone in its class", 6), (8, None, 7), (8, None, 7), (9, " ", 8)])
+
+
+def test_settled_sets():
+    """Sets leave large buckets only if a similar set must meet them in a small one: all of q paths outside of large
+    buckets are lacked by a set at the threshold with less than 1 - recall."""
+    rng = np.random.default_rng(1)
+    k, q, lacked = 16, 9, 13  # 13 of 64 tokens are lacked, all of them among the 36 outside of large buckets
+    met = [len(set(rng.choice(36, q, replace=False)) - set(range(lacked))) > 0 for _ in range(20_000)]
+    assert np.mean(met) > 0.9995 and q * math.log(0.2 * k / q) <= math.log(1e-4)
+
+
 def test_recall_at_the_threshold(spark):
     """300 pairs of Jaccard 0.80 to 0.82 among other texts: none may be missed."""
     rng, rows = random.Random(5), []

@@ -464,6 +464,13 @@ def test_pipeline(spark, documents, rows, tokenizer, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() > 0
 
 
+def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
+    import corpus_pipeline
+
+    empty.write.parquet(f"{tmp_path}/documents.parquet")
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
