@@ -1,6 +1,7 @@
 """A training corpus from raw documents: quality rules, exact dedup, near-duplicate dedup, source mixing, packing.
 
-Each stage is written as Parquet and read again as the next one's documents."""
+Each stage is written as Parquet and read again as the next one's documents. Null texts and sources, repeated rows
+and empty tables go through every stage; each says what becomes of them."""
 
 from __future__ import annotations
 
@@ -15,27 +16,29 @@ from driftloom.llm.quality_rules import keep_documents
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that break no rule of the strict policy."""
+    """Documents that break no rule of the strict policy. Null, empty and blank texts have too few words and go;
+    repeated rows all stay; an empty table stays empty."""
     return keep_documents(docs, "strict-1")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of equal texts the row with the largest doc_id."""
+    """Of equal texts the row with the largest doc_id, null ids last; a repeated row stays once."""
     return drop_copies(docs)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the least doc_id."""
+    """Of each class of near duplicates the document with the least doc_id, null ids last. Texts without words, which no
+    earlier stage lets through, would all stay."""
     return one_per_class(docs)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Sources weighed 5, 2, 1, repeating; a document may stand up to twice, or not at all."""
+    """Sources weighed 5, 2, 1, repeating, a null source last; a document may stand up to twice, or not at all."""
     return mixed_documents(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of token ids in sequences of 1024."""
+    """Pieces of token ids in sequences of 1024; a null text is its separator alone."""
     return pack(docs)
 
 
