@@ -14,8 +14,6 @@ from ..operators.lineage import shared_folder
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
-#: The ASCII white space characters themselves.
-SPACES = " \t\n\x0b\f\r"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

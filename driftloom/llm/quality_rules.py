@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, WORD, table
+from .common import WORD, table
 
 #: Rules by bit: name and condition of failure over the measurements.
 RULES: list[tuple[str, str]] = [
@@ -53,10 +53,11 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
         "_lines": F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
     })
     n = F.size("_words")
+    # Each word is hashed once, each window as the hash of three of these.
+    df = df.withColumn("_hashes", F.transform("_words", lambda w: F.xxhash64(w)))
     df = df.withColumn(
         "_windows",
-        F.when(n >= 3, F.transform(F.sequence(F.lit(0), F.greatest(n - 3, F.lit(0))), lambda i: F.xxhash64(F.get("_words", i), F.get("_words", i + 1), F.get("_words", i + 2))))
-        .otherwise(F.array().cast("array<bigint>")),
+        F.transform(F.slice("_hashes", F.lit(1), F.greatest(n - 2, F.lit(0))), lambda h, i: F.xxhash64(h, F.get("_hashes", i + 1), F.get("_hashes", i + 2))),
     )
     # Most documents repeat no window: only the others are sorted.
     df = df.withColumn(
@@ -74,12 +75,12 @@ def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     lines = F.size("_lines")
     return df.withColumns({
         "n_words": n.cast("long"),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(text) - F.length(F.translate(text, "#*$%&|<>", ""))).cast("long"),
+        "word_chars": F.length(F.array_join("_words", "")).cast("long"),
+        "n_symbols": F.regexp_count(text, F.lit("[#*$%&|<>]")).cast("long"),
         "n_lines": lines.cast("long"),
         "n_dup_lines": (lines - F.size(F.array_distinct("_lines"))).cast("long"),
         "n_repeat_words": F.coalesce(covered, F.lit(0)).cast("long"),
-    }).drop("_words", "_lines", "_windows", "_sorted", "_starts")
+    }).drop("_words", "_lines", "_hashes", "_windows", "_sorted", "_starts")
 
 
 def _with_bits(measured: DataFrame) -> DataFrame:
