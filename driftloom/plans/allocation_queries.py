@@ -152,11 +152,13 @@ register("m01_number_messages", lambda s, d: m.number_messages(messages(s, d)),
 
 
 def _arrived(s: SparkSession, d: str) -> DataFrame:
-    """Messages in an arrival order of their own; every 60th is still on its way."""
-    return m.number_messages(messages(s, d)).withColumn("arrival", F.col("sent") * 7919 % 10007).filter("sent % 60 <> 59").select("group", "src", "dst", "seq", "arrival")
+    """Messages in an arrival order of their own; every 60th went astray to another group."""
+    group = F.when(F.col("sent") % 60 == 59, F.col("group") + 1000).otherwise(F.col("group"))
+    return m.number_messages(messages(s, d)).withColumn("arrival", F.col("sent") * 7919 % 10007).withColumn("group", group).select("group", "src", "dst", "seq", "arrival")
 
 
-ARRIVED = f"{MESSAGES}, v AS (SELECT grp, src, dst, seq, sent * 7919 % 10007 AS arrival, row_number() OVER (PARTITION BY grp, src, dst ORDER BY seq) - 1 AS n FROM m WHERE sent % 60 <> 59)"
+ARRIVED = f"""{MESSAGES}, a AS (SELECT CASE WHEN sent % 60 = 59 THEN grp + 1000 ELSE grp END AS grp, src, dst, seq, sent * 7919 % 10007 AS arrival FROM m),
+v AS (SELECT *, row_number() OVER (PARTITION BY grp, src, dst ORDER BY seq) - 1 AS n FROM a)"""
 register("m02_deliver", lambda s, d: m.deliver(_arrived(s, d))[0], f'WITH {ARRIVED} SELECT grp AS "group", src, dst, seq, arrival, max(arrival) OVER (PARTITION BY grp, src, dst ORDER BY seq) AS ready FROM v WHERE seq = n')
 register("m02_held", lambda s, d: m.deliver(_arrived(s, d))[1], f'WITH {ARRIVED} SELECT grp AS "group", src, dst, seq, arrival FROM v WHERE seq <> n')
 

@@ -79,9 +79,17 @@ register("d07_fill_gaps", lambda s, d: m.fill_gaps(_regions(s, d), m.sizes_of(ba
 WITH {BASE}, z AS (SELECT dataset, max(slot) + 1 AS size FROM b GROUP BY dataset)
 SELECT dataset, lo::BIGINT AS lo, len::BIGINT AS len, op FROM z, (VALUES (0, 50, 'sum'), (100, 100, 'ignore'), (300, 100, 'max'), (50, 50, 'overwrite'), (200, 100, 'overwrite'), (400, 0, 'overwrite')) v(lo, len, op)
 WHERE lo < 400 OR size > 400""")
-register("d08_region_diff", lambda s, d: m.diff_regions(base(s, d), new(s, d), m.fill_gaps(_regions(s, d), m.sizes_of(base(s, d))), m.mark_pages(base(s, d).filter("slot < 20000").withColumn("worker", F.lit(0))).select("dataset", "page").distinct()).drop("region"), f"""
+
+
+def _dirty(s: SparkSession, d: str) -> DataFrame:
+    """Each dataset's pages by flags of two workers; nobody has written the second page."""
+    pages = m.mark_pages(base(s, d).withColumn("worker", F.col("slot") % 2))
+    return m.merge_page_flags(pages.withColumn("dirty", F.col("page") != 1)).filter("dirty").select("dataset", "page")
+
+
+register("d08_region_diff", lambda s, d: m.diff_regions(base(s, d), new(s, d), m.fill_gaps(_regions(s, d), m.sizes_of(base(s, d))), _dirty(s, d)).drop("region"), f"""
 WITH {PAIRS}, r AS (SELECT dataset, slot, old, new, {OP_OF} AS op FROM p)
-SELECT dataset, slot, op, {DELTA} AS delta FROM r WHERE old <> new AND op <> 'ignore'""")
+SELECT dataset, slot, op, {DELTA} AS delta FROM r WHERE old <> new AND op <> 'ignore' AND slot // 4096 <> 1""")
 register("d09_fold_diffs", lambda s, d: m.fold_diffs(_queued(s, d, "sum").unionByName(_queued(s, d, "max").withColumn("dataset", F.concat("dataset", F.lit("m")))).unionByName(_queued(s, d, "overwrite").withColumn("dataset", F.concat("dataset", F.lit("o")))))[0], f"""
 WITH {QUEUE} SELECT dataset, slot, 'sum' AS op, sum(delta)::BIGINT AS delta, count(*) AS n_diffs FROM q GROUP BY dataset, slot
 UNION ALL SELECT dataset || 'm', slot, 'max', max(delta), count(*) FROM q GROUP BY dataset, slot

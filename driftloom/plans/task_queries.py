@@ -100,8 +100,10 @@ def calls(s: SparkSession, d: str) -> DataFrame:
 
 
 def node_results(s: SparkSession, d: str) -> DataFrame:
-    c = read(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 5).alias("app")).filter("not (app = 3 and id div 5 = 7)")
-    return c.withColumns({"host": F.concat(F.lit("h"), F.col("id") % 7), "rank": F.expr("id div 5") % 16, "return_value": F.when(F.expr("id div 5") % 5 == 0, b.MIGRATED).when(F.expr("id div 5") % 11 == 0, 1).otherwise(0)})
+    c = read(s, d, "customer").select(F.col("c_custkey").alias("id"), (F.col("c_custkey") % 5).alias("app"))
+    # One task has reported under a wrong id.
+    wrong = F.when((F.col("app") == 3) & (F.expr("id div 5") == 7), -F.col("id")).otherwise(F.col("id"))
+    return c.withColumns({"id": wrong, "host": F.concat(F.lit("h"), F.col("id") % 7), "rank": F.expr("id div 5") % 16, "return_value": F.when(F.expr("id div 5") % 5 == 0, b.MIGRATED).when(F.expr("id div 5") % 11 == 0, 1).otherwise(0)})
 
 
 def _roots(s: SparkSession) -> DataFrame:
@@ -125,7 +127,8 @@ register("g05_migrated_rejects", lambda s, d: g.migrated_rank_hosts(_trees(s, d)
 
 
 def _known(s: SparkSession, d: str) -> DataFrame:
-    return node_results(s, d).filter("id % 13 > 0")
+    """Tasks under their ids, but for every 13th."""
+    return node_results(s, d).withColumn("id", F.when(F.col("id") % 13 == 0, -F.col("id")).otherwise(F.col("id")))
 
 
 def _doubled(s: SparkSession, d: str) -> DataFrame:

@@ -203,7 +203,8 @@ def stream_of(df: DataFrame, folder: str, order: str, steps: int = 3, files: int
     which each has rows if the range has as many; ranges are added one after the other, since the source reads files by
     age."""
     spark = df.sparkSession
-    df.repartitionByRange(steps, order).withColumn("_part", F.spark_partition_id()).write.partitionBy("_part").parquet(f"{folder}-parts")
+    dealt = df.repartitionByRange(steps * files, order).withColumn("_part", F.expr(f"spark_partition_id() div {files}").cast("int"))
+    dealt.write.partitionBy("_part").parquet(f"{folder}-parts")
     parts = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, _part int").parquet(f"{folder}-parts")
     for part in range(steps):
         parts.filter(F.col("_part") == part).drop("_part").repartition(files).write.mode("append").parquet(folder)
