@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, pieces, scratch, table
+from .common import cut, pieces, table
 from .hashing import BASE, U, mix, powers, prefix_sums
 from .ngram_join import groups
 
@@ -96,13 +96,10 @@ def _segments(batches: Iterator[pa.RecordBatch], length: int, size: int) -> Iter
 
 
 def kept_entries(docs: DataFrame, length: int, seed: int, batches: int) -> DataFrame:
-    """The entries of docs (d, text) as a table in the shared folder, dealt by batch: each text is read and hashed once."""
-    path = scratch(docs.sparkSession, "suffix-entries")
-    rows = entries(docs, length, seed)
-    # A text and its copies are in one batch.
-    rows = rows.withColumn("batch", F.pmod(F.xxhash64("t"), F.lit(batches)).cast("int"))
-    rows.write.partitionBy("batch").parquet(path)
-    return docs.sparkSession.read.schema(rows.schema).parquet(path)
+    """The entries of docs (d, text) as a table in the shared folder, each with its batch, so that each text is read and
+    hashed once. A text and its copies are in one batch."""
+    batch = F.pmod(F.xxhash64("t"), F.lit(batches)).cast("int")
+    return cut(entries(docs, length, seed).withColumn("batch", batch), "suffix-entries")
 
 
 def _entries(batches: Iterator[pa.RecordBatch], length: int, seed: int, size: int = 1 << 18) -> Iterator[pa.RecordBatch]:
@@ -313,7 +310,7 @@ def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 32, batches:
 
     contexts = squeezed.join(wanted, ["t", "d"]).select("z", "xs").mapInArrow(slices, "key long, ctx binary, lo int, m long, context binary")
     marked = cut(whole.union(repeated_starts(contexts, length, most)), "marked")
-    spans = found.select("t", "key", "ctx", "q").join(marked.hint("merge"), ["key", "ctx"])
+    spans = found.select("t", "key", "ctx", "q").join(marked, ["key", "ctx"])
     spans = cut(merged_spans(spans.select("t", (F.col("q") + F.col("lo")).alias("a"), (F.col("q") + F.col("hi") + length).alias("b")).distinct()), "spans")
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
