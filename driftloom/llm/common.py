@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -20,9 +20,33 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Paths given out within each `finished` that is under way.
+_GIVEN: list[list[str]] = []
+
+
 def scratch(spark: SparkSession, name: str) -> str:
     """A new path in the shared folder."""
-    return f"{shared_folder(spark)}/driftloom-{name}-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark)}/driftloom-{name}-{uuid.uuid4().hex}"
+    if _GIVEN:
+        _GIVEN[-1].append(path)
+    return path
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
+    """make() as a table in the shared folder, after which all that it wrote there on the way is deleted."""
+    _GIVEN.append([])
+    try:
+        out = cut(make(), name)
+    finally:
+        given = _GIVEN.pop()
+    for path in given[:-1]:  # the last one is out
+        _delete(out.sparkSession, path)
+    return out
 
 
 def cut(df: DataFrame, name: str = "table", small: bool = False) -> DataFrame:
@@ -43,8 +67,7 @@ def discard(*tables: DataFrame) -> None:
         spark = table_.sparkSession
         for folder in {name.rpartition("/")[0] for name in table_.inputFiles()[:1]}:
             if "/driftloom-" in folder:
-                path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-                path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+                _delete(spark, folder)
 
 
 def n_words(text: Column) -> Column:

@@ -47,10 +47,11 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
     """
     docs = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"), F.col(site_col).cast("string").alias("site"))
     found = cut(boilerplate_lines(docs, min_sites), "line-boilerplate")
-    docs = docs.withColumn("t", F.xxhash64("id", "text"))
-    hit = _lines(docs, "t").join(found, "h").groupBy("t").agg(F.collect_set("pos").alias("gone"))
+    # A text is known by its id and hash, so only texts of one id could be taken for each other.
+    docs = docs.withColumn("t", F.xxhash64("text"))
+    hit = _lines(docs, "id", "t").join(found, "h").groupBy(F.col("id").alias("_id"), F.col("t").alias("_t")).agg(F.collect_set("pos").alias("gone"))
     parts = F.split("text", "\n")
-    rows = docs.join(hit, "t", "left").select("id", parts.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
+    rows = docs.join(hit, F.col("id").eqNullSafe(F.col("_id")) & (F.col("t") == F.col("_t")), "left").select("id", parts.alias("lines"), F.coalesce("gone", F.array().cast("array<int>")).alias("gone"))
     flags = F.when(F.size("gone") == 0, F.col("lines")).otherwise(F.filter("lines", lambda x, i: ~F.array_contains("gone", i)))
     return rows.select(
         F.col("id").alias(id_col), F.array_join(flags, "\n").alias("kept_text"),

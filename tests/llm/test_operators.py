@@ -2,6 +2,7 @@
 
 import itertools
 import json
+import os
 import random
 import re
 import zlib
@@ -471,6 +472,18 @@ def test_pipeline_of_an_empty_table(spark, empty, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_pipeline_leaves_its_result_only(spark, documents, tmp_path):
+    import corpus_pipeline
+    from driftloom.llm.common import scratch
+
+    documents.write.parquet(f"{tmp_path}/documents.parquet")
+    shared = os.path.dirname(scratch(spark, "x")).removeprefix("file://")
+    os.makedirs(shared, exist_ok=True)
+    before = set(os.listdir(shared))
+    out = corpus_pipeline.run(spark, str(tmp_path))
+    assert out.count() > 0 and len(set(os.listdir(shared)) - before) == 1
+
+
 def test_queries_are_registered():
     import __spark_entry__
 
