@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from driftloom.llm.common import cut, table
+from driftloom.llm.common import discard, finished, table
 from driftloom.llm.exact_dedup import drop_copies
 from driftloom.llm.mixing import mixed_documents
 from driftloom.llm.ngram_join import one_per_class
@@ -48,7 +48,12 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    """The stages one after the other. What a stage wrote on the way, and its input, if that is no given table, are
+    deleted once its result is written."""
+    docs, own = table(spark, sf_dir, "documents"), False
     for name, stage in STAGES:
-        docs = cut(stage(spark, docs, sf_dir), name)
+        made = finished(lambda docs=docs, stage=stage: stage(spark, docs, sf_dir), name)
+        if own:
+            discard(docs)
+        docs, own = made, True
     return docs
