@@ -19,6 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +32,8 @@ DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 DOTTED = re.compile(r"[0-9]++(?:\.[0-9]++)*+")
 DIGITS = re.compile(r"[0-9](?:[\x20-]?[0-9])++")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-SECRET_NAME = re.compile(r"(?i:token|secret|passw(?:or)?d|api[_-]?key|private[_-]?key|access[_-]?key)")
-SECRET_VALUE = re.compile(r"[\x20]{0,4}[=:][\x20]{0,4}[\"']?([A-Za-z0-9/+_-]{20,})")
+SECRET_VALUE = re.compile(r"[=:][\x20]{0,4}[\"']?([A-Za-z0-9/+_-]{20,})")
+SECRET_NAME = re.compile(r"(?i:token|secret|passw(?:or)?d|api[_-]?key|private[_-]?key|access[_-]?key)[\x20]{0,4}\Z")
 SIGN = re.compile(r"[0-9@+][^\x20\x09-\x0D]*+")
 SPACE = frozenset(" \t\n\x0b\f\r")
 EDGES = ".,;:!?()[]{}\"'|<>#*$%&"
@@ -90,9 +91,8 @@ def phones(text: str) -> Iterator[tuple[int, int]]:
 
 def secrets(text: str) -> Iterator[tuple[int, int]]:
     """Values of at least 20 letters, digits, /, +, _ or - with a digit among them that are assigned to a secret's name."""
-    for name in SECRET_NAME.finditer(text):
-        m = SECRET_VALUE.match(text, name.end())
-        if m and any(c.isdigit() for c in m[1]):
+    for m in SECRET_VALUE.finditer(text):
+        if any(c.isdigit() for c in m[1]) and SECRET_NAME.search(text, max(0, m.start() - 20), m.start()):
             yield m.span(1)
 
 
@@ -317,8 +317,8 @@ def fit(docs: DataFrame, sample: int = 1000, longest: int = 20_000, id_col: str
 
 def slices(batch: pa.RecordBatch, rows: int, chars: int) -> Iterator[pa.RecordBatch]:
     """The batch in slices of at most `rows` rows and, but for single longer texts, `chars` characters (column 1)."""
-    sizes, lo, held = [len(t) if t else 0 for t in batch.column(1).to_pylist()], 0, 0
-    for i, n in enumerate(sizes):
+    lo = held = 0
+    for i, n in enumerate(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_pylist()):
         if i > lo and (i - lo >= rows or held + n > chars):
             yield batch.slice(lo, i - lo)
             lo, held = i, 0
