@@ -207,16 +207,18 @@ def once(found: DataFrame) -> DataFrame:
     return found.groupBy("c", "x").agg(F.min("path").alias("path")).select("path", "c")
 
 
-def unsettled(nodes: DataFrame, hot: DataFrame, threshold: float, recall: float) -> DataFrame:
+def unsettled(nodes: DataFrame, hot: DataFrame, threshold: float, recall: float, sample: int) -> DataFrame:
     """(s) of the sets whose paths outside of large buckets are too few to meet every similar set there.
 
     A set at the threshold lacks at most a share 1 - threshold of this one's k paths. Should all that it lacks be
     among the q paths outside of large buckets, each of these is lacked with probability (1 - threshold) * k / q, all of
-    them with that to the power q. hot: the nodes in large buckets."""
+    them with that to the power q; less, as k paths of several runs stand on fewer different tokens of the sample.
+    hot: the nodes in large buckets."""
     k = nodes.groupBy("s").agg(F.count("*").alias("k"))
     h = hot.groupBy("s").agg(F.count("*").alias("h"))
-    both = h.join(k, "s").select("s", (F.col("k") - F.col("h")).alias("q"), (F.col("k") * max(1 - threshold, 1e-9)).alias("u"))
-    settled = (F.col("q") > F.col("u")) & (F.col("q") * F.log(F.col("u") / F.col("q")) <= math.log(1 - recall))
+    both = h.join(k, "s").select("s", (F.col("k") - F.col("h")).alias("q"), (F.col("k") * max(1 - threshold, 1e-9)).alias("u"),
+                                      (sample * (1 - F.pow(F.lit(1 - 1 / sample), "k")) / F.col("k")).alias("tokens"))
+    settled = (F.col("q") > F.col("u")) & (F.col("tokens") * F.col("q") * F.log(F.col("u") / F.col("q")) <= math.log(1 - recall))
     return both.filter(~settled).select("s")
 
 
@@ -238,7 +240,7 @@ def coarse_links(sets: DataFrame, threshold: float, recall: float, sample: int,
     if large.isEmpty():
         return found
     hot = cut(nodes.join(large.select("path"), "path", "left_semi"), "hot")
-    open_sets = cut(unsettled(nodes, hot, threshold, recall), "unsettled")
+    open_sets = cut(unsettled(nodes, hot, threshold, recall, sample), "unsettled")
     live = cut(sets.join(open_sets, "s", "left_semi"), "live")
     nodes = cut(hot.join(open_sets, "s", "left_semi"), "paths")
     for level in range(1, depth + 1):
