@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, warc
+from . import chat_format, exact_dedup, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_radix_exact_dedup": exact_dedup.op8_radix_exact_dedup,
     "op9_suffix_levels": suffix_dedup.op9_suffix_levels,
     "op10_quality_ledger": quality_rules.op10_quality_ledger,
+    "op11_merkle_manifest": merkle.op11_merkle_manifest,
 }
 ORACLE = {
     "op5_site_spread_lines": line_dedup.OP5_SQL,
@@ -23,4 +24,5 @@ ORACLE = {
     "op4_chat_format": chat_format.OP4_SQL,
     "op8_radix_exact_dedup": exact_dedup.OP8_SQL,
     "op10_quality_ledger": quality_rules.OP10_SQL,
+    "op11_merkle_manifest": merkle.OP11_SQL,
 }
