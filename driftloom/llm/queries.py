@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chat_format, exact_dedup, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, warc
+from . import alignment, chat_format, exact_dedup, line_dedup, merkle, mixing, ngram_join, packing, pii, quality_rules, suffix_dedup, token_counts, warc
 
 QUERIES = {
     "op1_source_mix": mixing.op1_source_mix,
@@ -16,6 +16,8 @@ QUERIES = {
     "op9_suffix_levels": suffix_dedup.op9_suffix_levels,
     "op10_quality_ledger": quality_rules.op10_quality_ledger,
     "op11_merkle_manifest": merkle.op11_merkle_manifest,
+    "op12_token_counts": token_counts.op12_token_counts,
+    "op13_token_alignment": alignment.op13_token_alignment,
 }
 ORACLE = {
     "op5_site_spread_lines": line_dedup.OP5_SQL,
