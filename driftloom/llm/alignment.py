@@ -12,7 +12,6 @@ from __future__ import annotations
 import hashlib
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -41,7 +40,7 @@ def tokens(pool: Pool, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 def laid_out(pool: Pool, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(ids, byte offsets at which they end) over all texts in a row."""
-    size = pool.size[codes]
+    size = pool.sizes[codes]
     return pool.tokens(codes, np.cumsum(size) - size)
 
 
@@ -105,7 +104,7 @@ class Aligner:
         self.most = most
 
     def block(self, texts: list[str | None]):
-        """(keys as an Arrow array, postings, columns) of a block of texts."""
+        """(postings, columns, no names) of a block of texts."""
         for pool in (self.a, self.b):
             if len(pool.code) > KEPT:
                 pool.clear()
@@ -131,7 +130,7 @@ class Aligner:
             text = "".join(map(self.texts.__getitem__, codes[at : at + n_tokens].tolist()))
             digests.append(hashlib.sha256(text[:-1].encode()).hexdigest() if n_tokens else "")
             at += n_tokens
-        return pa.array, held, {**{c: v.tolist() for c, v in counts.items()}, "n_links": n_links.tolist(), "groups_sha256": digests}
+        return held, {**{c: v.tolist() for c, v in counts.items()}, "n_links": n_links.tolist(), "groups_sha256": digests}, None
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -146,13 +145,13 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
     each; a null id stays null; empty tables give empty results; other columns are ignored. A long text is a block of its
     own; groups of any size are laid out by distinct ids."""
     a_path, b_path = a_path or public_path("byte_bpe_50k.json"), b_path or public_path("piece_bpe_32k.model")
-    made = postings.blocks(docs, id_col, text_col, T.LongType(), COLUMNS, lambda: Aligner(a_path, b_path, links).block, block_characters)
+    made = postings.blocks(docs, id_col, text_col, COLUMNS, lambda: Aligner(a_path, b_path, links).block, block_characters)
     pairs = made.filter("slot is not null").groupBy("key").agg(F.sum("in_rows").alias("count"))
     # An id of a has at most as many partners as b has ids.
     a = F.expr(f"key div {SHIFT}")
     pairs = pairs.withColumn("best", (F.col("count") == F.max("count").over(Window.partitionBy(a))).cast("long"))
     outs = {"n_best": lambda value, times: value["best"] * times, "count_sum": lambda value, times: value["count"] * times}
-    documents = postings.sums(made, pairs, list(COLUMNS), outs, docs.schema[id_col].dataType)
+    documents = postings.sums(made, postings.by_key(made, pairs), postings.slots_of, list(COLUMNS), outs)
     return documents, pairs.select(a.alias("a"), F.expr(f"key % {SHIFT}").alias("b"), "count", F.col("best").cast("boolean").alias("best"))
 
 

@@ -2,13 +2,14 @@
 whole corpus, its number of tokens) is needed for the document's sums.
 
 A task gathers blocks of documents of bounded size. A block is one row that holds, compressed, which of its keys each of
-its documents holds how often, and one short row for each distinct key. Only the key rows are joined to the values and
-go back to their block, where the sums are taken; so what is shuffled grows with the distinct keys of blocks, not with
-the words of documents, and a key that every document holds is one row a block.
+its documents holds how often; its distinct keys, as short rows or packed by hash, meet the values and go back to their
+block, where the sums are taken. So what is shuffled grows with the distinct keys of blocks, not with the words of
+documents, and a key that every document holds counts once a block.
 """
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -83,15 +84,16 @@ def read_postings(head: dict) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return slot, total - np.repeat(total[first] - steps[first], holders), times
 
 
-HEAD = [T.StructField("n_keys", T.LongType()), T.StructField("n_held", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("holders", "held_by", "times")]]
+HEAD = [T.StructField("n_keys", T.LongType()), T.StructField("n_held", T.LongType()), T.StructField("names_size", T.LongType()), *[T.StructField(c, T.BinaryType()) for c in ("holders", "held_by", "times", "names")]]
 
 
-def blocks(docs: DataFrame, id_col: str, text_col: str, key: T.DataType, columns: dict[str, T.DataType],
-           gather: Callable[[], Callable[[list[str | None]], tuple[Callable, Postings, dict[str, list]]]], characters: int = CHARACTERS) -> DataFrame:
-    """A table with a row per block (ids and `columns` as arrays, postings) and a row per key of it (block, slot, key,
-    holders). gather() is called once a task and gives a function of a block's texts: (keys as an Arrow array by their
-    numbers, postings, values of the columns)."""
-    fields = [T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("key", key), T.StructField("in_rows", T.LongType()),
+def blocks(docs: DataFrame, id_col: str, text_col: str, columns: dict[str, T.DataType],
+           gather: Callable[[], Callable[[list[str | None]], tuple[Postings, dict[str, list], list[bytes] | None]]], characters: int = CHARACTERS) -> DataFrame:
+    """A table with a row per block: ids and `columns` as arrays, postings and, if they are texts, the names of its keys.
+    Keys that are numbers have a row each (block, slot, key, in_rows: how many documents of the block hold it).
+
+    gather() is called once a task and gives a function of a block's texts: (postings, values of the columns, names)."""
+    fields = [T.StructField("block", T.LongType()), T.StructField("slot", T.IntegerType()), T.StructField("key", T.LongType()), T.StructField("in_rows", T.LongType()),
               T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), *[T.StructField(c, T.ArrayType(t)) for c, t in columns.items()], *HEAD]
     schema = T.StructType(fields)
     arrow = to_arrow_schema(schema)
@@ -102,13 +104,15 @@ def blocks(docs: DataFrame, id_col: str, text_col: str, key: T.DataType, columns
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made, block = gather(), TaskContext.get().partitionId() << 32
         for ids, texts in gathered(batches, characters):
-            names, postings, values = made(texts)
+            postings, values, names = made(texts)
             keys, holders, head = postings.columns()
             lists = {c: pa.array([v], type=arrow.field(c).type) for c, v in {"ids": ids, **values}.items()}
+            if names is not None:
+                head |= {"names": packed_names(names), "names_size": len(BETWEEN.join(names))}
             yield batch(1, block=pa.array([block]), **lists, **{c: pa.array([v]) for c, v in head.items()})
-            for at in range(0, len(keys), 20_000):
+            for at in range(0, len(keys) if names is None else 0, 20_000):
                 part = keys[at : at + 20_000]
-                yield batch(len(part), block=pa.array(np.full(len(part), block)), slot=pa.array(np.arange(at, at + len(part))), key=names(part), in_rows=pa.array(holders[at : at + 20_000]))
+                yield batch(len(part), block=pa.array(np.full(len(part), block)), slot=pa.array(np.arange(at, at + len(part))), key=pa.array(part), in_rows=pa.array(holders[at : at + 20_000]))
             block += 1
 
     return cut(docs.select(F.col(id_col), F.col(text_col).cast("string")).mapInArrow(run, schema), "blocks")
@@ -130,25 +134,91 @@ def gathered(batches: Iterator[pa.RecordBatch], characters: int) -> Iterator[tup
         yield ids, texts
 
 
-def sums(table: DataFrame, values: DataFrame, columns: list[str], outs: dict[str, Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]], id_type: T.DataType) -> DataFrame:
-    """One row per document: doc_id, the columns, and for each of outs the sum of f(values of the link's key, times)
-    over the document's links. `values` has one row per key: key and numbers."""
-    named = [c for c in values.columns if c != "key"]
+def by_key(table: DataFrame, values: DataFrame) -> DataFrame:
+    """(of, slot, values): for each key row its block, place there, and what `values` (key, numbers) says of the key."""
     keys = table.filter("slot is not null").select("block", "slot", "key")
-    back = keys.join(values.hint("merge"), "key").select(F.col("block").alias("of"), "slot", *named)
-    heads = table.filter("slot is null").select("block", "ids", *columns, *[f.name for f in HEAD])
-    kinds = {c: table.schema[c].dataType.elementType for c in columns}
-    schema = T.StructType([T.StructField("doc_id", id_type), *[T.StructField(c, t) for c, t in kinds.items()], *[T.StructField(c, T.LongType()) for c in outs]])
+    return keys.join(values.hint("merge"), "key").select(F.col("block").alias("of"), "slot", *[c for c in values.columns if c != "key"])
+
+
+def slots_of(found: pa.Table, n: int) -> dict[str, np.ndarray]:
+    """The numbers of a block's key rows by slot."""
+    out = {}
+    for c in found.column_names:
+        if c not in ("of", "slot"):
+            out[c] = np.zeros(n, dtype=np.int64)
+            out[c][found["slot"].to_numpy()] = found[c].to_numpy()
+    return out
+
+
+#: Names are joined by a byte that UTF-8 has not.
+BETWEEN = b"\xff"
+
+
+def name_order(names: list[bytes]) -> np.ndarray:
+    """The order of names by hash."""
+    return np.argsort(np.fromiter(map(zlib.crc32, names), dtype=np.uint32, count=len(names)), kind="stable")
+
+
+def packed_names(names: list[bytes]) -> bytes:
+    return pa.compress(BETWEEN.join(names), "zstd", asbytes=True)
+
+
+def by_name(table: DataFrame, value: Callable[[], Callable[[list[bytes]], np.ndarray]], share: int = 200_000) -> DataFrame:
+    """(of, first, n, numbers): for each run of a block's names, in order of hash, what value() says of them, asked once
+    for each distinct name. Hashes are dealt into as many ranges as make about `share` names of all blocks each; a range
+    is read as a stream that holds its distinct names, of which the blocks bring each at most once."""
+    total = table.agg(F.sum("n_keys")).first()[0] or 0
+    ranges = max(1, -(-total // share))
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for i in range(b.num_rows):
+                block, data, size = (c[i].as_py() for c in b.columns)
+                names = pa.decompress(data, size, "zstd", asbytes=True).split(BETWEEN) if size else []
+                at = np.fromiter(map(zlib.crc32, names), dtype=np.uint64, count=len(names)) * np.uint64(ranges) >> np.uint64(32)
+                first = np.flatnonzero(np.diff(at.astype(np.int64), prepend=-1)).tolist()
+                parts = [BETWEEN.join(names[x:y]) for x, y in zip(first, [*first[1:], len(names)])]
+                yield pa.RecordBatch.from_arrays([pa.array(at[first].astype(np.int64)), pa.array([block] * len(first), pa.int64()), pa.array(first, pa.int32()), pa.array(parts, pa.binary())], names=["range", "of", "first", "names"])
+
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        asked, known, now = value(), {}, None
+        for b in batches:
+            n, numbers = [], []
+            for at, data in zip(b.column(0).to_pylist(), b.column(3)):
+                if at != now:
+                    known, now = {}, at
+                names = data.as_py().split(BETWEEN)
+                new = [name for name in names if name not in known]
+                known.update(zip(new, asked(new).tolist()) if new else ())
+                n.append(len(names))
+                numbers.append(packed(np.array([known[name] for name in names])))
+            yield pa.RecordBatch.from_arrays([b.column(1), b.column(2), pa.array(n, pa.int32()), pa.array(numbers, pa.binary())], names=["of", "first", "n", "numbers"])
+
+    dealt = table.select("block", "names", "names_size").mapInArrow(deal, "range long, of long, first int, names binary")
+    return dealt.repartition("range").sortWithinPartitions("range").mapInArrow(ask, "of long, first int, n int, numbers binary")
+
+
+def runs_of(found: pa.Table, n: int) -> dict[str, np.ndarray]:
+    """The numbers of a block's names by slot."""
+    out = np.zeros(n, dtype=np.int64)
+    for first, size, data in zip(*[found[c].to_pylist() for c in ("first", "n", "numbers")]):
+        out[first : first + size] = unpacked(data, size)
+    return {"n": out}
+
+
+def sums(table: DataFrame, back: DataFrame, read: Callable[[pa.Table, int], dict[str, np.ndarray]], columns: list[str],
+         outs: dict[str, Callable[[dict[str, np.ndarray], np.ndarray], np.ndarray]]) -> DataFrame:
+    """One row per document: doc_id, the columns, and for each of outs the sum of f(values of the link's key, times)
+    over the document's links. read() gives the values by slot from the rows of `back` (of, ...) for a block."""
+    heads = table.filter("slot is null").select("block", "ids", *columns, *[f.name for f in HEAD if f.name not in ("names", "names_size")])
+    kinds = {c: table.schema[c].dataType.elementType for c in ("ids", *columns)}
+    schema = T.StructType([T.StructField("doc_id", kinds.pop("ids")), *[T.StructField(c, t) for c, t in kinds.items()], *[T.StructField(c, T.LongType()) for c in outs]])
     arrow = to_arrow_schema(schema)
 
     def run(head: pa.Table, found: pa.Table) -> pa.Table:
         row = head.to_pylist()[0]
         slot, doc, times = read_postings(row)
-        value = {}
-        for c in named:
-            by_slot = np.zeros(row["n_keys"], dtype=np.int64)
-            by_slot[found["slot"].to_numpy()] = found[c].to_numpy()
-            value[c] = by_slot[slot]
+        value = {c: v[slot] for c, v in read(found, row["n_keys"]).items()}
         total = {c: np.zeros(len(row["ids"]), dtype=np.int64) for c in outs}
         for c, f in outs.items():
             np.add.at(total[c], doc, f(value, times))

@@ -7,34 +7,35 @@ occurs and sum what comes back.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable
 
 import numpy as np
-import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from . import postings
 from .common import table
-from .vocabularies import BytePairs, Pool, Sentences, loaded, public_path
+from .vocabularies import PIECES, BytePairs, Pool, Sentences, loaded, public_path
 
 
 def vocabulary(path: str) -> BytePairs | Sentences:
     return loaded(Sentences if path.endswith(".model") else BytePairs, path)
 
 
-def piece_counts(pieces: DataFrame, path: str) -> DataFrame:
-    """(key, n): the number of tokens of each piece."""
+def piece_counts(path: str) -> Callable[[], Callable[[list[bytes]], np.ndarray]]:
+    """Numbers of tokens of pieces, by the vocabulary of each task."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def begin() -> Callable[[list[bytes]], np.ndarray]:
         known = vocabulary(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1000):
-                part = batch.column(0).slice(at, 1000)
-                yield pa.RecordBatch.from_arrays([part, pa.array(known.lengths(part.to_pylist()), type=pa.int64())], names=["key", "n"])
 
-    return pieces.select("key").mapInArrow(run, "key string, n long")
+        def counts(pieces: list[bytes]) -> np.ndarray:
+            texts = [p.decode() for p in pieces]
+            return np.concatenate([known.lengths(texts[at : at + PIECES]) for at in range(0, len(texts), PIECES)])
+
+        return counts
+
+    return begin
 
 
 def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
@@ -56,15 +57,19 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
             codes = [pool.codes(" " + t if spaced else t) if t else np.zeros(0, dtype=np.int64) for t in texts]
             rows = np.repeat(np.arange(len(texts)), [len(c) for c in codes])
             flat = np.concatenate(codes)
-            names, held = np.array(list(pool.code), dtype=object), postings.Postings()
-            held.add(*postings.merged(flat, rows, np.ones(len(flat), dtype=np.int64), len(texts)))
-            return (lambda keys: pa.array(names[keys], type=pa.string())), held, {"n_bytes": [len((t or "").encode()) for t in texts]}
+            names = [p.encode() for p in pool.code]
+            order = postings.name_order(names)
+            place = np.empty(len(order), dtype=np.int64)
+            place[order] = np.arange(len(order))
+            held = postings.Postings()
+            held.add(*postings.merged(place[flat], rows, np.ones(len(flat), dtype=np.int64), len(texts)))
+            return held, {"n_bytes": [len((t or "").encode()) for t in texts]}, [names[i] for i in order.tolist()]
 
         return block
 
-    made = postings.blocks(docs, id_col, text_col, T.StringType(), {"n_bytes": T.LongType()}, gather, block_characters)
-    pieces = piece_counts(made.filter("slot is not null").select("key").distinct(), path)
-    return postings.sums(made, pieces, ["n_bytes"], {"n_tokens": lambda value, times: value["n"] * times}, docs.schema[id_col].dataType)
+    made = postings.blocks(docs, id_col, text_col, {"n_bytes": T.LongType()}, gather, block_characters)
+    back = postings.by_name(made, piece_counts(path))
+    return postings.sums(made, back, postings.runs_of, ["n_bytes"], {"n_tokens": lambda value, times: value["n"] * times})
 
 
 def op12_token_counts(spark, sf_dir: str) -> DataFrame:

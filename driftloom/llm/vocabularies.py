@@ -7,12 +7,15 @@ import os
 import re
 import unicodedata
 from collections.abc import Callable, Iterator
-from itertools import count
+from itertools import count, islice
+from typing import NamedTuple
 
 import numpy as np
 
 #: Characters of a text that are cut into pieces at a time.
 WINDOW = 1 << 20
+#: Pieces that are encoded at a time.
+PIECES = 5000
 
 
 class BytePairs:
@@ -36,7 +39,7 @@ class BytePairs:
         odd = [t["content"] for t in found["added_tokens"] if t["lstrip"] or t["rstrip"] or t["single_word"] or t["normalized"]]
         if before.get("type") != "ByteLevel" or not before.get("use_regex") or before.get("add_prefix_space") or found["normalizer"] or found["post_processor"] or odd:
             raise ValueError(f"{path} is no plain byte-level vocabulary")
-        self._find, self._unsure = regex.compile(public.PATTERN).findall, re.compile(_unassigned()).search
+        self._find, self._unsure = regex.compile(public.PATTERN).findall, _unassigned()
         names = sorted((re.escape(t["content"]) for t in found["added_tokens"]), key=len, reverse=True)
         self._added = re.compile("(" + "|".join(names) + ")") if names and not plain else None
         code = {c: b for b, c in enumerate(_byte_letters())}
@@ -45,6 +48,7 @@ class BytePairs:
         special = {t["content"] for t in found["added_tokens"]}
         for i, t in by_id:
             self.table[i] = t.encode() if t in special else bytes(code[c] for c in t)
+        self.size = np.array([len(t) for t in self.table])
 
     def cut(self, text: str) -> Iterator[list[str]]:
         """The pieces of the text in order, in lists of bounded length unless a piece itself is long."""
@@ -53,7 +57,7 @@ class BytePairs:
             if i % 2:
                 yield [part]
                 continue
-            if not part.isascii() and self._unsure(part):
+            if not part.isascii() and self._unsure[np.frombuffer(part.encode("utf-32-le"), dtype="<u4")].any():
                 yield [part[a:b] for _, (a, b) in self.tokenizer.pre_tokenizer.pre_tokenize_str(part)]
                 continue
             at = 0
@@ -68,25 +72,25 @@ class BytePairs:
                 at = to
             yield self._find(part[at:] if at else part)
 
-    def encode(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """(ids, byte offsets at which they end) of each piece. The library's character spans are the coarse cuts; where
-        tokens share a character, they are cut by the bytes that they stand for."""
-        for piece, made in zip(pieces, self.tokenizer.encode_batch(pieces, add_special_tokens=False)):
-            ids, spans = made.ids, made.offsets
-            if piece.isascii():
-                yield ids, [end for _, end in spans]
-                continue
-            at = [0, *np.cumsum([len(c.encode()) for c in piece]).tolist()]
-            ends, last = [], 0
-            for i, (id_, (_, end)) in enumerate(zip(ids, spans)):
-                shared = i + 1 < len(spans) and spans[i + 1][0] < end
-                last = last + len(self.table[id_]) if shared else at[end]
-                ends.append(last)
-            yield ids, ends
-
-    def lengths(self, pieces: list[str]) -> list[int]:
+    def _encoded(self, pieces: list[str]):
+        return self.tokenizer.encode(pieces, is_pretokenized=True, add_special_tokens=False)
+
+    def encode(self, pieces: list[str]) -> Encoded:
+        """The pieces' tokens. The library's character spans are the coarse cuts; where tokens share a character, they are
+        cut by the bytes that they stand for."""
+        made, text = self._encoded(pieces), "".join(pieces)
+        ids, piece = np.array(made.ids, dtype=np.int64), np.array(made.word_ids, dtype=np.int64)
+        letters = np.frombuffer(text.encode("utf-32-le"), dtype="<u4")
+        at = np.zeros(len(letters) + 1, dtype=np.int64)
+        np.cumsum(1 + (letters >= 0x80) + (letters >= 0x800) + (letters >= 0x10000), out=at[1:])
+        last = np.cumsum([len(p) for p in pieces])
+        spans = np.array(made.offsets, dtype=np.int64).reshape(-1, 2) + np.append(0, last[:-1])[piece][:, None]
+        alone = np.append(spans[1:, 0] >= spans[:-1, 1], np.ones(min(len(ids), 1), dtype=bool))
+        return refined(self.table, self.size, pieces, at[last], ids, at[spans[:, 1]], alone, np.bincount(piece, minlength=len(pieces)))
+
+    def lengths(self, pieces: list[str]) -> np.ndarray:
         """How many tokens each piece has."""
-        return [len(made) for made in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
+        return np.bincount(np.array(self._encoded(pieces).word_ids, dtype=np.int64), minlength=len(pieces))
 
 
 class Sentences:
@@ -108,6 +112,7 @@ class Sentences:
         self._find = re.compile("[ ▁]+[^ ▁]*").findall
         self._space = self.model.piece_to_id("▁")
         self.table = [bytes([int(p.piece[3:5], 16)]) if p.type == p.BYTE else p.piece.replace("▁", " ").encode() for p in found.pieces]
+        self.size = np.array([len(t) for t in self.table])
 
     def cut(self, text: str) -> Iterator[list[str]]:
         """The pieces of a text that begins with the space that the model would put before it."""
@@ -122,36 +127,62 @@ class Sentences:
             at = to
         yield self._find(text[at:] if at else text)
 
-    def encode(self, pieces: list[str]) -> Iterator[tuple[list[int], list[int]]]:
-        """As BytePairs.encode. The model's spans are the coarse cuts; entries without a span (the space that the model
-        adds, all but the last byte of a character in bytes) are cut by the bytes that they stand for."""
-        for piece in pieces:
-            if len(piece) == 1:  # the model adds no space to an empty text
-                yield [self._space], [1]
-                continue
-            ids, ends, last = [], [], 0
-            for token in self.model.encode(piece[1:], return_type="proto").pieces:
-                last = 1 + token.end if token.end > token.begin else last + len(self.table[token.id])
-                ids.append(token.id)
-                ends.append(last)
-            yield ids, ends
-
-    def lengths(self, pieces: list[str]) -> list[int]:
+    def encode(self, pieces: list[str]) -> Encoded:
+        """As BytePairs.encode. Pieces are encoded in a row, which is the same, as each begins with a space, but for those of
+        spaces alone, which would run into the next one's. The model's spans are the coarse cuts; entries without a span
+        (the space that the model adds, all but the last byte of a character in bytes) are cut by the bytes that they
+        stand for."""
+        blank = [i for i, p in enumerate(pieces) if not p.strip(" ▁")]
+        rows = [pieces[a:b] for i, j in zip([-1, *blank], [*blank, len(pieces)]) for a, b in ((i, i + 1), (i + 1, j)) if 0 <= a < b]
+        return Encoded(*map(np.concatenate, zip(*map(self._encode_row, rows)))) if rows else Encoded(*[np.zeros(0, dtype=np.int64)] * 4, np.zeros(0, dtype=bool))
+
+    def _encode_row(self, pieces: list[str]) -> Encoded:
+        text = "".join(pieces)
+        if len(text) == 1:  # the model adds no space to an empty text
+            found, spans = [self._space], [(0, 0)]
+        else:
+            tokens = self.model.encode(text[1:], return_type="proto").pieces
+            found, spans = [t.id for t in tokens], [(t.begin, t.end) for t in tokens]
+        ids, spans = np.array(found, dtype=np.int64), np.array(spans, dtype=np.int64)
+        first = len(text[0].encode())  # what stands before the text that the model is given
+        ends = np.cumsum([len(p.encode()) for p in pieces])
+        return refined(self.table, self.size, pieces, ends, ids, spans[:, 1] + first, spans[:, 1] > spans[:, 0], None)
+
+    def lengths(self, pieces: list[str]) -> np.ndarray:
         """How many tokens each piece has."""
-        return [len(ids) if len(piece) > 1 else 1 for piece, ids in zip(pieces, self.model.encode([p[1:] for p in pieces], num_threads=1))]
+        return self.encode(pieces).counts
+
+
+class Encoded(NamedTuple):
+    """Tokens of pieces one after the other: ids, the bytes of the piece at which they end; and for each piece its number
+    of tokens, its bytes and whether the tokens stand for just these."""
+
+    ids: np.ndarray
+    ends: np.ndarray
+    counts: np.ndarray
+    sizes: np.ndarray
+    whole: np.ndarray
+
+
+def refined(table: list[bytes], size: np.ndarray, pieces: list[str], piece_ends: np.ndarray, ids: np.ndarray, coarse: np.ndarray, alone: np.ndarray, counts: np.ndarray | None) -> Encoded:
+    """Ends of tokens from coarse cuts where these hold, else counted on from the cut before by the bytes of the entries."""
+    upto = np.cumsum(size[ids])
+    last = np.maximum.accumulate(np.where(alone, np.arange(len(ids)), -1))
+    ends = np.where(last < 0, upto, coarse[last] + upto - upto[last])
+    counts = np.diff(np.searchsorted(ends, piece_ends, "right"), prepend=0) if counts is None else counts
+    sizes = np.diff(piece_ends, prepend=0)
+    data, given = b"".join([table[i] for i in ids.tolist()]), "".join(pieces).encode()
+    whole = np.ones(len(pieces), dtype=bool)
+    if data != given:
+        to = np.append(0, upto)[np.cumsum(counts)].tolist()
+        whole = np.array([data[a:b] == p.encode() for a, b, p in zip([0, *to], to, pieces)], dtype=bool)
+    return Encoded(ids, ends - np.repeat(piece_ends - sizes, counts), counts, sizes, whole)
 
 
-def _unassigned() -> str:
-    """A pattern of the characters without a category: whether they are letters is a matter of the version of Unicode, on
-    which the pattern library and the tokenizer's may differ, so texts with them are cut by the tokenizer."""
-    runs: list[list[int]] = []
-    for code in range(0x110000):
-        if unicodedata.category(chr(code)) == "Cn":
-            if runs and runs[-1][1] == code - 1:
-                runs[-1][1] = code
-            else:
-                runs.append([code, code])
-    return "[" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in runs) + "]"
+def _unassigned() -> np.ndarray:
+    """Which characters have no category: whether they are letters is a matter of the version of Unicode, on which the
+    pattern library and the tokenizer's may differ, so texts with them are cut by the tokenizer."""
+    return np.fromiter((unicodedata.category(chr(code)) == "Cn" for code in range(0x110000)), dtype=bool, count=0x110000)
 
 
 def _byte_letters() -> list[str]:
@@ -170,9 +201,7 @@ class Pool:
 
     def clear(self) -> None:
         self.code: dict[str, int] = {}
-        self.ids, self.ends, self.counts = (np.zeros(0, dtype=np.int64) for _ in range(3))
-        #: Bytes of each piece, and whether its tokens stand for just these.
-        self.size, self.whole = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        self.parts = {name: [np.zeros(0, dtype=bool if name == "whole" else np.int64)] for name in Encoded._fields}
 
     def codes(self, text: str) -> np.ndarray:
         known, out = self.code, []
@@ -183,19 +212,15 @@ class Pool:
         return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
 
     def learn(self) -> None:
-        """Encodes the pieces that are new."""
-        new = list(self.code)[len(self.counts) :]
-        ids, ends, counts, size, whole = [], [], [], [], []
-        for piece, (i, e) in zip(new, self.vocabulary.encode(new)):
-            data = piece.encode()
-            ids += i
-            ends += e
-            counts.append(len(i))
-            size.append(len(data))
-            whole.append(b"".join([self.vocabulary.table[x] for x in i]) == data)
-        grow = lambda old, more: np.concatenate([old, np.array(more, dtype=old.dtype)])
-        self.ids, self.ends, self.counts = grow(self.ids, ids), grow(self.ends, ends), grow(self.counts, counts)
-        self.size, self.whole = grow(self.size, size), grow(self.whole, whole)
+        """Encodes the pieces that are new, some at a time."""
+        new = list(islice(self.code, len(self.counts), None))
+        for at in range(0, len(new), PIECES):
+            for name, more in zip(Encoded._fields, self.vocabulary.encode(new[at : at + PIECES])):
+                self.parts[name].append(more)
+        for name, parts in self.parts.items():
+            self.parts[name] = [np.concatenate(parts)]
+
+    ids, ends, counts, sizes, whole = (property(lambda self, name=name: self.parts[name][0]) for name in Encoded._fields)
 
     def tokens(self, codes: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids, ends) of the tokens of pieces that start at these bytes."""

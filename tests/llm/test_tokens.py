@@ -51,7 +51,7 @@ def test_classes_of_all_characters(tokenizer):
     find = lambda text: [piece for part in cut(text) for piece in part]
     unsure = vocabularies.loaded(vocabularies.BytePairs, JSON)._unsure
     chars = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    sure = [c for c in chars if not unsure(c)]
+    sure = [c for c in chars if not unsure[ord(c)]]
     assert len(sure) > 280_000
     for at in range(0, len(sure), 20_000):
         text = "".join(f"a{c}1{c}!{c}" for c in sure[at : at + 20_000])
@@ -75,13 +75,17 @@ def test_pieces_join_to_the_library_tokens(text):
         known = vocabularies.loaded(kind, *args)
         pieces = [p for part in known.cut(given_) for p in part]
         assert "".join(pieces) == given_
-        ids = [i for got, _ in known.encode(pieces) for i in got]
+        made = known.encode(pieces)
         whole = known.tokenizer.encode(text, add_special_tokens=False).ids if kind is vocabularies.BytePairs else known.model.encode(text)
-        assert ids == whole
-        for piece, (got, ends) in zip(pieces, known.encode(pieces)):
-            data = b"".join(known.table[i] for i in got)
-            if data == piece.encode():
-                assert ends == [sum(len(known.table[i]) for i in got[: k + 1]) for k in range(len(got))]
+        assert made.ids.tolist() == whole and known.lengths(pieces).tolist() == made.counts.tolist()
+        assert made.sizes.tolist() == [len(p.encode()) for p in pieces]
+        at = 0
+        for piece, n, right in zip(pieces, made.counts, made.whole):
+            parts = [known.table[i] for i in made.ids[at : at + n]]
+            assert right == (b"".join(parts) == piece.encode())
+            if right:
+                assert made.ends[at : at + n].tolist() == [sum(map(len, parts[: k + 1])) for k in range(n)]
+            at += n
 
 
 def plain_alignment(rows, tokenizer, model):
