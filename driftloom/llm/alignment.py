@@ -23,10 +23,12 @@ from .vocabularies import BytePairs, Pool, Sentences, loaded, public_path
 
 #: A pair of ids as one number: a * SHIFT + b.
 SHIFT = 1 << 20
+#: A block's characters: both tokenisations of all its texts are laid out at once.
+CHARACTERS = 1 << 21
 #: Links that are laid out at a time, but all of one id at once.
-LINKS = 1 << 21
+LINKS = 1 << 19
 #: Distinct pieces whose tokens a task keeps from block to block.
-KEPT = 300_000
+KEPT = 200_000
 
 COLUMNS = {"n_a": T.LongType(), "n_b": T.LongType(), "n_groups": T.LongType(), "n_links": T.LongType(), "groups_sha256": T.StringType()}
 
@@ -134,7 +136,7 @@ class Aligner:
 
 
 def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None, id_col: str = "doc_id", text_col: str = "text",
-          block_characters: int = postings.CHARACTERS, links: int = LINKS) -> tuple[DataFrame, DataFrame]:
+          block_characters: int = CHARACTERS, links: int = LINKS) -> tuple[DataFrame, DataFrame]:
     """(documents, pairs). documents: doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum and groups_sha256 of each row;
     pairs: a, b and count, the number of rows that hold the two ids linked, and best, whether no id of b has a higher
     count with a.

@@ -139,14 +139,14 @@ class Sentences:
     def _encode_row(self, pieces: list[str]) -> Encoded:
         text = "".join(pieces)
         if len(text) == 1:  # the model adds no space to an empty text
-            found, spans = [self._space], [(0, 0)]
+            found, spans = [self._space], ([0], [0])
         else:
             tokens = self.model.encode(text[1:], return_type="proto").pieces
-            found, spans = [t.id for t in tokens], [(t.begin, t.end) for t in tokens]
-        ids, spans = np.array(found, dtype=np.int64), np.array(spans, dtype=np.int64)
+            found, spans = [t.id for t in tokens], ([t.begin for t in tokens], [t.end for t in tokens])
+        ids, (begins, stops) = np.array(found, dtype=np.int64), np.array(spans, dtype=np.int64)
         first = len(text[0].encode())  # what stands before the text that the model is given
         ends = np.cumsum([len(p.encode()) for p in pieces])
-        return refined(self.table, self.size, pieces, ends, ids, spans[:, 1] + first, spans[:, 1] > spans[:, 0], None)
+        return refined(self.table, self.size, pieces, ends, ids, stops + first, stops > begins, None)
 
     def lengths(self, pieces: list[str]) -> np.ndarray:
         """How many tokens each piece has."""
@@ -192,6 +192,14 @@ def _byte_letters() -> list[str]:
     return [chr(b) if b in prints else chr(next(spare)) for b in range(256)]
 
 
+class Numbered(dict):
+    """Numbers of what it is asked for, in order of first asking."""
+
+    def __missing__(self, key: str) -> int:
+        self[key] = n = len(self)
+        return n
+
+
 class Pool:
     """Codes of distinct pieces, and the tokens of each once it is asked for."""
 
@@ -200,16 +208,12 @@ class Pool:
         self.clear()
 
     def clear(self) -> None:
-        self.code: dict[str, int] = {}
+        self.code = Numbered()
         self.parts = {name: [np.zeros(0, dtype=bool if name == "whole" else np.int64)] for name in Encoded._fields}
 
     def codes(self, text: str) -> np.ndarray:
-        known, out = self.code, []
-        for pieces in self.vocabulary.cut(text):
-            for piece in set(pieces).difference(known):
-                known[piece] = len(known)
-            out.append(np.array([known[p] for p in pieces], dtype=np.int64))
-        return np.concatenate(out) if out else np.zeros(0, dtype=np.int64)
+        out = [np.fromiter(map(self.code.__getitem__, pieces), dtype=np.int64, count=len(pieces)) for pieces in self.vocabulary.cut(text)]
+        return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, dtype=np.int64), *out])
 
     def learn(self) -> None:
         """Encodes the pieces that are new, some at a time."""

@@ -135,7 +135,7 @@ def running(parts):
     return out
 
 
-@pytest.mark.parametrize("characters,links", [(50_000, 100), (8 << 20, 1 << 21)])
+@pytest.mark.parametrize("characters,links", [(50_000, 100), (alignment.CHARACTERS, alignment.LINKS)])
 def test_alignment_equals_plain_version(spark, tokenizer, model, characters, links):
     texts = [t for t in odd_texts() if not t or len(t) < 200_000]
     docs, rows = table(spark, texts)
