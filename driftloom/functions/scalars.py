@@ -31,8 +31,8 @@ def remove_first(c: Column, what: str) -> Column:
 
 
 def is_digits(c: Column) -> Column:
-    """False for the empty string."""
-    return c.rlike("^[0-9]+$")
+    """False for the empty string, and for one that ends a line."""
+    return c.rlike(r"\A[0-9]+\z")
 
 
 def list_text(c: Column) -> Column:
@@ -49,7 +49,9 @@ def from_hex(c: Column) -> Column:
 
 
 def int_hex(c: Column, width: int = 8) -> Column:
-    return F.lpad(F.lower(F.hex(c)), width, "0")
+    """At least `width` digits, two for each byte of the type (8 for int, 16 for long); longer numbers are not cut."""
+    digits = F.lower(F.hex(c))
+    return F.concat(F.repeat(F.lit("0"), F.greatest(F.lit(width) - F.length(digits), F.lit(0))), digits)
 
 
 def trim_zeros(c: Column) -> Column:
@@ -85,7 +87,9 @@ def nanos(seconds: Column, rest: Column) -> Column:
 
 
 def seconds_and_nanos(n: Column) -> tuple[Column, Column]:
-    return F.floor(n / 1_000_000_000).cast("long"), F.pmod(n, F.lit(1_000_000_000))
+    """Whole seconds, towards minus infinity, and the nanoseconds after them; by whole numbers, as doubles round."""
+    rest = F.pmod(n, F.lit(1_000_000_000).cast("long"))
+    return F.call_function("div", n - rest, F.lit(1_000_000_000).cast("long")), rest
 
 
 def timer_report(timers: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .intervals import in_ranges
 from .ordering import number_rows
 
 POOL = ["pool"]
@@ -75,16 +76,14 @@ def first_bin(ordered: DataFrame) -> DataFrame:
 
 def waterfall(ordered: DataFrame, items: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(plan, no_room): items in order into bins in order, each up to its free slots; pools whose items do not all fit
-    get no plan. Bins have the intervals [lo, hi) of item numbers; an item finds its interval by the bin's first
-    and last block of numbers, so the join is on (pool, block)."""
+    get no plan. Bins have the intervals [lo, hi) of item numbers, of any length; an item finds the one that holds its
+    number (see `intervals`)."""
     before = Window.partitionBy("pool").orderBy("place").rowsBetween(Window.unboundedPreceding, -1)
     spans = ordered.withColumn("lo", F.coalesce(F.sum("free").over(before), F.lit(0))).withColumn("hi", F.col("lo") + F.col("free")).filter("free > 0")
     numbered = number_rows(items, POOL, ["item"], "_n")
     room = ordered.groupBy("pool").agg(F.sum("free").alias("room"))
     short = items.groupBy("pool").agg(F.count("*").alias("wanted")).join(room, "pool", "left").filter("room is null or wanted > room").select("pool")
-    block = 1024
-    spans = spans.select("pool", "bin", "lo", "hi", F.explode(F.sequence(F.expr(f"lo div {block}"), F.expr(f"(hi - 1) div {block}"))).alias("_block"))
-    plan = numbered.withColumn("_block", F.expr(f"_n div {block}")).join(spans, ["pool", "_block"]).filter("_n >= lo and _n < hi")
+    plan = in_ranges(numbered, spans.select("pool", "bin", "lo", "hi"), ["pool"], slot="_n", page=1024)
     return plan.join(short, "pool", "left_anti").select("pool", "item", "bin"), short
 
 

@@ -13,9 +13,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.folds import product
-from .diffmerge import PAGE
-from .ordering import fold_sorted, number_rows, prefix_sums
+from ..functions.folds import UNSIGNED, product, unsigned_bits
+from .intervals import in_ranges
+from .ordering import combine, fold_sorted, number_rows, prefix_sums
 
 KEYS = ["world", "slot"]
 #: Rows that meet all rows of a small table of their world are dealt into so many parts a world.
@@ -63,6 +63,9 @@ def reduction(op: str, ranked: DataFrame, over=None) -> Column:
         return product(F.col("value"), ranked.schema["value"].dataType, over)
     if op not in OPS:
         raise ValueError(f"unknown reduction {op}")
+    if op in ("band", "bor") and ranked.schema["value"].dataType == UNSIGNED:
+        at = lambda c: c if over is None else c.over(over)
+        return unsigned_bits(lambda c: at(OPS[op](c)), F.col("value"))
     return OPS[op](F.col("value")) if over is None else OPS[op](F.col("value")).over(over)
 
 
@@ -178,29 +181,31 @@ def allgatherv(ranked: DataFrame, counts: DataFrame) -> DataFrame:
     return in_world(gatherv(ranked, counts), counts.select("world", "rank")).select("world", "rank", "slot", "value")
 
 
-def in_slot_ranges(rows: DataFrame, ranges: DataFrame, keys: list[str]) -> DataFrame:
-    """rows (keys, slot, ...) joined to the ranges (keys, lo, hi; hi exclusive, ...) of their keys that hold their slot,
-    page by page of slots."""
-    paged = ranges.filter("lo < hi").withColumn("_page", F.explode(F.sequence(F.expr(f"lo div {PAGE}"), F.expr(f"(hi - 1) div {PAGE}"))))
-    held = rows.withColumn("_page", F.expr(f"slot div {PAGE}")).join(paged, [*keys, "_page"])
-    return held.filter("slot >= lo and slot < hi").drop("_page")
+def reduce_scatter(ranked: DataFrame, counts: DataFrame, op: str = "sum") -> tuple[DataFrame, DataFrame]:
+    """(cells, rejects): reduces, then gives rank r the slots [offset(r), offset(r) + count(r)). Reduced slots (world,
+    slot, value) that no rank's count covers are rejects."""
+    ranges = offsets(counts).select("world", "rank", F.col("offset").alias("lo"), (F.col("offset") + F.col("count")).alias("hi"))
+    whole = reduce(ranked, op)
+    cells = in_ranges(whole, ranges, ["world"]).select("world", "rank", (F.col("slot") - F.col("lo")).alias("slot"), "value")
+    return cells, _beyond(whole, counts, ["world"])
 
 
-def reduce_scatter(ranked: DataFrame, counts: DataFrame, op: str = "sum") -> DataFrame:
-    """Reduces, then gives rank r the slots [offset(r), offset(r) + count(r))."""
-    ranges = offsets(counts).select("world", "rank", F.col("offset").alias("lo"), (F.col("offset") + F.col("count")).alias("hi"))
-    return in_slot_ranges(reduce(ranked, op), ranges, ["world"]).select("world", "rank", (F.col("slot") - F.col("lo")).alias("slot"), "value")
+def _beyond(rows: DataFrame, counts: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows whose slot is not below the sum of the counts of their keys."""
+    total = counts.groupBy(keys).agg(F.sum("count").alias("_total"))
+    return rows.join(total, keys, "left").filter((F.col("slot") < 0) | (F.col("slot") >= F.coalesce("_total", F.lit(0)))).drop("_total").select(rows.columns)
 
 
-def all_to_allv(ranked: DataFrame, counts: DataFrame) -> DataFrame:
-    """Variable-block all-to-all. counts: (world, src, dst, count); a rank's buffer holds its blocks by dst, and
-    receives blocks by src."""
+def all_to_allv(ranked: DataFrame, counts: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, rejects) of a variable-block all-to-all. counts: (world, src, dst, count); a rank's buffer holds its blocks
+    by dst, and receives blocks by src. Slots beyond a rank's blocks (world, rank, slot, value) are rejects."""
     send = Window.partitionBy("world", "src").orderBy("dst").rowsBetween(Window.unboundedPreceding, -1)
     recv = Window.partitionBy("world", "dst").orderBy("src").rowsBetween(Window.unboundedPreceding, -1)
     at = counts.withColumns({"s": F.coalesce(F.sum("count").over(send), F.lit(0)), "r": F.coalesce(F.sum("count").over(recv), F.lit(0))})
     ranges = at.select("world", F.col("src").alias("rank"), "dst", "r", F.col("s").alias("lo"), (F.col("s") + F.col("count")).alias("hi"))
-    held = in_slot_ranges(ranked, ranges, ["world", "rank"])
-    return held.select("world", F.col("dst").alias("rank"), (F.col("r") + F.col("slot") - F.col("lo")).cast("long").alias("slot"), "value")
+    held = in_ranges(ranked, ranges, ["world", "rank"])
+    cells = held.select("world", F.col("dst").alias("rank"), (F.col("r") + F.col("slot") - F.col("lo")).cast("long").alias("slot"), "value")
+    return cells, _beyond(ranked, counts.withColumnRenamed("src", "rank"), ["world", "rank"])
 
 
 def split_world(ranks: DataFrame) -> DataFrame:
@@ -220,3 +225,11 @@ def reduce_with(ranked: DataFrame, step: Callable, start, value_type: str = "dou
 
     world = ranked.schema["world"].dataType.simpleString()
     return fold_sorted(ranked.select("world", F.col("slot").cast("long").alias("slot"), "rank", "value"), KEYS, ["rank"], fold, f"world {world}, slot long, value {value_type}")
+
+
+def combine_with(ranked: DataFrame, function: Callable, value_type: str = "double", commute: bool = True) -> DataFrame:
+    """(world, slot, value) by an associative function of two values. What a task holds of a slot is combined there, so
+    partial results are shuffled instead of values; in order of ranks unless it commutes, in any order if it does."""
+    world = ranked.schema["world"].dataType.simpleString()
+    rows = ranked.select("world", F.col("slot").cast("long").alias("slot"), "rank", "value")
+    return combine(rows, KEYS, "value", function, f"world {world}, slot long, value {value_type}", order=None if commute else ["rank"])

@@ -15,12 +15,12 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from ..functions.folds import product
+from ..functions.folds import UNSIGNED, product, unsigned_bits, unsigned_xor
+from .intervals import PAGE, in_ranges
 from .lineage import cut
 from .ordering import merge_ranges
 
 CELL = ["dataset", "slot"]
-PAGE = 4096
 OPS = ("sum", "subtract", "product", "max", "min", "xor", "overwrite", "ignore")
 
 
@@ -75,11 +75,20 @@ def typed_diff(pairs: DataFrame) -> DataFrame:
         F.when(F.col("op") == "sum", new - old).when(F.col("op") == "subtract", old - new).when(F.col("op") == "product", _quotient(new, old, kind))
         .when(F.col("op").isin("max", "min", "overwrite"), new)
     )
-    if isinstance(kind, (T.IntegerType, T.LongType)):
-        delta = delta.when(F.col("op") == "xor", old.bitwiseXOR(new))
+    if _has_bits(kind):
+        delta = delta.when(F.col("op") == "xor", _xor(old, new, kind))
     return pairs.filter(~old.eqNullSafe(new) & (F.col("op") != "ignore")).select(*CELL, "op", delta.cast(kind).alias("delta"))
 
 
+def _has_bits(kind: T.DataType) -> bool:
+    """Whole numbers of up to 64 bits, signed, or unsigned as decimals."""
+    return isinstance(kind, (T.IntegerType, T.LongType)) or kind == UNSIGNED
+
+
+def _xor(a: Column, b: Column, kind: T.DataType) -> Column:
+    return unsigned_xor(a, b) if kind == UNSIGNED else a.bitwiseXOR(b)
+
+
 def no_quotient(diffs: DataFrame) -> Column:
     """Whether a diff is a product without a factor."""
     return (F.col("op") == "product") & F.col("delta").isNull()
@@ -91,7 +100,7 @@ def _applied(old: Column, op: Column, d: Column, kind: T.DataType) -> Column:
         F.when(op == "sum", old + d).when(op == "subtract", old - d).when(op == "product", F.coalesce(old * d, old))
         .when(op == "max", F.greatest(old, d)).when(op == "min", F.least(old, d)).when(op == "overwrite", d)
     )
-    return new.when(op == "xor", old.bitwiseXOR(d)) if isinstance(kind, (T.IntegerType, T.LongType)) else new
+    return new.when(op == "xor", _xor(old, d, kind)) if _has_bits(kind) else new
 
 
 def apply_diffs(base: DataFrame, diffs: DataFrame) -> DataFrame:
@@ -116,8 +125,8 @@ def fold_by_op(diffs: DataFrame) -> DataFrame:
         F.when(op.isin("sum", "subtract"), F.sum(d)).when(op == "product", product(F.when(op == "product", d), kind)).when(op == "max", F.max(d))
         .when(op == "min", F.min(d)).when(op == "overwrite", F.max_by("delta", F.struct("worker", "seq")))
     )
-    if isinstance(kind, (T.IntegerType, T.LongType)):
-        folded = folded.when(op == "xor", F.bit_xor(d))
+    if _has_bits(kind):
+        folded = folded.when(op == "xor", unsigned_bits(F.bit_xor, d) if kind == UNSIGNED else F.bit_xor(d))
     return diffs.groupBy(*CELL, "op").agg(folded.cast(kind).alias("delta"), F.count("*").alias("n_diffs"))
 
 
@@ -137,10 +146,12 @@ def merge_in_order(base: DataFrame, diffs: DataFrame) -> DataFrame:
 
 
 def xor_merge(base: DataFrame, versions: DataFrame) -> DataFrame:
-    """base xor all (old xor new) of the versions (dataset, slot, worker, value), in any order."""
-    deltas = versions.withColumnRenamed("value", "new").join(base, CELL).select(*CELL, F.col("value").bitwiseXOR(F.col("new")).alias("delta"))
-    folded = deltas.groupBy(CELL).agg(F.bit_xor("delta").alias("delta"))
-    return base.join(folded, CELL, "left").select(*CELL, F.col("value").bitwiseXOR(F.coalesce("delta", F.lit(0))).alias("value"))
+    """base xor all (old xor new) of the versions (dataset, slot, worker, value), in any order; whole numbers of up to 64
+    bits, unsigned ones as decimal(20, 0)."""
+    kind = base.schema["value"].dataType
+    deltas = versions.withColumnRenamed("value", "new").join(base, CELL).select(*CELL, _xor(F.col("value"), F.col("new"), kind).alias("delta"))
+    folded = deltas.groupBy(CELL).agg((unsigned_bits(F.bit_xor, F.col("delta")) if kind == UNSIGNED else F.bit_xor("delta")).alias("delta"))
+    return base.join(folded, CELL, "left").select(*CELL, F.when(F.col("delta").isNull(), F.col("value")).otherwise(_xor(F.col("value"), F.col("delta"), kind)).alias("value"))
 
 
 def sizes_of(cells: DataFrame) -> DataFrame:
@@ -161,11 +172,10 @@ def fill_gaps(regions: DataFrame, sizes: DataFrame, op: str = "overwrite") -> Da
 
 def in_regions(cells: DataFrame, regions: DataFrame, sizes: DataFrame, page: int = PAGE, how: str = "inner") -> DataFrame:
     """Joins cells to the region (op, and its start as `region`) that holds them, to each one where regions overlap.
-    Regions are clipped to the dataset's size, those past it skipped. how: inner, left_semi or left_anti."""
-    paged = regions.join(sizes, "dataset").withColumn("hi", F.least(F.when(F.col("len") == 0, F.col("size")).otherwise(F.col("lo") + F.col("len")), F.col("size")))
-    paged = paged.filter("lo < hi").select(F.col("dataset").alias("_d"), "lo", "hi", "op", F.explode(F.sequence(F.expr(f"lo div {page}"), F.expr(f"(hi - 1) div {page}"))).alias("_page"))
-    on = (F.col("dataset") == F.col("_d")) & (F.expr(f"slot div {page}") == F.col("_page")) & (F.col("slot") >= F.col("lo")) & (F.col("slot") < F.col("hi"))
-    return cells.join(paged, on, how).withColumnRenamed("lo", "region").drop("_d", "_page", "hi")
+    Regions are clipped to the dataset's size, those past it skipped; they may be of any length (see `intervals`). how:
+    inner, left_semi or left_anti."""
+    clipped = regions.join(sizes, "dataset").select("dataset", "lo", F.least(F.when(F.col("len") == 0, F.col("size")).otherwise(F.col("lo") + F.col("len")), F.col("size")).alias("hi"), "op")
+    return in_ranges(cells, clipped, ["dataset"], how=how, page=page).withColumnRenamed("lo", "region").drop("hi")
 
 
 def drop_ignored(diffs: DataFrame, regions: DataFrame, sizes: DataFrame) -> DataFrame:

@@ -7,11 +7,13 @@ Keys may be null: rows with a null key are a group like any other.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 from functools import reduce
 from itertools import groupby
 
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -86,3 +88,69 @@ def fold_sorted(df: DataFrame, keys: list[str], order: list[str], fold: Callable
         yield made(out)
 
     return rows.mapInArrow(run, schema)
+
+
+def scan_ranges(df: DataFrame, keys: list[str], order: list[str], summary: Callable[[Iterator[tuple]], object], emit: Callable[[tuple, object, Iterator[tuple]], Iterator[tuple]],
+                start: object, schema: str) -> DataFrame:
+    """Rows of `schema` from emit(key, state, rows): an ordered fold whose state passes from row to row, in groups of any
+    size. Rows (the columns but keys, as tuples) are dealt by ranges of (keys, order). Each range is first put into a
+    summary, whose apply(state) gives the state after the range from the one before; the summaries of a key are applied
+    in order, from `start`; then all ranges run at once, each from its own state."""
+    rest, at = [c for c in df.columns if c not in keys], [*keys, "__range"]
+    dealt = cut(df.repartitionByRange(*keys, *order).withColumn("__range", F.spark_partition_id()))
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def put(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        yield *key, pickle.dumps(summary(rows))
+
+    def walk(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        state = start
+        for where, data in rows:
+            yield *key, where, pickle.dumps(state)
+            state = pickle.loads(data).apply(state)
+
+    def run(key: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        state = pickle.loads(next(rows)[1])
+        yield from emit(key[:-1], state, (row[2:] for row in rows))
+
+    summaries = fold_sorted(dealt, at, order, put, f"{kinds}, __range int, __state binary")
+    states = fold_sorted(summaries, keys, ["__range"], walk, f"{kinds}, __range int, __state binary")
+    heads = states.select(*at, F.lit(0).alias("__later"), "__state", *[F.lit(None).cast(df.schema[c].dataType).alias(c) for c in rest])
+    rows = dealt.select(*at, F.lit(1).alias("__later"), F.lit(None).cast("binary").alias("__state"), *rest)
+    return fold_sorted(heads.union(rows), at, ["__later", *order], run, schema)
+
+
+def combine(df: DataFrame, keys: list[str], value: str, function: Callable, schema: str, order: list[str] | None = None, held: int = 50_000) -> DataFrame:
+    """(keys, value) by an associative function of two values, nulls left out. Without an order, a task combines what it
+    reads for up to `held` keys at a time; with one, rows are dealt by ranges of (keys, order), and a task combines each
+    run of a key. What is shuffled then is a partial result a task and key, combined again in order."""
+    n, arrow = len(keys), to_arrow_schema(T.StructType.fromDDL(schema))
+    partial = T.StructType.fromDDL(schema).add("__at", T.LongType())
+    out_schema = to_arrow_schema(partial)
+    rows = df.filter(F.col(value).isNotNull()).select(*keys, value, *(order or []))
+    if order:
+        rows = rows.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found, at = {}, TaskContext.get().partitionId() << 32
+
+        def made() -> pa.RecordBatch:
+            nonlocal at
+            columns = [*zip(*[(*key, x) for key, x in found.items()])] or [[] for _ in arrow]
+            at += 1
+            batch = pa.RecordBatch.from_arrays([pa.array(list(c), type=f.type) for c, f in zip([*columns, [at] * len(found)], out_schema)], schema=out_schema)
+            found.clear()
+            return batch
+
+        for b in batches:
+            for row in zip(*[c.to_pylist() for c in b.columns[: n + 1]]):
+                key, x = row[:n], row[n]
+                found[key] = function(found[key], x) if key in found else x
+                if len(found) >= held:
+                    yield made()
+        yield made()
+
+    def fold(key: tuple, parts: Iterator[tuple]) -> Iterator[tuple]:
+        yield *key, reduce(function, (x for x, _ in parts))
+
+    return fold_sorted(rows.mapInArrow(run, partial), keys, ["__at"], fold, schema)

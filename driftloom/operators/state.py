@@ -12,7 +12,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .diffmerge import islands
-from .ordering import fold_sorted, number_rows, running
+from .lineage import cut
+from .ordering import number_rows, scan_ranges
+from .transformers import Balance, KeyLog, lasting, patched
 
 CHUNK = 64 * 1024
 
@@ -163,18 +165,28 @@ def first_items(items: DataFrame, n: int) -> DataFrame:
 def replay_queues(ops: DataFrame) -> DataFrame:
     """(queue, seq, item_seq): which enqueued item each dequeue gets, item_seq null on an empty queue.
 
-    The n-th dequeue that finds something gets the n-th item. A dequeue finds nothing where the running balance,
-    which never goes below zero, is zero: balance = sum - min(0, least running sum so far), so no fold is needed."""
-    steps = ops.select("queue", "seq", F.when(F.col("op") == "enqueue", 1).otherwise(-1).cast("long").alias("_d"))
-    steps = running(steps, ["queue"], ["seq"], {"_sum": ("sum", "_d")})
-    steps = running(steps, ["queue"], ["seq"], {"_low": ("min", "_sum")}, inclusive=False)
-    # The floor falls exactly at dequeues of an empty queue.
-    empty = F.col("_sum") < F.least(F.coalesce("_low", F.lit(0)), F.lit(0))
-    kind = F.when(F.col("_d") > 0, "in").when(empty, "none").otherwise("out")
-    numbered = number_rows(steps.withColumn("_kind", kind), ["queue", "_kind"], ["seq"], "_n")
-    items = numbered.filter("_kind = 'in'").select("queue", "_n", F.col("seq").alias("item_seq"))
-    got = numbered.filter("_kind = 'out'").join(items.withColumnRenamed("queue", "_q"), F.col("queue").eqNullSafe(F.col("_q")) & (numbered["_n"] == items["_n"])).select("queue", "seq", "item_seq")
-    return got.unionByName(numbered.filter("_kind = 'none'").select("queue", "seq", F.lit(None).cast("long").alias("item_seq")))
+    The n-th dequeue that finds something gets the n-th item. One pass over ranges of each queue's log numbers items and
+    such dequeues (`transformers.Balance` says what a range does to the queue before it); numbers are then joined."""
+    steps = ops.select("queue", "seq", F.when(F.col("op") == "enqueue", 1).otherwise(-1).alias("d"))
+
+    def emit(key: tuple, start: tuple, rows: Iterator[tuple]) -> Iterator[tuple]:
+        held, came, gone = start
+        for seq, step in rows:
+            if step > 0:
+                yield key[0], seq, "in", came
+                held, came = held + 1, came + 1
+            elif held:
+                yield key[0], seq, "out", gone
+                held, gone = held - 1, gone + 1
+            else:
+                yield key[0], seq, "none", None
+
+    kinds = [ops.schema[c].dataType.simpleString() for c in ("queue", "seq")]
+    numbered = scan_ranges(steps, ["queue"], ["seq"], lambda rows: Balance(r[1] for r in rows), emit, (0, 0, 0), f"queue {kinds[0]}, seq {kinds[1]}, kind string, n long")
+    numbered = cut(numbered)
+    items = numbered.filter("kind = 'in'").select(F.col("queue").alias("_q"), F.col("n").alias("_n"), F.col("seq").alias("item_seq"))
+    asks = numbered.filter("kind <> 'in'")
+    return asks.join(items, F.col("queue").eqNullSafe(F.col("_q")) & (F.col("n") == F.col("_n")), "left").select("queue", "seq", "item_seq")
 
 
 def live_values(ops: DataFrame, now) -> DataFrame:
@@ -195,18 +207,17 @@ def fold_key(rows: Iterator[tuple], value: str | None = None, ends: float | None
     key's list, which no other operation touches."""
     for row in rows:
         _, at, op, arg, ttl, offset = row[:6]
-        lasts = ttl is not None and ttl == ttl
-        if ends is not None and at >= ends:
+        if ends is not None and at is not None and at >= ends:
             value = ends = None
         done = True
         if op == "set" or (op == "setnx" and value is None):
-            value, ends = arg, at + ttl if lasts else None
+            value, ends = arg, at + ttl if lasting(ttl) else None
         elif op == "del" or (op == "delifeq" and value is not None and value == arg):
             done = value is not None
             value = ends = None
-        elif op == "chunk" and value is not None and arg is not None and offset is not None and 0 <= offset <= len(value) - len(arg):
-            value = value[: int(offset)] + arg + value[int(offset) + len(arg) :]
-        elif op == "expire" and value is not None and lasts:
+        elif op == "chunk" and value is not None and (new := patched(value, offset, arg)) is not None:
+            value = new
+        elif op == "expire" and value is not None and lasting(ttl):
             ends = at + ttl
         else:
             done = op in ("append", "clear")
@@ -217,20 +228,20 @@ def conditional_writes(ops: DataFrame) -> DataFrame:
     """(key, seq, done, value, appended) after each operation (seq, at, op, arg, ttl in seconds, offset): whether it took
     effect, the key's value and the length of its list, appends since the last clear.
 
-    Each operation depends on the one before, but not beyond a set: the stretches of a key from one set to the next are
-    folded apart, so a key with most of the rows is spread over tasks, and folds stream through sorted partitions. An
-    operation other than those of fold_key does nothing; a null key is a key."""
-    count = lambda op: F.when(F.col("op") == op, 1).otherwise(0).cast("long")
-    rows = running(ops.select("key", "seq", "at", "op", "arg", "ttl", "offset"), ["key"], ["seq"], {"_part": ("sum", count("set")), "_pushed": ("sum", count("append"))})
-    rows = running(rows, ["key"], ["seq"], {"_base": ("max", F.when(F.col("op") == "clear", F.col("_pushed")))})
-    rows = rows.select("key", "_part", "seq", "at", "op", "arg", "ttl", "offset", (F.col("_pushed") - F.coalesce("_base", F.lit(0))).alias("appended"))
+    Each operation depends on the one before. A key's log is cut into ranges, each of which becomes a function of the
+    state before it (`transformers.KeyLog`); a key's functions are applied in a row, and the ranges run with the states
+    that these give. So a key with most of the rows is spread over tasks, whatever its operations are. An operation other
+    than those of fold_key does nothing; a null key is a key."""
+    rows = ops.select("key", "seq", "at", "op", "arg", "ttl", "offset")
 
-    def fold(key: tuple, group: Iterator[tuple]) -> Iterator[tuple]:
-        for row, done, value, _ in fold_key(group):
-            yield key[0], row[0], done, value, row[6]
+    def emit(key: tuple, start: tuple, group: Iterator[tuple]) -> Iterator[tuple]:
+        (value, ends), n = start[0] or (None, None), start[1]
+        for row, done, value, _ in fold_key(group, value, ends):
+            n = n + 1 if row[2] == "append" else 0 if row[2] == "clear" else n
+            yield key[0], row[0], done, value, n
 
     kind = ops.schema["key"].dataType.simpleString()
-    return fold_sorted(rows, ["key", "_part"], ["seq"], fold, f"key {kind}, seq long, done boolean, value string, appended long")
+    return scan_ranges(rows, ["key"], ["seq"], lambda group: KeyLog(r[1:6] for r in group), emit, (None, 0), f"key {kind}, seq long, done boolean, value string, appended long")
 
 
 def publish_results(ops: DataFrame, result_ttl_s: int, status_ttl_s: int) -> tuple[DataFrame, DataFrame]:

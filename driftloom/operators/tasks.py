@@ -13,8 +13,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .collectives import in_slot_ranges
 from .diffmerge import fork_join
+from .graph import cycle_nodes
+from .intervals import in_ranges
 from .lineage import cut
 
 RESULT = "app long, id long, return_value int, output string"
@@ -56,7 +57,7 @@ def fork_join_tasks(tasks: DataFrame, base: DataFrame, regions: DataFrame, funct
     given as many tasks of bounded ranges."""
     kind = base.schema["value"].dataType.simpleString()
     name = base.schema["dataset"].dataType.simpleString()
-    held = in_slot_ranges(base, tasks.select("dataset", "worker", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")), ["dataset"])
+    held = in_ranges(base, tasks.select("dataset", "worker", F.col("lo").cast("long").alias("lo"), F.col("hi").cast("long").alias("hi")), ["dataset"])
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("slot")
@@ -69,8 +70,9 @@ def fork_join_tasks(tasks: DataFrame, base: DataFrame, regions: DataFrame, funct
 
 def run_chained(tasks: DataFrame, function: Callable, max_rounds: int | None = None) -> tuple[DataFrame, DataFrame]:
     """(results, calls) of tasks (app, id, depth) whose function returns (return value, output, child ids): children
-    run in the next round, edges go to calls (app, parent_id, child_id). Rounds go on until no task calls another one;
-    a caller that does not trust the function may set max_rounds, beyond which there is an error."""
+    run in the next round, edges go to calls (app, parent_id, child_id). Rounds go on until no task calls another one. A
+    task that is called from below itself would never end: it is an error that names it, as soon as it is called again.
+    A function that keeps inventing new ids ends at max_rounds, if that is set, with an error."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -84,6 +86,7 @@ def run_chained(tasks: DataFrame, function: Callable, max_rounds: int | None = N
             yield pd.DataFrame(rows, columns=["app", "id", "depth", "return_value", "output", "children"])
 
     rounds, now = [], tasks.select("app", "id", F.lit(0).alias("depth"))
+    edges = lambda rows: rows.select("app", F.col("id").alias("parent_id"), F.explode("children").alias("child_id"))
     while True:
         done = cut(now.mapInPandas(run, "app long, id long, depth int, return_value int, output string, children array<bigint>"))
         rounds.append(done)
@@ -92,5 +95,11 @@ def run_chained(tasks: DataFrame, function: Callable, max_rounds: int | None = N
             break
         if max_rounds is not None and len(rounds) >= max_rounds:
             raise ValueError(f"tasks are chained over more than {max_rounds} rounds")
+        rows = reduce(DataFrame.union, rounds)
+        # Only a task that has run before can close a cycle.
+        if not now.join(rows.select("app", "id"), ["app", "id"], "left_semi").isEmpty():
+            bad = cycle_nodes(edges(rows)).orderBy("app", "id").limit(10).collect()
+            if bad:
+                raise ValueError("tasks call themselves, at " + ", ".join(f"task {r.id} of app {r.app}" for r in bad))
     rows = reduce(DataFrame.union, rounds)
-    return rows.drop("children"), rows.select("app", F.col("id").alias("parent_id"), F.explode("children").alias("child_id"))
+    return rows.drop("children"), edges(rows)

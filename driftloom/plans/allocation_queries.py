@@ -182,16 +182,24 @@ register("m05_mapping_round_trip", lambda s, d: m.placements_of(m.mappings_of(re
 
 register("f01_strings", lambda s, d: read(s, d, "customer").groupBy("c_mktsegment").agg(
     F.count_if(f.is_blank(F.substring("c_name", 1, 0))).alias("blank"), F.count_if(f.starts_with(F.col("c_name"), "Customer#")).alias("starts"), F.count_if(f.starts_with(F.col("c_name"), "")).alias("starts_empty"), F.count_if(f.ends_with(F.col("c_name"), "7")).alias("ends"),
-    F.count_if(f.contains(F.col("c_name"), "")).alias("has_empty"), F.count_if(f.is_digits(f.remove_first(F.col("c_name"), "Customer#"))).alias("digits"), F.sum(F.length(f.remove_first(F.col("c_name"), "00"))).alias("left_over")), """
+    F.count_if(f.contains(F.col("c_name"), "")).alias("has_empty"), F.count_if(f.is_digits(f.remove_first(F.col("c_name"), "Customer#"))).alias("digits"), F.count_if(f.is_digits(F.concat(f.remove_first(F.col("c_name"), "Customer#"), F.when(F.col("c_custkey") % 3 == 0, "\n").otherwise("")))).alias("digit_lines"), F.sum(F.length(f.remove_first(F.col("c_name"), "00"))).alias("left_over")), """
 SELECT c_mktsegment, count(*) AS blank, count(*) FILTER (WHERE starts_with(c_name, 'Customer#')) AS starts, 0::BIGINT AS starts_empty, count(*) FILTER (WHERE c_name LIKE '%7') AS ends, count(*) AS has_empty,
-       count(*) FILTER (WHERE regexp_full_match(replace(c_name, 'Customer#', ''), '[0-9]+')) AS digits, sum(length(c_name) - CASE WHEN contains(c_name, '00') THEN 2 ELSE 0 END)::BIGINT AS left_over FROM customer GROUP BY 1""")
+       count(*) FILTER (WHERE regexp_full_match(replace(c_name, 'Customer#', ''), '[0-9]+')) AS digits, count(*) FILTER (WHERE c_custkey % 3 > 0 AND regexp_full_match(replace(c_name, 'Customer#', ''), '[0-9]+')) AS digit_lines, sum(length(c_name) - CASE WHEN contains(c_name, '00') THEN 2 ELSE 0 END)::BIGINT AS left_over FROM customer GROUP BY 1""")
 register("f02_list_text", lambda s, d: read(s, d, "nation").groupBy("n_regionkey").agg(f.list_text(F.sort_array(F.collect_list("n_name"))).alias("names")), "SELECT n_regionkey, '[' || string_agg(n_name, ', ' ORDER BY n_name) || ']' AS names FROM nation GROUP BY 1")
-register("f03_hex", lambda s, d: read(s, d, "customer").select("c_custkey", f.to_hex(F.col("c_name").cast("binary")).alias("h"), f.from_hex(f.to_hex(F.col("c_name").cast("binary"))).cast("string").alias("back"), f.from_hex(F.lit("abc")).cast("string").alias("odd"), f.int_hex(F.col("c_custkey")).alias("n")),
-         "SELECT c_custkey, lower(hex(c_name)) AS h, c_name AS back, NULL::VARCHAR AS odd, lpad(lower(printf('%x', c_custkey)), 8, '0') AS n FROM customer")
+register("f03_hex", lambda s, d: read(s, d, "customer").select("c_custkey", f.to_hex(F.col("c_name").cast("binary")).alias("h"), f.from_hex(f.to_hex(F.col("c_name").cast("binary"))).cast("string").alias("back"), f.from_hex(F.lit("abc")).cast("string").alias("odd"), f.int_hex(F.col("c_custkey")).alias("n"), f.int_hex(F.col("c_custkey") + (1 << 36)).alias("long"), f.int_hex(F.col("c_custkey") + (1 << 36), 16).alias("wide")),
+         "SELECT c_custkey, lower(hex(c_name)) AS h, c_name AS back, NULL::VARCHAR AS odd, lpad(lower(printf('%x', c_custkey)), 8, '0') AS n, lower(printf('%x', c_custkey + 68719476736)) AS long, lpad(lower(printf('%x', c_custkey + 68719476736)), 16, '0') AS wide FROM customer")
 register("f04_bytes", lambda s, d: read(s, d, "customer").select("c_custkey", f.to_hex(f.trim_zeros(F.unhex(F.concat(F.hex(F.col("c_name").cast("binary")), F.lit("000000"))))).alias("trimmed"), f.truncate(F.col("c_name"), 5).alias("cut")), "SELECT c_custkey, lower(hex(c_name)) AS trimmed, substr(c_name, 1, 5) AS cut FROM customer")
 register("f05_names", lambda s, d: read(s, d, "customer").select("c_custkey", f.function_name(F.col("c_mktsegment"), F.col("c_name"), F.when(F.col("c_custkey") % 2 == 0, F.col("c_custkey"))).alias("name"), f.state_key(F.col("c_mktsegment"), F.col("c_name")).alias("key"),
          F.array_join(f.command_line("run", F.concat_ws(" ", "c_name", "c_mktsegment")), "|").alias("argv")),
          "SELECT c_custkey, c_mktsegment || '/' || c_name || CASE WHEN c_custkey % 2 = 0 THEN ':' || c_custkey ELSE '' END AS name, c_mktsegment || '_' || c_name AS key, 'run|' || replace(c_name || ' ' || c_mktsegment, ' ', '|') AS argv FROM customer")
-register("f06_times", lambda s, d: read(s, d, "events").select("event_id", f.millis(F.col("ts")).alias("ms"), f.nanos(F.col("user_id"), F.col("event_id")).alias("ns"), f.seconds_and_nanos(f.nanos(F.col("user_id"), F.col("event_id")))[0].alias("s"), f.seconds_and_nanos(f.nanos(F.col("user_id"), F.col("event_id")))[1].alias("rest")),
-         "SELECT event_id, epoch_us(ts) // 1000 AS ms, user_id * 1000000000 + event_id AS ns, user_id AS s, event_id AS rest FROM events")
+def f06_times(s: SparkSession, d: str) -> DataFrame:
+    """Times of the events, and numbers of nanoseconds just below and above whole seconds, where doubles round."""
+    near = f.nanos(F.col("user_id") + 1_700_000_000, F.lit(0).cast("long")) + F.col("event_id") % 3 - 1
+    at, whole = f.nanos(F.col("user_id"), F.col("event_id")), f.seconds_and_nanos(near)
+    return read(s, d, "events").select("event_id", f.millis(F.col("ts")).alias("ms"), at.alias("ns"), f.seconds_and_nanos(at)[0].alias("s"), f.seconds_and_nanos(at)[1].alias("rest"), whole[0].alias("near_s"), whole[1].alias("near_rest"))
+
+
+register("f06_times", f06_times, """
+SELECT event_id, epoch_us(ts) // 1000 AS ms, user_id * 1000000000 + event_id AS ns, user_id AS s, event_id AS rest,
+       1700000000 + user_id - CASE WHEN event_id % 3 = 0 THEN 1 ELSE 0 END AS near_s, CASE event_id % 3 WHEN 0 THEN 999999999 WHEN 1 THEN 0 ELSE 1 END::BIGINT AS near_rest FROM events""")
 register("f07_timer_report", lambda s, d: f.timer_report(read(s, d, "events").select(F.col("event_type").alias("label"), F.floor("value").alias("micros"))), "SELECT event_type AS label, sum(floor(value))::BIGINT AS total, avg(floor(value)) AS average, count(*) AS count FROM events GROUP BY 1")

@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import collectives as c
+from ..operators.ordering import number_rows
 from .registry import read, register
 
 RANKED = """r AS (SELECT l_returnflag AS world, l_linenumber - 1 AS rank, l_suppkey AS slot, CAST(sum(l_quantity) AS BIGINT) AS value
@@ -28,12 +31,14 @@ VECTORS = """v AS (SELECT label AS world, vec_id AS rank, generate_subscripts(em
 
 
 def grid(spark: SparkSession, sf: str) -> DataFrame:
-    n = read(spark, sf, "nation")
-    sizes = n.groupBy("n_regionkey").agg(F.count("*").cast("int").alias("size"))
-    return n.join(sizes, "n_regionkey").select(F.col("n_regionkey").alias("world"), F.expr("n_nationkey div 5").cast("int").alias("rank"), "size", F.col("size").alias("d0"), F.lit(1).alias("d1"))
+    """A nation's customers as ranks of a grid of 1 to 4 columns, which does not divide each nation's number."""
+    n = number_rows(read(spark, sf, "customer").select(F.col("c_nationkey").alias("world"), "c_custkey"), ["world"], ["c_custkey"], "rank").withColumn("rank", F.col("rank").cast("int"))
+    sizes = n.groupBy("world").agg(F.count("*").cast("int").alias("size")).withColumn("d1", (F.col("world") % 4 + 1).cast("int")).withColumn("d0", F.greatest(F.expr("size div d1"), F.lit(1)).cast("int"))
+    return n.join(sizes, "world").select("world", "rank", "size", "d0", "d1")
 
 
-GRID = "g AS (SELECT n_regionkey AS world, n_nationkey // 5 AS rank, count(*) OVER (PARTITION BY n_regionkey) AS size FROM nation)"
+GRID = """g AS (SELECT c_nationkey AS world, row_number() OVER (PARTITION BY c_nationkey ORDER BY c_custkey) - 1 AS rank, count(*) OVER (PARTITION BY c_nationkey) AS size, c_nationkey % 4 + 1 AS d1,
+  greatest(count(*) OVER (PARTITION BY c_nationkey) // (c_nationkey % 4 + 1), 1) AS d0 FROM customer), xy AS (SELECT *, rank // d1 AS c0, rank % d1 AS c1 FROM g)"""
 
 register("c01_broadcast", lambda s, d: c.broadcast(ranked(s, d), 0), f"WITH {RANKED}, {WORLD} SELECT r.world, w.rank, slot, value FROM r JOIN w ON r.world = w.world WHERE r.rank = 0")
 register("c02_scatter", lambda s, d: c.scatter(c.gather(vectors(s, d), 64), 16).withColumn("value", F.col("value").cast("double")),
@@ -72,9 +77,20 @@ SELECT world, src, dst, n, s.c AS send_count, r.c AS recv_count, CASE WHEN s.c I
 FROM s FULL JOIN r USING (world, src, dst, n)""")
 register("c13_ring_shift", lambda s, d: c.ring_shift(ranked(s, d), c.ranks_of(ranked(s, d)).groupBy("world").agg(F.count("*").alias("size"))),
          f"WITH {RANKED}, {WORLD} SELECT r.world, ((rank + 1) % n.size)::INT AS rank, slot, value FROM r JOIN (SELECT world, count(*) AS size FROM w GROUP BY world) n ON r.world = n.world")
-register("c14_grid_coords", lambda s, d: c.grid_coords(grid(s, d)).select("world", "rank", "c0", "c1", "c2", "valid"), f"WITH {GRID} SELECT world, rank, rank AS c0, 0 AS c1, 0 AS c2, true AS valid FROM g")
-register("c15_grid_rank", lambda s, d: c.grid_rank(c.grid_coords(grid(s, d)).drop("rank")).select("world", "c0", "c1", "rank"), f"WITH {GRID} SELECT world, rank AS c0, 0 AS c1, rank FROM g")
-register("c16_grid_shift", lambda s, d: c.grid_shift(grid(s, d), 0).select("world", "rank", "source", "dest"), f"WITH {GRID} SELECT world, rank, ((rank - 1 + size) % size)::INT AS source, ((rank + 1) % size)::INT AS dest FROM g")
+register("c14_grid_coords", lambda s, d: c.grid_coords(grid(s, d)).select("world", "rank", "c0", "c1", "c2", "valid"), f"WITH {GRID} SELECT world, rank::INT AS rank, c0::INT AS c0, c1::INT AS c1, 0 AS c2, d0 * d1 = size AS valid FROM xy")
+register("c15_grid_rank", lambda s, d: c.grid_rank(c.grid_coords(grid(s, d)).drop("rank")).select("world", "c0", "c1", "rank"), f"WITH {GRID} SELECT world, c0::INT AS c0, c1::INT AS c1, rank::INT AS rank FROM xy")
+
+
+def c16_grid_shift(s: SparkSession, d: str) -> DataFrame:
+    """Neighbours along all three axes, two steps along the second."""
+    g = grid(s, d)
+    rows = [c.grid_shift(g, axis, by).select("world", "rank", F.lit(axis).alias("axis"), "source", "dest") for axis, by in ((0, 1), (1, 2), (2, 1))]
+    return rows[0].union(rows[1]).union(rows[2])
+
+
+register("c16_grid_shift", c16_grid_shift, f"""
+WITH {GRID} SELECT world, rank::INT AS rank, 0 AS axis, ((c0 - 1 + d0) % d0 * d1 + c1)::INT AS source, ((c0 + 1) % d0 * d1 + c1)::INT AS dest FROM xy
+UNION ALL SELECT world, rank::INT, 1, (c0 * d1 + (c1 - 2 + 2 * d1) % d1)::INT, (c0 * d1 + (c1 + 2) % d1)::INT FROM xy UNION ALL SELECT world, rank::INT, 2, rank::INT, rank::INT FROM xy""")
 
 
 def _rank_hosts(spark: SparkSession, sf: str) -> DataFrame:
@@ -112,23 +128,34 @@ n AS (SELECT world, rank, max(slot) + 1 AS count FROM b GROUP BY ALL),
 o AS (SELECT *, coalesce(sum(count) OVER (PARTITION BY world ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM n)"""
 register("c18_gatherv", lambda s, d: c.gatherv(*_variable(s, d)), f"WITH {VARIABLE.format(rank='l_suppkey', slot='l_linenumber - 1')} SELECT b.world, off + slot AS slot, value FROM b JOIN o USING (world, rank)")
 register("c18_allgatherv", lambda s, d: c.allgatherv(*_long_variable(s, d)), f"WITH {VARIABLE.format(rank='l_linenumber - 1', slot='l_partkey')} SELECT b.world, n.rank, off + slot AS slot, value FROM b JOIN o USING (world, rank) JOIN n ON n.world = b.world")
-register("c19_reduce_scatter", lambda s, d: c.reduce_scatter(ranked(s, d), c.ranks_of(ranked(s, d)).withColumn("count", (F.col("rank") + 2).cast("long"))), f"""
-WITH {RANKED}, {WORLD}, o AS (SELECT world, rank, rank + 2 AS n, coalesce(sum(rank + 2) OVER (PARTITION BY world ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM w),
-t AS (SELECT world, slot, CAST(sum(value) AS BIGINT) AS value FROM r GROUP BY ALL)
+def _scattered(s: SparkSession, d: str, covered: bool) -> tuple[DataFrame, DataFrame]:
+    """Counts that cover all slots, the more the higher the rank, or about a third of them."""
+    return c.reduce_scatter(ranked(s, d), c.ranks_of(ranked(s, d)).withColumn("count", (F.col("rank") + (_slots(s, d) // 7 + 1 if covered else 2)).cast("long")))
+
+
+SCATTERED = f"""{RANKED}, {WORLD}, k AS (SELECT (count(*) + 1) // 7 + 1 AS n FROM supplier), t AS (SELECT world, slot, CAST(sum(value) AS BIGINT) AS value FROM r GROUP BY ALL)"""
+register("c19_reduce_scatter", lambda s, d: _scattered(s, d, True)[0], f"""
+WITH {SCATTERED}, o AS (SELECT world, rank, rank + n AS n, coalesce(sum(rank + n) OVER (PARTITION BY world ORDER BY rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS off FROM w, k)
 SELECT t.world, o.rank, slot - off AS slot, value FROM t JOIN o ON t.world = o.world AND slot >= off AND slot < off + n""")
+register("c19_scatter_rejects", lambda s, d: _scattered(s, d, False)[1], f"WITH {SCATTERED}, o AS (SELECT world, sum(rank + 2) AS n FROM w GROUP BY world) SELECT t.world, slot, value FROM t JOIN o ON t.world = o.world AND slot >= n")
 
 
-def _counts_v(ranked_df: DataFrame) -> DataFrame:
-    """Rank i sends i + j + 1 slots to rank j."""
-    w = c.ranks_of(ranked_df)
-    return w.select("world", F.col("rank").alias("src")).join(w.select("world", F.col("rank").alias("dst")), "world").withColumn("count", (F.col("src") + F.col("dst") + 1).cast("long"))
+def _exchanged(s: SparkSession, d: str, covered: bool) -> tuple[DataFrame, DataFrame]:
+    """Rank i sends i + j + 1 slots to rank j, and a seventh of all if the counts are to cover the buffers."""
+    r = ranked(s, d)
+    w, more = c.ranks_of(r), _slots(s, d) // 7 + 1 if covered else 1
+    counts = w.select("world", F.col("rank").alias("src")).join(w.select("world", F.col("rank").alias("dst")), "world")
+    return c.all_to_allv(r, counts.withColumn("count", (F.col("src") + F.col("dst") + more).cast("long")))
 
 
-register("c20_all_to_allv", lambda s, d: c.all_to_allv(ranked(s, d), _counts_v(ranked(s, d))), f"""
-WITH {RANKED}, {WORLD}, k AS (SELECT a.world, a.rank AS src, b.rank AS dst, a.rank + b.rank + 1 AS n FROM w a JOIN w b ON a.world = b.world),
+EXCHANGED = f"""{RANKED}, {WORLD}, m AS (SELECT (count(*) + 1) // 7 + 1 AS more FROM supplier)"""
+register("c20_all_to_allv", lambda s, d: _exchanged(s, d, True)[0], f"""
+WITH {EXCHANGED}, k AS (SELECT a.world, a.rank AS src, b.rank AS dst, a.rank + b.rank + more AS n FROM w a JOIN w b ON a.world = b.world, m),
 o AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY world, src ORDER BY dst ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS so,
              coalesce(sum(n) OVER (PARTITION BY world, dst ORDER BY src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ro FROM k)
 SELECT r.world, dst AS rank, (ro + slot - so)::BIGINT AS slot, value FROM r JOIN o ON r.world = o.world AND r.rank = o.src AND slot >= so AND slot < so + n""")
+register("c20_exchange_rejects", lambda s, d: _exchanged(s, d, False)[1], f"""
+WITH {EXCHANGED}, o AS (SELECT a.world, a.rank, sum(a.rank + b.rank + 1) AS n FROM w a JOIN w b ON a.world = b.world GROUP BY ALL) SELECT r.world, r.rank, slot, value FROM r JOIN o ON r.world = o.world AND r.rank = o.rank AND slot >= n""")
 register("c21_reduce_logic", lambda s, d: c.reduce(ranked(s, d).withColumn("value", F.col("value") > 20), "land").withColumnRenamed("value", "every").join(
     c.reduce(ranked(s, d).withColumn("value", F.col("value") > 60), "lor").withColumnRenamed("value", "some"), ["world", "slot"]),
     f"WITH {RANKED} SELECT world, slot, bool_and(value > 20) AS every, bool_or(value > 60) AS some FROM r GROUP BY ALL")
@@ -137,6 +164,16 @@ register("c21_reduce_bits", lambda s, d: c.reduce(ranked(s, d), "band").withColu
 register("c21_reduce_prod", lambda s, d: c.reduce(ranked(s, d).withColumn("value", F.col("value") % 3 + 1), "prod"), f"WITH {RANKED} SELECT world, slot, CAST(product(value % 3 + 1) AS BIGINT) AS value FROM r GROUP BY ALL")
 register("c21_reduce_long_prod", lambda s, d: c.reduce(ranked(s, d).withColumn("value", (F.col("value") % 300 + 2) * F.when(F.col("rank") == 3, -1).otherwise(1)), "prod"), f"""
 WITH {RANKED} SELECT world, slot, list_reduce(list(((value % 300 + 2) * CASE WHEN rank = 3 THEN -1 ELSE 1 END)::HUGEINT), lambda a, x: a * x)::BIGINT AS value FROM r GROUP BY ALL""")
+
+
+def _unsigned(s: SparkSession, d: str) -> DataFrame:
+    """Values with bit 63 set, and lower bits by their size."""
+    return ranked(s, d).withColumn("value", (F.col("value").cast("decimal(20,0)") * 4_000_000_007 + F.lit(Decimal(1 << 63))).cast("decimal(20,0)"))
+
+
+register("c21_reduce_unsigned", lambda s, d: c.reduce(_unsigned(s, d), "band").withColumnRenamed("value", "band").join(c.reduce(_unsigned(s, d), "bor").withColumnRenamed("value", "bor"), ["world", "slot"]).select(
+    "world", "slot", F.col("band").cast("string").alias("band"), F.col("bor").cast("string").alias("bor")),
+    f"WITH {RANKED}, u AS (SELECT *, (value::HUGEINT * 4000000007 + 9223372036854775808)::UBIGINT AS v FROM r) SELECT world, slot, bit_and(v)::VARCHAR AS band, bit_or(v)::VARCHAR AS bor FROM u GROUP BY ALL")
 register("c22_maxloc", lambda s, d: c.reduce(ranked(s, d), "maxloc"), f"WITH {RANKED} SELECT world, slot, max(value) AS value, arg_min(rank, (-value, rank)) AS loc FROM r GROUP BY ALL")
 register("c22_minloc", lambda s, d: c.reduce(ranked(s, d), "minloc"), f"WITH {RANKED} SELECT world, slot, min(value) AS value, arg_min(rank, (value, rank)) AS loc FROM r GROUP BY ALL")
 register("c23_split", lambda s, d: c.split_world(read(s, d, "customer").select(F.col("c_mktsegment").alias("world"), F.col("c_custkey").alias("rank"), F.col("c_nationkey").alias("color"), F.col("c_acctbal").alias("key"))).select("world", "rank", "color", "new_rank"),
@@ -150,3 +187,21 @@ def _horner(so_far: float, value: int) -> float:
 
 register("c24_user_reduction", lambda s, d: c.reduce_with(ranked(s, d), _horner, 0.0),
          f"WITH {RANKED} SELECT world, slot, CAST(sum(value * pow(3, k - i)) AS DOUBLE) AS value FROM (SELECT *, row_number() OVER (PARTITION BY world, slot ORDER BY rank) AS i, count(*) OVER (PARTITION BY world, slot) AS k FROM r) GROUP BY ALL")
+
+
+def _longest(a: list, b: list) -> list:
+    """Associative, not commutative: joins runs (first, last, length of the longest rise, of the first, of the last, size)."""
+    rise = b[0] >= a[1]
+    return [a[0], b[1], max(a[2], b[2], a[4] + b[3] if rise else 0), a[3] + b[3] if rise and a[3] == a[5] else a[3], a[4] + b[4] if rise and b[4] == b[5] else b[4], a[5] + b[5]]
+
+
+def c24_partial_combine(s: SparkSession, d: str) -> DataFrame:
+    """The longest rise of each slot's values over the ranks."""
+    one = F.lit(1).cast("long")
+    runs = c.combine_with(ranked(s, d).withColumn("value", F.array("value", "value", one, one, one, one)), _longest, "array<bigint>", commute=False)
+    return runs.select("world", "slot", F.col("value")[2].alias("rise"))
+
+
+register("c24_partial_combine", c24_partial_combine, f"""
+WITH {RANKED}, f AS (SELECT *, CASE WHEN value >= lag(value) OVER (PARTITION BY world, slot ORDER BY rank) THEN 0 ELSE 1 END AS fresh FROM r),
+g AS (SELECT *, sum(fresh) OVER (PARTITION BY world, slot ORDER BY rank) AS g FROM f), h AS (SELECT world, slot, g, count(*) AS n FROM g GROUP BY ALL) SELECT world, slot, max(n) AS rise FROM h GROUP BY ALL""")

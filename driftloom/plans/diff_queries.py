@@ -3,6 +3,8 @@ by rules on the key."""
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +68,15 @@ register("d05_xor_merge", lambda s, d: m.xor_merge(base(s, d), workers(s, d)), f
 WITH {BASE}, {WORKERS} SELECT b.dataset, slot, xor(b.value, bit_xor(xor(b.value, w.value))) AS value FROM b JOIN w USING (dataset, slot) GROUP BY b.dataset, slot, b.value""")
 
 
+def _unsigned(df: DataFrame) -> DataFrame:
+    return df.withColumn("value", (F.col("value").cast("decimal(20,0)") * 1_000_003 + F.lit(Decimal(1 << 63))).cast("decimal(20,0)"))
+
+
+register("d05_xor_unsigned", lambda s, d: m.xor_merge(_unsigned(base(s, d)), _unsigned(workers(s, d))).withColumn("value", F.col("value").cast("string")), f"""
+WITH {BASE}, {WORKERS}, x AS (SELECT b.dataset, slot, (b.value::HUGEINT * 1000003 + 9223372036854775808)::UBIGINT AS b, (w.value::HUGEINT * 1000003 + 9223372036854775808)::UBIGINT AS w FROM b JOIN w USING (dataset, slot))
+SELECT dataset, slot, xor(b, bit_xor(xor(b, w)))::VARCHAR AS value FROM x GROUP BY dataset, slot, b""")
+
+
 def _regions(s: SparkSession, d: str) -> DataFrame:
     """Per brand: [0, 50) summed, [100, 200) ignored, [300, 400) max."""
     r = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("lo"), F.lit(b).cast("long").alias("len"), F.lit(o).alias("op")) for a, b, o in ((0, 50, "sum"), (100, 100, "ignore"), (300, 100, "max"))]))

@@ -117,7 +117,7 @@ def _trees(s: SparkSession, d: str) -> DataFrame:
 TREE = """RECURSIVE x AS (SELECT k % 5 AS app, k AS id, NULL::BIGINT AS parent_id, 0 AS level, ''::VARCHAR AS path FROM range(5) r(k)
   UNION ALL SELECT x.app, c.c_custkey, x.id, level + 1, path || lpad(((c.c_custkey // 5) % 4)::VARCHAR, 2, '0') FROM x JOIN customer c ON c.c_custkey >= 5 AND c.c_custkey % 5 = x.app AND c.c_custkey // 5 // 4 * 5 + c.c_custkey % 5 = x.id),
 n AS (SELECT app, app AS root, id, parent_id, level, path, 'h' || id % 7 AS host, (id // 5) % 16 AS rank, CASE WHEN (id // 5) % 5 = 0 THEN -99 WHEN (id // 5) % 11 = 0 THEN 1 ELSE 0 END AS return_value FROM x WHERE app <> 3)"""
-register("g01_call_trees", lambda s, d: _trees(s, d).drop("path"), f"WITH {TREE} SELECT app, root, id, parent_id, level FROM n")
+register("g01_call_trees", lambda s, d: _trees(s, d).select("app", "root", "id", "parent_id", "level"), f"WITH {TREE} SELECT app, root, id, parent_id, level FROM n")
 register("g02_node_counts", lambda s, d: g.node_counts(_roots(s), _trees(s, d)), f"WITH {TREE} SELECT app, root, count(*) AS nodes FROM n GROUP BY ALL UNION ALL SELECT 3, 3, 1")
 register("g03_tree_hosts", lambda s, d: g.tree_hosts(_trees(s, d), node_results(s, d)).withColumn("hosts", F.array_join("hosts", ",")), f"WITH {TREE} SELECT app, root, string_agg(DISTINCT host, ',' ORDER BY host) AS hosts FROM n GROUP BY app, root")
 register("g04_rank_hosts", lambda s, d: g.rank_hosts(_trees(s, d), node_results(s, d)), f"WITH {TREE} SELECT app, root, rank, arg_max(host, path) AS host FROM n GROUP BY ALL")
@@ -297,8 +297,9 @@ def _preset(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
 
 register("p09_preset_hosts", lambda s, d: _preset(s, d)[0], "SELECT l_partkey AS app, l_orderkey AS id, l_linenumber AS group_idx, p_brand AS host FROM lineitem JOIN part ON p_partkey = l_partkey AND p_partkey % 7 + 1 = l_linenumber")
 register("p09_preset_rejects", lambda s, d: _preset(s, d)[1], "SELECT l_partkey AS app, l_orderkey AS id, l_linenumber AS group_idx FROM lineitem LEFT JOIN part ON p_partkey = l_partkey AND p_partkey % 7 + 1 = l_linenumber WHERE p_partkey IS NULL")
-register("p10_idle_workers", lambda s, d: p.idle_workers(_register_log(s, d).select(F.col("host").alias("worker"), F.col("register_ts").alias("ts"), (F.col("used") == 5).alias("running")), NOW, 3600000),
-         f"SELECT user_id AS worker, max((epoch_us(ts) // 1000)) AS last_ts FROM events GROUP BY 1 HAVING {NOW} - max((epoch_us(ts) // 1000)) >= 3600000")
+register("p10_idle_workers", lambda s, d: p.idle_workers(_register_log(s, d).select(F.col("host").alias("worker"), F.col("register_ts").alias("ts"), ((F.col("slots") == 7) & (F.col("used") == 2)).alias("running")), NOW, 3600000), f"""
+SELECT user_id AS worker, max((epoch_us(ts) // 1000)) AS last_ts FROM events GROUP BY 1
+HAVING {NOW} - max((epoch_us(ts) // 1000)) >= 3600000 AND count(*) FILTER (WHERE floor(value)::BIGINT % 8 = 7 AND floor(value)::BIGINT % 3 = 2) = 0""")
 register("p11_exchange_violations", lambda s, d: p.exchange_violations(read(s, d, "events").select("event_id", F.lit(6).alias("size"), (F.col("user_id") % 7).alias("src"), (F.col("event_id") % 6).alias("dst"),
          (F.col("event_id") % 2).alias("send_type"), (F.col("event_id") % 4 % 3).alias("recv_type"), (F.col("event_id") % 5).alias("send_count"), (F.col("event_id") % 3).alias("recv_count"))).select("event_id", "reason"), """
 SELECT event_id, CASE WHEN user_id % 7 >= 6 THEN 'rank' ELSE 'type' END AS reason FROM events WHERE user_id % 7 >= 6 OR (event_id % 2 <> event_id % 4 % 3 AND event_id % 5 = event_id % 3)""")

@@ -91,7 +91,7 @@ def test_products_are_exact_and_scan(spark):
 def test_variable_blocks_and_user_reduction(spark):
     df = ranked(spark, 3, 4, lambda r, s: 10 * r + s)
     counts = spark.createDataFrame([("w", 0, 1), ("w", 1, 2), ("w", 2, 1)], "world string, rank int, count long")
-    out = c.reduce_scatter(df, counts).orderBy("rank", "slot").collect()
+    out = c.reduce_scatter(df, counts)[0].orderBy("rank", "slot").collect()
     assert [(r.rank, r.slot, r.value) for r in out] == [(0, 0, 30), (1, 0, 33), (1, 1, 36), (2, 0, 39)]
     assert values(c.reduce_with(df, lambda a, x: 2 * a + x, 0.0), "slot") == [40, 47, 54, 61]
     assert c.allgatherv(df, c.ranks_of(df).withColumn("count", F.lit(4).cast("long"))).count() == 36

@@ -27,7 +27,7 @@ def test_call_tree(tree):
     nodes = g.call_trees(roots, calls, results).cache()
     assert g.node_counts(roots, nodes).first().nodes == 7
     assert g.tree_hosts(nodes, results).first().hosts == ["bar", "baz", "foo"]
-    assert [r.id for r in nodes.orderBy("path").collect()] == [1, 2, 4, 3, 5, 7, 6]
+    assert [r.id for r in nodes.orderBy("place").collect()] == [1, 2, 4, 3, 5, 7, 6]
     moved, bad = g.migrated_rank_hosts(nodes, results)
     assert {r.rank: (r.before, r.after) for r in moved.collect()}[1] == ("bar", "baz") and bad.isEmpty()
     text = g.tree_json(nodes, results).first().json
@@ -36,10 +36,77 @@ def test_call_tree(tree):
     assert missing.isEmpty() and g.node_counts(roots, missing).first().nodes == 1
 
 
+def edges_of(spark, pairs, app=1):
+    return spark.createDataFrame([(app, a, b) for a, b in pairs], "app long, parent_id long, child_id long")
+
+
+def results_of(spark, ids, app=1):
+    return spark.createDataFrame([(app, i, "h", 0) for i in ids], "app long, id long, host string, return_value int")
+
+
 def test_cycles_are_reported(spark, tree):
     roots, calls, results = tree
-    with pytest.raises(ValueError):
-        g.call_trees(roots, calls.union(spark.createDataFrame([(1, 7, 1)], calls.schema)), results, max_depth=5)
+    with pytest.raises(ValueError, match="task 1 of app 1"):
+        g.call_trees(roots, calls.union(edges_of(spark, [(7, 1)])), results)
+    # A ring whose tasks each call two others would double its nodes with every level.
+    n = 40
+    branching = edges_of(spark, [(i, (i + k) % n + 1) for i in range(1, n + 1) for k in (0, 6)])
+    with pytest.raises(ValueError, match="task 1 of app 1"):
+        g.call_trees(roots, branching, results_of(spark, range(1, n + 1)))
+    # A cycle that no root leads to is no error; nor is one of another app.
+    apart = calls.union(edges_of(spark, [(90, 91), (91, 92), (92, 91), (91, 4)])).union(edges_of(spark, [(1, 1)], app=2))
+    assert g.call_trees(roots, apart, results).count() == 7
+
+
+@pytest.mark.parametrize("pairs,leading,on", [
+    ([(1, 2), (2, 3), (3, 1)], {1, 2, 3}, {1, 2, 3}), ([(1, 2), (2, 2), (2, 3)], {1, 2}, {2}), ([(1, 2), (1, 3), (2, 4), (3, 4)], set(), set()),
+    ([(i, i + 1) for i in range(1, 60)] + [(60, 30), (5, 100)], set(range(1, 61)), set(range(30, 61))), ([(1, 2), (2, 1), (2, 3), (3, 4), (4, 3), (4, 5)], {1, 2, 3, 4}, {1, 2, 3, 4}),
+])
+def test_cycle_nodes(spark, pairs, leading, on):
+    calls = edges_of(spark, pairs)
+    assert {r.id for r in g.leading_to_cycles(calls).collect()} == leading
+    assert {r.id for r in g.cycle_nodes(calls).collect()} == on
+
+
+def test_long_chain_takes_few_rounds(spark, monkeypatch):
+    """10,000 calls in a row, numbered against their order, so that the cycles have to be looked for."""
+    n, made = 10_000, []
+    calls = spark.range(1, n).select(F.lit(1).cast("long").alias("app"), (n + 1 - F.col("id")).alias("parent_id"), (n - F.col("id")).alias("child_id"))
+    results = spark.range(1, n + 1).select(F.lit(1).cast("long").alias("app"), "id", F.lit("h").alias("host"), F.lit(0).alias("return_value"))
+    monkeypatch.setattr(g, "cut", lambda df, cut=g.cut: made.append(1) or cut(df))
+    nodes = g.call_trees(spark.createDataFrame([(1, n)], "app long, root long"), calls, results)
+    found = nodes.agg(F.count("*").alias("n"), F.max("level").alias("deep"), F.count_if(F.col("place") == F.col("level")).alias("same"), F.sum("size").alias("sizes")).first()
+    assert tuple(found) == (n, n - 1, n, n * (n + 1) // 2)
+    assert len(made) < 20 * 3  # fewer than 20 rounds of peeling, of sizes and of unfolding
+
+
+def nested(tree_, texts, root):
+    kids = ",".join(nested(tree_, texts, c) for c in sorted(tree_.get(root, ())))
+    return '{"msg":' + texts(root) + (f',"chained":[{kids}]' if kids else "") + "}"
+
+
+def test_places_and_json_of_random_trees(spark):
+    """Unfolded graphs (some tasks have two callers) against plain recursion; a deep tree's text has linear size."""
+    rng, pairs = random.Random(5), set()
+    for i in range(2, 120):
+        pairs |= {(rng.randrange(max(1, i - 9), i), i) for _ in range(1 + (i % 10 == 0))}
+    tree_ = {}
+    for a, b in pairs:
+        tree_.setdefault(a, set()).add(b)
+    walked = []
+
+    def walk(i, parent, level):
+        walked.append((i, parent, level))
+        for c in sorted(tree_.get(i, ())):
+            walk(c, i, level + 1)
+
+    walk(1, None, 0)
+    roots, results = spark.createDataFrame([(1, 1)], "app long, root long"), results_of(spark, range(1, 120))
+    nodes = g.call_trees(roots, edges_of(spark, pairs), results)
+    assert [(r.id, r.parent_id, r.level) for r in nodes.orderBy("place").collect()] == walked
+    assert g.tree_json(nodes, results).first().json == nested(tree_, lambda i: f'{{"id":{i},"host":"h","return_value":0}}', 1)
+    deep = g.tree_json(g.call_trees(roots, edges_of(spark, [(i, i + 1) for i in range(1, 1000)]), results_of(spark, range(1, 1001))), results_of(spark, range(1, 1001))).first().json
+    assert len(deep) < 60 * 1000 and deep.endswith("]}" * 999)
 
 
 def test_details_only_while_recording(spark):
@@ -84,8 +151,13 @@ def test_user_functions(spark):
     assert [(r.return_value, r.output) for r in out] == [(0, ""), (7, "out"), (1, "went wrong"), (1, "unknown function none")]
     done, calls = u.run_chained(spark.createDataFrame([(1, 5)], "app long, id long"), lambda t: (0, "", [t["id"] - 1] if t["id"] > 3 else []))
     assert sorted(r.id for r in done.collect()) == [3, 4, 5] and calls.count() == 2
-    with pytest.raises(ValueError):
-        u.run_chained(spark.createDataFrame([(1, 5)], "app long, id long"), lambda t: (0, "", [t["id"]]), max_rounds=2)
+    one = spark.createDataFrame([(1, 5)], "app long, id long")
+    with pytest.raises(ValueError, match="more than 2 rounds"):
+        u.run_chained(one, lambda t: (0, "", [t["id"] + 1]), max_rounds=2)
+    with pytest.raises(ValueError, match="task 5 of app 1, task 6 of app 1, task 7 of app 1"):
+        u.run_chained(one, lambda t: (0, "", [5 + (t["id"] - 4) % 3]))
+    twice = u.run_chained(one, lambda t: (0, "", {5: [6, 7], 6: [8], 7: [6]}.get(t["id"], [])))[0]
+    assert sorted(r.id for r in twice.collect()) == [5, 6, 6, 7, 8, 8]
 
 
 def test_json_batches(spark):
