@@ -148,7 +148,7 @@ def t06_merge_diffs(s: SparkSession, d: str) -> DataFrame:
         F.col("l_returnflag").alias("dataset"), F.col("l_partkey").alias("slot"), op.alias("op"), F.when(op == "product", F.col("l_quantity") % 4 - 1).otherwise(F.col("l_quantity")).cast("long").alias("delta"),
         F.col("l_linenumber").alias("worker"), F.struct("l_orderkey", "l_suppkey", "l_extendedprice", "l_tax", "l_discount", "l_shipdate").alias("seq"), "l_orderkey")
     stream = j.merge_diffs(j.stream_of(rows, f"{at}/in", "l_orderkey"))
-    done = stream.writeStream.outputMode("update").foreachBatch(j.upsert_into(f"{at}/table", [*dm.CELL, "op"])).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+    done = stream.writeStream.outputMode("update").foreachBatch(j.upsert_into(f"{at}/table", [*dm.CELL, "op"], buckets=8)).option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
     done.awaitTermination()
     return j.read_upserts(s, f"{at}/table")
 

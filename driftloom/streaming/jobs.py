@@ -10,7 +10,6 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.stateful_processor import StatefulProcessor, StatefulProcessorHandle
@@ -18,6 +17,7 @@ from pyspark.sql.streaming.stateful_processor import StatefulProcessor, Stateful
 from ..operators.diffmerge import fold_by_op
 from ..operators.results import FROZEN, MIGRATED
 from ..operators.state import fold_key
+from ..operators.versions import VersionedTable
 
 PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -158,44 +158,23 @@ def merge_diffs(diffs: DataFrame) -> DataFrame:
     return fold_by_op(diffs)
 
 
-def upsert_into(path: str, keys: list[str], buckets: int = 64) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch sink: each batch's rows replace those of their keys in a table that is dealt into buckets by
-    key. A batch rewrites only the buckets that it touches, as a new version; `read_upserts` reads each bucket's last
-    one. A repeated batch writes its version again; old versions
-    are left to the folder's own clean-up."""
+def upsert_into(path: str, keys: list[str], buckets: int = 64, keep: int = 2) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch sink: each batch's rows replace those of their keys in a versioned table that is dealt into buckets
+    by key. A batch rewrites only the buckets that it touches and is seen once its manifest is there; a batch that comes
+    again after that is known by its number. Files that the last `keep` manifests do not name are deleted."""
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        rows = batch.withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int")).persist()
-        touched = [r[0] for r in rows.select("_bucket").distinct().collect()]  # at most `buckets` numbers
-        last = {b: v for b, v in _versions(spark, path, number).items() if b in touched}
-        old = [f"{path}/_version={v}/_bucket={b}" for b, v in last.items()]
-        if old:
-            kept = spark.read.schema(batch.schema).option("basePath", path).parquet(*old).select(*batch.columns)
-            kept = kept.join(batch, keys, "left_anti").withColumn("_bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
-            made = kept.unionByName(rows)
-        else:
-            made = rows
-        made.repartition("_bucket").write.mode("overwrite").partitionBy("_bucket").parquet(f"{path}/_version={number}")
-        rows.unpersist()
+        table = VersionedTable(batch.sparkSession, path, keys, buckets)
+        if table.manifest().note.get("batch", -1) < number:
+            table.upsert(batch, {"batch": number})
+            table.clean(keep)
 
     return write
 
 
-def _versions(spark: SparkSession, path: str, below: int | None = None) -> dict[int, int]:
-    """Bucket -> last version (of those below a number); at most one entry a bucket."""
-    try:
-        parts = spark.read.option("basePath", path).parquet(path).select("_bucket", "_version")
-    except AnalysisException:  # nothing is written yet
-        return {}
-    parts = parts if below is None else parts.filter(F.col("_version") < below)
-    return {r[0]: r[1] for r in parts.groupBy("_bucket").agg(F.max("_version").alias("v")).collect()}
-
-
 def read_upserts(spark: SparkSession, path: str) -> DataFrame:
     """The table that upsert_into keeps."""
-    parts = [f"{path}/_version={v}/_bucket={b}" for b, v in _versions(spark, path).items()]
-    return spark.read.option("basePath", path).parquet(*parts).drop("_bucket", "_version")
+    return VersionedTable(spark, path, []).read()
 
 
 def stream_of(df: DataFrame, folder: str, order: str, steps: int = 3, files: int = 4) -> DataFrame:
