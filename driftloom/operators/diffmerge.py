@@ -258,22 +258,67 @@ def _xor_pages(pages: DataFrame) -> DataFrame:
     return pages.select("dataset", "page", "a", "b").mapInArrow(run, f"dataset {kind}, page long, bytes binary")
 
 
-def paged_delta(old: DataFrame, new: DataFrame, xor: bool = True, page: int = PAGE) -> DataFrame:
+def hash_tree(pages: DataFrame, fan: int = 64) -> DataFrame:
+    """(dataset, level, at, hash, length, zero) of paged bytes (dataset, page, bytes), to be kept with a version: level 0
+    has a row per page, with its SHA-256 and whether it is all zero; level 1 one per `fan` pages, over their hashes."""
+    zero = F.length(F.replace(F.hex("bytes"), F.lit("0"), F.lit(""))) == 0
+    leaves = pages.select("dataset", F.lit(0).alias("level"), F.col("page").cast("long").alias("at"), F.sha2("bytes", 256).alias("hash"), F.length("bytes").cast("long").alias("length"), zero.alias("zero"))
+    over = F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "hash"))), lambda x: F.concat(x["at"].cast("string"), F.lit(":"), x["hash"])), ","), 256)
+    groups = leaves.groupBy("dataset", F.expr(f"at div {fan}").alias("at")).agg(over.alias("hash"), F.sum("length").alias("length"), F.bool_and("zero").alias("zero"))
+    return leaves.unionByName(groups.withColumn("level", F.lit(1)))
+
+
+#: Rows (dataset, page) that are broadcast to find their pages; more are joined by a shuffle.
+FEW_PAGES = 1_000_000
+
+
+def changed_pages(old: DataFrame, new: DataFrame, page: int = PAGE, fan: int = 64) -> DataFrame:
+    """(dataset, page, whole) of the pages of the hash tree `new` that a delta from `old` has to name: those with another
+    hash, or short in one of them, or beyond the old end and not all zero. whole: as long as a page in both. Groups of
+    pages with one hash and whole pages only are left out before their pages are looked at."""
+    ends = ["dataset", "at"]
+    groups = new.filter("level = 1").join(old.filter(f"level = 1 and length = {page * fan}").select(*ends, F.col("hash").alias("_was")), ends, "left")
+    open_ = groups.filter("_was is null or _was <> hash").select("dataset", F.col("at").alias("_group"))
+    below = lambda tree: tree.filter("level = 0").withColumn("_group", F.expr(f"at div {fan}")).join(open_, ["dataset", "_group"], "left_semi")
+    was = below(old).select(*ends, F.col("hash").alias("_was"), F.col("length").alias("_long"))
+    both = below(new).join(was, ends, "left")
+    whole = F.coalesce((F.col("length") == page) & (F.col("_long") == page), F.lit(False))
+    named = F.when(F.col("_was").isNull(), ~F.col("zero")).otherwise(~whole | (F.col("hash") != F.col("_was")))
+    return both.filter(named).select("dataset", F.col("at").alias("page"), whole.alias("whole"))
+
+
+def paged_delta(old: DataFrame, new: DataFrame, xor: bool = True, page: int = PAGE, trees: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """Delta (dataset, page, kind, bytes, size) of paged versions (dataset, page, bytes): XOR or OVERWRITE rows for
     changed pages that are whole in both, OVERWRITE for pages that are short in one of them and for pages beyond the old
-    end that are not all zero, one SIZE row per dataset."""
-    both = old.withColumnRenamed("bytes", "a").join(new.withColumnRenamed("bytes", "b"), ["dataset", "page"], "right")
-    zero = F.length(F.replace(F.hex("b"), F.lit("0"), F.lit(""))) == 0
-    fresh = both.filter(F.col("a").isNull() & ~zero).select("dataset", "page", F.lit("OVERWRITE").alias("kind"), F.col("b").alias("bytes"))
-    whole = (F.length("a") == page) & (F.length("b") == page)
-    short = both.filter(F.col("a").isNotNull() & ~whole).select("dataset", "page", F.lit("OVERWRITE").alias("kind"), F.col("b").alias("bytes"))
-    moved = both.filter(F.col("a").isNotNull() & whole & (F.col("a") != F.col("b")))
+    end that are not all zero, one SIZE row per dataset.
+
+    Hash trees are compared first (`trees`, if they were kept with the versions); only pages that they name are fetched
+    and joined, so the bytes of equal pages are not shuffled, unless more than FEW_PAGES change."""
+    trees = trees or (cut(hash_tree(old)), cut(hash_tree(new)))
+    named = cut(changed_pages(*trees, page))
+    few = F.broadcast(named) if named.count() <= FEW_PAGES else named
+    b = new.join(few, ["dataset", "page"]).withColumnRenamed("bytes", "b")
+    a = old.join(few.filter("whole").select("dataset", "page"), ["dataset", "page"], "left_semi").withColumnRenamed("bytes", "a")
     if xor:
-        moved = _xor_pages(moved).select("dataset", "page", F.lit("XOR").alias("kind"), "bytes")
+        moved = _xor_pages(b.filter("whole").join(a, ["dataset", "page"])).select("dataset", "page", F.lit("XOR").alias("kind"), "bytes")
+        other = b.filter("not whole")
+        moved = moved.unionByName(other.select("dataset", "page", F.lit("OVERWRITE").alias("kind"), F.col("b").alias("bytes")))
     else:
-        moved = moved.select("dataset", "page", F.lit("OVERWRITE").alias("kind"), F.col("b").alias("bytes"))
-    size = new.groupBy("dataset").agg(F.sum(F.length("bytes").cast("long")).alias("size")).select("dataset", F.lit(None).cast("long").alias("page"), F.lit("SIZE").alias("kind"), F.lit(None).cast("binary").alias("bytes"), "size")
-    return moved.unionByName(fresh).unionByName(short).withColumn("size", F.lit(None).cast("long")).unionByName(size)
+        moved = b.select("dataset", "page", F.lit("OVERWRITE").alias("kind"), F.col("b").alias("bytes"))
+    size = trees[1].filter("level = 1").groupBy("dataset").agg(F.sum("length").alias("size")).select("dataset", F.lit(None).cast("long").alias("page"), F.lit("SIZE").alias("kind"), F.lit(None).cast("binary").alias("bytes"), "size")
+    return moved.withColumn("size", F.lit(None).cast("long")).unionByName(size)
+
+
+def cell_page_hashes(cells: DataFrame, page: int = PAGE) -> DataFrame:
+    """(dataset, page, n, h, g) of cells (dataset, slot, value), to be kept with a version: their number and 128 bits over
+    slots and values, in any order."""
+    return cells.groupBy("dataset", F.expr(f"slot div {page}").alias("page")).agg(
+        F.count("*").alias("n"), F.bit_xor(F.xxhash64("slot", "value")).alias("h"), F.bit_xor(F.xxhash64(F.lit("g"), "value", "slot")).alias("g"))
+
+
+def dirty_pages(old: DataFrame, new: DataFrame) -> DataFrame:
+    """(dataset, page) of the page hashes `new` that `old` has not: the `dirty` that lets diff_regions skip all others."""
+    return new.join(old, ["dataset", "page", "n", "h", "g"], "left_anti").select("dataset", "page")
 
 
 def apply_paged_delta(old: DataFrame, delta: DataFrame, page: int = PAGE) -> DataFrame:

@@ -220,15 +220,15 @@ register("s03_occupancy_hosts", lambda s, d: t.parse_occupancy(_occupancy(s, d))
 register("s03_occupancy_placements", lambda s, d: t.parse_occupancy(_occupancy(s, d))[1], f"WITH {SLOTS} SELECT file, app::INT AS app, (row_number() OVER (PARTITION BY file, app ORDER BY k, i) - 1)::INT AS pos, host FROM o WHERE i IS NOT NULL AND app <> -1")
 
 
-def s03_read_occupancy(s: SparkSession, d: str) -> DataFrame:
+def _occupancy_files(s: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
     """The occupancy files as files."""
     at = scratch(s, "occupancy")
     _occupancy(s, d).write.partitionBy("file").text(at)
-    hosts = t.read_occupancy(s, f"{at}/file=*")[0]
-    return hosts.withColumn("file", F.regexp_extract("file", "file=([0-9]+)", 1).cast("int"))
+    return tuple(x.withColumn("file", F.regexp_extract("file", "file=([0-9]+)", 1).cast("int")) for x in t.read_occupancy(s, f"{at}/file=*"))
 
 
-register("s03_read_occupancy", s03_read_occupancy, f"WITH {SLOTS} SELECT file::INT AS file, host, count(i) AS slots, count(*) FILTER (WHERE i IS NOT NULL AND app <> -1) AS used FROM o GROUP BY ALL")
+register("s03_read_occupancy", lambda s, d: _occupancy_files(s, d)[0], f"WITH {SLOTS} SELECT file::INT AS file, host, count(i) AS slots, count(*) FILTER (WHERE i IS NOT NULL AND app <> -1) AS used FROM o GROUP BY ALL")
+register("s03_read_placements", lambda s, d: _occupancy_files(s, d)[1], f"WITH {SLOTS} SELECT file::INT AS file, app::INT AS app, (row_number() OVER (PARTITION BY file, app ORDER BY k, i) - 1)::INT AS pos, host FROM o WHERE i IS NOT NULL AND app <> -1")
 register("s04_generate_tasks", lambda s, d: t.generate_tasks(read(s, d, "nation").select(F.col("n_nationkey").alias("app"), F.lit("demo").alias("user"), F.col("n_name").alias("function"), (F.col("n_nationkey") % 6).alias("count"))),
          "SELECT n_nationkey AS app, i::INT AS app_idx, 'demo' AS user, n_name AS function FROM nation, range(5) t(i) WHERE i < n_nationkey % 6")
 
