@@ -70,10 +70,20 @@ def test_mix_keeps_small_sources(spark):
         name = {r["rank"]: r.source for r in docs.select("rank", "source").distinct().collect()}
         taken = {name[r["rank"]]: r.n for r in slices.groupBy("rank").agg(F.sum("length").alias("n")).collect()}
         assert all(abs(taken.get(s, 0) - targets[s]) <= 1 + 0.02 * targets[s] for s in sizes), (taken, targets)
+        assert slices.select("slot").distinct().count() == slices.select("slot", "rank").distinct().count()  # one owner a slot
+        exact = {s: round(t) for s, t in targets.items()}
+        assert {s: taken.get(s, 0) for s in sizes} == exact
     assert docs.first().b == 20
     assert {r.source for r in mixing.mixed_documents(df, slots=64).select("source").distinct().collect()} == set(sizes)
 
 
+def test_points_of_any_slot(spark):
+    slots = [0, 1, 2, (1 << 32) - 1, 1 << 32, (1 << 40) + 12345, (1 << 59) + 7]
+    found = spark.createDataFrame([(i,) for i in slots], "slot long").select("slot", mixing.golden_point(F.col("slot")).alias("u")).collect()
+    assert all(r.u == r.slot * mixing.GOLDEN % (1 << 60) for r in found) and mixing.GOLDEN % 2 == 1
+    assert abs(mixing.GOLDEN / (1 << 60) - (5**0.5 - 1) / 2) < 1e-15
+
+
 def test_mix_prefixes_are_balanced(documents):
     docs, slices = mixing.mix(documents)
     goal = {r["rank"]: r.target for r in docs.select("rank", "target").distinct().collect()}
