@@ -156,3 +156,21 @@ def t06_merge_diffs(s: SparkSession, d: str) -> DataFrame:
 register("t06_merge_diffs", t06_merge_diffs, """
 WITH q AS (SELECT l_returnflag AS dataset, l_partkey AS slot, ['sum', 'product', 'max', 'min', 'xor', 'overwrite'][l_partkey % 6 + 1] AS op, l_quantity::BIGINT AS x, l_linenumber AS worker, (l_orderkey, l_suppkey, l_extendedprice, l_tax, l_discount, l_shipdate) AS seq FROM lineitem)
 SELECT dataset, slot, op, CASE op WHEN 'sum' THEN sum(x) WHEN 'product' THEN list_reduce(list((x % 4 - 1)::HUGEINT), lambda a, y: a * y) WHEN 'max' THEN max(x) WHEN 'min' THEN min(x) WHEN 'xor' THEN bit_xor(x) ELSE arg_max(x, (worker, seq)) END::BIGINT AS delta, count(*) AS n_diffs FROM q GROUP BY dataset, slot, op""")
+
+
+def t05_live_registry(s: SparkSession, d: str) -> DataFrame:
+    """The registry of p05 as a stream, over the events in order of time; what it holds when all has come."""
+    at = scratch(s, "stream")
+    e = read(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    log = e.select(
+        (F.unix_micros("ts") * 1000 + F.col("event_id") % 1000).alias("seq"), F.col("user_id").alias("host"), F.when(F.col("event_type") == "error", "remove").otherwise("register").alias("op"), "ts",
+        (F.floor("value") % 8 - 1).alias("slots"), F.lit(0).cast("long").alias("used"), (F.col("event_type") == "purchase").alias("overwrite"))
+    out = j.drain(j.live_registry(j.stream_of(log, f"{at}/in", "seq"), 36000), at).filter("event <> 'silent'")
+    last = out.groupBy("host").agg(F.max(F.struct("seq", "event", "slots", "used", "register_ts")).alias("x"))
+    return last.filter("x.event = 'live'").select("host", "x.slots", "x.used", "x.register_ts")
+
+
+register("t05_live_registry", t05_live_registry, """
+WITH l AS (SELECT epoch_us(ts) * 1000 + event_id % 1000 AS seq, user_id AS host, event_type, epoch_us(ts) // 1000 AS ts, floor(value)::BIGINT % 8 - 1 AS slots FROM events),
+k AS (SELECT l.*, lag(l.ts) OVER (PARTITION BY host ORDER BY seq) AS before FROM l LEFT JOIN (SELECT host, max(seq) AS gone FROM l WHERE event_type = 'error' GROUP BY host) USING (host) WHERE event_type <> 'error' AND slots >= 0 AND (gone IS NULL OR seq > gone))
+SELECT host, arg_max(slots, seq) FILTER (WHERE before IS NULL OR event_type = 'purchase' OR ts - before > 36000000) AS slots, 0::BIGINT AS used, arg_max(ts, seq) AS register_ts FROM k GROUP BY host""")

@@ -6,6 +6,7 @@ gives on the whole input. Custom state is keyed, so it spreads over the shuffle
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -54,9 +55,14 @@ def reorder(messages: DataFrame) -> DataFrame:
 
 
 class LiveState(StatefulProcessor):
-    """Per key: its value with the time at which that ends, and its list of appended values."""
+    """Per key: its value with the time at which that ends, and its list of appended values. With event time, a value that
+    has an end has a timer there, which takes it out of the state once the watermark has passed."""
+
+    def __init__(self, timed: bool = False) -> None:
+        self.timed = timed
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.state = handle.getValueState("state", "value string, ends double")
         self.appended = handle.getListState("appended", "value string")
         self.length = handle.getValueState("length", "n long")
@@ -64,7 +70,7 @@ class LiveState(StatefulProcessor):
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("seq")
         value, ends = self.state.get() if self.state.exists() else (None, None)
-        n = self.length.get()[0] if self.length.exists() else 0
+        before, n = ends, self.length.get()[0] if self.length.exists() else 0
         out, waiting = [], []
         steps = zip(*[pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("seq", "at", "op", "arg", "ttl", "offset")])
         for row, done, value, ends in fold_key(steps, value, ends):
@@ -77,22 +83,110 @@ class LiveState(StatefulProcessor):
             out.append((key[0], int(row[0]), done, value, n))
         if waiting:
             self.appended.appendList(waiting)
-        self.length.update((n,))
+        if n:
+            self.length.update((n,))
+        else:
+            self.length.clear()
         if value is None:
             self.state.clear()
         else:
             self.state.update((value, ends))
+        if self.timed and ends != before:
+            self._retime(before, ends if value is not None else None)
         yield pd.DataFrame(out, columns=["key", "seq", "done", "value", "appended"])
 
+    def _retime(self, before: float | None, ends: float | None) -> None:
+        if before is not None:
+            self.handle.deleteTimer(_millis(before))
+        if ends is not None:
+            self.handle.registerTimer(_millis(ends))
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        """Nothing is said: the next operation finds the key absent, as it would by the clock."""
+        if self.state.exists():
+            ends = self.state.get()[1]
+            if ends is not None and _millis(ends) <= expiredTimerInfo.getExpiryTimeInMs():
+                self.state.clear()
+        yield pd.DataFrame({"key": [], "seq": [], "done": [], "value": [], "appended": []}).astype({"key": "int64", "seq": "int64", "done": "bool", "value": "object", "appended": "int64"})
+
     def close(self) -> None:
         pass
 
 
-def live_state(ops: DataFrame) -> DataFrame:
+def _millis(seconds: float) -> int:
+    """The first whole millisecond from which the time is over."""
+    return math.ceil(seconds * 1000)
+
+
+def live_state(ops: DataFrame, late: str | None = None) -> DataFrame:
     """(key, seq, done, value, appended) after each operation (key, seq, at, op, arg, ttl, offset), as from
-    conditional_writes; operations of a key must come in order of their batches."""
-    return ops.groupBy("key").transformWithStateInPandas(
-        LiveState(), outputStructType="key long, seq long, done boolean, value string, appended long", outputMode="Append", timeMode="None")
+    conditional_writes; operations of a key must come in order of their batches.
+
+    Without `late`, a value whose time is over stays in the state until the key's next operation. With it, operations
+    (whose `at` is in seconds) may be that much behind the newest one, later ones are dropped, and a value leaves the
+    state once its time is that far back, so that keys which are not used again take no room."""
+    timed = late is not None
+    rows = ops.withColumn("ts", F.timestamp_micros((F.col("at") * 1_000_000).cast("long"))).withWatermark("ts", late) if timed else ops
+    return rows.groupBy("key").transformWithStateInPandas(
+        LiveState(timed), outputStructType="key long, seq long, done boolean, value string, appended long", outputMode="Append", timeMode="EventTime" if timed else "None")
+
+
+class Registry(StatefulProcessor):
+    """Per host: its record and the time of its last accepted register. A timer takes the host out when it has been silent
+    for longer than the time-out; a host that registers after that is new, as by the rules it is."""
+
+    def __init__(self, timeout_ms: int) -> None:
+        self.timeout = timeout_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.record = handle.getValueState("record", "slots long, used long, ts long")
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        held = self.record.get() if self.record.exists() else None
+        before, last = held, None
+        pdf = pd.concat(list(rows)).sort_values("seq")
+        for seq, op, ts, slots, used, overwrite in zip(*[pdf[c].tolist() for c in ("seq", "op", "ms", "slots", "used", "overwrite")]):
+            if op == "remove":
+                held, last = None, (seq, None)
+            elif slots >= 0:
+                fresh = held is None or overwrite or ts - held[2] > self.timeout
+                held = (slots, used, ts) if fresh else (held[0], held[1], ts)
+                last = (seq, held)
+        if before is not None and (held is None or held[2] != before[2]):
+            self.handle.deleteTimer(before[2] + self.timeout + 1)
+        if held is None:
+            self.record.clear()
+        else:
+            self.record.update(tuple(int(x) for x in held))
+            self.handle.registerTimer(int(held[2]) + self.timeout + 1)
+        kinds = {"host": "int64", "seq": "int64", "event": "object", "slots": "Int64", "used": "Int64", "register_ts": "Int64"}
+        out = [] if last is None else [(key[0], last[0], "gone" if last[1] is None else "live", *(last[1] or (None, None, None)))]
+        yield pd.DataFrame(out, columns=list(kinds)).astype(kinds)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        out = []
+        if self.record.exists():
+            slots, used, ts = self.record.get()
+            if ts + self.timeout + 1 <= expiredTimerInfo.getExpiryTimeInMs():
+                self.record.clear()
+                out = [(key[0], None, "silent", slots, used, ts)]
+        kinds = {"host": "int64", "seq": "Int64", "event": "object", "slots": "Int64", "used": "Int64", "register_ts": "Int64"}
+        yield pd.DataFrame(out, columns=list(kinds)).astype(kinds)
+
+    def close(self) -> None:
+        pass
+
+
+def live_registry(log: DataFrame, timeout_s: int, late: str = "1 hour") -> DataFrame:
+    """Changes (host, seq, event, slots, used, register_ts) of a host registry over a log (seq, host, op, ts, slots, used,
+    overwrite) whose rows of a host come in order of their batches: after each batch the record of each host that it
+    touched (live) or that it was removed (gone), and once the watermark is past a live host's time-out, that it is
+    silent, from when on it takes no state. The last live or gone row of each host is what host_registry gives for the
+    log so far; rows that are more than `late` behind the newest one are dropped."""
+    rows = log.withColumn("ms", F.unix_millis("ts")).withWatermark("ts", late)
+    return rows.groupBy("host").transformWithStateInPandas(
+        Registry(timeout_s * 1000), outputStructType="host long, seq long, event string, slots long, used long, register_ts long", outputMode="Append", timeMode="EventTime")
 
 
 class BatchProgress(StatefulProcessor):

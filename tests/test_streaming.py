@@ -4,6 +4,7 @@ import uuid
 
 from pyspark.sql import functions as F
 
+from driftloom.operators import checks
 from driftloom.operators.lineage import shared_folder
 from driftloom.streaming import jobs
 
@@ -44,3 +45,49 @@ def test_upserts_rewrite_touched_buckets_only(spark):
     assert got == {**dict.fromkeys(range(100), 0), 5: 1, 200: 1}
     write(spark.createDataFrame([], schema), 2)
     assert jobs.read_upserts(spark, path).count() == len(got)
+
+
+def _drained(stream, at):
+    """What an append job gave, and the rows that its state holds at the end."""
+    with jobs.rocksdb(stream.sparkSession):
+        query = stream.writeStream.format("parquet").option("path", f"{at}/out").option("checkpointLocation", f"{at}/progress").trigger(availableNow=True).start()
+        query.awaitTermination()
+    rows = [p["stateOperators"][0]["numRowsTotal"] for p in query.recentProgress if p["stateOperators"]]
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{at}/out"), rows
+
+
+def test_expired_values_leave_the_state(spark):
+    """200 keys with a lifetime of 10 s and one without: once time goes on, only the one is kept."""
+    at = f"{shared_folder(spark)}/ttl-{uuid.uuid4().hex}"
+    schema = "key long, seq long, at double, op string, arg string, ttl double, offset int"
+    batches = [[(k, k, 1.0, "set", "v", 10.0, None) for k in range(200)] + [(500, 200, 1.0, "set", "stays", None, None)],
+               [(3, 301, 5.0, "expire", None, 5000.0, None), (500, 302, 6.0, "append", "x", None, None)], [(900, 400, 1000.0, "del", None, None, None)],
+               [(3, 501, 1100.0, "setnx", "late", None, None), (4, 502, 1100.0, "setnx", "new", 1.0, None), (900, 503, 1200.0, "del", None, None, None)], [(900, 600, 2000.0, "del", None, None, None)], [(900, 700, 3000.0, "del", None, None, None)]]
+    for rows in batches:
+        spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    read = lambda: spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in")
+    out, rows = _drained(jobs.live_state(read(), late="10 seconds"), f"{at}/timed")
+    plain, kept = _drained(jobs.live_state(read()), f"{at}/plain")
+    assert sorted(map(tuple, out.collect())) == sorted(map(tuple, plain.collect()))
+    told = {r.seq: (r.done, r.value) for r in out.collect()}
+    assert told[501] == (False, "v") and told[502] == (True, "new") and told[302] == (True, "stays")
+    assert max(rows) > 200 and rows[-1] < 20 < 200 < kept[-1]
+
+
+def test_silent_hosts_leave_the_registry(spark):
+    at = f"{shared_folder(spark)}/hosts-{uuid.uuid4().hex}"
+    schema = "seq long, host long, op string, ts timestamp, slots long, used long, overwrite boolean"
+    when = lambda s: f"2024-01-01 {s // 3600:02d}:{s // 60 % 60:02d}:{s % 60:02d}"
+    batches = [[(h, h, "register", when(0), 4, 0, False) for h in range(100)], [(200, 1, "register", when(4), 9, 0, False), (201, 2, "register", when(4), 9, 1, True), (202, 3, "remove", when(4), 0, 0, False), (203, 4, "register", when(4), -1, 0, True)],
+               [(300, 500, "register", when(600), 1, 0, False)], [(400, 5, "register", when(700), 7, 0, False)], [(500, 500, "register", when(1400), 1, 0, False)], [(600, 500, "register", when(2400), 1, 0, False)]]
+    for rows in batches:
+        spark.createDataFrame(rows, "seq long, host long, op string, ts string, slots long, used long, overwrite boolean").withColumn("ts", F.col("ts").cast("timestamp")).coalesce(1).write.mode("append").parquet(f"{at}/in")
+    log = spark.read.schema(schema).parquet(f"{at}/in")
+    out, rows = _drained(jobs.live_registry(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(f"{at}/in"), 60, "10 seconds"), at)
+    last = {}
+    for r in sorted((r for r in out.collect() if r.event != "silent"), key=lambda r: r.seq):
+        last[r.host] = r
+    found = {(r.host, r.slots, r.used, r.register_ts) for r in last.values() if r.event == "live"}
+    assert found == {tuple(r) for r in checks.host_registry(log.withColumn("ts", F.unix_millis("ts")), 60).collect()}
+    assert {r.host for r in out.filter("event = 'silent'").collect()} >= set(range(100)) - {3}
+    assert max(rows) >= 99 and rows[-1] <= 4
