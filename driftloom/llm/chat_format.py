@@ -18,6 +18,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.window import Window
 
 from .common import table
 
@@ -28,6 +29,7 @@ TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 #: Layouts: known paths, then the mapping. `rows`: one row per turn. `list`: (array, role field, text field).
 #: `pairs`: (role, field or fields joined by a new line) in order.
 LAYOUTS: dict[str, dict] = {
+    "conversation_rows": {"paths": ["conv_id", "role", "text", "turn"], "rows": ("conv_id", "turn", "role", "text")},
     "turn_rows": {"paths": ["role", "text", "turn"], "rows": ("conv_id", "turn", "role", "text")},
     "messages": {"paths": ["messages[].content", "messages[].role"], "list": ("messages", "role", "content")},
     "from_value": {"paths": ["conversations[].from", "conversations[].value"], "list": ("conversations", "from", "value")},
@@ -180,33 +182,33 @@ def unescape(text: Column) -> Column:
 
 
 def format_turns(turns: DataFrame) -> DataFrame:
-    """One row per conversation: conv_id, formatted, segments.
+    """One row per conversation: conv_id, formatted, loss.
 
-    `segments` are the pieces of `formatted` in order, with their loss mask: true for the escaped texts of
-    assistant turns. Turns stand by (turn, role, text), nulls first; repeated rows all stay. Null text and null role are empty; a
-    null conv_id is a conversation of its own. A conversation is one string, so its turns meet in one row.
+    `loss` holds the mask as (start, length) in characters of `formatted`: the escaped texts of assistant turns, in order.
+    Turns stand by (turn, role, text), nulls first; repeated rows all stay. Null text and null role are empty; a null
+    conv_id is a conversation of its own. A conversation is one string, so its turns meet in one row, however long they
+    are; an empty table gives an empty result.
     """
-    one = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
-    rows = turns.groupBy("conv_id").agg(F.sort_array(F.collect_list(one)).alias("turns"))
-    segments = F.flatten(F.transform("turns", lambda x: F.array(
-        F.struct(F.concat(F.lit(START), F.replace(escape(x["role"]), F.lit("\n"), F.lit("&#10;")), F.lit("\n")).alias("text"), F.lit(False).alias("loss")),
-        F.struct(escape(x["text"]).alias("text"), (x["role"] == "assistant").alias("loss")),
-        F.struct(F.lit(END + "\n").alias("text"), F.lit(False).alias("loss")),
-    )))
-    return rows.select("conv_id", segments.alias("segments")).select(
-        "conv_id", F.array_join(F.col("segments.text"), "").alias("formatted"), "segments"
-    )
+    role, text = F.coalesce("role", F.lit("")), F.coalesce("text", F.lit(""))
+    head = F.concat(F.lit(START), F.replace(escape(role), F.lit("\n"), F.lit("&#10;")), F.lit("\n"))
+    rows = turns.select("conv_id", "turn", role.alias("role"), text.alias("text"), head.alias("head"), escape(text).alias("body"))
+    order = Window.partitionBy("conv_id").orderBy("turn", "role", "text").rowsBetween(Window.unboundedPreceding, 0)
+    upto = F.sum(F.length("head") + F.length("body") + len(END) + 1).over(order)
+    placed = rows.withColumn("end", upto).select("conv_id", "end", (F.col("role") == "assistant").alias("says"), F.length("body").alias("n"), F.concat("head", "body", F.lit(END + "\n")).alias("piece"))
+    whole = placed.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("end", "says", "n", "piece"))).alias("p"))
+    span = lambda x: F.struct((x["end"] - x["n"] - len(END) - 1).alias("start"), x["n"].cast("long").alias("length"))
+    return whole.select("conv_id", F.array_join(F.col("p.piece"), "").alias("formatted"), F.transform(F.filter("p", lambda x: x["says"]), span).alias("loss"))
 
 
 def read_back(formatted: DataFrame) -> DataFrame:
     """formatted's columns plus turns (role, text), parsed from the string `formatted` alone, and loss_text, the
-    unescaped text under the mask."""
+    unescaped text that the mask cuts from it."""
     parts = F.filter(F.split("formatted", r"<\|im_start\|>"), lambda x, i: i > 0)
     body = F.transform(parts, lambda x: F.struct(
         unescape(F.substring_index(x, "\n", 1)).alias("role"),
         unescape(F.substring_index(x, END, 1).substr(F.length(F.substring_index(x, "\n", 1)) + 2, F.length(x))).alias("text"),
     ))
-    masked = F.transform(F.filter("segments", lambda s: s["loss"]), lambda s: unescape(s["text"]))
+    masked = F.transform("loss", lambda s: unescape(F.col("formatted").substr((s["start"] + 1).cast("int"), s["length"].cast("int"))))
     return formatted.withColumns({"turns": body, "loss_text": F.array_join(masked, "")})
 
 

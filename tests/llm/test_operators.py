@@ -208,8 +208,11 @@ def test_chat_round_trip(spark):
         own = sorted((r for r in rows if r[0] == conv), key=key)
         assert [(x.role, x.text) for x in out[conv].turns] == [(r[2] or "", r[3] or "") for r in own]
         assert out[conv].loss_text == "".join(r[3] or "" for r in own if r[2] == "assistant")
-        assert "".join(s.text for s in out[conv].segments) == out[conv].formatted
+        escaped = [(r[3] or "").replace("&", "&amp;").replace("<|", "&lt;|") for r in own if r[2] == "assistant"]
+        assert [out[conv].formatted[s.start : s.start + s.length] for s in out[conv].loss] == escaped
     assert chat_format.format_turns(chat_format.canonical_turns(df.filter("conv_id = 99"))).count() == 0
+    table = spark.createDataFrame([], "conv_id long, turn long, role string, text string").schema
+    assert chat_format.BY_FINGERPRINT[chat_format.fingerprint(chat_format.field_paths(table))] == "conversation_rows"
 
 
 def test_layouts(spark):
