@@ -21,9 +21,24 @@ def shared_folder(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_MADE: set[str] = set()
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the application's own folder within the shared one. That folder is deleted when the driver ends."""
+    folder = f"{shared_folder(spark)}/driftloom-{spark.sparkContext.applicationId}"
+    if folder not in _MADE:
+        at = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        files = at.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(at)
+        files.deleteOnExit(at)
+        _MADE.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
+
+
 def cut(df: DataFrame) -> DataFrame:
     """df as a table in the shared folder, read again: what comes later neither recomputes it nor depends on the
     executors that made it."""
-    path = f"{shared_folder(df.sparkSession)}/driftloom-cut-{uuid.uuid4().hex}"
+    path = scratch(df.sparkSession, "cut")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

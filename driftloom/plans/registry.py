@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..operators.lineage import shared_folder
+from ..operators.lineage import scratch  # noqa: F401  (queries take it from here)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -19,10 +18,5 @@ def register(name: str, query: Callable[[SparkSession, str], DataFrame], sql: st
         ORACLE[name] = sql
 
 
-def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the folder that driver and executors share."""
-    return f"{shared_folder(spark)}/driftloom-{name}-{uuid.uuid4().hex}"
-
-
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
