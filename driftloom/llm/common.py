@@ -2,15 +2,15 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable, Iterator
+from contextvars import ContextVar
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..operators.lineage import shared_folder
+from ..operators import lineage
 
 #: A word: a run of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -20,15 +20,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-#: Paths given out within each `finished` that is under way.
-_GIVEN: list[list[str]] = []
+#: Paths given out within each `finished` that is under way in this thread.
+_GIVEN: ContextVar[tuple[list[str], ...]] = ContextVar("_GIVEN", default=())
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the shared folder."""
-    path = f"{shared_folder(spark)}/driftloom-{name}-{uuid.uuid4().hex}"
-    if _GIVEN:
-        _GIVEN[-1].append(path)
+    """A new path in the shared folder; what stands there goes with the driver, if not before."""
+    path = lineage.scratch(spark, name)
+    for given in _GIVEN.get()[-1:]:
+        given.append(path)
     return path
 
 
@@ -39,11 +39,12 @@ def _delete(spark: SparkSession, path: str) -> None:
 
 def finished(make: Callable[[], DataFrame], name: str) -> DataFrame:
     """make() as a table in the shared folder, after which all that it wrote there on the way is deleted."""
-    _GIVEN.append([])
+    given: list[str] = []
+    before = _GIVEN.set((*_GIVEN.get(), given))
     try:
         out = cut(make(), name)
     finally:
-        given = _GIVEN.pop()
+        _GIVEN.reset(before)
     for path in given[:-1]:  # the last one is out
         _delete(out.sparkSession, path)
     return out
