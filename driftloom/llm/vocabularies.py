@@ -139,14 +139,14 @@ class Sentences:
     def _encode_row(self, pieces: list[str]) -> Encoded:
         text = "".join(pieces)
         if len(text) == 1:  # the model adds no space to an empty text
-            found, spans = [self._space], ([0], [0])
+            found, stops = [self._space], [0]
         else:
             tokens = self.model.encode(text[1:], return_type="proto").pieces
-            found, spans = [t.id for t in tokens], ([t.begin for t in tokens], [t.end for t in tokens])
-        ids, (begins, stops) = np.array(found, dtype=np.int64), np.array(spans, dtype=np.int64)
+            found, stops = [t.id for t in tokens], [t.end for t in tokens]  # each span begins where the last one ends
+        ids, stops = np.array(found, dtype=np.int64), np.array(stops, dtype=np.int64)
         first = len(text[0].encode())  # what stands before the text that the model is given
         ends = np.cumsum([len(p.encode()) for p in pieces])
-        return refined(self.table, self.size, pieces, ends, ids, stops + first, stops > begins, None)
+        return refined(self.table, self.size, pieces, ends, ids, stops + first, np.diff(stops, prepend=0) > 0, None)
 
     def lengths(self, pieces: list[str]) -> np.ndarray:
         """How many tokens each piece has."""
@@ -211,6 +211,12 @@ class Pool:
         self.code = Numbered()
         self.parts = {name: [np.zeros(0, dtype=bool if name == "whole" else np.int64)] for name in Encoded._fields}
 
+    def trim(self, n: int) -> None:
+        """Keeps the n pieces that came first, among them most of the frequent ones."""
+        self.code, held = Numbered(islice(self.code.items(), n)), int(self.counts[:n].sum())
+        for name in Encoded._fields:
+            self.parts[name] = [self.parts[name][0][: held if name in ("ids", "ends") else n].copy()]
+
     def codes(self, text: str) -> np.ndarray:
         out = [np.fromiter(map(self.code.__getitem__, pieces), dtype=np.int64, count=len(pieces)) for pieces in self.vocabulary.cut(text)]
         return out[0] if len(out) == 1 else np.concatenate([np.zeros(0, dtype=np.int64), *out])

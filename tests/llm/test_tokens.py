@@ -5,6 +5,7 @@ import random
 import unicodedata
 from collections import defaultdict
 
+import numpy as np
 import public_tokenizers as public
 import pytest
 import sentencepiece
@@ -88,6 +89,17 @@ def test_pieces_join_to_the_library_tokens(text):
             at += n
 
 
+def test_a_trimmed_pool_goes_on(tokenizer):
+    pool, rng = vocabularies.Pool(vocabularies.loaded(vocabularies.BytePairs, JSON, True)), random.Random(1)
+    for _ in range(5):
+        text = " ".join(rng.choice(["the", "é", "word", str(rng.randrange(10**6))]) for _ in range(200))
+        codes = pool.codes(text)
+        pool.learn()
+        assert pool.tokens(codes, np.cumsum(pool.sizes[codes]) - pool.sizes[codes])[0].tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        pool.trim(20)
+        assert len(pool.code) == len(pool.counts) == 20
+
+
 def plain_alignment(rows, tokenizer, model):
     letter = {c: b for b, c in enumerate(vocabularies._byte_letters())}
     tokenizer.encode_special_tokens = True
