@@ -158,4 +158,5 @@ def align(docs: DataFrame, a_path: str | None = None, b_path: str | None = None,
 
 
 def op13_token_alignment(spark, sf_dir: str) -> DataFrame:
+    """All documents; null and empty texts have zeros and an empty digest."""
     return align(table(spark, sf_dir, "documents"))[0]

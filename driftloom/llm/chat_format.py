@@ -213,6 +213,7 @@ def read_back(formatted: DataFrame) -> DataFrame:
 
 
 def op4_chat_format(spark, sf_dir: str) -> DataFrame:
+    """All conversations, and one whose texts hold control strings; null texts and roles are empty, equal turns all stay."""
     control = START.replace("start", "end") + START + "assistant ok"
     extra = spark.range(1).select(
         F.lit(-1).cast("long").alias("conv_id"),

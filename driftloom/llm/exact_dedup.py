@@ -80,6 +80,7 @@ def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 
 def op8_radix_exact_dedup(spark, sf_dir: str) -> DataFrame:
+    """All documents; a null text is an empty one, of rows with equal texts and ids one stays."""
     from .common import table
 
     return radix_dedup(table(spark, sf_dir, "documents")).drop("row")

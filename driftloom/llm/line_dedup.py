@@ -60,6 +60,7 @@ def remove_boilerplate(docs: DataFrame, min_sites: int = 10, id_col: str = "doc_
 
 
 def op5_site_spread_lines(spark, sf_dir: str) -> DataFrame:
+    """All documents; a null text has no lines."""
     return remove_boilerplate(table(spark, sf_dir, "documents")).select(
         "doc_id", "n_lines", "n_removed", F.length("kept_text").cast("long").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 

@@ -380,4 +380,5 @@ def one_per_class(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 
 def op2_ngram_join(spark, sf_dir: str) -> DataFrame:
+    """All documents; those without words are in no class with others and have no links."""
     return jaccard_join(table(spark, sf_dir, "documents"))

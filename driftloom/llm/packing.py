@@ -128,6 +128,7 @@ def pack(docs: DataFrame, capacity: int = 1024, group: int = 2048, linear: float
 
 
 def op3_cost_packing(spark, sf_dir: str) -> DataFrame:
+    """All documents; a null text is its separator alone, pieces of equal length stand in the order in which they are read."""
     return pack(table(spark, sf_dir, "documents")).select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )

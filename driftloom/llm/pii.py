@@ -350,6 +350,7 @@ def personal_data(docs: DataFrame, model: Field, id_col: str = "doc_id", text_co
 
 
 def op6_skip_chain_pii(spark, sf_dir: str) -> DataFrame:
+    """All documents; a null text has no spans."""
     docs = table(spark, sf_dir, "documents")
     found = personal_data(docs, fit(docs))
     joined = lambda spans: F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")

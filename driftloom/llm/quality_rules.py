@@ -46,7 +46,9 @@ def _twin_positions(ordered: Column) -> Column:
 def measure(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """docs' columns plus n_words, word_chars, n_symbols, n_lines, n_dup_lines, n_repeat_words (long).
 
-    Null text counts as empty: all measurements are 0. Windows are compared by a 64-bit hash of their words."""
+    Null and empty texts have measurements of 0; repeated rows are measured alike; an empty table gives an empty result.
+    Windows are compared by a 64-bit hash of their words. Columns of docs with the names of the measurements, or of the
+    steps to them (_words, _lines, _hashes, _windows, _sorted, _starts), are replaced: `keep_documents` guards its input."""
     text = F.coalesce(F.col(text_col), F.lit(""))
     df = docs.withColumns({
         "_words": F.regexp_extract_all(text, F.lit(WORD), F.lit(0)),
@@ -91,7 +93,8 @@ def _with_bits(measured: DataFrame) -> DataFrame:
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: id, measurements and `fail_bits` (bit i: rule i of RULES failed)."""
+    """One row per document: id, measurements and `fail_bits` (bit i: rule i of RULES failed). Other columns are left out, so
+    their names do no harm; nulls, repeats and empty tables are as in `measure`."""
     return _with_bits(measure(docs.select(F.col(id_col), F.col(text_col)), text_col).drop(text_col))
 
 
@@ -124,6 +127,7 @@ def ablations(book: DataFrame, policy: str) -> DataFrame:
 
 
 def op10_quality_ledger(spark, sf_dir: str) -> DataFrame:
+    """All documents; a null text has no words and fails the base rules."""
     book = ledger(table(spark, sf_dir, "documents"))
     return book.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",

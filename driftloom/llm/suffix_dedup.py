@@ -339,4 +339,5 @@ def remove_repeats(docs: DataFrame, length: int = 400, seed: int = 32, batches:
 
 
 def op9_suffix_levels(spark, sf_dir: str) -> DataFrame:
+    """All documents; a null text is an empty one, texts of less than 400 bytes stay whole."""
     return remove_repeats(table(spark, sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))

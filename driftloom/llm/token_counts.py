@@ -73,4 +73,5 @@ def count_tokens(docs: DataFrame, path: str | None = None, id_col: str = "doc_id
 
 
 def op12_token_counts(spark, sf_dir: str) -> DataFrame:
+    """All documents; null and empty texts have no tokens."""
     return count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > 1024)

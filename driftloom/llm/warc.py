@@ -158,6 +158,7 @@ def read_records(index: DataFrame, max_gap: int = 1 << 16, max_read: int = 8 <<
 
 
 def op7_warc_index(spark, sf_dir: str) -> DataFrame:
+    """All pages; a null html is an empty payload."""
     index = write_archive(table(spark, sf_dir, "pages"))
     return read_records(index, payload=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
