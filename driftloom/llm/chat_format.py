@@ -26,12 +26,14 @@ START, END = "<|im_start|>", "<|im_end|>"
 TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 
-#: Layouts: known paths, then the mapping. `rows`: one row per turn. `list`: (array, role field, text field).
+#: Layouts: known paths, then the mapping. `rows`: one row per turn. `list`: (array, role field, text field), or with the
+#: field of a part whose texts are joined, where the text is a list of parts.
 #: `pairs`: (role, field or fields joined by a new line) in order.
 LAYOUTS: dict[str, dict] = {
     "conversation_rows": {"paths": ["conv_id", "role", "text", "turn"], "rows": ("conv_id", "turn", "role", "text")},
     "turn_rows": {"paths": ["role", "text", "turn"], "rows": ("conv_id", "turn", "role", "text")},
     "messages": {"paths": ["messages[].content", "messages[].role"], "list": ("messages", "role", "content")},
+    "message_parts": {"paths": ["messages[].content[].text", "messages[].content[].type", "messages[].role"], "list": ("messages", "role", "content", "text")},
     "from_value": {"paths": ["conversations[].from", "conversations[].value"], "list": ("conversations", "from", "value")},
     "prompt_response": {"paths": ["prompt", "response"], "pairs": [("user", "prompt"), ("assistant", "response")]},
     "prompt_completion": {"paths": ["completion", "prompt"], "pairs": [("user", "prompt"), ("assistant", "completion")]},
@@ -77,6 +79,11 @@ def _canonical_role(role: Column) -> Column:
     return reduce(lambda c, kv: c.when(F.lower(role) == kv[0], kv[1]), ROLE_NAMES.items(), F.when(role.isNull(), "")).otherwise(role)
 
 
+def _text(value: Column, part: str | None) -> Column:
+    """A text, or the texts of its parts in a row; a part without one (a picture, say) adds nothing."""
+    return value if part is None else F.array_join(F.transform(value, lambda p: F.coalesce(p[part], F.lit(""))), "")
+
+
 def _turns(layout: dict, field) -> Column:
     """array of (turn, role, text) of one record; `field` gives a string field, or the list of (role, text)."""
     if "list" in layout:
@@ -95,42 +102,52 @@ def canonical_turns(df: DataFrame, id_col: str = "conv_id") -> DataFrame:
         return df.select(F.col(conv).cast("long").alias("conv_id"), F.col(turn).cast("long").alias("turn"),
                          F.coalesce(F.col(role), F.lit("")).alias("role"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def field(name, role=None, text=None):
+    def field(name, role=None, text=None, part=None):
         if role is None:
             return F.coalesce(F.col(name), F.lit(""))
-        return F.transform(F.col(name), lambda x: F.struct(x[role].alias("role"), x[text].alias("text")))
+        return F.transform(F.col(name), lambda x: F.struct(x[role].alias("role"), _text(x[text], part).alias("text")))
 
     return df.select(F.col(id_col).cast("long").alias("conv_id"), F.inline_outer(_turns(layout, field).cast(TURNS)))
 
 
-def record_paths(record: Column) -> Column:
-    """Sorted field paths of a JSON object, two levels deep, null for anything else. Elements of a list add []; a path
-    whose values are all null ends with ?."""
-    empty = lambda value: value.isNull() | F.is_variant_null(value)
-
-    def marked(entries: Column, prefix: Column) -> Column:
-        keys = F.array_distinct(F.transform(entries, lambda e: e["key"]))
-        full = F.transform(F.filter(entries, lambda e: ~empty(e["value"])), lambda e: e["key"])
-        return F.transform(keys, lambda k: F.concat(prefix, k, F.when(F.array_contains(full, k), "").otherwise("?")))
-
-    def below(entry: Column) -> Column:
-        key, value = entry["key"], entry["value"]
-        objects = F.try_variant_get(value, "$", "array<map<string,variant>>")
-        inside = F.flatten(F.transform(objects, lambda x: F.map_entries(F.coalesce(x, F.create_map().cast("map<string,variant>")))))
-        lists = F.when(F.size(inside) > 0, marked(inside, F.concat(key, F.lit("[].")))).otherwise(F.array(F.concat(key, F.lit("[]"))))
-        one = F.try_variant_get(value, "$", "map<string,variant>")
-        plain = F.array(F.concat(key, F.when(empty(value), "?").otherwise("")))
-        return F.when(objects.isNotNull(), lists).when(one.isNotNull(), marked(F.map_entries(one), F.concat(key, F.lit(".")))).otherwise(plain)
+#: Levels of lists and objects below a record's own fields that are walked; what lies deeper is told apart by its schema.
+DEPTH = 4
+
+
+def _paths_below(value: Column, path: Column, depth: int) -> Column:
+    """Paths of a JSON value at a path: itself, with ? if it is null, or those of its elements or fields."""
+    plain = F.array(F.concat(path, F.when(value.isNull() | F.is_variant_null(value), "?").otherwise("")))
+    listed, item = F.try_variant_get(value, "$", "array<variant>"), F.concat(path, F.lit("[]"))
+    fields = F.try_variant_get(value, "$", "map<string,variant>")
+    if not depth:
+        return F.when(listed.isNotNull() | fields.isNotNull(), F.array(F.concat(path, F.lit(":"), F.schema_of_variant(value)))).otherwise(plain)
+    none = lambda x: x.isNull() | F.is_variant_null(x)
+    elements = F.flatten(F.transform(listed, lambda x: F.when(none(x), F.array(item)).otherwise(_paths_below(x, item, depth - 1))))
+    named = F.flatten(F.transform(F.map_entries(fields), lambda e: _paths_below(e["value"], F.concat(path, F.lit("."), e["key"]), depth - 1)))
+    return F.when(listed.isNotNull(), F.when(F.size(listed) > 0, F.array_distinct(elements)).otherwise(F.array(item))).when(fields.isNotNull(), named).otherwise(plain)
 
+
+def record_paths(record: Column) -> Column:
+    """Sorted field paths of a JSON object, null for anything else. Elements of a list add []; a path whose values are all
+    null ends with ?; a list or object DEPTH levels below the fields stands with its whole schema."""
     top = F.try_variant_get(F.try_parse_json(record), "$", "map<string,variant>")
-    return F.sort_array(F.flatten(F.transform(F.map_entries(top), below)))
+    found = F.array_distinct(F.flatten(F.transform(F.map_entries(top), lambda e: _paths_below(e["value"], e["key"], DEPTH))))
+    return F.sort_array(F.filter(found, lambda x: ~(x.endswith("?") & F.array_contains(found, F.rtrim(x, F.lit("?"))))))
+
+
+def _malformed(bare: Column) -> Column:
+    """Lists of turns with elements that are no objects among those that are, and texts that are here a string, there a
+    list: no layout gives them back whole."""
+    below = lambda path: F.exists(bare, lambda x: x.startswith(path))
+    mixed = [F.array_contains(bare, f"{x}[]") & below(f"{x}[].") for x in ("messages", "conversations")]
+    return mixed[0] | mixed[1] | (F.array_contains(bare, "messages[].content") | F.array_contains(bare, "messages[].content[]")) & below("messages[].content[].")
 
 
 def _resolved(paths: Column, found: Column) -> Column:
     """Layout name: that of the known fingerprint, else of the largest known set of paths that is held; of sets of one
     size one without nulls."""
     bare = F.transform(paths, lambda x: F.rtrim(x, F.lit("?")))
-    out = F.when(F.lit(False), "")
+    out = F.when(_malformed(bare), F.lit(None).cast("string"))
     for name, layout in LAYOUTS.items():
         out = out.when(found == fingerprint(layout["paths"]), name)
     order = sorted(((name, x, held) for name, x in LAYOUTS.items() if "rows" not in x for held in (paths, bare)), key=lambda y: (-len(y[1]["paths"]), y[2] is bare))
@@ -157,14 +174,16 @@ def unknown_records(df: DataFrame, id_col: str = "conv_id", record_col: str = "r
 
 def canonical_records(df: DataFrame, id_col: str = "conv_id", record_col: str = "record") -> DataFrame:
     """(conv_id, turn, role, text) of JSON records of mixed layouts, and (conv_id, null, null, null) for a record
-    that is no JSON object, has no known layout or an empty list of turns. Null texts are empty."""
+    that is no JSON object, has no known layout or an empty list of turns; `unknown_records` tells the rejects among them,
+    such as lists with elements that are no objects. Null texts are empty."""
     v = F.try_parse_json(F.col("record"))
 
-    def field(name, role=None, text_field=None):
+    def field(name, role=None, text_field=None, part=None):
         if role is None:
             return F.coalesce(F.try_variant_get(v, f"$.{name}", "string"), F.lit(""))
-        rows = F.try_variant_get(v, f"$.{name}", f"array<struct<`{role}`:string,`{text_field}`:string>>")
-        return F.transform(rows, lambda x: F.struct(x[role].alias("role"), x[text_field].alias("text")))
+        kind = f"array<struct<`{part}`:string>>" if part else "string"
+        rows = F.try_variant_get(v, f"$.{name}", f"array<struct<`{role}`:string,`{text_field}`:{kind}>>")
+        return F.transform(rows, lambda x: F.struct(x[role].alias("role"), _text(x[text_field], part).alias("text")))
 
     turns = F.when(F.lit(False), F.lit(None).cast(TURNS))
     for name, layout in LAYOUTS.items():

@@ -258,6 +258,27 @@ def test_fingerprints_select_layouts(spark):
     assert sorted(r.conv_id for r in chat_format.unknown_records(df).collect()) == [3, 4, 6] and out[5].layout == "messages"
 
 
+def test_deep_records_and_rejects(spark):
+    part = lambda t, kind="text": {"type": kind, "text": t}
+    records = [
+        {"messages": [{"role": "user", "content": [part("hi "), part("there")]}, {"role": "assistant", "content": [part("yes")]}]},
+        {"messages": [{"role": "user", "content": [part("see"), {"type": "picture", "at": {"url": "x"}}]}]},
+        {"messages": [{"role": "user", "content": "q"}, "loose"]}, {"messages": [{"role": "user", "content": "q"}, None]}, {"messages": [{"role": "user", "content": "q"}, {"role": "assistant", "content": [part("a")]}]},
+        {"prompt": "q", "response": {"text": "a"}}, {"messages": [{"role": "user", "content": ["a", "b"]}]}, {"a": {"b": {"c": {"d": [{"e": 1}]}}}}, {"a": {"b": {"c": {"d": [{"f": 1}]}}}},
+    ]
+    df = spark.createDataFrame([(i, json.dumps(r)) for i, r in enumerate(records)], "conv_id long, record string")
+    got = defaultdict(list)
+    for r in chat_format.canonical_records(df).orderBy("conv_id", "turn").collect():
+        got[r.conv_id].append((r.role, r.text))
+    assert got[0] == [("user", "hi there"), ("assistant", "yes")] and got[1] == [("user", "see")]
+    assert all(got[i] == [(None, None)] for i in range(2, 9))
+    shapes = {r.conv_id: r for r in chat_format.record_layouts(df).collect()}
+    assert shapes[0].fingerprint == chat_format.fingerprint(chat_format.LAYOUTS["message_parts"]["paths"]) and shapes[7].fingerprint != shapes[8].fingerprint
+    assert sorted(r.conv_id for r in chat_format.unknown_records(df).collect()) == list(range(2, 9))
+    table = spark.createDataFrame([(1, [("user", [("text", "a"), ("text", "b")])])], "conv_id long, messages array<struct<role:string,content:array<struct<type:string,text:string>>>>")
+    assert [tuple(r) for r in chat_format.canonical_turns(table).collect()] == [(1, 0, "user", "ab")]
+
+
 # -- personal data -------------------------------------------------------------------------------------------------
 
 EMAIL = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
