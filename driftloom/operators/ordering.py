@@ -53,8 +53,29 @@ def prefix_sums(df: DataFrame, keys: list[str], order: list[str], value: str, ou
 
 
 def number_rows(df: DataFrame, keys: list[str], order: list[str], out: str) -> DataFrame:
-    """df with `out`: the row's number in its group, from 0."""
-    return running(df, keys, order, {out: ("sum", F.lit(1).cast("long"))}, inclusive=False)
+    """df with `out`: the row's number in its group, from 0. Ranges are sorted, not held: a row's place in its range, less
+    that of the group's first row there, is added to the group's rows in the ranges before."""
+    rows = df.repartitionByRange(*keys, *order).sortWithinPartitions(*keys, *order)
+    dealt = cut(rows.withColumns({"__range": F.spark_partition_id(), "__pos": F.monotonically_increasing_id()}))
+    earlier = Window.partitionBy(*keys).orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    ranges = dealt.groupBy(*keys, "__range").agg(F.count("*").alias("__n"), F.min("__pos").alias("__first"))
+    ranges = ranges.select(*[F.col(k).alias(f"__k{i}") for i, k in enumerate(keys)], F.col("__range").alias("__at"), (F.coalesce(F.sum("__n").over(earlier), F.lit(0)) - F.col("__first")).alias("__base"))
+    on = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(keys)], F.col("__range") == F.col("__at"))
+    return dealt.join(ranges, on).select(*[c for c in df.columns if c != out], (F.col("__pos") + F.col("__base")).alias(out))
+
+
+#: How many copies of a row are made in one go.
+COPIES = 65_536
+
+
+def repeat(df: DataFrame, times: str, deal: bool = False) -> DataFrame:
+    """Each row as often as `times` says (not at all below 1), without that column. With `deal`, rows with many copies
+    are dealt over all tasks, in parts, before they are copied."""
+    rest = [c for c in df.columns if c != times]
+    parts = df.filter(F.col(times) > 0).withColumn("__i", F.explode(F.expr(f"sequence(0L, (cast(`{times}` as long) - 1) div {COPIES})")))
+    parts = parts.repartition(F.col("__i"), *rest) if deal else parts
+    here = F.least(F.col(times) - F.col("__i") * COPIES, F.lit(COPIES)).cast("long")
+    return parts.withColumn("__j", F.explode(F.sequence(F.lit(1).cast("long"), here))).select(*rest)
 
 
 def merge_ranges(ranges: DataFrame, keys: list[str]) -> DataFrame:

@@ -85,3 +85,39 @@ def test_occupancy_file(spark, tmp_path):
     assert {(r.host, r.slots, r.used) for r in hosts.collect()} == {("foo", 4, 3), ("bar", 1, 1), ("empty", 0, 0)}
     assert [(r.app, r.pos, r.host) for r in placements.orderBy("app", "pos").collect()] == [(1, 0, "foo"), (1, 1, "foo"), (1, 2, "bar"), (2, 0, "foo")]
     assert {r.app: r.verdict for r in a.repackable(hosts, placements).collect()} == {1: "move", 2: "do not move"}
+
+
+def test_histograms_serve_as_plans(spark):
+    df, old = bins(spark, "foo 4/2, bar 2/2"), plan(spark, "foo foo bar bar")
+    out, verdicts = a.repack(df, a.histogram(old))
+    assert [(r.bin, r.n) for r in out.collect()] == [("foo", 4)] and verdicts.first().verdict == "move"
+    assert [r.bin for r in a.vacated(a.histogram(old), out).collect()] == ["bar"]
+    marked = df.withColumn("evict", df.bin == "bar")
+    assert [(r.bin, r.n) for r in a.evacuate(marked, a.histogram(old))[0].collect()] == [("foo", 4)]
+
+
+def test_score_beyond_longs(spark):
+    huge = spark.createDataFrame([("p", "a", 2_500_000_000), ("p", "b", 2_000_000_000)], "pool string, bin string, n long")
+    assert a.spread_score(huge).first().pairs == 2_500_000_000 * 2_000_000_000
+
+
+@pytest.mark.parametrize("quotas", [{"a": 5, "b": 5, "c": 10}, {"a": 2, "b": 4, "c": 9, "d": 5}, {"d": 20}, {"a": 0, "b": 1, "c": 19}])
+def test_items_in_several_bins(spark, quotas):
+    """A plan in groups is kept in place as its rows are; a copy that leaves is not lost because another one stays."""
+    items = spark.createDataFrame([("p", "g", i) for i in range(5)] + [("p", "h", i) for i in range(3, 8)], "pool string, group string, item int")
+    members = spark.createDataFrame([("p", "g", "a"), ("p", "g", "b"), ("p", "h", "c"), ("p", "h", "c")], "pool string, group string, bin string")
+    quota = spark.createDataFrame([("p", b, n) for b, n in quotas.items()], "pool string, bin string, n long")
+    rows = items.join(members, ["pool", "group"]).select("pool", "item", "bin")
+    assert sorted(map(tuple, a.grouped_histogram(items, members).collect())) == [("p", "a", 5), ("p", "b", 5), ("p", "c", 10)]
+    got = sorted(map(tuple, a.keep_groups_in_place(quota, items, members).collect()))
+    assert len(got) == 20 and got == sorted(map(tuple, a.keep_in_place(quota, rows).collect()))
+    assert {b: sum(r[2] == b for r in got) for b in quotas} == quotas
+    lists = {r.bin: r["items"] for r in a.grouped_work_lists(items, members).collect()}
+    assert lists == {r.bin: r["items"] for r in a.work_lists(rows)[0].collect()}
+
+
+def test_bins_of_several_groups_are_refused(spark):
+    items = spark.createDataFrame([("p", "g", 1)], "pool string, group string, item int")
+    members = spark.createDataFrame([("p", "g", "a"), ("p", "h", "a")], "pool string, group string, bin string")
+    with pytest.raises(ValueError, match="several groups"):
+        a.grouped_work_lists(items, members)
