@@ -7,6 +7,7 @@ gives on the whole input. Custom state is keyed, so it spreads over the shuffle
 from __future__ import annotations
 
 import math
+import re
 import uuid
 from collections.abc import Callable, Iterator
 
@@ -233,9 +234,13 @@ def wait_for_results(requests: DataFrame, results: DataFrame, timeout: str, late
     """Requests (app, id, asked) joined to results (app, id, ts, return_value) that come within the time-out; after
     it, a request without one gets a null result. Rows that are more than `late` behind the newest row of their stream
     are dropped."""
-    q = requests.withWatermark("asked", late).alias("q")
-    r = results.withWatermark("ts", late).alias("r")
-    on = F.expr(f"q.app = r.app and q.id = r.id and r.ts >= q.asked and r.ts <= q.asked + interval {timeout}")
+    # A request looks in the time slice of its own, as long as the time-out; a result stands in each slice from which it can
+    # be asked for, which are two, and once more where days of the calendar (or months) are longer than at the epoch.
+    slack = "4 days" if re.search("month|year", timeout, re.IGNORECASE) else "1 hour"
+    slice_of = lambda at: f"unix_micros({at}) div greatest(unix_micros(timestamp_seconds(0) + interval {timeout}) - unix_micros(timestamp_seconds(0)), 1000000L)"
+    q = requests.withWatermark("asked", late).withColumn("_slice", F.expr(slice_of("asked"))).alias("q")
+    r = results.withWatermark("ts", late).withColumn("_slice", F.explode(F.expr(f"sequence({slice_of(f'(ts - interval {timeout} - interval {slack})')}, {slice_of('ts')})"))).alias("r")
+    on = F.expr(f"q.app = r.app and q.id = r.id and q._slice = r._slice and r.ts >= q.asked and r.ts <= q.asked + interval {timeout}")
     return q.join(r, on, "left").select("q.app", "q.id", "q.asked", "r.ts", "r.return_value")
 
 

@@ -91,3 +91,20 @@ def test_silent_hosts_leave_the_registry(spark):
     assert found == {tuple(r) for r in checks.host_registry(log.withColumn("ts", F.unix_millis("ts")), 60).collect()}
     assert {r.host for r in out.filter("event = 'silent'").collect()} >= set(range(100)) - {3}
     assert max(rows) >= 99 and rows[-1] <= 4
+
+
+def test_waiting_joins_by_slices(spark, tmp_path):
+    """The waiting is keyed by time slices too, so a busy task is not one group; results at both ends of the time-out."""
+    from datetime import datetime, timedelta
+
+    at = datetime(2024, 1, 1, 23, 30)
+    asked = [(1, 1, at + timedelta(minutes=k * 50)) for k in range(12)]
+    found = [(1, 1, at + timedelta(minutes=60 * k), 0) for k in range(4)]
+    far = datetime(2030, 1, 1)
+    q = spark.createDataFrame([*asked, (-1, 0, far)], "app long, id long, asked timestamp")
+    r = spark.createDataFrame([*found, (-1, 0, far, 0)], "app long, id long, ts timestamp, return_value int")
+    stream = jobs.wait_for_results(jobs.stream_of(q, f"{tmp_path}/q", "asked"), jobs.stream_of(r, f"{tmp_path}/r", "ts"), "2 hours")
+    assert "_slice" in stream._jdf.queryExecution().logical().toString()
+    got = sorted(str((x.asked, x.ts)) for x in jobs.drain(stream, str(tmp_path)).filter("app >= 0").collect())
+    within = lambda a: [f[2] for f in found if a <= f[2] <= a + timedelta(hours=2)] or [None]
+    assert got == sorted(str((a[2], f)) for a in asked for f in within(a[2]))
