@@ -179,3 +179,27 @@ def test_scalars(spark):
         got = spark.createDataFrame([(given,)], "c string").select(fn(c).alias("x")).first().x
         assert (bytes(got) if isinstance(got, bytearray) else got) == expected, (given, got)
     assert spark.range(1).select(f.int_hex(F.lit(255))).first()[0] == "000000ff"
+
+
+def test_repeated_calls_run_once(spark):
+    """Four calls of one task at one depth are one run that counts four times."""
+    import uuid
+
+    from driftloom.operators import tasks as u
+
+    def go(task):
+        return 0, uuid.uuid4().hex, [1] if task["id"] > 1 else []
+
+    roots = spark.createDataFrame([(1, 5), (1, 5), (1, 6), (1, 7)], "app long, id long")
+    results, calls = u.run_chained(roots, go)
+    assert sorted((r.parent_id, r.child_id) for r in calls.collect()) == [(5, 1), (5, 1), (6, 1), (7, 1)]
+    ones = [r.output for r in results.filter("id = 1").collect()]
+    assert len(ones) == 4 and len(set(ones)) == 1
+
+
+def test_dispatch_gives_plain_values(spark):
+    from driftloom.operators import tasks as u
+
+    tasks = spark.createDataFrame([(1, i, None if i % 2 else i) for i in range(200)], "app long, id long, size long")
+    out = {r.id: r.output for r in u.run_tasks(tasks, lambda task: (0, repr(task["size"]))).collect()}
+    assert out == {i: "None" if i % 2 else str(i) for i in range(200)}
