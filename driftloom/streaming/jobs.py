@@ -25,25 +25,48 @@ PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProv
 
 
 class Reorder(StatefulProcessor):
-    """Per channel: the number expected next, and the messages that came before their turn."""
+    """Per channel: the number expected next, and the messages that came before their turn, in blocks of BLOCK numbers that
+    are read and written as one. A batch meets each block once, however many of its messages are there."""
+
+    BLOCK = 4096
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.expected = handle.getValueState("expected", "seq long")
-        self.held = handle.getMapState("held", "seq long", "arrival long")
+        self.held = handle.getMapState("held", "block long", "seqs array<bigint>, arrivals array<bigint>")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        expected = self.expected.get()[0] if self.expected.exists() else 0
+        expected, came = (self.expected.get() or (0,))[0], {}
         for pdf in rows:
-            for seq, arrival in zip(pdf["seq"], pdf["arrival"]):
+            for seq, arrival in zip(pdf["seq"].tolist(), pdf["arrival"].tolist()):
                 if seq >= expected:
-                    self.held.updateValue((int(seq),), (int(arrival),))
-        out = []
-        while self.held.containsKey((expected,)):
-            out.append((*key, expected, self.held.getValue((expected,))[0]))
-            self.held.removeKey((expected,))
-            expected += 1
-        self.expected.update((expected,))
-        yield pd.DataFrame(out, columns=["group", "src", "dst", "seq", "arrival"])
+                    came.setdefault(seq // self.BLOCK, {})[seq] = arrival
+        start, at = expected, expected // self.BLOCK
+        while True:
+            block = {**self._block(at), **came.pop(at, {})}
+            out, first = [], expected
+            while expected in block:
+                out.append((*key, expected, block.pop(expected)))
+                expected += 1
+            self._keep(at, block)
+            if out:
+                yield pd.DataFrame(out, columns=["group", "src", "dst", "seq", "arrival"])
+            if expected == first or expected // self.BLOCK == at:
+                break
+            at += 1
+        for k, fresh in came.items():
+            self._keep(k, {**self._block(k), **fresh})
+        if expected != start:
+            self.expected.update((expected,))
+
+    def _block(self, k: int) -> dict[int, int]:
+        found = self.held.getValue((k,)) if self.held.containsKey((k,)) else None
+        return dict(zip(*found)) if found else {}
+
+    def _keep(self, k: int, block: dict[int, int]) -> None:
+        if block:
+            self.held.updateValue((k,), (list(block), list(block.values())))
+        elif self.held.containsKey((k,)):
+            self.held.removeKey((k,))
 
     def close(self) -> None:
         pass
@@ -70,8 +93,8 @@ class LiveState(StatefulProcessor):
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         pdf = pd.concat(list(rows)).sort_values("seq")
-        value, ends = self.state.get() if self.state.exists() else (None, None)
-        before, n = ends, self.length.get()[0] if self.length.exists() else 0
+        value, ends = self.state.get() or (None, None)
+        before, n = ends, (self.length.get() or (0,))[0]
         out, waiting = [], []
         steps = zip(*[pdf[c].astype(object).where(pdf[c].notna(), None) for c in ("seq", "at", "op", "arg", "ttl", "offset")])
         for row, done, value, ends in fold_key(steps, value, ends):
@@ -144,7 +167,7 @@ class Registry(StatefulProcessor):
         self.record = handle.getValueState("record", "slots long, used long, ts long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        held = self.record.get() if self.record.exists() else None
+        held = self.record.get()
         before, last = held, None
         pdf = pd.concat(list(rows)).sort_values("seq")
         for seq, op, ts, slots, used, overwrite in zip(*[pdf[c].tolist() for c in ("seq", "op", "ms", "slots", "used", "overwrite")]):
@@ -193,30 +216,42 @@ def live_registry(log: DataFrame, timeout_s: int, late: str = "1 hour") -> DataF
 class BatchProgress(StatefulProcessor):
     """Per app: the latest result of each task that has one. Says so once when the last task has come."""
 
+    BLOCK = 256
+
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getMapState("seen", "id long", "return_value int")
-        self.frozen = handle.getMapState("frozen", "id long", "seq long")
+        # Tasks by blocks of BLOCK ids, read and written as one: for a task its result's code, or null, and whether it was frozen.
+        self.seen = handle.getMapState("seen", "block long", "ids array<bigint>, codes array<int>, frozen array<boolean>")
         self.count = handle.getValueState("count", "n long, failed long, frozen long, over boolean")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        n, failed, frozen, over = self.count.get() if self.count.exists() else (0, 0, 0, False)
-        out, pdf = [], pd.concat(list(rows)).sort_values("seq")
-        for seq, task, value, expected in zip(pdf["seq"], pdf["id"], pdf["return_value"], pdf["expected"]):
-            at = (int(task),)
+        n, failed, frozen, over = self.count.get() or (0, 0, 0, False)
+        blocks: dict[int, dict] = {}
+        out, came = [], sorted((row for pdf in rows for row in zip(*[pdf[c].tolist() for c in ("seq", "id", "return_value", "expected")])), key=lambda row: row[0])
+        for _, task, value, expected in came:
             if value == MIGRATED:
                 continue
+            at = task // self.BLOCK
+            if at not in blocks:
+                blocks[at] = self._block(at)
+            before, was = blocks[at].get(task, (None, False))
             if value == FROZEN:
-                frozen += not self.frozen.containsKey(at)
-                self.frozen.updateValue(at, (int(seq),))
+                frozen += not was
+                blocks[at][task] = (before, True)
                 continue
-            before = self.seen.getValue(at)[0] if self.seen.containsKey(at) else None
-            self.seen.updateValue(at, (int(value),))
+            blocks[at][task] = (value, was)
             n, failed = n + (before is None), failed + (value != 0) - (before is not None and before != 0)
             if n == expected and not over:
                 over = True
                 out.append((key[0], n, failed, frozen))
+        for at, block in blocks.items():
+            self.seen.updateValue((at,), (list(block), [code for code, _ in block.values()], [was for _, was in block.values()]))
         self.count.update((n, failed, frozen, over))
-        yield pd.DataFrame(out, columns=["app", "done", "failed", "frozen"])
+        if out:
+            yield pd.DataFrame(out, columns=["app", "done", "failed", "frozen"])
+
+    def _block(self, k: int) -> dict[int, tuple]:
+        found = self.seen.getValue((k,)) if self.seen.containsKey((k,)) else None
+        return {task: (code, was) for task, code, was in zip(*found)} if found else {}
 
     def close(self) -> None:
         pass
@@ -276,11 +311,12 @@ def read_upserts(spark: SparkSession, path: str) -> DataFrame:
     return VersionedTable(spark, path, []).read()
 
 
-def stream_of(df: DataFrame, folder: str, order: str, steps: int = 3, files: int = 4) -> DataFrame:
+def stream_of(df: DataFrame, folder: str, order: str, steps: int = 3, files: int | None = None) -> DataFrame:
     """df as a stream: written as `steps` ranges of `order`, one read a batch. A range is written by `files` tasks, of
-    which each has rows if the range has as many; ranges are added one after the other, since the source reads files by
-    age."""
+    which each has rows if the range has as many, by default one a core; ranges are added one after the other, since the
+    source reads files by age."""
     spark = df.sparkSession
+    files = files or max(4, spark.sparkContext.defaultParallelism)
     dealt = df.repartitionByRange(steps * files, order).withColumn("_part", F.expr(f"spark_partition_id() div {files}").cast("int"))
     dealt.write.partitionBy("_part").parquet(f"{folder}-parts")
     parts = spark.read.schema(f"{', '.join(f'`{f.name}` {f.dataType.simpleString()}' for f in df.schema)}, _part int").parquet(f"{folder}-parts")

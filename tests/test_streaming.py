@@ -108,3 +108,66 @@ def test_waiting_joins_by_slices(spark, tmp_path):
     got = sorted(str((x.asked, x.ts)) for x in jobs.drain(stream, str(tmp_path)).filter("app >= 0").collect())
     within = lambda a: [f[2] for f in found if a <= f[2] <= a + timedelta(hours=2)] or [None]
     assert got == sorted(str((a[2], f)) for a in asked for f in within(a[2]))
+
+
+class _Fake:
+    """State held in a dict; counts what is written."""
+
+    def __init__(self):
+        self.held, self.writes = {}, 0
+
+    def get(self):
+        return self.held.get("it")
+
+    def exists(self):
+        return "it" in self.held
+
+    def update(self, value):
+        self.held["it"], self.writes = value, self.writes + 1
+
+    def containsKey(self, k):
+        return k in self.held
+
+    def getValue(self, k):
+        return self.held[k]
+
+    def updateValue(self, k, value):
+        self.held[k], self.writes = value, self.writes + 1
+
+    def removeKey(self, k):
+        del self.held[k]
+        self.writes += 1
+
+
+class _Handle:
+    def __init__(self):
+        self.states = []
+
+    def getValueState(self, *_):
+        self.states.append(_Fake())
+        return self.states[-1]
+
+    getMapState = getValueState
+
+
+def test_reorder_writes_blocks_not_messages():
+    import pandas as pd
+
+    job, handle = jobs.Reorder(), _Handle()
+    job.init(handle)
+    seqs = list(range(1, 10_000))
+    give = lambda s: [r.seq for pdf in job.handleInputRows((1, 2, 3), iter([pd.DataFrame({"seq": s, "arrival": s})]), None) for r in pdf.itertuples()]
+    assert give(seqs[::-1]) == [] and sum(s.writes for s in handle.states) <= 3
+    assert give([0]) == list(range(10_000)) and sum(s.writes for s in handle.states) <= 10
+    assert give([3, 10_000]) == [10_000] and not handle.states[1].held
+
+
+def test_progress_writes_blocks_not_tasks():
+    import pandas as pd
+
+    job, handle = jobs.BatchProgress(), _Handle()
+    job.init(handle)
+    n = 200
+    give = lambda ids, code: [tuple(r) for pdf in job.handleInputRows((1,), iter([pd.DataFrame({"seq": range(len(ids)), "id": ids, "return_value": code, "expected": n})]), None) for r in pdf.itertuples(index=False)]
+    assert give(list(range(50)), jobs.FROZEN) == [] and give(list(range(n - 1)), 1) == [] and give([0], 0) == []
+    assert give([n - 1], 0) == [(1, n, n - 2, 50)] and sum(s.writes for s in handle.states) <= 8
