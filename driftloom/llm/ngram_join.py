@@ -4,10 +4,11 @@ Every set is embedded once as a coordinated sample: its n-grams whose hash is be
 keep the same of their shared n-grams. A run is a tree of chosen paths: a set goes into the buckets of its
 tokens whose hash with the path is below branch / |sample|, and so do all sets that share those tokens, whatever
 their other tokens. Buckets of up to `leaf` sets are compared by brute force. Sets whose paths end in enough of
-them to meet every similar set there are done; the others, of which there are few, go on with their large buckets:
-these split again on further shared tokens. A large bucket that does not thin out because its sets really are alike,
-or that is as deep as `depth`, is compared in blocks of pairs of sub-buckets, so no task gets an unbounded bucket and
-no pair is left out. Runs repeat until a pair at the threshold is missed with less than 1 - recall even if all its
+them to meet every similar set there are done; the others, of which there are few, go on with their large buckets.
+Where many sets of a large bucket really are alike, a few of them, its cores, are compared with all: a set close to a
+core is done there, as all that are near to it are linked to that core. What is left of a large bucket splits again on
+further shared tokens or, as deep as `depth`, is compared in blocks of pairs of sub-buckets, so no task gets an
+unbounded bucket and no pair is left out. Runs repeat until a pair at the threshold is missed with less than 1 - recall even if all its
 shared tokens are in large buckets, that is if it must survive every split down to `depth`.
 
 Comparisons in buckets use the samples and only gather sets into coarse groups; the whole n-gram sets then
@@ -20,6 +21,7 @@ from __future__ import annotations
 import hashlib
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -156,21 +158,84 @@ def compare(rows: DataFrame, key: str, sample: int, near: float) -> DataFrame:
     return rows.mapInArrow(run, "a binary, b binary")
 
 
-def dense(probes: DataFrame, sample: int, near: float, share: float = 0.1) -> DataFrame:
-    """Paths of the large buckets in whose probes at least `share` of the pairs are near."""
-    rows = probes.select("path", "s", "size", "sample").repartition("path").sortWithinPartitions("path", "s")
+def alone(df: DataFrame) -> DataFrame:
+    """Rows of buckets that are compared as they are, with the one pair (0, 0) of `in_blocks`."""
+    return df.withColumns({"i": F.lit(0), "j": F.lit(0), "side": F.lit(0)})
+
+
+def cores(probes: DataFrame, sample: int, near: float, share: float = 0.1) -> DataFrame:
+    """(path, c, s, size, sample, bar): the probes of a bucket around which at least `share` of the others lie, greedily,
+    so that each brings as many more. The bar is the similarity that counts: halfway between near and 1 where this reaches
+    half of the probes, else near, or more if near is low."""
+    rows = probes.select("path", "c", "s", "size", "sample").repartition("path").sortWithinPartitions("path", "s")
+    bars = [min(max(x, 1.2 - near), 1.0) for x in ((1 + near) / 2, near)]  # sets that share nothing with a core are never near to its own
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        paths = []
+        out = []
         for group in groups(batches, 1):
-            sets = [np.frombuffer(r[3], dtype=U) for r in group]
-            if len(sets) > 1:
-                pairs = sum(len(js) for _, js in alike(sets, limit(np.array([r[2] for r in group]), sample), near))
-                if pairs >= share * len(sets) * (len(sets) - 1) / 2:
-                    paths.append(group[0][0])
-        yield pa.RecordBatch.from_arrays([pa.array(paths, pa.int64())], names=["path"])
+            sets, ends = [np.frombuffer(r[4], dtype=U) for r in group], limit(np.array([r[3] for r in group]), sample)
+            for bar in bars:
+                close, left, taken = np.eye(len(sets), dtype=bool), np.ones(len(sets), dtype=bool), []
+                for i, js in alike(sets, ends, bar):
+                    close[i, js] = close[js, i] = True
+                while (gain := (close & left).sum(axis=1)).max() >= max(3, share * len(sets)):
+                    taken.append(int(gain.argmax()))
+                    left &= ~close[taken[-1]]
+                if 2 * left.sum() <= len(sets):
+                    break
+            out += [(*group[k], bar) for k in taken]
+        columns, kinds = list(zip(*out)) or [[]] * 6, (pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.float64())
+        yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names=["path", "c", "s", "size", "sample", "bar"])
+
+    return rows.mapInArrow(run, "path long, c long, s binary, size int, sample binary, bar double")
+
+
+def around(rows: DataFrame, found: DataFrame, sample: int, near: float, leaf: int) -> DataFrame:
+    """Spanning links (a, s) of each core's sets, and with null a the rows (path, s, size, sample) that no core settles.
+
+    rows: (path, c, s, size, sample) of the buckets that have cores. Unlikeness obeys the triangle inequality: if a set is
+    within 1 - bar of a core, all that are near to it are within 1 - bar + 1 - near of that core. These are linked to the
+    core, so the set needs no more comparisons. Rows are dealt into parts of about `leaf`, each of which gets the cores."""
+    n = F.ceil(F.col("c") / F.lit(leaf)).cast("int")
+    own = F.pmod(F.xxhash64("s", "path"), n).cast("int")
+    names = ["path", "part", "side", "s", "size", "sample", "bar"]
+    members = rows.withColumns({"part": own, "side": F.lit(1), "bar": F.lit(None).cast("double")}).select(names)
+    centres = found.withColumns({"part": F.explode(F.sequence(F.lit(0), n - 1)), "side": F.lit(0)}).select(names)
+    dealt = centres.union(members).repartition("path", "part").sortWithinPartitions("path", "part", "side", "s")
 
-    return rows.mapInArrow(run, "path long")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in groups(batches, 2):
+            split, out = sum(r[2] == 0 for r in group), []
+            if split < len(group):
+                sets, ends = [np.frombuffer(r[5], dtype=U) for r in group], limit(np.array([r[4] for r in group]), sample)
+                bar, settled = group[0][6], np.zeros(len(group), dtype=bool)
+                for _, js in alike(sets, ends, bar, split):
+                    settled[js] = True
+                out += [(None, y, None, None, x) for x, y in forest([r[3] for r in group], alike(sets, ends, bar + near - 1, split))]
+                out += [(r[0], r[3], r[4], r[5], None) for r, gone in zip(group[split:], settled[split:]) if not gone]
+            columns, kinds = list(zip(*out)) or [[]] * 5, (pa.int64(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds)], names=["path", "s", "size", "sample", "a"])
+
+    return dealt.mapInArrow(run, "path long, s binary, size int, sample binary, a binary")
+
+
+def thinned(rows: DataFrame, sample: int, near: float, leaf: int) -> tuple[list[DataFrame], DataFrame]:
+    """Spanning links (a, b) around the cores of large buckets, and the rows (path, c, s, size, sample) that are left to
+    compare with each other; c is the number of those in the bucket. Each round takes every row at most once and gives
+    it to one task; buckets of more than `leaf` rows in which cores are found again go through another."""
+    links, rest, rows = [], [], cut(rows, "large")
+    while True:
+        lot = F.pmod(F.xxhash64("s", "path", F.lit(len(links))), F.lit(1 << 30)) * F.col("c")
+        found = cut(cores(rows.filter(lot < F.lit(24 << 30)), sample, near), "cores")
+        if found.isEmpty():
+            return links, reduce(DataFrame.union, rest, rows)
+        having = found.select("path").distinct()
+        made = cut(around(rows.join(having, "path", "left_semi"), found, sample, near, leaf), "around")
+        links.append(made.filter("a is not null").select("a", F.col("s").alias("b")))
+        left = made.filter("a is null").drop("a")
+        left = left.join(left.groupBy("path").agg(F.count("*").alias("c")), "path").select("path", "c", "s", "size", "sample")
+        rest += [rows.join(having, "path", "left_anti"), left.filter(F.col("c") <= leaf)]
+        rows = cut(left.filter(F.col("c") > leaf), "large")
 
 
 def repetitions(recall: float, threshold: float, per_run: float, sample: int, branch: float, depth: int) -> tuple[int, int]:
@@ -226,8 +291,8 @@ def coarse_links(sets: DataFrame, threshold: float, recall: float, sample: int,
     """Spanning links among sets that are near by their samples, found by chosen paths.
 
     Root buckets of up to `leaf` sets are compared. Only the sets that these leave unsettled go on with their large
-    buckets; where such a bucket now has up to `blocks` times `leaf` sets it is compared in blocks, which costs less than
-    to split it, larger ones are split."""
+    buckets. Where many sets of such a bucket are alike, those around its cores are settled by them. If up to `blocks` times
+    `leaf` sets are left, these are compared in blocks, which costs less than to split them; of more, the bucket is split."""
     per_run = 4.0
     runs, splits = repetitions(recall, threshold, per_run, sample, branch, depth)
     roots = F.explode(F.array(*[F.lit(int(mix(np.array([r + 1], dtype=U)).view(np.int64)[0])) for r in range(runs)]))
@@ -235,7 +300,7 @@ def coarse_links(sets: DataFrame, threshold: float, recall: float, sample: int,
     sub = F.ceil(F.col("c") / F.lit(leaf))
     every = cut(buckets(nodes), "buckets")
     ready = nodes.join(once(every.filter(F.col("c") <= leaf)), "path").join(sets, "s")
-    found = cut(compare(in_blocks(ready, "path", sub), "path", sample, near), "near")
+    found = cut(compare(alone(ready), "path", sample, near), "near")
     large = every.filter(F.col("c") > leaf)
     if large.isEmpty():
         return found
@@ -247,19 +312,23 @@ def coarse_links(sets: DataFrame, threshold: float, recall: float, sample: int,
         every = cut(buckets(nodes), "buckets")
         # Of buckets with the same members one is enough to compare, but each is split: their trees are repetitions.
         stats = cut(once(every), "distinct-buckets")
-        whole, split = stats, None
-        if level < depth and not stats.filter(F.col("c") > blocks * leaf).isEmpty():
-            big = stats.filter(F.col("c") > blocks * leaf)
-            probes = nodes.join(big, "path").filter(F.pmod(F.xxhash64("s", "path"), F.lit(1 << 30)) * F.col("c") < F.lit(24 << 30)).join(live, "s")
-            stay = cut(dense(probes, sample, near), "dense")
-            parted = cut(every.join(big.join(stay, "path", "left_anti"), "path", "left_semi").select("c", "x"), "parted")
-            split = every.join(parted, ["c", "x"], "left_semi").select("path")
-            whole = stats.join(cut(split, "split-paths"), "path", "left_anti")
-        ready = nodes.join(whole, "path").join(live, "s")
-        found = found.union(cut(compare(in_blocks(ready, "path", sub), "path", sample, near), "near"))
+        ready = nodes.join(stats, "path").join(live, "s").select("path", "c", "s", "size", "sample")
+        small, split = ready.filter(F.col("c") <= leaf), None
+        if not stats.filter(F.col("c") > leaf).isEmpty():
+            links, rest = thinned(ready.filter(F.col("c") > leaf), sample, near, leaf)
+            found = reduce(DataFrame.union, links, found)
+            small = small.union(rest.filter(F.col("c") <= leaf))
+            whole = rest.filter(F.col("c") > leaf)
+            if level < depth:
+                split = cut(whole.filter(F.col("c") > blocks * leaf).select(F.col("path").alias("kept"), "s"), "split")
+                split = None if split.isEmpty() else split
+                whole = whole.filter(F.col("c") <= blocks * leaf)
+            found = found.union(cut(compare(in_blocks(whole, "path", sub), "path", sample, near), "near"))
+        found = found.union(cut(compare(alone(small), "path", sample, near), "near"))
         if split is None:
             return found
-        nodes = cut(choose(nodes.join(split, "path").join(live, "s"), sample, branch * splits if level == 1 else branch), "paths")
+        alike_paths = every.join(stats.withColumnRenamed("path", "kept").join(every.select(F.col("path").alias("kept"), "x"), "kept"), ["c", "x"]).select("path", "kept")
+        nodes = cut(choose(split.join(alike_paths, "kept").join(live, "s"), sample, branch * splits if level == 1 else branch), "paths")
     return found
 
 

@@ -139,6 +139,53 @@ def test_recall_of_pairs_in_hot_buckets(spark):
     assert ngram_join.jaccard_join(df, leaf=32).filter("n_links = 1 and class_id % 2 = 0").count() == 600
 
 
+def test_large_groups_are_not_dealt_out_by_pairs(spark, monkeypatch):
+    """600 texts that are all alike, with leaves of 32: each row of a large bucket is compared with a few cores, not dealt
+    out once for each of 19 sub-buckets; all links are found."""
+    rng, rows, made, real = random.Random(6), [], [], ngram_join.in_blocks
+    for k in range(600):
+        words = [f"b{i}" for i in range(300)]
+        words[rng.randrange(300)] = f"new{k}"
+        rows.append((k, " ".join(words)))
+
+    def counted(df, key, n):
+        out = real(df, key, n)
+        made.append((key, out.count()))
+        return out
+
+    monkeypatch.setattr(ngram_join, "in_blocks", counted)
+    got = ngram_join.jaccard_join(spark.createDataFrame(rows, "doc_id long, text string"), leaf=32)
+    assert got.filter("n_links = 599 and class_id = 0").count() == 600
+    assert sum(n for key, n in made if key == "path") <= 600
+
+
+@pytest.mark.parametrize("near", [0.6, 0.3])
+def test_cores_lose_no_near_pair(spark, near):
+    """Two sets of a bucket that are near, by samples that are the whole sets, are linked or both left."""
+    rng, sets = np.random.default_rng(3), []
+    bases = [rng.integers(1, 1 << 62, 60, dtype=np.uint64) for _ in range(3)]
+    for k in range(400):
+        kept = bases[k % 3][rng.random(60) < rng.uniform(rng.choice([0.5, 0.97]), 1)]
+        sets.append(np.unique(np.append(kept, rng.integers(1, 1 << 62, rng.integers(1, 4), dtype=np.uint64))))
+    rows = [(7, len(sets), k.to_bytes(2, "big"), len(x), x.tobytes()) for k, x in enumerate(sets)]
+    links, rest = ngram_join.thinned(spark.createDataFrame(rows, "path long, c long, s binary, size int, sample binary"), 64, near, 32)
+    group = list(range(len(sets)))
+    pairs = [(int.from_bytes(r.a, "big"), int.from_bytes(r.b, "big")) for found in links for r in found.collect()]
+    for _ in range(len(sets)):
+        before = list(group)
+        for a, b in pairs:
+            group[a] = group[b] = min(group[a], group[b])
+        if group == before:
+            break
+    left = {int.from_bytes(r.s, "big") for r in rest.collect()}
+    assert pairs and len(left) < 350 and all(r.c == len(left) for r in rest.collect())
+    tokens = [set(x.tolist()) for x in sets]
+    for i in range(len(sets)):
+        for j in range(i):
+            if len(tokens[i] & tokens[j]) >= near * len(tokens[i] | tokens[j]):
+                assert group[i] == group[j] or {i, j} <= left
+
+
 def test_repetitions_cover_every_split():
     """The numbers of runs and splits against simulated trees: pairs at the threshold must survive every split."""
     rng = np.random.default_rng(2)
