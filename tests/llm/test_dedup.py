@@ -270,6 +270,49 @@ def test_long_repeats_of_documents(documents, rows, empty):
     assert suffix_dedup.remove_repeats(empty, batches=1).count() == 0
 
 
+def shared_words(texts, run):
+    """Per text the words that lie in a string of `run` words which another text has too, by a dictionary of all of them."""
+    split, owners = [t.split() for t in texts], defaultdict(set)
+    for k, words in enumerate(split):
+        for i in range(len(words) - run + 1):
+            owners[tuple(words[i : i + run])].add(k)
+    for words in split:
+        hit = {j for i in range(len(words) - run + 1) if len(owners[tuple(words[i : i + run])]) > 1 for j in range(i, i + run)}
+        yield len(hit)
+
+
+@pytest.mark.parametrize("most", [2048, 1])
+def test_passages_of_words(spark, most):
+    """Passages of 51 short words take less than 400 bytes: they are told by their words, and only across documents."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(1, 5))) for _ in range(n))
+    passage, less, twice, long, copy = words(51), words(50), words(60), words(120), words(70)
+    texts = [words(30) + " " + passage + " " + words(40), words(5) + "\n" + passage.replace(" ", "\t\n") + "  " + words(9), passage, words(20) + " " + less + " " + words(20), less + " " + words(30),
+             twice + " " + words(7) + " " + twice, long, words(3) + " " + " ".join(long.split()[10:110]) + " " + words(3), " ".join(long.split()[:61]) + " " + words(2) + " " + " ".join(long.split()[70:]),
+             copy, copy, "ha " * 300, "ha " * 60, "ha " * 50, words(10), "", None, "\u00a0 " * 60]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r for r in suffix_dedup.remove_repeats(df, most=most).collect()}
+    expected = list(shared_words([(t or "").encode() for t in texts], 51))
+    assert [got[k].n_shared_words for k in range(len(texts))] == expected
+    assert expected[:6] == [51, 51, 51, 0, 0, 0] and len(passage) < 400 and not got[0].n_removed
+
+
+def test_words_of_cut_texts_are_alike():
+    rng = random.Random(6)
+    texts = [" ".join(rng.choice(["a", "bc", "\tdef", "g\n"]) for _ in range(n)).encode() for n in (0, 40, 3000, 51)]
+    whole, counts = suffix_dedup.word_hashes(texts)
+    parts, same = suffix_dedup.word_hashes(texts, 100)
+    assert counts.tolist() == same.tolist() == [len(t.split()) for t in texts] and (whole == parts).all()
+    for size in (1 << 16, 60):
+        starts = sorted((k, s) for text, _, _, first, last, shift, _ in suffix_dedup._word_anchors(whole, counts, 51, 8, size) for k, a, b in zip(text.tolist(), (first - shift).tolist(), (last - shift).tolist()) for s in range(a, b + 1))
+        assert starts == [(2, s) for s in range(2950)] + [(3, 0)]
+
+
+def test_passages_of_documents(documents, rows):
+    got = Counter((r.doc_id, r.n_shared_words) for r in suffix_dedup.remove_repeats(documents, run=20).collect())
+    assert got == Counter((r[0], n) for r, n in zip(rows, shared_words([(r[1] or "").encode() for r in rows], 20)))
+
+
 def test_cut_documents_repeat_alike():
     """The windows that entries answer for are all windows, once each, wherever a long document is cut."""
     import pyarrow as pa
