@@ -240,7 +240,7 @@ def repeated_starts(contexts: DataFrame, length: int, most: int) -> DataFrame:
             rows = [_windows(x, length).view(np.int64) for x in b.column(3).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array([x.tolist() for x in rows], pa.list_(pa.int64()))], names=["key", "ctx", "lo", "hash"])
 
-    many = contexts.filter(F.col("m") > most).select("key", "ctx", "lo", "context").mapInArrow(hashes, "key long, ctx binary, lo int, hash array<bigint>")
+    many = contexts.filter(F.col("m") > most).select("key", "ctx", "lo", "context").repartition("key", "ctx").mapInArrow(hashes, "key long, ctx binary, lo int, hash array<bigint>")
     many = many.select("key", "ctx", "lo", F.posexplode("hash").alias("p", "hash")).select("key", "ctx", (F.col("lo") + F.col("p")).alias("lo"), "hash").distinct()
     twice = many.groupBy("key", "lo", "hash").agg(F.count("*").alias("c")).filter("c > 1").drop("c")
     many = many.join(twice, ["key", "lo", "hash"]).select("key", "ctx", "lo", F.col("lo").alias("hi"))
